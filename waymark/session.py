@@ -19,18 +19,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write once as Parquet, read back: later branches share it, columnar and prunable, and a lost
-    executor costs a re-read instead of the whole chain above.
-
-    The folder is the one the session names in spark.checkpoint.dir; only a session that names none
-    (a local test) gets a temporary one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in spark.checkpoint.dir; only a session that names none (a local
+    test) gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/waymark-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write once as Parquet, read back: later branches share it, columnar and prunable, and a lost
+    executor costs a re-read instead of the whole chain above."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/waymark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
