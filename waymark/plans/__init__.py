@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import entries
 
-MODULES = ("scans", "journeys", "integrity", "views_laws")
+MODULES = ("scans", "journeys", "integrity", "reporting", "views_laws")
 
 
 def load_all():

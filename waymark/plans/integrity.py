@@ -26,9 +26,9 @@ def _(t: Tables):
     return K.null_keys(t.stream(), ["application_id", "context_id", "event_datetime"], "source_row")
 
 
-@query("b2_invalid_times", rule("INVALID_TIME", "event_id", "from events where event_type = 'error' and user_id > 0", "'bad ' || event_type"))
+@query("b2_invalid_times", rule("INVALID_TIME", "event_id", "from events where event_type = 'error'", "'bad ' || event_type"))
 def _(t: Tables):
-    rows = t.table("events").filter("user_id > 0").select("event_id", F.when(F.col("event_type") == "error", F.concat(F.lit("bad "), "event_type"))
+    rows = t.table("events").select("event_id", F.when(F.col("event_type") == "error", F.concat(F.lit("bad "), "event_type"))
                                                           .otherwise(F.col("ts").cast("string")).alias("when_text"))
     return K.invalid_times(rows, "when_text", "event_id")
 
@@ -138,12 +138,12 @@ def _(t: Tables):
 
 @query("b17_expired_removals", f"""with {Q.LIFE}, p as (select application_id, min(event_datetime) as pt from ev where journey_substage = 'purchase' group by 1),
   a as (select * from life where application_created_at < timestamp '2024-01-15' and deadline > timestamp '2024-01-15'),
-  gone as (select a.* from a left join p using (application_id) where deadline <= timestamp '2024-01-16' or pt is not null or context_id in ('1', '2', '3', '4', '5', '6', '7', '8', '9')) """
+  gone as (select a.* from a left join p using (application_id) where deadline <= timestamp '2024-01-16' or pt is not null or hour(application_created_at) < 3) """
        + rule("UNEXPLAINED_REMOVAL", "application_id", "from gone left join p using (application_id) where pt is null and deadline > timestamp '2024-01-16'"))
 def _(t: Tables):
     p = L.first_terminals(t.stream(), SPEC)
     a = t.lifecycles().filter((F.col("application_created_at") < C.ntz("2024-01-15 00:00:00")) & (F.col("deadline") > C.ntz("2024-01-15 00:00:00")))
-    lost = F.col("context_id").isin(*map(str, range(1, 10)))
+    lost = F.hour("application_created_at") < 3
     kept = a.join(p, "application_id", "left").filter((F.col("deadline") > C.ntz("2024-01-16 00:00:00")) & F.col("terminal_datetime").isNull() & ~lost)
     return K.expired_removals(a, kept, p, "2024-01-16 00:00:00")
 
@@ -219,12 +219,12 @@ def _(t: Tables):
     return K.identity_violations(k, reg, 30 * 86400)
 
 
-@query("b24_snapshot", f"""with {Q.LIFE}, s as (select context_id, case when context_id < '2' then 'OTHER' else 'PERSONAL_LOAN' end as product_id from life where deadline > timestamp '2024-01-15' and application_created_at < timestamp '2024-01-15')
+@query("b24_snapshot", f"""with {Q.LIFE}, s as (select context_id, case when isodow(application_created_at) = 6 then 'OTHER' else 'PERSONAL_LOAN' end as product_id from life where deadline > timestamp '2024-01-15' and application_created_at < timestamp '2024-01-15')
   select 'PRODUCT_SCOPE' as rule, context_id as key from s where product_id = 'OTHER' union all select 'REPEATED_CONTEXT', context_id from s group by context_id having count(*) > 1""")
 def _(t: Tables):
     at = C.ntz("2024-01-15 00:00:00")
     s = t.lifecycles().filter((F.col("deadline") > at) & (F.col("application_created_at") < at)).withColumn(
-        "product_id", F.when(F.col("context_id") < "2", "OTHER").otherwise("PERSONAL_LOAN"))
+        "product_id", F.when(F.weekday("application_created_at") == 5, "OTHER").otherwise("PERSONAL_LOAN"))
     return K.snapshot_violations(s, "PERSONAL_LOAN")
 
 
