@@ -162,3 +162,71 @@ def law(src: str, name: str) -> str:
 START, MID, END = "2024-01-01 00:00:00", "2024-01-16 00:00:00", "2024-01-31 00:00:00"
 EPI = PACK + "," + episodes(START, END)
 LAW = EPI + "," + law("epi", "law")
+
+TRAIN = PACK + "," + episodes(START, MID, "tr") + "," + episodes(MID, END, "te")
+
+
+def landmarks(first: str, last: str) -> str:
+    """Daily landmark risk rows over packets pk, bands in hours."""
+    def band(x, bounds):
+        return " + ".join(f"({x} > {b})::int" for b in bounds)
+    return f"""
+lm0 as (select p.*, bound, row_number() over (partition by application_id, bound order by p.event_datetime desc) as k
+        from pk p, (select unnest(generate_series(timestamp '{first}', timestamp '{last}', interval 1 day)) as bound) where p.event_datetime < bound),
+lm1 as (select l.*, n.event_datetime as next_time, n.labels as next_l from lm0 l left join pk n on n.application_id = l.application_id and n.event_datetime >= bound
+          and not exists (select 1 from pk m where m.application_id = l.application_id and m.event_datetime >= bound and m.event_datetime < n.event_datetime)
+        where k = 1 and l.deadline > bound and l.deadline <= timestamp '{END}' and l.state <> 'purchase'),
+lm as (select *, coalesce(next_time < deadline, false) as observed,
+        (epoch_us(case when coalesce(next_time < deadline, false) then next_time else deadline end) - epoch_us(bound)) / 1000000.0 as duration_seconds,
+        case when coalesce(next_time < deadline, false) and not (not ptp_eligible and next_l = ['purchase']) then cast(to_json(next_l) as varchar) else '[]' end as next_labels,
+        {band("(epoch_us(bound) - epoch_us(application_created_at)) / 3600000000.0", (12, 24, 36, 48, 60))} as age_band,
+        {band("(epoch_us(bound) - epoch_us(event_datetime)) / 3600000000.0", (6, 12, 24, 48))} as silence_band,
+        {band("prior_depth", (1, 2, 4))} as depth_band, cast(isodow(bound) - 1 as int) as weekday from lm1)"""
+
+
+RES_BY = "weekday, model_level, state, age_band, silence_band, depth_band"
+
+
+def residual(src: str, name: str) -> str:
+    parts = []
+    for level, cols in (("SOURCE_AGE_SILENCE_DEPTH", "state, age_band, silence_band, depth_band"), ("SOURCE_AGE_SILENCE", "state, age_band, silence_band, -1"),
+                        ("SOURCE_AGE", "state, age_band, -1, -1"), ("SOURCE", "state, -1, -1, -1"), ("AGE_SILENCE", "'', age_band, silence_band, -1"), ("GLOBAL", "'', -1, -1, -1")):
+        for day in ("weekday", "-1"):
+            parts.append(f"select {day} as weekday, '{level}' as model_level, {cols}, duration_seconds, observed, next_labels, application_id from {src}")
+    return f"""
+{name}_x(weekday, model_level, state, age_band, silence_band, depth_band, duration_seconds, observed, next_labels, application_id) as ({' union all '.join(parts)}),{product_limit(f'{name}_x', f'{name}_pl', RES_BY)},
+{name}_pool as (select {RES_BY}, count(*) as denominator, count(distinct application_id) as applications from {name}_x group by all having count(distinct application_id) >= 10),
+{name} as (select p.*, coalesce(l.duration_seconds, 0.0) as duration_seconds, coalesce(labels, '[]') as labels, coalesce(mass, 0.0) as mass, coalesce(support_count, 0) as support_count
+        from {name}_pool p left join (select * from {name}_pl where labels <> '[]') l using ({RES_BY}))"""
+
+
+def hazard_interval(x: str) -> str:
+    e = (0, 60, 300, 900, 1800, 3600, 7200, 21600, 86400, 259200, 604800, 1209600, 2592000)
+    return "case " + " ".join(f"when {x} >= {a} and {x} < {b} then {i}" for i, (a, b) in enumerate(zip(e, e[1:]))) + " end"
+
+
+def piecewise(src: str, name: str, by: str) -> str:
+    return f"""
+{name}_c as (select {by}, coalesce({hazard_interval('duration_seconds')}, 11) as k, count(*) filter (where observed) as events, count(*) filter (where not observed) as censored from {src} group by all),
+{name}_g as (select * from (select {by}, sum(events + censored) as alln from {name}_c group by all), (select unnest(range(12)) as k)),
+{name}_t as (select g.*, coalesce(events, 0) as events, coalesce(censored, 0) as censored from {name}_g g left join {name}_c c using ({by}, k)),
+{name}_r as (select *, alln - coalesce(sum(events + censored) over (partition by {by} order by k rows between unbounded preceding and 1 preceding), 0) as risk_set from {name}_t),
+{name}_h as (select *, case when risk_set > 0 then events / risk_set else 0.0 end as hazard from {name}_r),
+{name} as (select *, coalesce(product(1.0 - hazard) over (partition by {by} order by k rows between unbounded preceding and 1 preceding), 1.0) as survival_before,
+          1.0 - product(1.0 - hazard) over (partition by {by} order by k) as cumulative_incidence from {name}_h)"""
+
+
+RISK = CLEANLIFE + f""",
+rk0 as (select application_id, event_datetime, min(application_created_at) as application_created_at, min(deadline) as deadline from clean where journey_substage = 'click' group by 1, 2),
+rkp as (select application_id, min(event_datetime) filter (where journey_substage = 'view') as da, min(event_datetime) filter (where journey_substage = 'purchase') as ta from clean group by 1),
+rk1 as (select * from rk0 join rkp using (application_id) where da < event_datetime and (ta is null or event_datetime < ta)),
+rk2 as (select *, lead(event_datetime) over (partition by application_id order by event_datetime) as na from rk1),
+rk3 as (select *, least(na, deadline, timestamp '{END}') as stop from rk2),
+rk as (select *, coalesce(ta >= event_datetime and ta < stop, false) as observed,
+        (epoch_us(case when coalesce(ta >= event_datetime and ta < stop, false) then ta else stop end) - epoch_us(event_datetime)) / 1000000.0 as duration_seconds,
+        case when epoch_us(event_datetime) - epoch_us(application_created_at) < 86400000000 then 'LT_1D' when epoch_us(event_datetime) - epoch_us(application_created_at) < 604800000000 then '1D_7D' else '7D_30D' end as bucket from rk3)"""
+
+
+def level_union(src: str, levels: dict, fields: list, extra: str) -> str:
+    return " union all ".join("select '%s' as model_level, %s, %s from %s" % (
+        name, ", ".join((f if f in keys else f"'' as {f}") for f in fields), extra, src) for name, keys in levels.items())

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..operators import models as M
 from ..operators import survival as S
-from ..sources.adapters import STREAM_SPEC as SPEC
+from ..operators.lifecycle import customer_kind
+from ..operators.reports import daily_counts
+from ..sources.adapters import ORDER_SPEC, STREAM_SPEC as SPEC
+from ..spec import HAZARD_EDGES, MOTIF_LEVELS, NAME_LEVELS, SEND_LEVELS
 from . import sql as Q
+from .journeys import _KIND
 from .registry import Tables, query
+from .reporting import OPP, opportunities, rounded
 
 START, MID, END = Q.START, Q.MID, Q.END
 LAW_COLUMNS = ["model_level", "state", "regime", "journey_stage", "ptp_eligible", "source_age", "customer_kind",
@@ -49,3 +56,269 @@ def _(t: Tables):
   round(mass, 9) as mass from law""")
 def _(t: Tables):
     return S.fit_law(t.episodes(), SPEC).select(*LAW_COLUMNS, F.round("mass", 9).alias("mass"))
+
+
+# --- hold-out, landmarks, residual law -----------------------------------------------------------------
+
+@query("m5_holdout_error", f"""with {Q.TRAIN},{Q.law('tr', 'law')},
+  z as (select * from law where model_level = 'STATE'), den as (select state, sum(denominator) as den from (select distinct state, ptp_eligible, source_age, customer_kind, denominator from z) group by 1),
+  a as (select state, duration_seconds, sum(mass * denominator / den) as m from z join den using (state) group by 1, 2),
+  coh as (select state, count(*) as validation_occurrences, count(distinct application_id) as validation_applications from te group by 1 having count(*) >= 100),
+  tes as (select te.* from te join coh using (state)),{Q.product_limit('tes', 'tpl', 'state')},
+  b as (select state, duration_seconds, sum(raw_mass) as m from tpl group by 1, 2),
+  u as (select state, duration_seconds, coalesce(a.m, 0) as am, coalesce(b.m, 0) as bm from a full join b using (state, duration_seconds)),
+  c as (select *, sum(am) over w as fa, sum(bm) over w as fb from u window w as (partition by state order by duration_seconds))
+  select state, validation_occurrences, validation_applications, round(max(abs(fa - fb)), 9) as cdf_sup_error, round(sum(am), 9) as train_mass, round(sum(bm), 9) as validation_mass
+  from c join coh using (state) join den using (state) group by 1, 2, 3""")
+def _(t: Tables):
+    e = S.holdout_error(t.episodes(START, MID), t.episodes(MID, END), SPEC, 100)
+    return rounded(e, ["cdf_sup_error", "train_mass", "validation_mass"], 9)
+
+
+LM = ("2024-01-05 00:00:00", "2024-01-28 00:00:00")
+
+
+def lm(t: Tables):
+    return S.landmarks(t.packets(), SPEC, *LM, END)
+
+
+@query("m6_landmarks", f"with {Q.PACK},{Q.landmarks(*LM)} select application_id, bound as landmark, state, observed, duration_seconds, next_labels, age_band, silence_band, depth_band, weekday from lm")
+def _(t: Tables):
+    return lm(t).select("application_id", "landmark", "state", "observed", "duration_seconds", "next_labels", "age_band", "silence_band", "depth_band", "weekday")
+
+
+@query("m7_residual_law", f"""with {Q.PACK},{Q.landmarks(*LM)},{Q.residual('lm', 'res')} select {Q.RES_BY}, duration_seconds, labels, round(mass, 9) as mass, support_count, denominator, applications from res""")
+def _(t: Tables):
+    return S.fit_residual(lm(t), SPEC).select("weekday", "model_level", "state", "age_band", "silence_band", "depth_band", "duration_seconds", "labels",
+                                              F.round("mass", 9).alias("mass"), "support_count", "denominator", "applications")
+
+
+# --- approval to terminal -----------------------------------------------------------------------------------
+
+@query("m8_risk_episodes", f"with {Q.RISK} select application_id, event_datetime, observed, duration_seconds from rk")
+def _(t: Tables):
+    return S.risk_episodes(t.windowed(), SPEC, END).select("application_id", "event_datetime", "observed", "duration_seconds")
+
+
+@query("m8_risk_counts", f"with {Q.RISK} select count(*) as episodes, count(distinct application_id) as applications, count(*) filter (where observed) as terminal_episodes, count(*) filter (where not observed) as censored from rk")
+def _(t: Tables):
+    r = S.risk_episodes(t.windowed(), SPEC, END)
+    return r.agg(F.count(F.lit(1)).alias("episodes"), F.countDistinct("application_id").alias("applications"),
+                 F.count_if("observed").alias("terminal_episodes"), F.count_if(~F.col("observed")).alias("censored"))
+
+
+def hazard_rows(t: Tables):
+    r = S.risk_episodes(t.windowed(), SPEC, END).withColumn("bucket", C.approval_age_bucket("application_age_seconds"))
+    return S.explode_levels(r.select("bucket", "duration_seconds", "observed"), {"AGE": ("bucket",), "GLOBAL": ()}, ["bucket"])
+
+
+_HZX = "hx as (" + Q.level_union("rk", {"AGE": ("bucket",), "GLOBAL": ()}, ["bucket"], "duration_seconds, observed") + ")"
+_HZ = f"with {Q.RISK}, {_HZX},{Q.piecewise('hx', 'hz', 'model_level, bucket')}"
+
+
+@query("m9_piecewise_hazard", f"{_HZ} select model_level, bucket, cast(k as int) as k, cast(risk_set as bigint) as risk_set, events, censored, round(hazard, 9) as hazard, round(cumulative_incidence, 9) as cumulative_incidence from hz")
+def _(t: Tables):
+    h = S.piecewise_hazard(hazard_rows(t), ["model_level", "bucket"], HAZARD_EDGES)
+    return h.select("model_level", "bucket", "k", "risk_set", "events", "censored", F.round("hazard", 9).alias("hazard"), F.round("cumulative_incidence", 9).alias("cumulative_incidence"))
+
+
+_CONT = f"""with {Q.EPI}, ce as (select state, journey_stage, duration_seconds, observed and next_state <> 'purchase' as observed from epi),
+  cx as ({Q.level_union('ce', {'STATE': ('state',), 'STAGE': ('journey_stage',), 'GLOBAL': ()}, ['state', 'journey_stage'], 'duration_seconds, observed')}),{Q.piecewise('cx', 'ch', 'model_level, state, journey_stage')}"""
+
+
+@query("m10_continuation_hazard", f"""{_CONT} select model_level, state, journey_stage, cast(k as int) as k, cast(risk_set as bigint) as risk_set, events, round(hazard, 9) as hazard from ch
+  where alln >= case model_level when 'STATE' then 200 when 'STAGE' then 500 else 0 end""")
+def _(t: Tables):
+    h = M.continuation_hazard(t.episodes(), SPEC, (200, 500), HAZARD_EDGES)
+    return h.select("model_level", "state", "journey_stage", "k", "risk_set", "events", F.round("hazard", 9).alias("hazard"))
+
+
+@query("m10_continuation_metrics", f"""{_CONT} select count(*) as support_count, round(avg(case when observed then 1.0 else 0.0 end), 9) as continuation,
+  round(avg(case when observed and duration_seconds <= 86400 then 1.0 else 0.0 end), 9) as one_day, round(avg(case when observed and duration_seconds <= 604800 then 1.0 else 0.0 end), 9) as seven_day from ce""")
+def _(t: Tables):
+    go = F.col("observed") & (F.col("next_state") != SPEC.terminal)
+    rate = lambda c: F.round(F.avg(C.flag(c)), 9)
+    return t.episodes().agg(F.count(F.lit(1)).alias("support_count"), rate(go).alias("continuation"), rate(go & (F.col("duration_seconds") <= 86400)).alias("one_day"),
+                            rate(go & (F.col("duration_seconds") <= 604800)).alias("seven_day"))
+
+
+# --- fitted tables -----------------------------------------------------------------------------------------------
+
+_N = "journey_stage, journey_substage, source_type, event_name"
+_NAMES = f"""with {Q.EV}, nx as ({Q.level_union('ev', NAME_LEVELS, ['journey_stage', 'journey_substage', 'source_type'], 'event_name')}),
+  nm as (select model_level, {_N}, count(*) as support_count, sum(count(*)) over (partition by model_level, journey_stage, journey_substage, source_type) as denominator from nx group by model_level, {_N})"""
+
+
+def names(t: Tables):
+    return M.conditional_distribution(t.stream().select("journey_stage", "journey_substage", "source_type", "event_name"), NAME_LEVELS, ["event_name"])
+
+
+@query("m1_conditional_names", f"{_NAMES} select model_level, {_N}, support_count, round(support_count / denominator, 9) as probability from nm")
+def _(t: Tables):
+    return names(t).select("model_level", "journey_stage", "journey_substage", "source_type", "event_name", "support_count", F.round("probability", 9).alias("probability"))
+
+
+_SF = ["current_state", "age_bucket", "prior_send_bucket", "recent_send_gap_bucket", "population_origin"]
+_SEND = OPP + f""", vis as (select o.application_id, o.day, count(*) filter (where c.journey_substage = 'campaign_sent') as sends, max(c.event_datetime) filter (where c.journey_substage = 'campaign_sent') as ls,
+    arg_max(c.journey_substage, row(c.event_datetime, c.source_row)) filter (where c.journey_substage not like 'campaign%') as cs
+    from os o left join cv c on c.application_id = o.application_id and c.event_datetime <= o.opportunity group by 1, 2),
+  so as (select os.application_id, os.opportunity, day_sends > 0 as sent, coalesce(cs, '') as current_state, {Q.secs('application_created_at', 'opportunity')} / 86400 as days, {Q.secs('ls', 'opportunity')} as gap, coalesce(sends, 0) as sends,
+    case when application_created_at < timestamp '2024-01-16' then 'CARRIED' else 'NEW' end as population_origin from os join vis using (application_id, day)),
+  sb as (select *, case when days < 1 then 'LT_1D' when days < 3 then '1D_3D' when days < 7 then '3D_7D' when days < 14 then '7D_14D' when days < 21 then '14D_21D' else '21D_30D' end as age_bucket,
+    case when sends = 0 then '0' when sends = 1 then '1' when sends <= 3 then '2_3' else '4_PLUS' end as prior_send_bucket,
+    case when gap is null then 'NO_PRIOR_SEND' when gap < 86400 then 'LT_1D' when gap < 259200 then '1D_3D' when gap < 604800 then '3D_7D' else '7D_PLUS' end as recent_send_gap_bucket from so)"""
+
+
+@query("m11_send_propensity", _SEND + f""", sx as ({Q.level_union('sb', SEND_LEVELS, _SF, 'sent, opportunity')}),
+  sc as (select model_level, {', '.join(_SF)}, count(*) as n, count(*) filter (where sent) as s, count(*) filter (where opportunity < timestamp '{MID}') as n1, count(*) filter (where sent and opportunity < timestamp '{MID}') as s1 from sx group by all)
+  select model_level, {', '.join(_SF)}, n as support_count, round(s / n, 9) as send_probability from sc
+  where model_level = 'GLOBAL' or (n >= 50 and n1 >= 20 and n - n1 >= 20 and abs(s1 / n1 - (s - s1) / (n - n1)) <= 0.1)""")
+def _(t: Tables):
+    o = opportunities(t).withColumn("population_origin", F.when(F.col("application_created_at") < C.ntz(MID), "CARRIED").otherwise("NEW"))
+    return rounded(M.send_propensity(o, SEND_LEVELS, MID, (50, 20, 20)), ["send_probability"], 9)
+
+
+_MO = f"""with {Q.CV}, e as (select *, last_value(case when journey_substage = 'campaign_sent' then source_row end ignore nulls) over w as sr, last_value(case when journey_substage = 'campaign_sent' then event_datetime end ignore nulls) over w as sa,
+    coalesce(sum((journey_substage = 'campaign_sent')::int) over w, 0) as sends, last_value(case when journey_substage not like 'campaign%' then journey_substage end ignore nulls) over w as ps,
+    last_value(case when journey_substage not like 'campaign%' then journey_stage end ignore nulls) over w as pg from cv where application_id is not null
+    window w as (partition by application_id order by event_datetime, source_row rows between unbounded preceding and 1 preceding)),
+  h as (select sr, min(row(event_datetime, source_row)) filter (where journey_substage = 'campaign_open_read') as o, min(row(event_datetime, source_row)) filter (where journey_substage = 'campaign_clicked') as c,
+    arg_min(journey_substage, row(event_datetime, source_row)) filter (where journey_substage not like 'campaign%') as j, min(event_datetime) filter (where journey_substage not like 'campaign%') as jt,
+    min(event_datetime) filter (where journey_substage = 'campaign_open_read') as ot from e
+    where journey_substage <> 'campaign_sent' and sa is not null and {Q.secs('sa', 'event_datetime')} <= 43200 group by 1),
+  s as (select *, lead(event_datetime) over (partition by application_id order by event_datetime, source_row) as ns from e where journey_substage = 'campaign_sent'),
+  mo as (select s.application_id, s.source_row, s.event_datetime, channel, time_bucket, coalesce(ps, '') as current_journey_substage, coalesce(pg, '') as current_journey_stage,
+    case when sends = 0 then '0' when sends = 1 then '1' when sends <= 3 then '2_3' else '4_PLUS' end as prior_send_bucket,
+    case when o is null and c is null then 'NO_ENGAGEMENT' when c is null then 'campaign_open_read' when o is null then 'campaign_clicked' when o < c then 'campaign_open_read>campaign_clicked' else 'campaign_clicked>campaign_open_read' end as engagement_sequence,
+    coalesce(j, 'NO_JOURNEY_RESPONSE') as next_journey_substage, {Q.secs('s.event_datetime', 'ot')} as open_delay_seconds, {Q.secs('s.event_datetime', 'jt')} as journey_delay_seconds,
+    case when not (s.event_datetime >= application_created_at and s.event_datetime < deadline) then 'SEND_OUTSIDE_LIVE_LIFECYCLE'
+      when o is null and c is null and j is null and {Q.secs('s.event_datetime', 'ns')} <= 43200 then 'NO_RESPONSE_BEFORE_COMPETING_SEND'
+      when o is null and c is null and j is null and s.event_datetime + interval 12 hour > timestamp '{END}' then 'RIGHT_CENSORED_AT_SOURCE_END' else 'RETAINED_MOTIF' end as status from s left join h on h.sr = s.source_row)"""
+
+
+def motif_rows(t: Tables):
+    return M.motifs(t.stream(True), SPEC, 43200, END)
+
+
+@query("m12_motifs", f"{_MO} select source_row, current_journey_substage, prior_send_bucket, engagement_sequence, next_journey_substage, open_delay_seconds, journey_delay_seconds, status from mo")
+def _(t: Tables):
+    return motif_rows(t).select("source_row", "current_journey_substage", "prior_send_bucket", "engagement_sequence", "next_journey_substage", "open_delay_seconds", "journey_delay_seconds", "status")
+
+
+@query("m12_motif_exclusions", f"{_MO} select status, count(*) as sends from mo group by 1")
+def _(t: Tables):
+    return motif_rows(t).groupBy("status").agg(F.count(F.lit(1)).alias("sends"))
+
+
+_MF = ["current_journey_substage", "channel", "time_bucket", "prior_send_bucket", "current_journey_stage"]
+
+
+@query("m12_motif_model", f"""{_MO}, mx as ({Q.level_union("(select * from mo where status = 'RETAINED_MOTIF')", MOTIF_LEVELS, _MF, 'engagement_sequence, next_journey_substage')}),
+  mc as (select model_level, {', '.join(_MF)}, engagement_sequence, next_journey_substage, count(*) as support_count, sum(count(*)) over (partition by model_level, {', '.join(_MF)}) as denominator from mx group by all)
+  select * exclude(denominator), cast(denominator as bigint) as denominator, round(support_count / denominator, 9) as probability from mc where denominator >= 20""")
+def _(t: Tables):
+    return rounded(M.motif_model(motif_rows(t), MOTIF_LEVELS, 20), ["probability"], 9)
+
+
+@query("m13_action_propensity", f"""{_MO}, ax as ({Q.level_union('mo', {'STATE': ('current_journey_substage',), 'STAGE': ('current_journey_stage',), 'GLOBAL': ()}, ['current_journey_substage', 'current_journey_stage'], 'channel, time_bucket, event_datetime')}),
+  ac as (select model_level, current_journey_substage, current_journey_stage, channel, time_bucket, count(*) as count, count(*) filter (where event_datetime < timestamp '{MID}') as c1 from ax group by all),
+  ad as (select *, cast(sum(count) over w as bigint) as denominator, cast(sum(c1) over w as bigint) as first_half, cast(sum(count - c1) over w as bigint) as second_half from ac window w as (partition by model_level, current_journey_substage, current_journey_stage)),
+  at_ as (select *, 0.5 * sum(abs(c1 / greatest(first_half, 1) - (count - c1) / greatest(second_half, 1))) over (partition by model_level, current_journey_substage, current_journey_stage) as tv from ad)
+  select * exclude(c1, tv), round(tv, 9) as half_tv, round(count / denominator, 9) as probability from at_ where model_level = 'GLOBAL' or (first_half >= 50 and second_half >= 50 and round(tv, 9) <= 0.25)""")
+def _(t: Tables):
+    return rounded(M.action_propensity(motif_rows(t), MID, (50, 50)), ["half_tv", "probability"], 9)
+
+
+_INT = f"""with {Q.CLEAN}, i0 as (select *, lead(event_datetime) over (partition by application_id order by event_datetime, source_row) as nx from clean),
+  i1 as (select *, least(row_number() over (partition by application_id, cast(event_datetime as date) order by event_datetime, source_row) - 1, 8) as cb from i0 where journey_substage <> 'purchase')"""
+
+
+@query("m14_event_intensity", f"""{_INT}, ix as (select 'STATE_COUNT' as model_level, journey_substage, cb as count_bucket, event_datetime, nx from i1 union all select 'STATE', journey_substage, -1, event_datetime, nx from i1 union all select 'GLOBAL', '', -1, event_datetime, nx from i1)
+  select model_level, journey_substage, cast(count_bucket as bigint) as count_bucket, count(*) as support_count, round(1 - count(nx) / count(*), 9) as p_no_later_observed_event,
+  case when count(nx) > 0 then round(count(*) filter (where cast(nx as date) = cast(event_datetime as date)) / count(nx), 9) end as p_same_day_given_next from ix group by 1, 2, 3""")
+def _(t: Tables):
+    return rounded(M.event_intensity(t.windowed(), SPEC)[0], ["p_no_later_observed_event", "p_same_day_given_next"], 9)
+
+
+@query("m14_gap_pool", f"{_INT} select source_row, journey_substage, cast(cb as bigint) as count_bucket, epoch_us(nx) - epoch_us(event_datetime) as gap_microseconds from i1 where nx is not null")
+def _(t: Tables):
+    return M.event_intensity(t.windowed(), SPEC)[1].select("source_row", "journey_substage", "count_bucket", "gap_microseconds")
+
+
+_RT = f"""with {Q.CLEAN}, r0 as (select *, coalesce(max((journey_substage in ('view','click','purchase'))::int) over (partition by application_id order by event_datetime, source_row rows between unbounded preceding and 1 preceding), 0) as dn,
+    lead(event_datetime) over w as na, lead(journey_substage) over w as response from clean window w as (partition by application_id order by event_datetime, source_row)),
+  r1 as (select application_id, journey_substage as state, case when journey_substage = 'error' then case when dn > 0 then 'REVISIT' else 'FIRST_PASS' end else 'UNCONDITIONED' end as regime, response, {Q.secs('event_datetime', 'na')} as delay
+    from r0 where na > event_datetime and response <> 'purchase' and journey_substage <> 'purchase'),
+  rt as (select state, regime, response, count(*) as support_count, count(distinct application_id) as unique_applications, sum(count(*)) over (partition by state, regime) as outgoing, quantile_cont(delay, 0.5) as q50, quantile_cont(delay, 0.9) as q90,
+    quantile_cont(delay, 0.95) as q95, quantile_cont(delay, 0.99) as q99 from r1 group by 1, 2, 3)"""
+
+
+@query("m15_regime_transitions", f"""{_RT} select state, regime, response, support_count, unique_applications, cast(outgoing as bigint) as outgoing_transition_count, round(support_count / outgoing, 9) as probability,
+  round(q50, 6) as median_seconds, round(q90, 6) as p90_seconds, round(q95, 6) as p95_seconds, round(q99, 6) as p99_seconds from rt""")
+def _(t: Tables):
+    r = rounded(M.regime_transitions(t.windowed(), SPEC), ["median_seconds", "p90_seconds", "p95_seconds", "p99_seconds"])
+    return rounded(r, ["probability"], 9)
+
+
+@query("m16_largest_remainder", f"""with {Q.EV}, w as (select context_id, count(*) as weight from ev group by 1), r as (select *, round(weight / (select sum(weight) from w) * 777, 9) as raw from w),
+  f as (select *, floor(raw) as fl, round(raw - floor(raw), 9) as fr from r)
+  select context_id, weight, cast(fl + case when row_number() over (order by fr desc, context_id desc) <= 777 - (select sum(fl) from f) then 1 else 0 end as bigint) as allocated from f""")
+def _(t: Tables):
+    w = t.stream().groupBy("context_id").agg(F.count(F.lit(1)).alias("weight"))
+    return M.largest_remainder(w, "weight", 777, "context_id").select("context_id", "weight", F.col("allocated").cast("long").alias("allocated"))
+
+
+@query("m17_calendar_allocation", None)
+def _(t: Tables):
+    life = t.lifecycles().select("application_id", F.col("application_created_at").alias("activation_datetime"))
+    hist = daily_counts(life, "activation_datetime", "2024-01-01", "2024-01-30")
+    return M.allocate_calendar(hist, life, "2024-02-01", "2024-02-29", 7).select("application_id", "position", "target_day", "application_created_at")
+
+
+@query("m18_returning_rates", f"""with {Q.ORD}, {_KIND}, d as (select cast(isodow(application_created_at) - 1 as int) as weekday, count(*) as entrants, count(*) filter (where gap_days >= 30) as returners from ck group by 1)
+  select weekday, entrants, returners, round(case when entrants >= 2130 then returners / entrants else (select sum(returners) / sum(entrants) from d) end, 9) as rate from d""")
+def _(t: Tables):
+    return rounded(M.returning_rates(customer_kind(t.orders(), ORDER_SPEC), 2130), ["rate"], 9)
+
+
+def order_targets(t: Tables):
+    """Arrivals: orders of the last 60 days with the gap they ask for; donors: each customer's last earlier order."""
+    reg = t.orders()
+    last = t.table("orders").agg(F.max("o_orderdate").cast("timestamp_ntz") - F.expr("interval 60 day")).scalar()
+    kind = customer_kind(reg, ORDER_SPEC)
+    targets = kind.filter((F.col("application_created_at") >= last) & (F.col("gap_days") >= 30)).select(
+        F.col("application_id").alias("target_id"), F.col("status").alias("stratum"), F.col("gap_days").alias("target"), F.col("application_created_at").alias("asked_at"))
+    old = reg.filter(F.col("application_created_at") < last).groupBy("context_id").agg(
+        F.max_by(F.struct("application_created_at", "status"), F.struct("application_created_at", "source_row")).alias("r"))
+    donors = old.select(F.col("context_id").alias("donor_id"), F.col("r.status").alias("stratum"), C.seconds_between("r.application_created_at", last).alias("s")
+                        ).select("donor_id", "stratum", (F.col("s") / 86400).alias("gap"))
+    return targets, donors
+
+
+_J14 = f"""with {Q.ORD}, {_KIND}, m as (select max(o_orderdate) - interval 60 day as cut from orders), tg as (select application_id as target_id, status as stratum, gap_days as target from ck, m where application_created_at >= cut and gap_days >= 30),
+  dn as (select context_id as donor_id, arg_max(status, row(application_created_at, source_row)) as stratum, (epoch_us(any_value(cut)) - epoch_us(max(application_created_at))) / 86400000000.0 as gap from reg, m where application_created_at < cut group by 1),
+  p as (select target_id, tg.stratum, target, abs(gap - target) as d, floor(gap) = floor(target) as ex from tg join dn using (stratum)),
+  q as (select target_id, stratum, target, count(*) filter (where ex) as exact, count(*) filter (where d <= 3) as near, list_sort(list(d)) as ds from p group by 1, 2, 3)"""
+
+
+@query("j14_gap_neighbourhood", f"""{_J14} select target_id, stratum, round(target, 6) as target, case when exact >= 30 then 'EXACT_DAY' when near >= 30 then 'WITHIN_3_DAYS' else 'NEAREST_SUPPORTED_RANGE' end as reason,
+  round(case when exact >= 30 then floor(target) when near >= 30 then target - 3 else target - ds[least(30, len(ds))] end, 6) as gap_lo,
+  round(case when exact >= 30 then floor(target) + 1 when near >= 30 then target + 3 else target + ds[least(30, len(ds))] end, 6) as gap_hi from q""")
+def _(t: Tables):
+    targets, donors = order_targets(t)
+    return rounded(M.gap_neighbourhood(targets.drop("asked_at"), donors, 30), ["target", "gap_lo", "gap_hi"])
+
+
+@query("m19_donor_matching", None)
+def _(t: Tables):
+    targets, donors = order_targets(t)
+    return M.match_donors(targets, donors, 30, rounds=4).select("target_id", "stratum", "target", "reason", "donor_id", "gap")
+
+
+@query("m20_table_manifest", f"""{_NAMES} select count(*) as rows, count(distinct event_name) as names, min(support_count) as min_support, max(support_count) as max_support,
+  cast(sum(('0x' || substr(sha256(concat_ws('|', model_level, {_N.replace('journey_stage, ', 'journey_stage, ', 1)}, support_count)), 1, 8))::bigint) as bigint) as digest from nm""")
+def _(t: Tables):
+    n = names(t)
+    text = F.concat_ws("|", "model_level", "journey_stage", "journey_substage", "source_type", "event_name", F.col("support_count").cast("string"))
+    return n.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_name").alias("names"), F.min("support_count").alias("min_support"), F.max("support_count").alias("max_support"),
+                 F.sum(F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")).alias("digest"))
