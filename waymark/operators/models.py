@@ -280,27 +280,25 @@ def gap_neighbourhood(targets: DataFrame, donors: DataFrame, minimum: int = 30)
     counts at the interval ends, so no target-donor pair is formed for the first two rules; only
     targets beyond them look outward, over at most 2 * minimum neighbours each.
     """
+    donors = materialize(donors.select("stratum", "gap", "donor_id"))
     steps = donors.groupBy("stratum", "gap").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.floor("gap").cast("long"))
     steps = scan(steps, ["stratum"], ["gap"], cum=Running("sum", F.col("n")))
     scale = lambda x: F.round(x * 1e6).cast("long")
-
-    def upto(rows, name, at, strict):
-        left = rows.drop("part").withColumn("__p", at).withColumn("part", F.floor("__p").cast("long"))
-        out = asof(left, steps, ["stratum"], scale(F.col("__p")), scale(F.col("gap")), {name: F.col("cum")}, strict=strict)
-        return out.drop("__p", "part").na.fill(0, [name])
-
     t = F.col("target")
-    rows = upto(targets, "lt_day", F.floor(t).cast("double"), True)
-    rows = upto(rows, "lt_next", (F.floor(t) + 1).cast("double"), True)
-    rows = upto(rows, "lt_lo", t - 3, True)
-    rows = upto(rows, "le_hi", t + 3, False)
-    rows = rows.withColumns({"exact": F.col("lt_next") - F.col("lt_day"), "near": F.col("le_hi") - F.col("lt_lo")})
+    # Five reads of the cumulative count per target in one merge; whole units of 1e-6 make "at or
+    # below x" the same read as "below x + 1".
+    marks = F.array(*[F.struct(F.lit(n).alias("mark"), x.alias("p")) for n, x in (
+        ("lt_day", scale(F.floor(t)) - 1), ("lt_next", scale(F.floor(t) + 1) - 1), ("lt_lo", scale(t - 3) - 1), ("le_hi", scale(t + 3)), ("below", scale(t) - 1))])
+    points = targets.select("target_id", "stratum", "target", F.inline(marks)).withColumn("part", F.floor(F.col("p") / 1000000).cast("long"))
+    read = asof(points, steps, ["stratum"], F.col("p"), scale(F.col("gap")), {"cum": F.col("cum")})
+    rows = read.groupBy("target_id", "stratum", "target").agg(*[
+        F.coalesce(F.max(F.when(F.col("mark") == n, F.col("cum"))), F.lit(0)).alias(n) for n in ("lt_day", "lt_next", "lt_lo", "le_hi", "below")])
+    rows = materialize(rows.withColumns({"exact": F.col("lt_next") - F.col("lt_day"), "near": F.col("le_hi") - F.col("lt_lo")}))
     done = (F.col("exact") >= minimum) | (F.col("near") >= minimum)
     # Outward search: the minimum-th nearest lies among the `minimum` donors on either side.
     sized = donors.groupBy("stratum").agg(F.count(F.lit(1)).alias("pool"))
     far = rows.filter(~done).join(sized, "stratum", "left").na.fill(0, ["pool"])
     numbered = scan(donors.withColumn("part", F.floor("gap").cast("long")), ["stratum"], ["gap", "donor_id"], rank=Running("sum", F.lit(1)))
-    far = upto(far, "below", t, True)
     want = far.withColumn("rank", F.explode(F.sequence(F.greatest(F.lit(1), F.col("below") - minimum + 1), F.least("pool", F.col("below") + minimum)))) \
         .filter((F.col("pool") > 0))
     near = want.join(numbered.select("stratum", "rank", "gap"), ["stratum", "rank"]).withColumn("d", F.abs(F.col("gap") - t))
@@ -329,10 +327,10 @@ def match_donors(targets: DataFrame, donors: DataFrame, minimum: int = 30, round
     for i in range(rounds):
         ranked = materialize(scan(free.withColumn("part", F.floor("gap").cast("long")), ["stratum"], ["gap", "donor_id"],
                                   rank=Running("sum", F.lit(1))).select("donor_id", "stratum", "gap", "rank", "part"))
-        asks = open_
-        for name, at, strict in (("r_lo", "gap_lo", True), ("r_hi", "gap_hi", False)):
-            asks = asof(asks.drop("part").withColumn("part", F.floor(at).cast("long")), ranked, ["stratum"], scale(F.col(at)),
-                        scale(F.col("gap")), {name: F.col("rank")}, tie=F.col("rank"), strict=strict).na.fill(0, [name])
+        ends = F.array(F.struct(F.lit("r_lo").alias("mark"), (scale(F.col("gap_lo")) - 1).alias("p")), F.struct(F.lit("r_hi").alias("mark"), scale(F.col("gap_hi")).alias("p")))
+        points = open_.select(*ranged.columns, F.inline(ends)).withColumn("part", F.floor(F.col("p") / 1000000).cast("long"))
+        read = asof(points, ranked, ["stratum"], F.col("p"), scale(F.col("gap")), {"rank": F.col("rank")}, tie=F.col("rank"))
+        asks = read.groupBy(*ranged.columns).agg(*[F.coalesce(F.max(F.when(F.col("mark") == n, F.col("rank"))), F.lit(0)).alias(n) for n in ("r_lo", "r_hi")])
         asks = asks.filter("r_hi > r_lo").withColumn("rank", F.col("r_lo") + 1 + F.floor(
             draw(seed, i, F.col("target_id")) * (F.col("r_hi") - F.col("r_lo"))).cast("long"))
         won = (asks.join(ranked.select("stratum", "rank", "donor_id", "gap"), ["stratum", "rank"]).groupBy("donor_id")
@@ -342,7 +340,7 @@ def match_donors(targets: DataFrame, donors: DataFrame, minimum: int = 30, round
         if won.isEmpty():
             break
         taken = won if taken is None else taken.unionByName(won)
-        open_ = materialize(open_.drop("part").join(won.select("target_id"), "target_id", "left_anti"))
+        open_ = materialize(open_.join(won.select("target_id"), "target_id", "left_anti"))
         free = free.join(taken.select("donor_id"), "donor_id", "left_anti")
     if taken is None:
         return ranged.withColumns({"donor_id": F.lit(None).cast("string"), "gap": F.lit(None).cast("double")})

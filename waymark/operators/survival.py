@@ -51,8 +51,9 @@ def product_limit(rows: DataFrame, by: Sequence[str], n: str | None = None) -> D
     by = list(by)
     amount = F.sum(n) if n else F.count(F.lit(1))
     hit = F.when(F.col("observed"), F.col("labels"))
-    counted = rows.groupBy(*by, "duration_seconds", hit.alias("labels")).agg(amount.alias("n"))
-    counted = counted.withColumn("slot", value_part("duration_seconds"))
+    # Compact and read by every branch below: written once.
+    counted = materialize(rows.groupBy(*by, "duration_seconds", hit.alias("labels")).agg(amount.alias("n"))
+                          .withColumn("slot", value_part("duration_seconds")))
     per_time = counted.groupBy(*by, "slot", "duration_seconds").agg(
         F.sum("n").alias("size"), F.coalesce(F.sum(F.when(F.col("labels").isNotNull(), F.col("n"))), F.lit(0)).alias("d"),
         F.collect_list(F.when(F.col("labels").isNotNull(), F.struct("labels", "n"))).alias("hits"))
@@ -119,7 +120,8 @@ def fit_law(rows: DataFrame, spec: LifecycleSpec) -> DataFrame:
 def holdout_error(train: DataFrame, test: DataFrame, spec: LifecycleSpec, support: int) -> DataFrame:
     """Largest distance between the pooled training law and the product-limit law of the test
     episodes, per state. Training strata are mixed by their occurrence counts."""
-    model = fit_law(train, spec).filter(F.col("model_level") == "STATE")
+    test = materialize(test.select("state", "application_id", "duration_seconds", "observed", "next_labels"))
+    model = materialize(fit_law(train, spec).filter(F.col("model_level") == "STATE"))
     weight = model.select("state", *spec.law_strata, "denominator").distinct().groupBy("state").agg(
         F.sum("denominator").alias("__den"))
     a = model.join(weight, "state").select("state", "duration_seconds",
@@ -278,7 +280,7 @@ def conditional_score(cohort: DataFrame, law: DataFrame, pool: Sequence[str], el
     pool = list(pool)
     steps = law.groupBy(*pool, "duration_seconds").agg(F.sum("mass").alias("m")).withColumn(
         "part", value_part("duration_seconds"))
-    curve = scan(steps, pool, ["duration_seconds"], cum=Running("sum", F.col("m")))
+    curve = materialize(scan(steps, pool, ["duration_seconds"], cum=Running("sum", F.col("m"))))
     us = lambda x: F.round(F.col(x) * 1e6).cast("long")
     out = cohort
     for name, at in (("__before", elapsed), ("__upto", stop)):

@@ -214,7 +214,7 @@ _MF = ["current_journey_substage", "channel", "time_bucket", "prior_send_bucket"
 
 
 @query("m12_motif_model", f"""{_MO}, mx as ({Q.level_union("(select * from mo where status = 'RETAINED_MOTIF')", MOTIF_LEVELS, _MF, 'engagement_sequence, next_journey_substage')}),
-  mc as (select model_level, {', '.join(_MF)}, engagement_sequence, next_journey_substage, count(*) as support_count, sum(count(*)) over (partition by model_level, {', '.join(_MF)}) as denominator from mx group by all)
+  mc as (select model_level, {', '.join(_MF)}, engagement_sequence, next_journey_substage, count(*) as support_count, sum(count(*)) over (partition by model_level, {', '.join(_MF)}) as denominator from mx group by model_level, {', '.join(_MF)}, engagement_sequence, next_journey_substage)
   select * exclude(denominator), cast(denominator as bigint) as denominator, round(support_count / denominator, 9) as probability from mc where denominator >= 20""")
 def _(t: Tables):
     return rounded(M.motif_model(motif_rows(t), MOTIF_LEVELS, 20), ["probability"], 9)
