@@ -36,24 +36,43 @@ def apply_policy(states: DataFrame, policy: Column | Callable[[pd.DataFrame], pd
         "theme": F.when(F.col("campaign_sent"), F.upper(F.coalesce("theme", F.lit(THEME))))})
 
 
-def apply_encoder(rows: DataFrame, keys: list[str], initial: Callable[[], Any], step: Callable[[Any, pd.DataFrame], Any],
-                  vector: Callable[[Any], list[float]], width: int, order: list[str]) -> DataFrame:
-    """Vector per key from its ordered history. The encoder folds batches, so a long history passes
-    through in pieces and only its running state is kept; the result is width-checked."""
-    ddl = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", embedding array<float>"
+def apply_encoder(rows: DataFrame, keys: list[str], step: Callable[[Any, pd.DataFrame], Any], merge: Callable[[Any, Any], Any],
+                  vector: Callable[[Any], list[float]], width: int, order: list[str], part: str = "part") -> DataFrame:
+    """Vector per key from its ordered history, width-checked.
 
-    def fold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The encoder folds batches of one (key, part) into a state (a list of numbers, None at the start);
+    states of a key are merged in time order afterwards. A long history is therefore folded by many
+    tasks and only its running state is held.
+    """
+    cols = [*keys, part]
+    typed = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def runs(it, by, fold):
         current, state = None, None
         for pdf in it:
-            for key, part in pdf.groupby(keys, sort=False, dropna=False):
-                if key != current:
-                    if current is not None:
-                        yield pd.DataFrame([[*current, vector(state)]], columns=[*keys, "embedding"])
-                    current, state = key, initial()
-                state = step(state, part)
+            for key, piece in pdf.groupby(by, sort=False, dropna=False):
+                if current is not None and not same(key, current):
+                    yield current, state
+                    state = None
+                current, state = key, fold(state, piece)
         if current is not None:
-            yield pd.DataFrame([[*current, vector(state)]], columns=[*keys, "embedding"])
+            yield current, state
+
+    def same(a, b):
+        return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+    def fold_parts(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, state in runs(it, cols, step):
+            yield pd.DataFrame([[*key[:-1], None if pd.isna(key[-1]) else int(key[-1]), [float(x) for x in state]]], columns=[*cols, "state"])
+
+    def fold_keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def join(state, piece):
+            for s in piece["state"]:
+                state = list(s) if state is None else merge(state, list(s))
+            return state
+        for key, state in runs(it, keys, join):
+            yield pd.DataFrame([[*key, vector(state)]], columns=[*keys, "embedding"])
 
-    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    out = sorted_rows.mapInPandas(fold, ddl)
+    parts = rows.repartition(*cols).sortWithinPartitions(*cols, *order).mapInPandas(fold_parts, f"{typed}, `{part}` bigint, state array<double>")
+    out = parts.repartition(*keys).sortWithinPartitions(*cols).mapInPandas(fold_keys, f"{typed}, embedding array<float>")
     return out.withColumn("violation", F.when(F.size("embedding") != width, "WRONG_WIDTH"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import among, flag, micros, ntz, plus_seconds, seconds_between
 from ..spec import EVENT_COLUMNS, LifecycleSpec
-from .ordered import Running, Shift, arrange, is_cold, no_parts, scan
+from .ordered import GEOMETRY, Running, Shift, arrange, is_cold, no_parts, repart, scan
 
 APP = ["application_id"]
 TIMELINE = ["event_datetime", "source_row"]
@@ -271,6 +271,7 @@ def business_stage_map(events: DataFrame) -> DataFrame:
 
 def one_line(line: DataFrame, *sources: DataFrame) -> DataFrame:
     """Carry the no-hot-keys mark over a union only when every source has it."""
+    line = line.drop(*GEOMETRY)
     if all(is_cold(s) for s in sources):
         return no_parts(line)
     return line.withColumn("part", F.col("part").alias("part", metadata={}))
@@ -280,16 +281,16 @@ def active_at(points: DataFrame, lifecycles: DataFrame) -> DataFrame:
     """Lifecycle of the same context that is active at each point, and how many are.
 
     Starts count +1 and ends -1 on one ordered line per context, so the cost is linear however many
-    lifecycles a context has. `points`: context_id, at, part, plus anything.
+    lifecycles a context has. `points`: context_id, at, part and its geometry, plus anything.
     """
     def side(df, at, kind, step):
-        return df.select("context_id", "part", micros(at).alias("__at"), F.lit(kind).alias("__kind"),
+        return repart(df, micros(at)).select("context_id", "part", micros(at).alias("__at"), F.lit(kind).alias("__kind"),
                          F.lit(step).alias("__step"), F.col("source_row").alias("__tie"),
                          F.struct("application_id", "deadline").alias("__life"))
     row = F.struct(*[F.col(x) for x in points.columns])
     line = (side(lifecycles, "application_created_at", 1, 1)
             .unionByName(side(lifecycles, "deadline", 0, -1).withColumn("__life", F.lit(None).cast("struct<application_id:string,deadline:timestamp_ntz>")))
-            .unionByName(points.select("context_id", "part", micros("at").alias("__at"), F.lit(2).alias("__kind"),
+            .unionByName(repart(points, micros("at")).select("context_id", "part", micros("at").alias("__at"), F.lit(2).alias("__kind"),
                                        F.lit(0).alias("__step"), F.lit(0).cast("long").alias("__tie"), row.alias("__row")),
                          allowMissingColumns=True))
     line = one_line(line, points, lifecycles)
@@ -304,10 +305,10 @@ def overlap_counts(new: DataFrame, registered: DataFrame) -> DataFrame:
     """Number of registered lifecycles of the same context that overlap each new one:
     registered starts before the new end, minus registered ends at or before the new start."""
     def marks(df, at, kind, start=0, end=0):
-        return df.select("context_id", "part", micros(at).alias("__at"), F.lit(kind).alias("__kind"),
+        return repart(df, micros(at)).select("context_id", "part", micros(at).alias("__at"), F.lit(kind).alias("__kind"),
                          F.lit(start).alias("__s"), F.lit(end).alias("__e"), F.col("source_row").alias("__tie"))
     # order at one instant: registered end, new start, new end, registered start
-    q = lambda at, kind: new.select("context_id", "part", micros(at).alias("__at"), F.lit(kind).alias("__kind"),
+    q = lambda at, kind: repart(new, micros(at)).select("context_id", "part", micros(at).alias("__at"), F.lit(kind).alias("__kind"),
                                     F.lit(0).alias("__s"), F.lit(0).alias("__e"), F.col("source_row").alias("__tie"),
                                     F.col("application_id").alias("__new"))
     line = (marks(registered, "deadline", 0, end=1).unionByName(marks(registered, "application_created_at", 3, start=1))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import micros
 from .lifecycle import one_line
-from .ordered import Running, scan, value_part
+from .ordered import Running, repart, scan, value_part
 from .survival import explode_levels
 
 
@@ -77,7 +77,7 @@ def visible_history(decisions: DataFrame, events: DataFrame, columns: Sequence[s
 
 def visible_summary(decisions: DataFrame, events: DataFrame) -> DataFrame:
     """Number and last time of the customer's visible rows per decision, by one ordered scan."""
-    d = decisions.select("context_id", "part", micros("now").alias("__at"), F.lit(1).alias("__kind"),
+    d = repart(decisions, micros("now")).select("context_id", "part", micros("now").alias("__at"), F.lit(1).alias("__kind"),
                          F.xxhash64("application_id").alias("__tie"), F.struct("application_id", "now").alias("__row"))
     e = events.select("context_id", "part", micros("event_datetime").alias("__at"), F.lit(0).alias("__kind"),
                       F.col("source_row").alias("__tie"), F.col("event_datetime").alias("__seen"))

@@ -12,7 +12,7 @@ from ..functions.columns import (age_bucket, among, draw, flag, micros, ntz, plu
 from ..session import materialize
 from ..spec import LifecycleSpec
 from .lifecycle import APP, TIMELINE, active_days, attribute_responses, customer_kind, first_terminals, is_label
-from .ordered import Running, Shift, asof, quantiles, scan
+from .ordered import Running, Shift, asof, quantiles, repart, scan
 from .survival import explode_levels, piecewise_hazard
 
 
@@ -53,7 +53,7 @@ def opportunity_rows(events: DataFrame, lifecycles: DataFrame, spec: LifecycleSp
     rows = scan(rows, APP, TIMELINE, sends=Running("sum", flag(sent)),
                 last_send=Running("max", F.when(sent, F.col("event_datetime"))),
                 current_state=Running("last", F.when(journey, F.col("journey_substage"))))
-    days = asof(days, rows, APP, micros("opportunity"), micros("event_datetime"),
+    days = asof(repart(days, micros("opportunity")), rows, APP, micros("opportunity"), micros("event_datetime"),
                 {x: F.col(x) for x in ("sends", "last_send", "current_state")}, tie=F.col("source_row"))
     sends = (events.filter(sent & F.col("application_id").isNotNull())
              .groupBy("application_id", F.to_date("event_datetime").alias("day")).agg(F.count(F.lit(1)).alias("day_sends")))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 PART = "part"
+GEOMETRY = ("part_lo", "part_width")
 COLD = {"no_hot_keys": True}
 
 
@@ -29,24 +30,31 @@ def no_parts(df: DataFrame, part: str = PART) -> DataFrame:
     return df.withColumn(part, F.lit(None).cast("long").alias(part, metadata=COLD))
 
 
-def mark_parts(df: DataFrame, keys: Sequence[str], at: Column, hot_rows: int,
+def mark_parts(df: DataFrame, keys: Sequence[str], at: Column, hot_rows: int, grain_us: int = 1,
                oversplit: int = 16) -> DataFrame:
-    """Add `part`: NULL for ordinary keys, a time slot number for hot ones.
+    """Add `part`: NULL for ordinary keys, a time slot number for hot ones; `part_lo` and
+    `part_width` keep the slot geometry so that derived times can be slotted too (`repart`).
 
-    Counting reads the key and time columns only and combines before its shuffle. The broadcast side holds only keys above `hot_rows`, so it has at most rows/hot_rows entries.
-    Slots are equal in time; `oversplit` absorbs uneven density.
+    Counting reads the key and time columns only and combines before its shuffle. The broadcast side
+    holds only keys above `hot_rows`, so it has at most rows/hot_rows entries. Slots are equal in
+    time and start on multiples of the grain; `oversplit` absorbs uneven density.
     """
     hot = (df.select(*keys, at.alias("__at")).groupBy(*keys)
            .agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__lo"), F.max("__at").alias("__hi"))
-           .filter(F.col("__n") > hot_rows)
-           .select(*keys, "__lo", F.greatest(
-               F.lit(1), F.ceil((F.col("__hi") - F.col("__lo") + 1)
-                                / (F.ceil(F.col("__n") / hot_rows) * oversplit))).alias("__width")))
+           .filter(F.col("__n") > hot_rows))
     if hot.isEmpty():
-        return no_parts(df)
-    return (df.join(F.broadcast(hot), list(keys), "left")
-            .withColumn(PART, F.floor((at - F.col("__lo")) / F.col("__width")))
-            .drop("__lo", "__width"))
+        return no_parts(df).withColumns({x: F.lit(None).cast("long") for x in GEOMETRY})
+    raw = (F.col("__hi") - F.col("__lo") + 1) / (F.ceil(F.col("__n") / hot_rows) * oversplit)
+    hot = hot.select(*keys, (F.floor(F.col("__lo") / grain_us) * grain_us).alias("part_lo"),
+                     (F.greatest(F.lit(1), F.ceil(raw / grain_us)) * grain_us).alias("part_width"))
+    return repart(df.join(F.broadcast(hot), list(keys), "left").withColumn(PART, F.lit(None).cast("long")), at)
+
+
+def repart(df: DataFrame, at: Column) -> DataFrame:
+    """Slot rows by another time than the one they came with, on the same geometry."""
+    if is_cold(df):
+        return df
+    return df.withColumn(PART, F.floor((at - F.col("part_lo")) / F.col("part_width")))
 
 
 def value_part(value) -> Column:

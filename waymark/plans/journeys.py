@@ -78,25 +78,16 @@ def _points(t: Tables):
   select pt.application_id, bound, arg_max(e.journey_substage, row(e.event_datetime, e.source_row)) as last_label, max(e.event_datetime) as last_at
   from pt left join ev e on e.application_id = pt.application_id and e.event_datetime < bound group by 1, 2""")
 def _(t: Tables):
-    return O.asof(_landmark_parts(t, _points(t)), keyed(t), ["application_id"], C.micros("bound"), C.micros("event_datetime"),
+    return O.asof(O.repart(_points(t), C.micros("bound")), keyed(t), ["application_id"], C.micros("bound"), C.micros("event_datetime"),
                   {"last_label": F.col("journey_substage"), "last_at": F.col("event_datetime")}, tie=F.col("source_row"), strict=True
                   ).select("application_id", "bound", "last_label", "last_at")
 
 
-def _landmark_parts(t: Tables, rows):
-    """Parts of derived points: the same slots as the events of their context."""
-    if O.is_cold(t.stream()):
-        return rows
-    slots = t.stream().filter("part is not null").groupBy("application_id", "part").agg(F.min(C.micros("event_datetime")).alias("__at"))
-    return O.asof(rows.withColumn("part", F.lit(0).cast("long")), slots.withColumn("slot", F.col("part")).withColumn("part", F.lit(0).cast("long")),
-                  ["application_id"], C.micros("bound"), F.col("__at"), {"slot": F.col("slot")}).withColumn("part", F.col("slot")).drop("slot")
-
-
 @query("j7_asof_forward", f"""with {Q.LIFE}, {_PT}
   select pt.application_id, bound, arg_min(e.journey_substage, row(e.event_datetime, e.source_row)) as next_label, min(e.event_datetime) as next_at
   from pt left join ev e on e.application_id = pt.application_id and e.event_datetime >= bound group by 1, 2""")
 def _(t: Tables):
-    return O.asof(_landmark_parts(t, _points(t)), keyed(t), ["application_id"], C.micros("bound"), C.micros("event_datetime"),
+    return O.asof(O.repart(_points(t), C.micros("bound")), keyed(t), ["application_id"], C.micros("bound"), C.micros("event_datetime"),
                   {"next_label": F.col("journey_substage"), "next_at": F.col("event_datetime")}, tie=F.col("source_row"), forward=True
                   ).select("application_id", "bound", "next_label", "next_at")
 
@@ -106,7 +97,7 @@ def _(t: Tables):
   from pt join ev e on e.application_id = pt.application_id and e.event_datetime <= bound group by 1, 2""")
 def _(t: Tables):
     ev = O.scan(keyed(t), L.APP, L.TIMELINE, n=O.Running("sum", F.lit(1)))
-    return O.asof(_landmark_parts(t, _points(t)), ev, ["application_id"], C.micros("bound"), C.micros("event_datetime"),
+    return O.asof(O.repart(_points(t), C.micros("bound")), ev, ["application_id"], C.micros("bound"), C.micros("event_datetime"),
                   {"visible": F.col("n"), "last_at": F.col("event_datetime")}, tie=F.col("source_row")).select("application_id", "bound", "visible", "last_at")
 
 
@@ -115,7 +106,7 @@ def _(t: Tables):
   from p left join reg r on r.context_id = p.context_id and r.application_created_at <= p.pt and p.pt < r.deadline group by 1""")
 def _(t: Tables):
     reg = t.orders()
-    points = reg.select(F.col("application_id").alias("point_id"), "context_id", C.plus_seconds("application_created_at", 864000).alias("at"), "part")
+    points = reg.select(F.col("application_id").alias("point_id"), "context_id", C.plus_seconds("application_created_at", 864000).alias("at"), "part", *O.GEOMETRY)
     return L.active_at(points, reg).select("point_id", "active_count", "active_application_id")
 
 

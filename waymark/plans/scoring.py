@@ -413,9 +413,9 @@ def _(t: Tables):
   x as (select cast(isodow(application_created_at) - 1 as int) as weekday, application_created_at >= timestamp '2024-01-21' as sim, coalesce(n, 0) as events, coalesce(p, 0) as ptp from life left join n using (application_id)
     where application_created_at <= timestamp '{END}' - interval 1 day), w as (select weekday, count(*) / (select count(*) from x where sim) as weight from x where sim group by 1),
   h as (select weekday, avg(events) as a, var_samp(events) as v, avg(ptp) as pa, count(*) as n from x where not sim group by 1), s as (select avg(events) as a, var_samp(events) / count(*) as v, avg(ptp) as pa from x where sim),
-  g as (select sum(weight * h.a) as hm, sum(weight * weight * h.v / h.n) as hv, sum(weight * h.pa) as hp from h join w using (weekday))
+  hg as (select sum(weight * h.a) as hm, sum(weight * weight * h.v / h.n) as hv, sum(weight * h.pa) as hp from h join w using (weekday))
   select round(hm, 9) as historical_mean, round(s.a, 9) as simulated_mean, round(s.a - hm, 9) as difference, round(s.a - hm - 1.96 * sqrt(hv + s.v), 9) as low, round(s.a - hm + 1.96 * sqrt(hv + s.v), 9) as high,
-    round(hp, 9) as historical_rate, round(s.pa, 9) as simulated_rate from g, s""")
+    round(hp, 9) as historical_rate, round(s.pa, 9) as simulated_rate from hg, s""")
 def _(t: Tables):
     kept = E.guard_prefix(t.windowed(), SPEC).filter("kept")
     x = E.equal_age(kept, t.lifecycles(), 1, START, END, SPEC)
@@ -475,12 +475,13 @@ def _(t: Tables):
 
 def count_step(state, pdf: pd.DataFrame):
     counts = pdf["journey_substage"].value_counts()
+    state = [0] * 5 if state is None else state
     return [a + int(counts.get(l, 0)) for a, l in zip(state, ("signup", "error", "view", "click", "purchase"))]
 
 
 @query("u2_history_encoder", f"""with {Q.EV} select application_id, concat_ws(',', count(*) filter (where journey_substage = 'signup'), count(*) filter (where journey_substage = 'error'), count(*) filter (where journey_substage = 'view'),
   count(*) filter (where journey_substage = 'click'), count(*) filter (where journey_substage = 'purchase')) as embedding, cast(null as varchar) as violation from ev where application_id is not null group by 1""")
 def _(t: Tables):
-    rows = keyed(t).select("application_id", "event_datetime", "source_row", "journey_substage")
-    out = X.apply_encoder(rows, ["application_id"], lambda: [0] * 5, count_step, lambda s: [float(x) for x in s], 5, ["event_datetime", "source_row"])
+    rows = keyed(t).select("application_id", "event_datetime", "source_row", "journey_substage", "part")
+    out = X.apply_encoder(rows, ["application_id"], count_step, lambda a, b: [x + y for x, y in zip(a, b)], list, 5, ["event_datetime", "source_row"])
     return out.select("application_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("embedding"), "violation")

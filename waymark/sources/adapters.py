@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import among, daypart, iso_weekday, micros, plus_seconds
-from ..operators.ordered import Running, mark_parts, scan
+from ..operators.ordered import GEOMETRY, Running, mark_parts, scan
 from ..spec import EVENT_COLUMNS, LifecycleSpec
 
 # Journey vocabulary of the clickstream tables.
@@ -53,8 +53,9 @@ def stream_events(events: DataFrame, spec: LifecycleSpec = STREAM_SPEC, campaign
         F.concat(F.lit("k"), F.floor(k / 10).cast("string")).alias("event_name"),
         F.element_at(F.array(F.lit("SMS"), F.lit("WA"), F.lit("GRCS")), k % 3 + 1).alias("channel"),
         F.col("value").alias("visitnum"))
-    rows = mark_parts(rows, ["context_id"], micros(F.date_trunc("day", "event_datetime").cast("timestamp_ntz")),
-                      spec.hot_rows)
+    # Packets group by the grain, so a slot must not cut a grain in two.
+    grain_us = {None: 1, "hour": 3600 * 10**6, "day": 86400 * 10**6}[spec.grain]
+    rows = mark_parts(rows, ["context_id"], micros("event_datetime"), spec.hot_rows, grain_us)
     created = F.col("journey_substage") == spec.creation
     rows = scan(rows, ["context_id"], ["event_datetime", "source_row"],
                 __seq=Running("sum", F.when(created, 1).otherwise(0)),
@@ -73,13 +74,13 @@ def stream_events(events: DataFrame, spec: LifecycleSpec = STREAM_SPEC, campaign
         "product_id": F.lit("PERSONAL_LOAN")})
     rows = rows.withColumns({x: F.lit(None).cast("string") for x in EVENT_COLUMNS if x not in rows.columns})
     return rows.select(*EVENT_COLUMNS, "source_row", "application_created_at", "deadline", "data_origin",
-                       "is_simulated", "part")
+                       "is_simulated", "part", *GEOMETRY)
 
 
 def stream_lifecycles(events: DataFrame, spec: LifecycleSpec = STREAM_SPEC) -> DataFrame:
     """One row per application, read off its creation row."""
     return (events.filter((F.col("journey_substage") == spec.creation) & F.col("application_id").isNotNull())
-            .select("application_id", "context_id", "application_created_at", "deadline", "part"))
+            .select("application_id", "context_id", "application_created_at", "deadline", "part", *GEOMETRY))
 
 
 def order_lifecycles(orders: DataFrame, spec: LifecycleSpec = ORDER_SPEC) -> DataFrame:
