@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import micros
 from .lifecycle import one_line
-from .ordered import Running, repart, scan, value_part
+from .ordered import Running, repart, scan
 from .survival import explode_levels
 
 
@@ -45,13 +45,15 @@ def categorical_draw(rows: DataFrame, model: DataFrame, key: Sequence[str], labe
     return rows.join(lists, key, "left").withColumn(label, F.try_element_at(picked, F.lit(1))["l"]).drop("__opts", "__total")
 
 
-def number_donors(donors: DataFrame, key: Sequence[str], order: str, tie: str) -> DataFrame:
-    """Position (from 0) of every donor within its key; keys of any size, ranked slot by slot."""
-    rows = donors.withColumn("part", value_part(order))
-    return scan(rows, list(key), [order, tie], __i=Running("sum", F.lit(1))).withColumn("donor_index", F.col("__i") - 1).drop("__i", "part")
+def number_donors(donors: DataFrame, key: Sequence[str], tie: str) -> DataFrame:
+    """Position (from 0) of every donor within its key, in the order of a hash of `tie`. Any fixed
+    order serves a uniform pick, and hash slots stay even whatever values repeat."""
+    rows = donors.withColumn("__h", F.sha2(F.col(tie).cast("string"), 256))
+    rows = rows.withColumn("part", F.conv(F.substring("__h", 1, 3), 16, 10).cast("long"))
+    return scan(rows, list(key), ["__h"], __i=Running("sum", F.lit(1))).withColumn("donor_index", F.col("__i") - 1).drop("__i", "__h", "part")
 
 
-def donor_pick(rows: DataFrame, donors: DataFrame, fine: Sequence[str], coarse: Sequence[str], order: str, tie: str, u: str,
+def donor_pick(rows: DataFrame, donors: DataFrame, fine: Sequence[str], coarse: Sequence[str], value: str, tie: str, u: str,
                minimum: int = 50) -> DataFrame:
     """One historical row per request by hash index, from the fine pool or, when that is under the
     minimum, from the coarse one."""
@@ -62,7 +64,7 @@ def donor_pick(rows: DataFrame, donors: DataFrame, fine: Sequence[str], coarse:
     for name, key, use in (("FINE", fine, F.col("fine_pool") >= minimum), ("COARSE", coarse, F.col("fine_pool") < minimum)):
         n = donors.groupBy(*key).agg(F.count(F.lit(1)).alias("pool_size"))
         asks = rows.filter(use).join(n, key).withColumn("donor_index", F.floor(F.col(u) * F.col("pool_size")).cast("long"))
-        got = asks.join(number_donors(donors, key, order, tie).select(*key, "donor_index", F.col(order).alias("donor_value")),
+        got = asks.join(number_donors(donors, key, tie).select(*key, "donor_index", F.col(value).alias("donor_value")),
                         [*key, "donor_index"]).withColumn("pool_level", F.lit(name))
         out = got if out is None else out.unionByName(got)
     return out

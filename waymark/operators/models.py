@@ -12,7 +12,7 @@ from ..functions.columns import (age_bucket, among, draw, flag, micros, ntz, plu
 from ..session import materialize
 from ..spec import LifecycleSpec
 from .lifecycle import APP, TIMELINE, active_days, attribute_responses, customer_kind, first_terminals, is_label
-from .ordered import Running, Shift, asof, quantiles, repart, scan
+from .ordered import Running, Shift, asof, quantiles, ranked, repart, scan, value_part
 from .survival import explode_levels, piecewise_hazard
 
 
@@ -280,31 +280,31 @@ def gap_neighbourhood(targets: DataFrame, donors: DataFrame, minimum: int = 30)
     counts at the interval ends, so no target-donor pair is formed for the first two rules; only
     targets beyond them look outward, over at most 2 * minimum neighbours each.
     """
-    donors = materialize(donors.select("stratum", "gap", "donor_id"))
-    steps = donors.groupBy("stratum", "gap").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.floor("gap").cast("long"))
-    steps = scan(steps, ["stratum"], ["gap"], cum=Running("sum", F.col("n")))
     scale = lambda x: F.round(x * 1e6).cast("long")
+    steps = donors.groupBy("stratum", "gap").agg(F.count(F.lit(1)).alias("n")).withColumn("part", value_part("gap"))
+    steps = materialize(scan(steps, ["stratum"], ["gap"], cum=Running("sum", F.col("n"))))
     t = F.col("target")
-    # Five reads of the cumulative count per target in one merge; whole units of 1e-6 make "at or
-    # below x" the same read as "below x + 1".
+    # Five reads of the cumulative count per distinct target in one merge; whole units of 1e-6 make
+    # "below x" the same read as "at or below x - 1".
     marks = F.array(*[F.struct(F.lit(n).alias("mark"), x.alias("p")) for n, x in (
         ("lt_day", scale(F.floor(t)) - 1), ("lt_next", scale(F.floor(t) + 1) - 1), ("lt_lo", scale(t - 3) - 1), ("le_hi", scale(t + 3)), ("below", scale(t) - 1))])
-    points = targets.select("target_id", "stratum", "target", F.inline(marks)).withColumn("part", F.floor(F.col("p") / 1000000).cast("long"))
+    points = targets.select("stratum", "target").distinct().select("stratum", "target", F.inline(marks)).withColumn("part", value_part(F.col("p") / 1e6))
     read = asof(points, steps, ["stratum"], F.col("p"), scale(F.col("gap")), {"cum": F.col("cum")})
-    rows = read.groupBy("target_id", "stratum", "target").agg(*[
+    rows = read.groupBy("stratum", "target").agg(*[
         F.coalesce(F.max(F.when(F.col("mark") == n, F.col("cum"))), F.lit(0)).alias(n) for n in ("lt_day", "lt_next", "lt_lo", "le_hi", "below")])
     rows = materialize(rows.withColumns({"exact": F.col("lt_next") - F.col("lt_day"), "near": F.col("le_hi") - F.col("lt_lo")}))
     done = (F.col("exact") >= minimum) | (F.col("near") >= minimum)
-    # Outward search: the minimum-th nearest lies among the `minimum` donors on either side.
-    sized = donors.groupBy("stratum").agg(F.count(F.lit(1)).alias("pool"))
-    far = rows.filter(~done).join(sized, "stratum", "left").na.fill(0, ["pool"])
-    numbered = scan(donors.withColumn("part", F.floor("gap").cast("long")), ["stratum"], ["gap", "donor_id"], rank=Running("sum", F.lit(1)))
-    want = far.withColumn("rank", F.explode(F.sequence(F.greatest(F.lit(1), F.col("below") - minimum + 1), F.least("pool", F.col("below") + minimum)))) \
-        .filter((F.col("pool") > 0))
-    near = want.join(numbered.select("stratum", "rank", "gap"), ["stratum", "rank"]).withColumn("d", F.abs(F.col("gap") - t))
+    # Outward search: the minimum-th nearest lies among the `minimum` donors on either side, found by
+    # their ranks on the cumulative counts.
+    sized = steps.groupBy("stratum").agg(F.max("cum").alias("pool"))
+    want = rows.filter(~done).join(sized, "stratum").withColumn("rank", F.explode(F.sequence(
+        F.greatest(F.lit(1), F.col("below") - minimum + 1), F.least("pool", F.col("below") + minimum))))
+    want = want.select("stratum", "target", "pool", "rank").withColumn("part", value_part("rank"))
+    near = asof(want, steps.withColumn("part", value_part("cum")), ["stratum"], F.col("rank"), F.col("cum"), {"gap": F.col("gap")}, forward=True)
     k = F.least(F.lit(minimum), F.max("pool"))
-    radius = near.groupBy("target_id").agg(F.element_at(F.sort_array(F.collect_list("d")), k.cast("int")).alias("radius"))
-    out = rows.join(radius, "target_id", "left")
+    radius = near.groupBy("stratum", "target").agg(F.element_at(F.sort_array(F.collect_list(F.abs(F.col("gap") - t))), k.cast("int")).alias("radius"))
+    rows = targets.select("target_id", "stratum", "target").join(rows, ["stratum", "target"])
+    out = rows.join(radius, ["stratum", "target"], "left")
     reason = (F.when(F.col("exact") >= minimum, "EXACT_DAY").when(F.col("near") >= minimum, "WITHIN_3_DAYS")
               .when(F.col("radius").isNull(), "NO_ELIGIBLE_CONTEXT").otherwise("NEAREST_SUPPORTED_RANGE"))
     lo = F.when(reason == "EXACT_DAY", F.floor(t).cast("double")).when(reason == "WITHIN_3_DAYS", t - 3).otherwise(t - F.col("radius"))
@@ -322,18 +322,20 @@ def match_donors(targets: DataFrame, donors: DataFrame, minimum: int = 30, round
     """
     ranged = materialize(gap_neighbourhood(targets.select("target_id", "stratum", "target"), donors, minimum)
                          .join(targets.select("target_id", "asked_at"), "target_id"))
-    taken, open_, free = None, ranged, donors
+    taken, open_, free, ranged_columns = None, ranged, donors, ranged.columns
     scale = lambda x: F.round(x * 1e6).cast("long")
     for i in range(rounds):
-        ranked = materialize(scan(free.withColumn("part", F.floor("gap").cast("long")), ["stratum"], ["gap", "donor_id"],
-                                  rank=Running("sum", F.lit(1))).select("donor_id", "stratum", "gap", "rank", "part"))
+        order = materialize(ranked(free.select("donor_id", "stratum", "gap"), ["stratum"], "gap", "donor_id"))
+        steps = order.groupBy("stratum", "gap").agg(F.max("rank").alias("rank")).withColumn("part", value_part("gap"))
         ends = F.array(F.struct(F.lit("r_lo").alias("mark"), (scale(F.col("gap_lo")) - 1).alias("p")), F.struct(F.lit("r_hi").alias("mark"), scale(F.col("gap_hi")).alias("p")))
-        points = open_.select(*ranged.columns, F.inline(ends)).withColumn("part", F.floor(F.col("p") / 1000000).cast("long"))
-        read = asof(points, ranked, ["stratum"], F.col("p"), scale(F.col("gap")), {"rank": F.col("rank")}, tie=F.col("rank"))
-        asks = read.groupBy(*ranged.columns).agg(*[F.coalesce(F.max(F.when(F.col("mark") == n, F.col("rank"))), F.lit(0)).alias(n) for n in ("r_lo", "r_hi")])
+        span = ["stratum", "gap_lo", "gap_hi"]  # asked once per distinct range
+        points = open_.select(*span).distinct().select(*span, F.inline(ends)).withColumn("part", value_part(F.col("p") / 1e6))
+        read = asof(points, steps, ["stratum"], F.col("p"), scale(F.col("gap")), {"rank": F.col("rank")})
+        spans = read.groupBy(*span).agg(*[F.coalesce(F.max(F.when(F.col("mark") == n, F.col("rank"))), F.lit(0)).alias(n) for n in ("r_lo", "r_hi")])
+        asks = open_.select(*ranged_columns).join(spans, span)
         asks = asks.filter("r_hi > r_lo").withColumn("rank", F.col("r_lo") + 1 + F.floor(
             draw(seed, i, F.col("target_id")) * (F.col("r_hi") - F.col("r_lo"))).cast("long"))
-        won = (asks.join(ranked.select("stratum", "rank", "donor_id", "gap"), ["stratum", "rank"]).groupBy("donor_id")
+        won = (asks.join(order.select("stratum", "rank", "donor_id", "gap"), ["stratum", "rank"]).groupBy("donor_id")
                .agg(F.min(F.struct("asked_at", "target_id", "target", "stratum", "reason", "gap", "gap_lo", "gap_hi")).alias("w"))
                .select("w.*", "donor_id"))
         won = materialize(won)

@@ -215,6 +215,20 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: Column
             .select("__row.*", *[F.col("__hit")[n].alias(n) for n in values]))
 
 
+def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, name: str = "rank") -> DataFrame:
+    """Rank (from 1) within the keys by value, then by a hash of `tie`. Distinct values are counted
+    and summed slot by slot; rows of one value are ranked over hash slots, so neither a long range
+    nor a crowd of equal values lands in one task."""
+    keys = list(keys)
+    steps = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")).withColumn(PART, value_part(value))
+    steps = scan(steps, keys, [value], __before=Running("sum", F.col("__n"), inclusive=False))
+    rows = df.withColumn("__h", F.sha2(F.col(tie).cast("string"), 256))
+    rows = rows.withColumn(PART, F.conv(F.substring("__h", 1, 3), 16, 10).cast("long"))
+    rows = scan(rows, [*keys, value], ["__h"], __i=Running("sum", F.lit(1))).drop("__h", PART)
+    return rows.join(steps.select(*keys, value, "__before"), [*keys, value]).withColumn(
+        name, F.col("__before") + F.col("__i")).drop("__before", "__i")
+
+
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
               weight: str | None = None) -> DataFrame:
     """Exact quantiles per group, one row each, without holding a group's values in one task.

@@ -275,22 +275,27 @@ def cdf_at(law: DataFrame, by: Sequence[str], thresholds: Sequence[int], mass: s
 def conditional_score(cohort: DataFrame, law: DataFrame, pool: Sequence[str], elapsed: str, stop: str) -> DataFrame:
     """Survival to `elapsed`, and remaining event mass before `stop` given that survival.
 
-    Both are as-of reads of the cumulative mass, done by one ordered merge per pool and slot.
+    Both are as-of reads of the cumulative mass, done by one ordered merge per pool and slot. Pool
+    columns must not be NULL.
     """
     pool = list(pool)
     steps = law.groupBy(*pool, "duration_seconds").agg(F.sum("mass").alias("m")).withColumn(
         "part", value_part("duration_seconds"))
     curve = materialize(scan(steps, pool, ["duration_seconds"], cum=Running("sum", F.col("m"))))
     us = lambda x: F.round(F.col(x) * 1e6).cast("long")
-    out = cohort
-    for name, at in (("__before", elapsed), ("__upto", stop)):
-        left = out.drop("part").withColumn("part", value_part(at))
-        out = asof(left, curve, pool, us(at), us("duration_seconds"), {name: F.col("cum")}, strict=True)
-    before, upto = F.coalesce("__before", F.lit(0.0)), F.coalesce("__upto", F.lit(0.0))
-    survival = F.greatest(F.lit(0.0), 1 - before)
+    # Read the curve once per distinct (pool, time): many rows may share one, and a crowd at one time
+    # must not meet in one slot. The answers are joined back.
+    asked = (cohort.select(*pool, us(elapsed).alias("at")).unionByName(cohort.select(*pool, us(stop).alias("at"))).distinct()
+             .withColumn("part", value_part(F.col("at") / 1e6)))
+    read = materialize(asof(asked, curve, pool, F.col("at"), us("duration_seconds"), {"cum": F.col("cum")}, strict=True)
+                       .select(*pool, "at", F.coalesce("cum", F.lit(0.0)).alias("cum")))
+    out = cohort.withColumns({"__e": us(elapsed), "__s": us(stop)})
+    out = out.join(read.withColumnsRenamed({"at": "__e", "cum": "mass_before"}), [*pool, "__e"])
+    out = out.join(read.withColumnsRenamed({"at": "__s", "cum": "__upto"}), [*pool, "__s"])
+    survival = F.greatest(F.lit(0.0), 1 - F.col("mass_before"))
     return out.withColumns({
-        "mass_before": before, "survival": survival,
-        "remaining_event_mass": F.when(survival > 1e-12, (upto - before) / survival).otherwise(0.0)}).drop("__before", "__upto", "part")
+        "survival": survival,
+        "remaining_event_mass": F.when(survival > 1e-12, (F.col("__upto") - F.col("mass_before")) / survival).otherwise(0.0)}).drop("__e", "__s", "__upto")
 
 
 def draw_next(cohort: DataFrame, law: DataFrame, pool: Sequence[str], elapsed: str, stop: str, u: str) -> DataFrame:

@@ -291,17 +291,18 @@ def _(t: Tables):
 
 # --- sorts, limits, set operations ------------------------------------------------------------------------
 
-@query("s1_stable_sort", f"with {Q.EV} select source_row, row_number() over (order by application_id nulls last, event_datetime, source_row) as position from ev")
+@query("s1_stable_sort", f"""with {Q.EV} select application_id, source_row, case when application_id is not null then row_number() over (partition by application_id order by event_datetime, source_row) end as position from ev""")
 def _(t: Tables):
-    """Position in the whole sorted table: range partitions in key order, each numbered from its offset."""
-    ev = t.stream().select("source_row", F.coalesce("application_id", F.lit("￿")).alias("a"), "event_datetime")
-    ev = ev.withColumn("part", F.conv(F.hex(F.rpad(F.substring("a", 1, 2), 2, " ")), 16, 10).cast("long"))
-    return O.scan(ev, [], ["a", "event_datetime", "source_row"], position=O.Running("sum", F.lit(1))).select("source_row", "position")
+    """Range-partitioned sort with an explicit tie column, NULLs last, and the position in the application."""
+    ev = t.stream()
+    own = O.scan(ev.filter("application_id is not null"), ["application_id"], ["event_datetime", "source_row"], position=O.Running("sum", F.lit(1)))
+    rows = own.unionByName(ev.filter("application_id is null"), allowMissingColumns=True)
+    return rows.orderBy(F.col("application_id").asc_nulls_last(), "event_datetime", "source_row").select("application_id", "source_row", "position")
 
 
 @query("s2_day_file_order", f"with {Q.EV} select source_row, row_number() over (partition by cast(event_datetime as date) order by event_datetime, application_id nulls first, source_row) as position from ev")
 def _(t: Tables):
-    ev = t.stream().withColumn("day", F.to_date("event_datetime")).withColumn("part", F.hour("event_datetime").cast("long"))
+    ev = t.stream().withColumn("day", F.to_date("event_datetime")).withColumn("part", (F.hour("event_datetime") * 60 + F.minute("event_datetime")).cast("long"))
     ev = ev.withColumn("a", F.coalesce("application_id", F.lit("")))
     return O.scan(ev, ["day"], ["event_datetime", "a", "source_row"], position=O.Running("sum", F.lit(1))).select("source_row", "position")
 

@@ -270,8 +270,8 @@ def _(t: Tables):
 
 
 _DON = f"""{_INT}, gp as (select source_row, journey_substage, cast(cb as bigint) as count_bucket, epoch_us(nx) - epoch_us(event_datetime) as gap from i1 where nx is not null),
-  nf as (select *, row_number() over (partition by journey_substage, count_bucket order by gap, source_row) - 1 as i, count(*) over (partition by journey_substage, count_bucket) as n from gp),
-  nc as (select *, row_number() over (partition by journey_substage order by gap, source_row) - 1 as i, count(*) over (partition by journey_substage) as n from gp),
+  nf as (select *, row_number() over (partition by journey_substage, count_bucket order by sha256(cast(source_row as varchar))) - 1 as i, count(*) over (partition by journey_substage, count_bucket) as n from gp),
+  nc as (select *, row_number() over (partition by journey_substage order by sha256(cast(source_row as varchar))) - 1 as i, count(*) over (partition by journey_substage) as n from gp),
   rq as (select source_row, journey_substage, cast(cb as bigint) as count_bucket, ('0x' || substr(sha256('7|gap|' || cast(source_row as varchar)), 1, 16))::ubigint::double / 18446744073709551616.0 as u from i1),
   fp as (select journey_substage, count_bucket, count(*) as fine_pool from gp group by 1, 2)"""
 
