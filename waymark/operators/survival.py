@@ -256,9 +256,9 @@ def piecewise_mass(hazard: DataFrame, donors: DataFrame, by: Sequence[str], edge
     by = list(by)
     d = (donors.withColumn("k", interval_index("duration_seconds", edges)).filter(F.col("k").isNotNull())
          .groupBy(*by, "k", "duration_seconds").agg(F.count(F.lit(1)).alias("n")))
-    size = d.groupBy(*by, "k").agg(F.sum("n").alias("pool"))
+    size = d.groupBy(*by, "k").agg(F.sum("n").alias("__pool"))
     return (d.join(size, [*by, "k"]).join(hazard.select(*by, "k", "hazard", "survival_before"), [*by, "k"])
-            .withColumn("mass", F.col("survival_before") * F.col("hazard") * F.col("n") / F.col("pool"))
+            .withColumn("mass", F.col("survival_before") * F.col("hazard") * F.col("n") / F.col("__pool"))
             .select(*by, "duration_seconds", "n", "mass"))
 
 
