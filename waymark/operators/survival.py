@@ -285,8 +285,8 @@ def conditional_score(cohort: DataFrame, law: DataFrame, pool: Sequence[str], el
     us = lambda x: F.round(F.col(x) * 1e6).cast("long")
     # Read the curve once per distinct (pool, time): many rows may share one, and a crowd at one time
     # must not meet in one slot. The answers are joined back.
-    asked = (cohort.select(*pool, us(elapsed).alias("at")).unionByName(cohort.select(*pool, us(stop).alias("at"))).distinct()
-             .withColumn("part", value_part(F.col("at") / 1e6)))
+    asked = materialize(cohort.select(*pool, F.explode(F.array(us(elapsed), us(stop))).alias("at")).distinct()
+                        .withColumn("part", value_part(F.col("at") / 1e6)))
     read = materialize(asof(asked, curve, pool, F.col("at"), us("duration_seconds"), {"cum": F.col("cum")}, strict=True)
                        .select(*pool, "at", F.coalesce("cum", F.lit(0.0)).alias("cum")))
     out = cohort.withColumns({"__e": us(elapsed), "__s": us(stop)})

@@ -40,8 +40,8 @@ def cohort(t: Tables, law):
     """Second-half packets resolved to a pool, with elapsed time, time left and a draw."""
     rows = t.episodes(MID, END).select("application_id", "event_datetime", "state", "regime", "journey_stage", *LAW_STRATA, "deadline")
     rows = G.backoff(rows, law, LEVELS, LAW_STRATA)
-    return rows.withColumns({"elapsed": F.lit(40000.0), "stop": C.seconds_between("event_datetime", "deadline"),
-                             "u": C.draw(7, F.col("application_id"), F.date_format("event_datetime", "yyyy-MM-dd"))})
+    return materialize(rows.withColumns({"elapsed": F.lit(40000.0), "stop": C.seconds_between("event_datetime", "deadline"),
+                             "u": C.draw(7, F.col("application_id"), F.date_format("event_datetime", "yyyy-MM-dd"))}))
 
 
 def renamed(law):
