@@ -239,9 +239,9 @@ def allocate_calendar(history_daily: DataFrame, schedule: DataFrame, first: str,
     """
     days = schedule.sparkSession.range(1).select(F.explode(F.sequence(
         F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 day"))).alias("day")).withColumn("weekday", weekday("day"))
-    hist = history_daily.withColumn("weekday", weekday("day"))
+    hist = materialize(history_daily.withColumn("weekday", weekday("day")))
     mean = hist.groupBy("weekday").agg(F.avg("count").alias("mean"))
-    mass = (days.groupBy("weekday").agg(F.count(F.lit(1)).alias("targets")).join(mean, "weekday")
+    mass = materialize(days.groupBy("weekday").agg(F.count(F.lit(1)).alias("targets")).join(mean, "weekday")
             .withColumn("mass", F.col("mean") * F.col("targets")))
     totals = largest_remainder(mass, "mass", schedule.agg(F.count(F.lit(1))).scalar(), "weekday").select(
         "weekday", F.col("allocated").alias("weekday_total"))
@@ -249,7 +249,7 @@ def allocate_calendar(history_daily: DataFrame, schedule: DataFrame, first: str,
     pools = donors.groupBy("weekday").agg(F.count(F.lit(1)).alias("pool"))
     picked = (days.join(pools, "weekday").withColumn("i", F.floor(draw(seed, "residual", F.col("day")) * F.col("pool")).cast("int"))
               .join(donors.select("weekday", "i", F.col("count").alias("residual")), ["weekday", "i"]).join(totals, "weekday"))
-    per_day = largest_remainder(picked, "residual", F.col("weekday_total"), "day", ["weekday"])
+    per_day = materialize(largest_remainder(materialize(picked), "residual", F.col("weekday_total"), "day", ["weekday"]))
     # One row per target day: a calendar, so ordered in one small window.
     per_day = per_day.withColumn("hi", F.sum("allocated").over(Window.orderBy("day"))).withColumn("lo", F.col("hi") - F.col("allocated"))
     ranges = per_day.agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "day"))).alias("r")).scalar()

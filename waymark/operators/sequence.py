@@ -20,21 +20,26 @@ def drop_repeat_creations(events: DataFrame, spec: LifecycleSpec) -> DataFrame:
 
 
 def label_groups(events: DataFrame, spec: LifecycleSpec) -> DataFrame:
-    """One row per (application, time) with its distinct labels in source order.
+    """One row per (application, time) with its distinct labels in source order; repeated creation
+    rows are left out.
 
-    Reduced to one row per label first, so a group never holds more entries than there are labels.
+    One scan marks repeats and numbers the rows, so the first reduction, to one row per label, keeps
+    only numbers in its buffers and hashes instead of sorting. A group never holds more entries than
+    there are labels.
     """
+    made = is_label(spec.creation)
+    rows = scan(events, APP, TIMELINE, __made=Running("sum", flag(made), inclusive=False), __ord=Running("sum", F.lit(1)))
+    rows = rows.filter(~(F.coalesce(made, F.lit(False)) & (F.col("__made") > 0))).withColumn("__t", truncated("event_datetime", spec.grain))
+    life = ["application_created_at", "deadline"]
     keys = ["application_id", "part", "__t"]
-    rows = events.withColumn("__t", truncated("event_datetime", spec.grain))
-    each = rows.groupBy(*keys, "journey_substage").agg(
-        F.min(F.struct(*TIMELINE)).alias("first"), F.count(F.lit(1)).alias("n"),
-        F.max(F.struct(*TIMELINE, "journey_stage", "context_id")).alias("last"),
-        F.min("application_created_at").alias("application_created_at"), F.min("deadline").alias("deadline"))
-    return each.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("first", "journey_substage"))),
-                    lambda x: x["journey_substage"]).alias("seen"),
-        F.sum("n").alias("source_rows"), F.max("last").alias("last"),
-        F.min("application_created_at").alias("application_created_at"), F.min("deadline").alias("deadline"))
+    each = rows.groupBy(*keys, *life, "context_id", "journey_substage", "journey_stage").agg(
+        F.count(F.lit(1)).alias("n"), F.min("__ord").alias("first"), F.max("__ord").alias("last"))
+    packed = each.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("first", "last", "journey_substage", "journey_stage", "context_id"))).alias("__l"),
+        F.sum("n").alias("source_rows"), *[F.min(x).alias(x) for x in life])
+    newest = F.array_max(F.transform("__l", lambda x: F.struct(x["last"], x["journey_stage"].alias("journey_stage"), x["context_id"].alias("context_id"))))
+    return packed.select(*keys, F.array_distinct(F.transform("__l", lambda x: x["journey_substage"])).alias("seen"), "source_rows",
+                         newest.alias("last"), *life)
 
 
 def pattern_key(labels) -> Column:
@@ -58,7 +63,7 @@ def packets(events: DataFrame, spec: LifecycleSpec, patterns: DataFrame | None =
     The pattern side has at most one row per subset of the core labels, hence the broadcast.
     Pass fitted `patterns` to skip fitting them.
     """
-    groups = label_groups(drop_repeat_creations(events, spec), spec)
+    groups = label_groups(events, spec)
     patterns = supported_patterns(groups, spec) if patterns is None else patterns
     rows = (groups.withColumn("pattern", pattern_key("seen"))
             .join(F.broadcast(patterns.select("pattern", F.lit(True).alias("__ok"))), "pattern", "left"))
@@ -110,21 +115,22 @@ def cycles(events: DataFrame, spec: LifecycleSpec) -> DataFrame:
     """Flags of self transition, two- and three-state cycle, repeated label, return to an earlier
     stage, and focus revisit. Every edge of a cycle must take positive time.
 
-    First times per label, stage and downstream come from running minima, so no group is held whole.
+    First times per label and stage form one short list per application, joined on the key the
+    events are already spread by.
     """
     label, ts, stage = F.col("journey_substage"), F.col("event_datetime"), F.col("journey_stage")
-    labels = list(spec.order) + list(spec.campaign)
-    stages = F.col("journey_stage")
-    first_of = events.groupBy("application_id", "journey_substage").agg(F.min("event_datetime").alias("__first_label"))
-    first_stage = events.groupBy("application_id", "journey_stage").agg(F.min("event_datetime").alias("__first_stage"))
-    down = (events.filter(among("journey_substage", spec.downstream)).groupBy("application_id")
-            .agg(F.min("event_datetime").alias("__down")))
+    each = events.groupBy("application_id", "journey_substage", "journey_stage").agg(F.min("event_datetime").alias("at"))
+    firsts = each.groupBy("application_id").agg(F.collect_list(F.struct("journey_substage", "journey_stage", "at")).alias("__f"))
     rows = scan(events, APP, TIMELINE,
                 p1=Shift(F.struct("journey_substage", "event_datetime", "journey_stage"), 1),
                 p2=Shift(F.struct("journey_substage", "event_datetime"), 2),
                 p3=Shift(F.struct("journey_substage", "event_datetime"), 3))
-    rows = (rows.join(first_of, ["application_id", "journey_substage"], "left")
-            .join(first_stage, ["application_id", "journey_stage"], "left").join(down, "application_id", "left"))
+    rows = rows.join(firsts, "application_id", "left")
+    earliest = lambda keep: F.array_min(F.transform(F.filter("__f", keep), lambda x: x["at"]))
+    rows = rows.withColumns({
+        "__first_label": earliest(lambda x: x["journey_substage"] == label),
+        "__first_stage": earliest(lambda x: x["journey_stage"] == stage),
+        "__down": earliest(lambda x: x["journey_substage"].isin(*spec.downstream))})
     L = lambda k: F.col(f"p{k}.journey_substage")
     T = lambda k: F.col(f"p{k}.event_datetime")
     e1, e2, e3 = ts > T(1), T(1) > T(2), T(2) > T(3)
@@ -138,7 +144,7 @@ def cycles(events: DataFrame, spec: LifecycleSpec) -> DataFrame:
         "return_to_earlier_stage": yes((ts > F.col("__first_stage")) & (stage != F.col("p1.journey_stage")) & e1),
         "focus_revisit": yes(focus & (F.col("__down") < ts)),
         "focus_tie": yes(focus & (F.col("__down") == ts)),
-        "focus": focus}).drop("p1", "p2", "p3", "__first_label", "__first_stage", "__down")
+        "focus": focus}).drop("p1", "p2", "p3", "__f", "__first_label", "__first_stage", "__down")
 
 
 CYCLES = ("self_transition", "two_state_cycle", "three_state_cycle", "repeated_substage",

@@ -364,7 +364,7 @@ def _(t: Tables):
 
 @query("e2_supported_patterns", f"with {Q.PACK} select pattern, first_half, second_half from pat")
 def _(t: Tables):
-    return E.supported_patterns(E.label_groups(E.drop_repeat_creations(t.windowed(), SPEC), SPEC), SPEC)
+    return E.supported_patterns(E.label_groups(t.windowed(), SPEC), SPEC)
 
 
 _GAP = f"""with {Q.EV}, gp as (select *, lag(journey_substage) over w as prev_label, lag(event_datetime) over w as prev_at, lead(journey_substage) over w as next_label,
@@ -437,7 +437,7 @@ def _(t: Tables):
 @query("e9_burst_audit", f"""with {Q.PACK} select g.pattern, count(*) as groups, cast(sum(len(seen) - 1) as bigint) as extra_rows, any_value(p.pattern) is not null as supported
   from grp g left join pat p using (pattern) where len(seen) > 1 group by 1""")
 def _(t: Tables):
-    g = E.label_groups(E.drop_repeat_creations(t.windowed(), SPEC), SPEC)
+    g = E.label_groups(t.windowed(), SPEC)
     return E.burst_audit(g, E.supported_patterns(g, SPEC), SPEC)
 
 

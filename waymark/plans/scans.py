@@ -55,7 +55,7 @@ def _days(t, ev):
     return readers.read_days(t.spark, root, "2024-01-20", "2024-01-25")
 
 
-@query("a6_audit_reasons", None)
+@query("a6_audit_reasons", f"with {Q.EV} select application_id, 'ORGANIC_CONTINUATION' as category, journey_substage as reason from ev where application_id is not null")
 def _(t: Tables):
     """Audit rows written as gzip JSON lines and read back with their nested reason."""
     root = f"{shared_folder(t.spark)}/audit-{uuid.uuid4().hex}"
