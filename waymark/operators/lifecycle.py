@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import among, flag, micros, ntz, plus_seconds, seconds_between
 from ..spec import EVENT_COLUMNS, LifecycleSpec
-from .ordered import GEOMETRY, Running, Shift, arrange, is_cold, no_parts, repart, scan
+from .ordered import GEOMETRY, Running, Shift, arrange, asof, is_cold, like_parts, no_parts, repart, scan
 
 APP = ["application_id"]
 TIMELINE = ["event_datetime", "source_row"]
@@ -164,52 +164,42 @@ def outcomes(lifecycles: DataFrame, events: DataFrame, spec: LifecycleSpec, wind
 def state_at(events: DataFrame, cutoffs: DataFrame, spec: LifecycleSpec) -> DataFrame:
     """State of an application from the rows visible at each (application_id, cutoff).
 
-    Rows are first reduced to one per (application, cutoff, label), so the second step sees at most
-    as many rows as there are labels.
+    The state runs along the application's rows once and every cutoff reads it as of its time, so
+    many cutoffs on a long history cost their sum, not their product.
     """
-    ts = F.col("event_datetime")
-    seen = (events.filter(F.col("application_id").isNotNull()).join(cutoffs, "application_id")
-            .filter(ts <= F.col("cutoff")))
-    keys = ["application_id", "cutoff"]
-    stamp = F.struct(*TIMELINE)
-    per_label = seen.groupBy(*keys, "journey_substage").agg(
-        F.count(F.lit(1)).alias("n"), F.min(stamp).alias("first"), F.max(stamp).alias("last"),
-        F.max(F.struct(*TIMELINE, "journey_stage")).alias("last_row"),
-        F.min("context_id").alias("ctx_lo"), F.max("context_id").alias("ctx_hi"),
-        F.min("application_created_at").alias("registered"))
-    label = F.col("journey_substage")
+    ts, label = F.col("event_datetime"), F.col("journey_substage")
     journey = ~among(label, spec.campaign)
-    at = lambda name, f="last": F.max(F.when(label == name, F.col(f"{f}.event_datetime")))
-    any_of = lambda names: F.coalesce(F.bool_or(label.isin(*names)), F.lit(False))
-    s = per_label.groupBy(*keys).agg(
-        F.min("ctx_lo").alias("context_id"), (F.min("ctx_lo") != F.max("ctx_hi")).alias("many_contexts"),
-        F.coalesce(at(spec.creation, "first"), F.min("registered")).alias("creation_datetime"),
-        F.max(F.when(journey, F.struct("last_row", label.alias("label")))).alias("latest"),
-        any_of(spec.form + spec.prerequisites).alias("form_filled_seen"),
-        any_of(spec.prerequisites).alias("professional_details_seen"),
-        any_of((spec.approval,)).alias("aip_approved_seen"),
-        any_of((spec.close,)).alias("journey_close_seen"),
-        at(spec.approval).alias("latest_aip_datetime"),
-        at(spec.terminal, "first").alias("first_terminal"),
-        F.max("last.event_datetime").alias("last_event"),
-        F.coalesce(F.sum(F.when(label == "campaign_sent", F.col("n"))), F.lit(0)).alias("campaign_sends_seen"),
-        at("campaign_sent").alias("last_campaign_send_datetime"),
-        F.sort_array(F.collect_list(F.when(journey & label.isNotNull(), F.struct("first", label.alias("label")))))
-        .alias("labels"))
+    rows = events.filter(F.col("application_id").isNotNull())
+    rows = scan(rows, ["application_id", "journey_substage"], TIMELINE, __before=Running("sum", F.lit(1), inclusive=False))
+    when = lambda name: F.when(is_label(name), ts)
+    seen = lambda names: Running("max", flag(among(label, names)))
+    features = {
+        "latest": Running("last", F.when(journey, F.struct("event_datetime", "journey_stage", "journey_substage"))),
+        "created": Running("min", when(spec.creation)), "registered": Running("min", F.col("application_created_at")),
+        "form": seen(spec.form + spec.prerequisites), "details": seen(spec.prerequisites), "approved": seen((spec.approval,)),
+        "closed": seen((spec.close,)), "latest_aip_datetime": Running("max", when(spec.approval)),
+        "first_terminal": Running("min", when(spec.terminal)), "last_event": Running("max", ts),
+        "campaign_sends_seen": Running("sum", flag(is_label("campaign_sent"))),
+        "last_campaign_send_datetime": Running("max", when("campaign_sent")),
+        "context_id": Running("min", F.col("context_id")), "ctx_hi": Running("max", F.col("context_id")),
+        "observed_journey_substages": Running("collect", F.when(journey & (F.col("__before") == 0), label))}
+    rows = scan(rows, APP, TIMELINE, **features)
+    points = like_parts(cutoffs, rows, "application_id", micros("cutoff"))
+    s = asof(points, rows, APP, micros("cutoff"), micros("event_datetime"), {n: F.col(n) for n in features}, tie=F.col("source_row"))
+    s = s.filter(F.col("last_event").isNotNull()).withColumn("creation_datetime", F.coalesce("created", "registered"))
     s = s.withColumn("deadline", plus_seconds("creation_datetime", spec.validity_seconds))
     done = F.col("first_terminal").isNotNull()
     expired = ~done & (F.col("cutoff") >= F.col("deadline"))
     return s.select(
-        *keys, "context_id", "creation_datetime", "deadline",
-        F.col("latest.last_row.journey_stage").alias("journey_stage"), F.col("latest.label").alias("journey_substage"),
-        F.col("latest.last_row.event_datetime").alias("last_journey_datetime"),
-        "form_filled_seen", "professional_details_seen", "aip_approved_seen", "latest_aip_datetime",
-        "journey_close_seen", (done | expired).alias("done"), done.alias("success"),
+        "application_id", "cutoff", "context_id", "creation_datetime", "deadline", "latest.journey_stage", "latest.journey_substage",
+        F.col("latest.event_datetime").alias("last_journey_datetime"),
+        *[(F.col(a) > 0).alias(b) for a, b in (("form", "form_filled_seen"), ("details", "professional_details_seen"),
+                                               ("approved", "aip_approved_seen"), ("closed", "journey_close_seen"))],
+        "latest_aip_datetime", (done | expired).alias("done"), done.alias("success"),
         F.when(done, "PUSH_TO_PARTNER_SUCCESS").when(expired, "APPLICATION_EXPIRED_30_DAYS").alias("termination_reason"),
         F.when(done, F.col("first_terminal")).when(expired, F.col("deadline")).alias("terminal_datetime"),
-        "campaign_sends_seen", "last_campaign_send_datetime",
-        F.transform("labels", lambda x: x["label"]).alias("observed_journey_substages"),
-        F.when(F.col("many_contexts"), "MANY_CONTEXTS")
+        "campaign_sends_seen", "last_campaign_send_datetime", "observed_journey_substages",
+        F.when(F.col("context_id") != F.col("ctx_hi"), "MANY_CONTEXTS")
         .when(F.col("latest").isNull(), "NO_JOURNEY_STATE")
         .when(F.col("last_event") > F.col("first_terminal"), "ROWS_AFTER_TERMINAL")
         .when(F.col("creation_datetime").isNull(), "MISSING_CREATION")

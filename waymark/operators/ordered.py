@@ -57,11 +57,20 @@ def repart(df: DataFrame, at: Column) -> DataFrame:
     return df.withColumn(PART, F.floor((at - F.col("part_lo")) / F.col("part_width")))
 
 
+def like_parts(points: DataFrame, rows: DataFrame, key: str, at: Column) -> DataFrame:
+    """Slot points on the geometry of the rows of the same key."""
+    points = points.drop(PART, *GEOMETRY)
+    if is_cold(rows):
+        return no_parts(points)
+    hot = rows.filter(F.col(PART).isNotNull()).groupBy(key).agg(*[F.min(x).alias(x) for x in GEOMETRY])
+    return repart(points.join(hot, key, "left").withColumn(PART, F.lit(None).cast("long")), at)
+
+
 def value_part(value) -> Column:
-    """Monotone slot of a number, 16 per power of two: a few hundred slots for any scale."""
+    """Monotone slot of a number, 256 per power of two: some thousand slots for any scale."""
     v = F.col(value) if isinstance(value, str) else value
     v = v.cast("double")
-    return (F.floor(F.log2(F.abs(v) + 1) * 16) * F.signum(v)).cast("long")
+    return (F.floor(F.log2(F.abs(v) + 1) * 256) * F.signum(v)).cast("long")
 
 
 def arrange(df: DataFrame, keys: Sequence[str], part: str = PART) -> DataFrame:
@@ -72,7 +81,8 @@ def arrange(df: DataFrame, keys: Sequence[str], part: str = PART) -> DataFrame:
 
 @dataclass(frozen=True)
 class Running:
-    """Running aggregate in order: sum, max, min, last, first or product; NULLs are skipped."""
+    """Running aggregate in order: sum, max, min, last, first, product or collect; NULLs are skipped.
+    `collect` is for expressions that are NULL on all but a bounded number of rows per key."""
     agg: str
     expr: Column
     inclusive: bool = True
@@ -89,6 +99,7 @@ _AGG = {
     "sum": F.sum, "max": F.max, "min": F.min, "product": F.product,
     "last": lambda e: F.last(e, ignorenulls=True),
     "first": lambda e: F.first(e, ignorenulls=True),
+    "collect": F.collect_list,
 }
 
 
@@ -103,6 +114,8 @@ def _merge(agg: str, inner: Column, carry: Column) -> Column:
         return inner + carry if agg == "sum" else inner * carry
     if carry is None:
         return inner
+    if agg == "collect":
+        return F.when(carry.isNull(), inner).otherwise(F.concat(carry, inner))
     if agg == "max":
         return F.greatest(inner, carry)
     if agg == "min":
@@ -149,7 +162,10 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: str = P
         x = F.col(f"__x_{name}")
         if not isinstance(s, Running):
             continue
-        if s.agg in ("last", "first"):
+        if s.agg == "collect":
+            listed = F.sort_array(F.collect_list(F.when(x.isNotNull(), F.struct(stamp.alias("o"), x.alias("x")))), asc=not descending)
+            totals.append(F.transform(listed, lambda i: i["x"]).alias(f"__t_{name}"))
+        elif s.agg in ("last", "first"):
             pick = F.max_by if (s.agg == "last") != descending else F.min_by
             totals.append(pick(x, F.when(x.isNotNull(), stamp)).alias(f"__t_{name}"))
         else:
@@ -165,7 +181,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: str = P
     parts = base.filter(F.col(part).isNotNull()).groupBy(*keys, part).agg(*totals)
     cw = Window.partitionBy(*keys).orderBy(way(part))
     before = cw.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [_AGG[s.agg](F.col(f"__t_{n}")).over(before).alias(f"__c_{n}")
+    carried = [(F.flatten(F.collect_list(f"__t_{n}").over(before)) if s.agg == "collect" else
+                _AGG[s.agg](F.col(f"__t_{n}")).over(before)).alias(f"__c_{n}")
                for n, s in wanted.items() if isinstance(s, Running)]
     if shifts:
         carried += [F.flatten(F.collect_list("__tail").over(cw.rowsBetween(-depth, -1))).alias("__before"),
