@@ -83,8 +83,21 @@ def transition_distribution(df: DataFrame) -> DataFrame:
     return c.withColumn("share", F.col("n") / c.agg(F.sum("n")).scalar())
 
 
-def profile(df: DataFrame, spec: LifecycleSpec) -> DataFrame:
-    """One-row profile of an event set: one pass per grain, scalars put side by side."""
+def arrival_split(df: DataFrame, arrivals: DataFrame, spec: LifecycleSpec) -> DataFrame:
+    """Applications and rows of an event set by whether the application arrived in the period or was
+    carried into it. `arrivals`: application_id."""
+    per = df.filter("application_id is not null").groupBy("application_id").agg(
+        n_if(is_label(spec.approval)).alias("a"), n_if(is_label(spec.terminal)).alias("t"))
+    per = per.join(arrivals.select("application_id", F.lit(True).alias("__new")), "application_id", "left")
+    new, a, t = F.coalesce("__new", F.lit(False)), F.col("a") > 0, F.col("t") > 0
+    return per.agg(n_if(~new).alias("carried_forward_event_applications"), n_if(~new & a).alias("carried_forward_aip_applications"),
+                   F.coalesce(F.sum(F.when(~new, F.col("a"))), F.lit(0)).alias("carried_forward_aip_rows"), n_if(new & a).alias("arrival_aip_applications"),
+                   n_if(new & t).alias("arrival_ptp_applications"), n_if(~new & t).alias("carried_forward_ptp_applications"))
+
+
+def profile(df: DataFrame, spec: LifecycleSpec, arrivals: DataFrame | None = None) -> DataFrame:
+    """One-row profile of an event set: one pass per grain, scalars put side by side. With
+    `arrivals` the carried and the arrived applications are also counted apart."""
     day = F.dayofmonth("event_datetime")
     share = lambda cond: F.round(F.sum(flag(cond)) / F.count(F.lit(1)), 9)
     uniq = lambda label: F.countDistinct(F.when(is_label(label), F.col("application_id")))
@@ -107,7 +120,7 @@ def profile(df: DataFrame, spec: LifecycleSpec) -> DataFrame:
     nxt = quantiles(first, "d", {"median_creation_to_next_seconds": .5, "p90_creation_to_next_seconds": .9})
     one = F.lit(1).alias("__one")
     out = base.select("*", one)
-    for part in (per, med, gap, nxt):
+    for part in (per, med, gap, nxt, *([] if arrivals is None else [arrival_split(df, arrivals, spec)])):
         out = out.join(part.select("*", one), "__one", "left")
     return out.drop("__one").withColumns({
         "events_per_event_active_context": F.round(F.col("events") / F.col("event_active_contexts"), 9),

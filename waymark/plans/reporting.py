@@ -79,6 +79,15 @@ def _(t: Tables):
     return rounded(R.profile(t.stream(), SPEC), ["median_inter_event_seconds", "p90_inter_event_seconds", "median_creation_to_next_seconds", "p90_creation_to_next_seconds"])
 
 
+@query("r5_arrival_split", f"""with {Q.LIFE}, s as (select * from ev where is_simulated and application_id is not null), n as (select application_id from life where application_created_at >= timestamp '{SIM0}'),
+  p as (select application_id, count(*) filter (where journey_substage = 'click') as a, count(*) filter (where journey_substage = 'purchase') as t, application_id in (select application_id from n) as fresh from s group by 1)
+  select count(*) filter (where not fresh) as carried_forward_event_applications, count(*) filter (where not fresh and a > 0) as carried_forward_aip_applications,
+    cast(coalesce(sum(a) filter (where not fresh), 0) as bigint) as carried_forward_aip_rows, count(*) filter (where fresh and a > 0) as arrival_aip_applications,
+    count(*) filter (where fresh and t > 0) as arrival_ptp_applications, count(*) filter (where not fresh and t > 0) as carried_forward_ptp_applications from p""")
+def _(t: Tables):
+    return R.arrival_split(t.stream().filter("is_simulated"), t.lifecycles().filter(F.col("application_created_at") >= C.ntz(SIM0)), SPEC)
+
+
 @query("r6_arrival_profile", f"""with {Q.LIFE} select count(*) as arrivals, count(distinct cast(application_created_at as date)) as active_days,
   round(count(*) filter (where day(application_created_at) <= 11) / count(*), 9) as share_by_11, round(count(*) filter (where day(application_created_at) <= 15) / count(*), 9) as share_by_15,
   round(count(*) filter (where day(application_created_at) >= 24) / count(*), 9) as share_24_31, round(count(*) filter (where isodow(application_created_at) >= 6) / count(*), 9) as weekend_share from life""")

@@ -18,12 +18,12 @@ from ..operators import stats as H
 from ..operators import survival as S
 from ..session import materialize
 from ..sources.adapters import ORDER_SPEC, STREAM_SPEC as SPEC
-from ..spec import HAZARD_EDGES, LAW_STRATA, NAME_LEVELS, QUANTILES, RESIDUAL_LEVELS, THRESHOLDS
+from ..spec import HAZARD_EDGES, LAW_STRATA, MOTIF_LEVELS, NAME_LEVELS, QUANTILES, RESIDUAL_LEVELS, THRESHOLDS
 from . import sql as Q
 from .journeys import _GAP, _GUARD, _KIND, _RESP, equal_age_sql, keyed
 from .registry import Tables, query
 from .reporting import _CARRY, _carry, qcols, rounded
-from .views_laws import _HZ, _INT, _NAMES, _RT, hazard_rows, lm, names
+from .views_laws import _HZ, _INT, _MO, _NAMES, _RT, hazard_rows, lm, names
 
 START, MID, END = Q.START, Q.MID, Q.END
 LEVELS = {k: keys for k, (keys, _) in SPEC.law_levels.items()}
@@ -71,6 +71,20 @@ def _(t: Tables):
     return cohort(t, pooled_law(t)).groupBy(F.coalesce("model_level", F.lit("MISS")).alias("model_level")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_MB = [(l, keys) for l, keys in MOTIF_LEVELS.items()]
+_MFL = "current_journey_substage, channel, time_bucket, prior_send_bucket, current_journey_stage".split(", ")
+
+
+@query("j13_backoff_join", f"""{_MO}, tr as (select * from mo where status = 'RETAINED_MOTIF' and event_datetime < timestamp '{MID}'),
+  mx as ({Q.level_union('tr', MOTIF_LEVELS, _MFL, '1 as one')}), pl as (select model_level, {', '.join(_MFL)} from mx group by all having count(*) >= 20),
+  cand as ({' union all '.join(f"select {i} as r, '{l}' as model_level, source_row, " + ', '.join(f if f in keys else f"'' as {f}" for f in _MFL) + f" from mo where event_datetime >= timestamp '{MID}'" for i, (l, keys) in enumerate(_MB))})
+  select source_row, arg_min(model_level, r) as model_level from cand join pl using (model_level, {', '.join(_MFL)}) group by 1""")
+def _(t: Tables):
+    m = materialize(M.motifs(t.stream(True), SPEC, 43200, END))
+    early = F.col("event_datetime") < C.ntz(MID)
+    return G.backoff(m.filter(~early), M.motif_model(m.filter(early), MOTIF_LEVELS, 20), MOTIF_LEVELS).select("source_row", "model_level")
+
+
 @query("g2_categorical_draw", f"""{_NAMES}, c as (select journey_substage, event_name, sum(support_count) over (partition by journey_substage order by event_name) as cum, denominator from nm where model_level = 'SUBSTAGE'),
   d as (select source_row, journey_substage, ('0x' || substr(sha256('7|event-name|' || cast(source_row as varchar)), 1, 16))::ubigint::double / 18446744073709551616.0 as u from ev)
   select source_row, min(event_name) as event_name from d join c using (journey_substage) where u * denominator < cum group by 1""")
