@@ -13,8 +13,8 @@ from ..session import configure, materialize
 __all__ = ["BytesHasher", "configure_text", "documents", "materialize", "mix", "pieces", "row_hash", "same_row",
            "shingles", "token_bounds", "BLANK_CLASS", "WORD_OR_SIGN_CLASS", "LOWER"]
 
-#: Rows that one Arrow batch hands to Python; with long texts the default of 10,000 is too much memory.
-BATCH_ROWS = "1000"
+#: Rows and bytes that one Arrow batch hands to Python; with long texts the default of 10,000 rows is too much memory.
+BATCH_ROWS, BATCH_BYTES = "1000", str(16 << 20)
 #: Bytes of text that one numpy step works on.
 PIECE_BYTES = 1 << 20
 
@@ -22,6 +22,7 @@ PIECE_BYTES = 1 << 20
 def configure_text(spark: SparkSession) -> SparkSession:
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -35,8 +36,8 @@ def row_hash(text: Column = None) -> Column:
 
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
-    """Join condition on (doc_id, row); a NULL doc_id is an id like any other."""
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
+    """Join condition on (doc_id, __row); a NULL doc_id is an id like any other."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["__row"] == b["__row"])
 
 
 # --- bytes -------------------------------------------------------------------------------------------

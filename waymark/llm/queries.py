@@ -6,8 +6,13 @@ from importlib import import_module
 
 #: module -> query; a module's ORACLE is the statement of its query.
 MODULES = {
+    "decontamination": "op1_decontamination",
+    "secret_links": "op2_secret_links",
+    "block_topk": "op3_block_topk",
     "bpe": "op6_bpe",
     "quality": "op7_quality",
+    "line_dedup": "op8_line_dedup",
+    "ppm": "op9_ppm",
     "sharding": "op10_sharding",
 }
 
