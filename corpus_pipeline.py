@@ -12,10 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.bpe import tokens_of
 from waymark.llm.common import documents, materialize
+from waymark.llm.decontamination import drop_contaminated
+from waymark.llm.jaccard_groups import keep_one_of_group
+from waymark.llm.line_dedup import drop_common_lines
 from waymark.llm.quality import keep_quality
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", keep_quality),
+    ("line dedup", drop_common_lines),
+    ("n-gram Jaccard join", keep_one_of_group),
+    ("benchmark decontamination", drop_contaminated),
     ("BPE encoding and decoding", tokens_of),
 ]
 

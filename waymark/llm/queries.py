@@ -9,6 +9,8 @@ MODULES = {
     "decontamination": "op1_decontamination",
     "secret_links": "op2_secret_links",
     "block_topk": "op3_block_topk",
+    "jaccard_groups": "op4_jaccard_groups",
+    "suffix_dedup": "op5_suffix_dedup",
     "bpe": "op6_bpe",
     "quality": "op7_quality",
     "line_dedup": "op8_line_dedup",
