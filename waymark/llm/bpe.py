@@ -184,8 +184,8 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, ids: bool = Fa
     vocabulary: path of the file on the driver; its text goes to the workers."""
     with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary, whatever the corpus
-    added = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
-    added += [("ids", "array<int>", pa.list_(pa.int32()))] * ids + [("decoded", "string", pa.string())] * decoded
+    added = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
+    added += [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))] * ids + [("decoded", T.StringType(), pa.string())] * decoded
     docs = docs.drop(*(name for name, _, _ in added))
     schema = T.StructType(list(docs.schema.fields))
     for name, kind, _ in added:

@@ -120,7 +120,7 @@ def sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
                 gone.extend((held[c][0], held[c][1], held[c][2] + x, held[c][2] + y + length) for c, x, y in zip(of.tolist(), low.tolist(), high.tolist(), strict=True))
             held.clear()
 
-        last, since = None, 0  # since: where the group of the current gram begins
+        last, head, since = None, None, 0  # since: where the group of the current gram begins
         for b in batches:
             for g, k, t, s, c in zip(*(b.column(x).to_pylist() for x in ("gram", "key", "tag", "start", "context")), strict=True):
                 if g != gram:
@@ -130,12 +130,12 @@ def sorted_repeats(contexts: DataFrame, length: int) -> DataFrame:
                         flush()
                         size = 0
                     gram, last, since = g, None, len(held)
-                if c == last:
-                    gone.append((k, t, s, s + len(c)))
-                else:
+                if c != last:
                     held.append((k, t, s, c))
                     size += len(c)
-                    last = c
+                    last, head = c, (k, t, s)
+                elif (k, t, s) != head:
+                    gone.append((k, t, s, s + len(c)))
             if gone:
                 yield out(gone)
                 gone.clear()
