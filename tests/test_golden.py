@@ -69,7 +69,7 @@ def test_gap_neighbourhood(spark):
 def test_matching_uses_each_donor_once_inside_the_range(spark):
     donors = spark.createDataFrame([(f"d{i}", "s", 30.0 + i / 10) for i in range(60)], "donor_id string, stratum string, gap double")
     targets = spark.createDataFrame([(f"t{i}", "s", 33.0) for i in range(40)], "target_id string, stratum string, target double").withColumn("asked_at", F.col("target_id"))
-    got = M.match_donors(targets, donors, 30, rounds=8).collect()
+    got = M.match_donors(targets, donors, 30).collect()
     used = [r["donor_id"] for r in got if r["donor_id"]]
     assert len(used) == len(set(used)) and len(used) >= 30
     assert all(r["gap_lo"] <= r["gap"] <= r["gap_hi"] for r in got if r["donor_id"])
@@ -153,7 +153,8 @@ def test_competing_send_and_suppression(spark):
     assert got == {0: "CENSORED_BY_COMPETING_SEND", 1: "RESPONDED"}
     sends = ev.filter("source_row = 1").withColumn("scheduled_at", F.col("event_datetime"))
     ends = ev.sparkSession.createDataFrame([("a", "2026-04-02 00:30:00")], "application_id string, t string").select("application_id", F.col("t").cast("timestamp_ntz").alias("terminal_datetime"))
-    assert L.suppress_sends(sends, ends).first()["status"] == "SUPPRESSED_BY_TERMINAL"
+    got = L.suppress_sends(sends, ends).first()
+    assert (got["status"], got["suppression_reason"]) == ("SUPPRESSED_BY_TERMINAL", "TERMINAL")
 
 
 @pytest.mark.parametrize("d, lo, hi, m, want", [

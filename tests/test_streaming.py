@@ -21,6 +21,23 @@ def write_files(df, folder, n=4):
             part.coalesce(1).write.mode("append").parquet(folder)
 
 
+def end_rows(spark, like):
+    """Two far later rows, so that the watermark passes all others."""
+    for day, row in (("2024-06-01", -1), ("2024-06-02", -2)):
+        end = spark.range(1).select(*[{
+            "application_id": F.lit("end"), "context_id": F.lit("end"), "event_datetime": C.ntz(f"{day} 00:00:00"), "source_row": F.lit(row).cast("long")}.get(
+            c, F.array(F.lit("view")) if c == "labels" else F.lit("view") if c == "journey_substage" else F.lit(None)).cast(like.schema[c].dataType).alias(c) for c in like.columns])
+        yield end
+
+
+def write_late(df, folder):
+    """Five files dealt by hash, so that about every row has a later one in an earlier batch; then the end."""
+    for k in range(5):
+        df.filter(F.pmod(F.xxhash64("application_id", "event_datetime", "source_row"), F.lit(5)) == k).coalesce(1).write.mode("append").parquet(folder)
+    for end in end_rows(df.sparkSession, df):
+        end.coalesce(1).write.mode("append").parquet(folder)
+
+
 def drain(df, folder, name):
     q = (df.writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-cp")
          .outputMode("append").trigger(availableNow=True).start())
@@ -98,13 +115,27 @@ def test_competing_send(spark, tables, folder):
 
 def test_running_features(spark, tables, folder):
     p = tables.packets().select("application_id", "context_id", "event_datetime", F.lit(0).cast("long").alias("source_row"), "labels", "regime", "prior_depth", "ptp_eligible")
-    write_files(p, f"{folder}/in")
-    st = jobs.read_events(spark, f"{folder}/in", "application_id string, context_id string, event_datetime timestamp_ntz, source_row bigint, labels array<string>", files_per_batch=1)
-    got = drain(rules.running_features(st, SPEC), folder, "out")
+    write_late(p, f"{folder}/in")
+    st = jobs.read_events(spark, f"{folder}/in", "application_id string, context_id string, event_datetime timestamp_ntz, source_row bigint, labels array<string>", delay="60 days", files_per_batch=1)
+    got = drain(rules.running_features(st, SPEC), folder, "out").filter("application_id <> 'end'")
     want = p.select("application_id", C.micros("event_datetime").alias("event_us"), "regime", "prior_depth", "ptp_eligible")
     assert rows(got) == rows(want)
 
 
+def test_rules_hold_late_rows(spark, tables, folder):
+    """Terminals before their creation, responses before their send: all in other batches than event order says."""
+    for name, campaign in (("sends", True), ("lives", False)):
+        write_late(tables.stream(campaign).filter("application_id is not null").select(*COLS), f"{folder}/{name}")
+    read = lambda name: jobs.read_events(spark, f"{folder}/{name}", DDL, delay="60 days", files_per_batch=1)
+    got = drain(rules.keyed_rule(read("sends"), rules.CompetingSend(43200 * 10**6), timers=True), folder, "a")
+    want = L.attribute_responses(tables.stream(True), SPEC, 43200).select(F.col("source_row").alias("send_row"), "status", "response")
+    assert rows(got.select("send_row", "status", "response")) == rows(want)
+    got = drain(rules.lifecycle_monitor(read("lives"), SPEC), folder, "b")
+    full = tables.stream().filter("application_id is not null").filter(L.in_window(True))
+    want = L.outcomes(tables.lifecycles(), full, SPEC, "2024-06-01 00:00:00").select("application_id", "outcome")
+    assert rows(got.select("application_id", "outcome")) == rows(want)
+
+
 def test_sessions(spark, tables, folder):
     ev, st = source(spark, tables, folder)
     got = drain(jobs.sessions(st, "6 hours"), folder, "out").filter("application_id <> 'end'")

@@ -57,12 +57,12 @@ def flag(cond: Column) -> Column:
 
 
 def ladder(x, steps, otherwise) -> Column:
-    """First upper edge (exclusive) above x wins."""
+    """First upper edge (exclusive) above x wins; NULL stays NULL."""
     x = c(x)
     out = None
     for edge, label in steps:
         out = F.when(x < edge, label) if out is None else out.when(x < edge, label)
-    return out.otherwise(otherwise)
+    return out.when(x.isNotNull(), otherwise)
 
 
 def daypart(ts) -> Column:
@@ -85,6 +85,11 @@ def prior_send_bucket(n) -> Column:
     return F.when(n == 0, "0").when(n == 1, "1").when(n <= 3, "2_3").otherwise("4_PLUS")
 
 
+def motif_send_bucket(n) -> Column:
+    n = c(n)
+    return F.when(n == 0, "0").when(n == 1, "1").when(n >= 2, "2_PLUS")
+
+
 def send_gap_bucket(seconds) -> Column:
     s = c(seconds)
     return F.when(s.isNull(), "NO_PRIOR_SEND").otherwise(
@@ -92,9 +97,9 @@ def send_gap_bucket(seconds) -> Column:
 
 
 def bound_band(x, bounds) -> Column:
-    """Number of bounds strictly below x; a value equal to a bound stays in the lower band."""
+    """Number of bounds strictly below x; a value equal to a bound stays in the lower band; NULL stays NULL."""
     x = c(x)
-    return reduce(lambda a, b: a + b, [flag(x > b) for b in bounds]).cast("int")
+    return F.when(x.isNotNull(), reduce(lambda a, b: a + b, [flag(x > b) for b in bounds]).cast("int"))
 
 
 def interval_label(x, edges) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.columns import among, flag, ntz
 from ..spec import LifecycleSpec
 from .lifecycle import APP, TIMELINE, first_terminals, is_label
-from .ordered import Running, Shift, scan
+from .ordered import GEOMETRY, PART, Running, Shift, mark_parts, scan
 
 
 def schema_violations(df: DataFrame, expected: T.StructType, exact: bool = False) -> list[str]:
@@ -73,9 +73,11 @@ def outside_day(df: DataFrame, day: str, end: str) -> DataFrame:
     return as_rule(df.filter(bad), "OUTSIDE_DAY", F.col("source_row"), F.col(day))
 
 
-def time_regressions(df: DataFrame) -> DataFrame:
-    """Rows earlier than the row stored before them in the same application."""
-    rows = scan(df.filter("application_id is not null"), APP, ["source_row"], __prev=Shift(F.col("event_datetime")))
+def time_regressions(df: DataFrame, hot_rows: int = LifecycleSpec.hot_rows) -> DataFrame:
+    """Rows earlier than the row stored before them in the same application. Hot applications are cut
+    by `source_row`, the order of this scan, whatever they came cut by."""
+    rows = mark_parts(df.filter("application_id is not null").drop(PART, *GEOMETRY), APP, F.col("source_row"), hot_rows)
+    rows = scan(rows, APP, ["source_row"], __prev=Shift(F.col("event_datetime")))
     return as_rule(rows.filter(F.col("__prev") > F.col("event_datetime")), "TIME_REGRESSION", F.col("source_row"))
 
 
@@ -154,18 +156,35 @@ def row_rules(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
 
 
 # Decision-log vocabulary.
-DECISION_STATUSES = ("SCHEDULED", "SENT", "SUPPRESSED_BY_TERMINAL", "SUPPRESSED_BY_EXPIRY", "NO_ACTION")
+ELIGIBILITY = ("ELIGIBLE", "INELIGIBLE")
+DECISION_ACTIONS = ("SEND", "NO_ACTION")
+DECISION_STATUSES = ("NO_ACTION", "SCHEDULED", "REALIZED", "SUPPRESSED_TERMINAL", "SUPPRESSED_DELIVERY", "CANCELED")
 
 
 def decision_log_violations(df: DataFrame, channels: Sequence[str], buckets: Sequence[str]) -> DataFrame:
-    send = F.col("campaign_sent")
+    """Broken rules of a decision log, one row each. Columns: decision_id, eligibility_status, action,
+    channel, time_bucket, opportunity_datetime, scheduled_send_datetime, realized_send_datetime,
+    outcome_status, suppression_reason."""
+    eligible, send = F.col("eligibility_status") == "ELIGIBLE", F.coalesce(F.col("action") == "SEND", F.lit(False))
+    status = F.col("outcome_status")
+    stopped = among(status, ("SUPPRESSED_TERMINAL", "SUPPRESSED_DELIVERY", "CANCELED"))
+    planned = among(status, ("SCHEDULED", "REALIZED", "SUPPRESSED_TERMINAL", "SUPPRESSED_DELIVERY"))
+    realized = F.coalesce(status == "REALIZED", F.lit(False))
     rows = row_rules(df, "decision_id", {
-        "STATUS_UNKNOWN": ~among("status", DECISION_STATUSES),
+        "ELIGIBILITY_UNKNOWN": ~among("eligibility_status", ELIGIBILITY),
+        "ACTION_UNKNOWN": eligible & ~among("action", DECISION_ACTIONS),
+        "ACTION_FORBIDDEN": (F.col("eligibility_status") == "INELIGIBLE") & F.col("action").isNotNull(),
+        "STATUS_UNKNOWN": ~among(status, DECISION_STATUSES),
         "CHANNEL_REQUIRED": send & ~among("channel", channels),
         "BUCKET_REQUIRED": send & ~among("time_bucket", buckets),
         "FIELDS_FORBIDDEN": ~send & (F.col("channel").isNotNull() | F.col("time_bucket").isNotNull()),
-        "SEND_BEFORE_DECISION": F.col("scheduled_at") < F.col("decided_at"),
-        "STATUS_MISMATCH": send == (F.col("status") == "NO_ACTION")})
+        "SCHEDULE_REQUIRED": planned & F.col("scheduled_send_datetime").isNull(),
+        "SEND_BEFORE_DECISION": F.col("scheduled_send_datetime") < F.col("opportunity_datetime"),
+        "REALIZED_REQUIRED": realized & F.col("realized_send_datetime").isNull(),
+        "REALIZED_FORBIDDEN": ~realized & F.col("realized_send_datetime").isNotNull(),
+        "REALIZED_BEFORE_SCHEDULE": F.col("realized_send_datetime") < F.col("scheduled_send_datetime"),
+        "REASON_REQUIRED": stopped & F.col("suppression_reason").isNull(),
+        "STATUS_MISMATCH": send == F.coalesce(status == "NO_ACTION", F.lit(False))})
     return rows.unionByName(duplicate_keys(df, "decision_id").select("rule", "key"))
 
 

@@ -268,7 +268,8 @@ def one_line(line: DataFrame, *sources: DataFrame) -> DataFrame:
 
 
 def active_at(points: DataFrame, lifecycles: DataFrame) -> DataFrame:
-    """Lifecycle of the same context that is active at each point, and how many are.
+    """Lifecycle of the same context that is active at each point (of several the one that ends last),
+    and how many are: more than one is the caller's to judge.
 
     Starts count +1 and ends -1 on one ordered line per context, so the cost is linear however many
     lifecycles a context has. `points`: context_id, at, part and its geometry, plus anything.
@@ -276,16 +277,17 @@ def active_at(points: DataFrame, lifecycles: DataFrame) -> DataFrame:
     def side(df, at, kind, step):
         return repart(df, micros(at)).select("context_id", "part", micros(at).alias("__at"), F.lit(kind).alias("__kind"),
                          F.lit(step).alias("__step"), F.col("source_row").alias("__tie"),
-                         F.struct("application_id", "deadline").alias("__life"))
+                         F.struct("deadline", "application_created_at", "source_row", "application_id").alias("__life"))
     row = F.struct(*[F.col(x) for x in points.columns])
     line = (side(lifecycles, "application_created_at", 1, 1)
-            .unionByName(side(lifecycles, "deadline", 0, -1).withColumn("__life", F.lit(None).cast("struct<application_id:string,deadline:timestamp_ntz>")))
+            .unionByName(side(lifecycles, "deadline", 0, -1).withColumn("__life", F.when(F.lit(False), F.col("__life"))))
             .unionByName(repart(points, micros("at")).select("context_id", "part", micros("at").alias("__at"), F.lit(2).alias("__kind"),
                                        F.lit(0).alias("__step"), F.lit(0).cast("long").alias("__tie"), row.alias("__row")),
                          allowMissingColumns=True))
     line = one_line(line, points, lifecycles)
     line = scan(line, ["context_id"], ["__at", "__kind", "__tie"],
-                active_count=Running("sum", F.col("__step")), __last=Running("last", F.col("__life")))
+                active_count=Running("sum", F.col("__step")), __last=Running("max", F.col("__life")))
+    # of all lifecycles started so far the one that ends last is active if any is
     return line.filter(F.col("__row").isNotNull()).select(
         "__row.*", "active_count",
         F.when(F.col("active_count") > 0, F.col("__last.application_id")).alias("active_application_id"))
@@ -328,11 +330,12 @@ def screen_arrivals(arrivals: DataFrame, registry: DataFrame) -> DataFrame:
 # --- campaign rules ---------------------------------------------------------------------------------
 
 def suppress_sends(sends: DataFrame, terminals: DataFrame) -> DataFrame:
-    """Status of a scheduled send given the application's end."""
+    """Status of a scheduled send given the application's end, terminal or expiry, which
+    `suppression_reason` tells apart."""
     rows = sends.join(terminals, "application_id", "left")
     at = F.col("scheduled_at")
-    return rows.withColumn("status", F.when(F.col("terminal_datetime") <= at, "SUPPRESSED_BY_TERMINAL")
-                           .when(at >= F.col("deadline"), "SUPPRESSED_BY_EXPIRY").otherwise("SENT"))
+    reason = F.when(F.col("terminal_datetime") <= at, "TERMINAL").when(at >= F.col("deadline"), "EXPIRY")
+    return rows.withColumns({"suppression_reason": reason, "status": F.when(reason.isNotNull(), "SUPPRESSED_BY_TERMINAL").otherwise("SENT")})
 
 
 def attribute_responses(events: DataFrame, spec: LifecycleSpec, horizon_seconds: int,

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import (age_bucket, among, draw, flag, micros, ntz, plus_seconds, prior_send_bucket, regime,
+from ..functions.columns import (age_bucket, among, draw, flag, micros, motif_send_bucket, ntz, plus_seconds, prior_send_bucket, regime,
                                  seconds_between, send_gap_bucket, weekday)
 from ..session import materialize
 from ..spec import LifecycleSpec
@@ -111,7 +112,7 @@ def motifs(events: DataFrame, spec: LifecycleSpec, horizon_seconds: int, source_
     return m.select(
         "application_id", "source_row", "event_datetime", "channel", "time_bucket",
         F.coalesce("pre_state", F.lit("")).alias("current_journey_substage"), F.coalesce("pre_stage", F.lit("")).alias("current_journey_stage"),
-        prior_send_bucket("sends").alias("prior_send_bucket"),
+        motif_send_bucket("sends").alias("prior_send_bucket"),
         F.when(F.length(seq) > 0, seq).otherwise("NO_ENGAGEMENT").alias("engagement_sequence"),
         F.coalesce("j.journey_substage", F.lit("NO_JOURNEY_RESPONSE")).alias("next_journey_substage"),
         F.col("o.delay").alias("open_delay_seconds"), F.col("c.delay").alias("click_delay_seconds"), F.col("j.delay").alias("journey_delay_seconds"),
@@ -312,19 +313,20 @@ def gap_neighbourhood(targets: DataFrame, donors: DataFrame, minimum: int = 30)
     return out.select("target_id", "stratum", "target", reason.alias("reason"), lo.alias("gap_lo"), hi.alias("gap_hi"))
 
 
-def match_donors(targets: DataFrame, donors: DataFrame, minimum: int = 30, rounds: int = 8, seed: int = 7) -> DataFrame:
+def match_donors(targets: DataFrame, donors: DataFrame, minimum: int = 30, seed: int = 7) -> DataFrame:
     """Assign each target a donor of its stratum inside its supported gap range, no donor twice.
 
     Sequential picking cannot be spread, so it runs in rounds: every open target asks for one free
     donor by hash position inside its range; a donor accepts the earliest asker; the rest try again
-    among donors still free. `targets`: target_id, stratum, target, asked_at. `donors`: donor_id,
-    stratum, gap. Targets left over after the rounds are returned without a donor.
+    among donors still free. Each round with an asker has a winner, so it ends, and a target is left
+    without a donor only if none is free in its range. `targets`: target_id, stratum, target,
+    asked_at. `donors`: donor_id, stratum, gap.
     """
     ranged = materialize(gap_neighbourhood(targets.select("target_id", "stratum", "target"), donors, minimum)
                          .join(targets.select("target_id", "asked_at"), "target_id"))
     taken, open_, free, ranged_columns = None, ranged, donors, ranged.columns
     scale = lambda x: F.round(x * 1e6).cast("long")
-    for i in range(rounds):
+    for i in count():
         order = materialize(ranked(free.select("donor_id", "stratum", "gap"), ["stratum"], "gap", "donor_id"))
         steps = order.groupBy("stratum", "gap").agg(F.max("rank").alias("rank")).withColumn("part", value_part("gap"))
         ends = F.array(F.struct(F.lit("r_lo").alias("mark"), (scale(F.col("gap_lo")) - 1).alias("p")), F.struct(F.lit("r_hi").alias("mark"), scale(F.col("gap_hi")).alias("p")))

@@ -123,7 +123,7 @@ def _(t: Tables):
     return K.missing_names(t.stream().withColumn("event_name", F.when(F.col("event_name") == "k0", "").when(F.col("event_name") != "k1", F.col("event_name"))))
 
 
-@query("b15_row_reconciliation", f"""with {Q.EV} select count(*) filter (where not is_simulated) as history_rows, count(*) filter (where is_simulated) as daily_rows, count(*) as combined_rows, true as reconciled from ev""")
+@query("b15_row_reconciliation", f"""with {Q.EV} select count(*) filter (where not is_simulated) as history_rows, count(*) filter (where is_simulated) as daily_rows, count(*) as combined_rows, count(*) filter (where not is_simulated) + count(*) filter (where is_simulated) = count(*) as reconciled from ev""")
 def _(t: Tables):
     from ..sources.sinks import combine
     ev = t.stream()
@@ -162,27 +162,37 @@ def _(t: Tables):
     return K.law_violations(S.fit_law(t.episodes(), SPEC), by, SPEC)
 
 
-@query("b20_decision_log", f"""with {Q.CV}, d as (select 'D' || cast(source_row as varchar) as decision_id, journey_substage = 'campaign_sent' as campaign_sent,
-    case when journey_substage = 'campaign_sent' and event_name <> 'k0' then channel when journey_substage = 'error' then channel end as channel, event_datetime as decided_at,
-    event_datetime + (case when journey_substage = 'click' then -1 else 1 end) * interval 1 hour as scheduled_at,
-    case when journey_substage = 'campaign_sent' then 'SENT' when journey_substage = 'purchase' then 'LOST' else 'NO_ACTION' end as status from cv)
-  select 'STATUS_UNKNOWN' as rule, decision_id as key from d where status = 'LOST'
-  union all select 'CHANNEL_REQUIRED', decision_id from d where campaign_sent and channel is null
-  union all select 'BUCKET_REQUIRED', decision_id from d where campaign_sent
-  union all select 'FIELDS_FORBIDDEN', decision_id from d where not campaign_sent and channel is not null
-  union all select 'SEND_BEFORE_DECISION', decision_id from d where scheduled_at < decided_at
-  union all select 'STATUS_MISMATCH', decision_id from d where campaign_sent = (status = 'NO_ACTION')""")
+@query("b20_decision_log", f"""with {Q.CV}, d as (select 'D' || cast(source_row as varchar) as decision_id,
+    case journey_substage when 'error' then 'UNKNOWN' when 'login' then 'INELIGIBLE' else 'ELIGIBLE' end as eligibility, case when journey_substage = 'campaign_sent' then 'SEND' when journey_substage <> 'login' or event_name = 'k1' then 'NO_ACTION' end as action,
+    case when journey_substage = 'campaign_sent' and event_name <> 'k0' then channel when journey_substage = 'error' then channel end as channel, event_datetime as at,
+    case when journey_substage = 'campaign_sent' and event_name <> 'k2' then event_datetime + (case when event_name = 'k3' then -1 else 1 end) * interval 1 hour end as due,
+    case when journey_substage = 'campaign_sent' and event_name <> 'k4' then event_datetime + (case when event_name = 'k5' then 0 else 2 end) * interval 1 hour end as realized,
+    case when journey_substage = 'campaign_sent' then (case when event_name = 'k6' then 'CANCELED' else 'REALIZED' end) when journey_substage = 'purchase' then 'LOST' else 'NO_ACTION' end as status from cv),
+  stated as (select decision_id, unnest([
+    case when eligibility = 'UNKNOWN' then 'ELIGIBILITY_UNKNOWN' end, case when eligibility = 'ELIGIBLE' and action is null then 'ACTION_UNKNOWN' end, case when eligibility = 'INELIGIBLE' and action is not null then 'ACTION_FORBIDDEN' end,
+    case when status = 'LOST' then 'STATUS_UNKNOWN' end, case when action = 'SEND' and channel is null then 'CHANNEL_REQUIRED' end, case when action = 'SEND' then 'BUCKET_REQUIRED' end,
+    case when coalesce(action, '') <> 'SEND' and channel is not null then 'FIELDS_FORBIDDEN' end, case when status = 'REALIZED' and due is null then 'SCHEDULE_REQUIRED' end, case when due < at then 'SEND_BEFORE_DECISION' end,
+    case when status = 'REALIZED' and realized is null then 'REALIZED_REQUIRED' end, case when status <> 'REALIZED' and realized is not null then 'REALIZED_FORBIDDEN' end, case when realized < due then 'REALIZED_BEFORE_SCHEDULE' end,
+    case when status = 'CANCELED' then 'REASON_REQUIRED' end, case when (coalesce(action, '') = 'SEND') = (status = 'NO_ACTION') then 'STATUS_MISMATCH' end]) as rule from d)
+  select rule, decision_id as key from stated where rule is not null""")
 def _(t: Tables):
-    label = F.col("journey_substage")
-    d = t.stream(True).select(F.concat(F.lit("D"), F.col("source_row").cast("string")).alias("decision_id"), (label == "campaign_sent").alias("campaign_sent"),
-        F.when((label == "campaign_sent") & (F.col("event_name") != "k0"), F.col("channel")).when(label == "error", F.col("channel")).alias("channel"),
-        F.lit(None).cast("string").alias("time_bucket"), F.col("event_datetime").alias("decided_at"),
-        F.when(label == "click", C.plus_seconds("event_datetime", -3600)).otherwise(C.plus_seconds("event_datetime", 3600)).alias("scheduled_at"),
-        F.when(label == "campaign_sent", "SENT").when(label == "purchase", "LOST").otherwise("NO_ACTION").alias("status"))
+    label, name, at = F.col("journey_substage"), F.col("event_name"), F.col("event_datetime")
+    send = label == "campaign_sent"
+    d = t.stream(True).select(
+        F.concat(F.lit("D"), F.col("source_row").cast("string")).alias("decision_id"), at.alias("opportunity_datetime"),
+        F.when(label == "error", "UNKNOWN").when(label == "login", "INELIGIBLE").otherwise("ELIGIBLE").alias("eligibility_status"),
+        F.when(send, "SEND").when((label != "login") | (name == "k1"), "NO_ACTION").alias("action"),
+        F.when(send & (name != "k0"), F.col("channel")).when(label == "error", F.col("channel")).alias("channel"), F.lit(None).cast("string").alias("time_bucket"),
+        F.when(send & (name != "k2"), F.when(name == "k3", C.plus_seconds(at, -3600)).otherwise(C.plus_seconds(at, 3600))).alias("scheduled_send_datetime"),
+        F.when(send & (name != "k4"), F.when(name == "k5", at).otherwise(C.plus_seconds(at, 7200))).alias("realized_send_datetime"),
+        F.when(send, F.when(name == "k6", "CANCELED").otherwise("REALIZED")).when(label == "purchase", "LOST").otherwise("NO_ACTION").alias("outcome_status"),
+        F.lit(None).cast("string").alias("suppression_reason"))
     return K.decision_log_violations(d, CHANNELS, ["morning", "afternoon", "evening", "night"])
 
 
-@query("b21_expected_counts", f"""with {Q.EV} select 'FAIL' as status, 'users=' || cast(count(distinct context_id) as varchar) || ' expected 1' as differences from ev""")
+@query("b21_expected_counts", f"""with {Q.EV}, m as (select count(distinct journey_substage) as l, count(distinct context_id) as u, count(distinct data_origin) as o from ev),
+  d as (select concat_ws('; ', case when l <> 5 then 'labels=' || cast(l as varchar) || ' expected 5' end, case when u <> 1 then 'users=' || cast(u as varchar) || ' expected 1' end, case when o <> 3 then 'origins=' || cast(o as varchar) || ' expected 3' end) as differences from m)
+  select case when differences = '' then 'PASS' else 'FAIL' end as status, differences from d""")
 def _(t: Tables):
     ev = t.stream()
     m = ev.agg(F.countDistinct("journey_substage").alias("labels"), F.countDistinct("context_id").alias("users"), F.countDistinct("data_origin").alias("origins"))
@@ -202,8 +212,9 @@ def _(t: Tables):
     return K.criteria(m, _CRIT)
 
 
-@query("h16_gate", f"""with {Q.EV}, m as (select avg(case when journey_substage = 'purchase' then 1.0 else 0.0 end) as p, avg(case when journey_substage = 'error' then 1.0 else 0.0 end) as e from ev)
-  select 'FAIL' as status, 3 as criteria, 'error_share' as failed from m where p >= 0.1 and e > 0.1""")
+@query("h16_gate", f"""with {Q.EV}, m as (select avg(case when journey_substage = 'purchase' then 1.0 else 0.0 end) as p, avg(case when journey_substage = 'error' then 1.0 else 0.0 end) as e, count(distinct journey_substage) as l from ev),
+  f as (select concat_ws(',', case when e > 0.1 then 'error_share' end, case when l <> 5 then 'labels' end, case when p < 0.1 then 'terminal_share' end) as failed from m)
+  select case when failed = '' then 'PASS' else 'FAIL' end as status, 3 as criteria, failed from f""")
 def _(t: Tables):
     x = lambda l: F.avg(C.flag(F.col("journey_substage") == l))
     m = t.stream().agg(x("purchase").alias("terminal_share"), x("error").alias("error_share"), F.countDistinct("journey_substage").alias("labels"))
@@ -241,7 +252,7 @@ _LOG = """d as (select cast(cast(ts as date) as varchar) as day, count(*) as row
   l as (select *, lag(commit_hash) over (order by day) as prev, lag(day) over (order by day) as pd from log)"""
 
 
-@query("b26_commit_chain", f"""with {_LOG} select 'HASH_LINK' as rule, day as key from l where day = '2024-01-15'
+@query("b26_commit_chain", f"""with {_LOG} select 'HASH_LINK' as rule, day as key from l where coalesce(case when day = '2024-01-15' then 'broken' else prev end, '') <> coalesce(prev, '')
   union all select 'MISSING_DAY', day from l where cast(pd as date) + 1 <> cast(day as date)""")
 def _(t: Tables):
     from pyspark.sql import Window

@@ -59,7 +59,7 @@ def _(t: Tables):
     return t.lifecycles().join(L.first_terminals(t.stream(), SPEC), "application_id", "left_anti").select("application_id")
 
 
-_BOUNDS = "bounds as (select unnest(generate_series(timestamp '2024-01-10', timestamp '2024-01-17', interval 1 day)) as bound)"
+_BOUNDS = "bounds as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-31', interval 1 day)) as bound)"
 
 
 _PT = f"{_BOUNDS}, pt as (select * from life, bounds where bound > application_created_at and bound < deadline)"
@@ -67,8 +67,8 @@ _PT = f"{_BOUNDS}, pt as (select * from life, bounds where bound > application_c
 
 def _points(t: Tables):
     """Each lifecycle at the daily landmarks that fall inside it."""
-    lo = F.greatest(F.date_add(F.to_date("application_created_at"), 1), F.lit("2024-01-10").cast("date"))
-    hi = F.least(F.to_date(C.plus_seconds("deadline", -0.000001)), F.lit("2024-01-17").cast("date"))
+    lo = F.greatest(F.date_add(F.to_date("application_created_at"), 1), F.lit("2024-01-01").cast("date"))
+    hi = F.least(F.to_date(C.plus_seconds("deadline", -0.000001)), F.lit("2024-01-31").cast("date"))
     rows = t.lifecycles().filter(lo <= hi)
     return rows.withColumn("bound", F.explode(F.sequence(lo, hi, F.expr("interval 1 day")))).withColumn(
         "bound", F.col("bound").cast("timestamp_ntz"))
@@ -102,7 +102,7 @@ def _(t: Tables):
 
 
 @query("j9_active_lifecycle_at", f"""with {Q.ORD}, p as (select application_id as point_id, context_id, application_created_at + interval 10 day as pt from reg)
-  select point_id, count(r.application_id) as active_count, arg_max(r.application_id, row(r.application_created_at, r.source_row)) as active_application_id
+  select point_id, count(r.application_id) as active_count, arg_max(r.application_id, row(r.deadline, r.application_created_at, r.source_row)) as active_application_id
   from p left join reg r on r.context_id = p.context_id and r.application_created_at <= p.pt and p.pt < r.deadline group by 1""")
 def _(t: Tables):
     reg = t.orders()
@@ -321,12 +321,12 @@ def _(t: Tables):
 
 @query("d21_send_suppression", f"""with {Q.CV}, s as (select source_row, application_id, deadline, event_datetime + interval 6 hour as due from cv where journey_substage = 'campaign_sent' and application_id is not null),
   p as (select application_id, min(event_datetime) as pt from cv where journey_substage = 'purchase' group by 1)
-  select source_row, case when pt <= due then 'SUPPRESSED_BY_TERMINAL' when due >= deadline then 'SUPPRESSED_BY_EXPIRY' else 'SENT' end as status
+  select source_row, case when pt <= due or due >= deadline then 'SUPPRESSED_BY_TERMINAL' else 'SENT' end as status, case when pt <= due then 'TERMINAL' when due >= deadline then 'EXPIRY' end as suppression_reason
   from s left join p using (application_id)""")
 def _(t: Tables):
     ev = keyed(t, True)
     sends = ev.filter(L.is_label("campaign_sent")).withColumn("scheduled_at", C.plus_seconds("event_datetime", 6 * 3600))
-    return L.suppress_sends(sends, L.first_terminals(ev, SPEC)).select("source_row", "status")
+    return L.suppress_sends(sends, L.first_terminals(ev, SPEC)).select("source_row", "status", "suppression_reason")
 
 
 _RESP = f"""with {Q.CV}, e as (select *, last_value(case when journey_substage = 'campaign_sent' then source_row end ignore nulls) over w as send_row,

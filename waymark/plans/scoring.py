@@ -159,7 +159,7 @@ _RLV = [("SOURCE_AGE_SILENCE_DEPTH", "state, age_band, silence_band, depth_band"
         ("SOURCE", "state, -1, -1, -1"), ("AGE_SILENCE", "'', age_band, silence_band, -1"), ("GLOBAL", "'', -1, -1, -1")]
 
 
-@query("g8_residual_calibration", f"""with {Q.PACK},{Q.landmarks('2024-01-05 00:00:00', '2024-01-28 00:00:00')}, lt as (select * from lm where bound < timestamp '{_SPLIT}'), lv as (select *, row_number() over () as id from lm where bound >= timestamp '{_SPLIT}'),{Q.residual('lt', 'res')},
+@query("g8_residual_calibration", f"""with {Q.PACK},{Q.landmarks('2024-01-01 00:00:00', '2024-01-31 00:00:00')}, lt as (select * from lm where bound < timestamp '{_SPLIT}'), lv as (select *, row_number() over () as id from lm where bound >= timestamp '{_SPLIT}'),{Q.residual('lt', 'res')},
   cand(r, id, weekday, model_level, state, age_band, silence_band, depth_band) as ({' union all '.join(f"select {i + 10 * (d == '-1')}, id, {d}, '{l}', {c} from lv" for d in ('weekday', '-1') for i, (l, c) in enumerate(_RLV))}),
   pl as (select distinct {Q.RES_BY} from res), hit as (select id, arg_min(row(weekday, model_level, state, age_band, silence_band, depth_band), r) as h from cand join pl using ({Q.RES_BY}) group by 1),
   pr as (select lv.*, coalesce((select sum(mass) from res where row(weekday, model_level, state, age_band, silence_band, depth_band) = h and res.duration_seconds < {Q.secs('bound', 'deadline')}), 0) as prediction from lv join hit using (id))
@@ -347,25 +347,25 @@ def _(t: Tables):
 @query("h5_cluster_bootstrap", None)
 def _(t: Tables):
     g = E.gaps(keyed(t)).filter("gap_seconds is not null").withColumns({"hit": C.flag(F.col("gap_seconds") <= 86400), "one": F.lit(1)})
-    return H.bootstrap_ratio(g, "application_id", "hit", "one", 100, by=["journey_substage"])
+    return H.bootstrap_ratio(g, "application_id", "hit", "one", 400, by=["journey_substage"])
 
 
 @query("h5_calibration_bootstrap", None)
 def _(t: Tables):
     c = calibration(t).withColumns({"error": F.col("visible") - F.col("prediction"), "one": F.lit(1)})
-    return H.bootstrap_ratio(c, "application_id", "error", "one", 100)
+    return H.bootstrap_ratio(c, "application_id", "error", "one", 400)
 
 
 @query("h6_survival_bootstrap", None)
 def _(t: Tables):
     r = S.risk_episodes(t.windowed(), SPEC, END)
-    return H.bootstrap_survival(r, "application_id", _TH, 50)
+    return H.bootstrap_survival(r, "application_id", _TH, 400)
 
 
 @query("h7_paired_bootstrap", None)
 def _(t: Tables):
     hist, sim = two_populations(t)
-    return H.bootstrap_difference(materialize(hist), materialize(sim), "application_id", "weekday", 100)
+    return H.bootstrap_difference(materialize(hist), materialize(sim), "application_id", "weekday", 400)
 
 
 @query("h8_wilson", f"""with {Q.CLEANLIFE}, p as (select distinct application_id from clean where journey_substage = 'purchase'), g as (select cast(isodow(application_created_at) - 1 as int) as weekday, count(*) as n, count(p.application_id) as hits from life left join p using (application_id) group by 1)

@@ -75,7 +75,7 @@ def _(t: Tables):
     return rounded(e, ["cdf_sup_error", "train_mass", "validation_mass"], 9)
 
 
-LM = ("2024-01-05 00:00:00", "2024-01-28 00:00:00")
+LM = ("2024-01-01 00:00:00", "2024-01-31 00:00:00")
 
 
 def lm(t: Tables):
@@ -163,7 +163,7 @@ _SEND = OPP + f""", vis as (select o.application_id, o.day, count(*) filter (whe
     arg_max(c.journey_substage, row(c.event_datetime, c.source_row)) filter (where c.journey_substage not like 'campaign%') as cs
     from os o left join cv c on c.application_id = o.application_id and c.event_datetime <= o.opportunity group by 1, 2),
   so as (select os.application_id, os.opportunity, day_sends > 0 as sent, coalesce(cs, '') as current_state, {Q.secs('application_created_at', 'opportunity')} / 86400 as days, {Q.secs('ls', 'opportunity')} as gap, coalesce(sends, 0) as sends,
-    case when application_created_at < timestamp '2024-01-16' then 'CARRIED' else 'NEW' end as population_origin from os join vis using (application_id, day)),
+    case when application_created_at < timestamp '2024-01-16' then 'CARRIED_FORWARD' else 'NEW_ARRIVAL' end as population_origin from os join vis using (application_id, day)),
   sb as (select *, case when days < 1 then 'LT_1D' when days < 3 then '1D_3D' when days < 7 then '3D_7D' when days < 14 then '7D_14D' when days < 21 then '14D_21D' else '21D_30D' end as age_bucket,
     case when sends = 0 then '0' when sends = 1 then '1' when sends <= 3 then '2_3' else '4_PLUS' end as prior_send_bucket,
     case when gap is null then 'NO_PRIOR_SEND' when gap < 86400 then 'LT_1D' when gap < 259200 then '1D_3D' when gap < 604800 then '3D_7D' else '7D_PLUS' end as recent_send_gap_bucket from so)"""
@@ -174,7 +174,7 @@ _SEND = OPP + f""", vis as (select o.application_id, o.day, count(*) filter (whe
   select model_level, {', '.join(_SF)}, n as support_count, round(s / n, 9) as send_probability from sc
   where model_level = 'GLOBAL' or (n >= 50 and n1 >= 20 and n - n1 >= 20 and abs(s1 / n1 - (s - s1) / (n - n1)) <= 0.1)""")
 def _(t: Tables):
-    o = opportunities(t).withColumn("population_origin", F.when(F.col("application_created_at") < C.ntz(MID), "CARRIED").otherwise("NEW"))
+    o = opportunities(t).withColumn("population_origin", F.when(F.col("application_created_at") < C.ntz(MID), "CARRIED_FORWARD").otherwise("NEW_ARRIVAL"))
     return rounded(M.send_propensity(o, SEND_LEVELS, MID, (50, 20, 20)), ["send_probability"], 9)
 
 
@@ -188,7 +188,7 @@ _MO = f"""with {Q.CV}, e as (select *, last_value(case when journey_substage = '
     where journey_substage <> 'campaign_sent' and sa is not null and {Q.secs('sa', 'event_datetime')} <= 43200 group by 1),
   s as (select *, lead(event_datetime) over (partition by application_id order by event_datetime, source_row) as ns from e where journey_substage = 'campaign_sent'),
   mo as (select s.application_id, s.source_row, s.event_datetime, channel, time_bucket, coalesce(ps, '') as current_journey_substage, coalesce(pg, '') as current_journey_stage,
-    case when sends = 0 then '0' when sends = 1 then '1' when sends <= 3 then '2_3' else '4_PLUS' end as prior_send_bucket,
+    case when sends = 0 then '0' when sends = 1 then '1' else '2_PLUS' end as prior_send_bucket,
     case when o is null and c is null then 'NO_ENGAGEMENT' when c is null then 'campaign_open_read' when o is null then 'campaign_clicked' when o < c then 'campaign_open_read>campaign_clicked' else 'campaign_clicked>campaign_open_read' end as engagement_sequence,
     coalesce(j, 'NO_JOURNEY_RESPONSE') as next_journey_substage, {Q.secs('s.event_datetime', 'ot')} as open_delay_seconds, {Q.secs('s.event_datetime', 'jt')} as journey_delay_seconds,
     case when not (s.event_datetime >= application_created_at and s.event_datetime < deadline) then 'SEND_OUTSIDE_LIVE_LIFECYCLE'
@@ -312,7 +312,7 @@ def _(t: Tables):
 @query("m19_donor_matching", None)
 def _(t: Tables):
     targets, donors = order_targets(t)
-    return M.match_donors(targets, donors, 30, rounds=4).select("target_id", "stratum", "target", "reason", "donor_id", "gap")
+    return M.match_donors(targets, donors, 30).select("target_id", "stratum", "target", "reason", "donor_id", "gap")
 
 
 @query("m20_table_manifest", f"""{_NAMES} select count(*) as rows, count(distinct event_name) as names, min(support_count) as min_support, max(support_count) as max_support,

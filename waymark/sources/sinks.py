@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -13,10 +13,9 @@ from ..spec import EVENT_COLUMNS, PROVENANCE_COLUMNS
 
 
 def write_days(df: DataFrame, root: str, day: str = "event_datetime") -> None:
-    """One zstd Parquet directory per day; only the days present in `df` are replaced. Rows are
-    spread by day and a hash so that a heavy day is written by many tasks, each file in order."""
-    (df.withColumn("day", F.to_date(day))
-     .repartition("day", F.pmod(F.xxhash64("application_id", day), F.lit(64)))
+    """One zstd Parquet directory per day; only the days present in `df` are replaced. Rows are dealt by
+    day and a hash with as many buckets as the day needs: AQE joins small ones and splits heavy ones."""
+    (df.withColumn("day", F.to_date(day)).hint("rebalance", "day")
      .sortWithinPartitions("day", day, "application_id")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
      .partitionBy("day").parquet(root))
@@ -71,8 +70,9 @@ def load_table(df: DataFrame, table: str, replace: bool = False) -> int:
     spark = df.sparkSession
     if spark.catalog.tableExists(table) and not replace and not spark.table(table).isEmpty():
         raise ValueError(f"table is not empty: {table}")
-    df.write.mode("overwrite").saveAsTable(table)
-    stored, sent = spark.table(table).count(), df.count()
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").saveAsTable(table)
+    stored, sent = spark.table(table).count(), seen.get["rows"]
     if stored != sent:
         raise ValueError(f"row count mismatch: {stored} stored, {sent} sent")
     return stored
@@ -90,9 +90,12 @@ LOG_DDL = "day string, rows bigint, digest string, previous_hash string, commit_
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The markers so far. Only a path that does not exist is an empty log; a damaged marker is an error when read."""
     try:
-        return spark.read.schema(LOG_DDL).json(path)
-    except AnalysisException:
+        return spark.read.schema(LOG_DDL).option("mode", "FAILFAST").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LOG_DDL)
 
 
@@ -104,7 +107,8 @@ def table_digest(df: DataFrame) -> DataFrame:
 
 def commit_day(df: DataFrame, day: str, root: str, log: str) -> dict:
     """Write a day's data, then its marker. A repeated day returns the stored marker and writes
-    nothing; days cannot be skipped; markers chain by hash."""
+    nothing; days cannot be skipped; markers chain by hash. A row outside the day is refused before
+    anything is written, and only the day's own partition is ever replaced."""
     spark = df.sparkSession
     done = read_log(spark, log)
     stored = done.filter(F.col("day") == day).first()
@@ -115,8 +119,13 @@ def commit_day(df: DataFrame, day: str, root: str, log: str) -> dict:
         expected = spark.range(1).select(F.date_add(F.lit(last["day"]).cast("date"), 1).cast("string").alias("d")).first()["d"]
         if day != expected:
             raise ValueError(f"day {day} skips {expected}")
-    write_days(df, root)
-    back = spark.read.parquet(root).filter(F.col("day") == F.lit(day).cast("date"))
+    stray = ~F.to_date("event_datetime").eqNullSafe(F.lit(day).cast("date"))
+    if df.filter(stray).limit(1).count():
+        raise ValueError(f"rows outside {day}")
+    own = f"{root.rstrip('/')}/day={day}"
+    (df.hint("rebalance").sortWithinPartitions("event_datetime", "application_id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").parquet(own))
+    back = spark.read.parquet(own)
     marker = (table_digest(back.select(*df.columns)).withColumns({
         "day": F.lit(day), "previous_hash": F.lit(last["commit_hash"] if last else "")})
         .withColumn("commit_hash", F.sha2(F.concat_ws("|", "day", F.col("rows").cast("string"), "digest", "previous_hash"), 256)))

@@ -1,4 +1,5 @@
-"""Keyed stateful rules. State per key is a few scalars; rows of a key are ordered inside the batch."""
+"""Keyed stateful rules. State per key is a few scalars, and for rules that depend on event order the rows that the
+watermark has not passed yet."""
 
 from __future__ import annotations
 
@@ -44,90 +45,117 @@ class RejectLate(_Rule):
         yield pd.DataFrame({"application_id": key[0], "source_row": df["source_row"], "event_us": df["event_us"], "accepted": ok})
 
 
-class LifecycleMonitor(_Rule):
-    """TERMINAL at the first terminal up to and including the deadline, else EXPIRED by timer. Rows of
-    a batch are handled before timers, so a terminal at the deadline wins."""
+class _InEventOrder(_Rule):
+    """Rows are held until the watermark passes them and then applied in event order, so a row that arrives in a later
+    batch than its successor still takes its place. Rows later than the watermark are dropped by the stream."""
+    label_ddl = "journey_substage string"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.held = handle.getListState("held", f"event_us bigint, source_row bigint, {self.label_ddl}")
+
+    def handleInputRows(self, key, rows, timerValues):
+        name = self.label_ddl.split()[0]
+        for part in rows:
+            new = list(zip(part["event_us"].astype(int).tolist(), part["source_row"].astype(int).tolist(),
+                           [list(x) if name == "labels" else x for x in part[name]], strict=True))
+            if new:
+                self.held.appendList(new)
+                self.handle.registerTimer(min(r[0] for r in new) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted(tuple(r) for r in self.held.get())
+        due = [r for r in held if r[0] // 1000 + 1 <= now]
+        rest = held[len(due):]
+        if due:
+            self.held.put(rest) if rest else self.held.clear()
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000 + 1)
+        out = self.apply(key[0], due, now)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in self.out_ddl.split(", ")]).astype(self.out_types)
+
+    out_types: dict = {}
+
+
+class LifecycleMonitor(_InEventOrder):
+    """TERMINAL at the first terminal up to and including the deadline, else EXPIRED once the watermark is past it. Rows
+    are applied before the deadline is judged, so a terminal at the deadline wins."""
     state_ddl = "deadline_us bigint, closed boolean"
     out_ddl = "application_id string, outcome string, at_us bigint"
 
     def __init__(self, creation: str, terminal: str, validity_us: int):
         self.creation, self.terminal, self.validity_us = creation, terminal, validity_us
 
-    def handleInputRows(self, key, rows, timerValues):
+    def apply(self, key, due, now):
         state, out = self.read(), []
-        for label, us in ordered(rows)[["journey_substage", "event_us"]].itertuples(index=False):
+        for us, _, label in due:
             if label == self.creation and state is None:
-                state = (int(us) + self.validity_us, False)
+                state = (us + self.validity_us, False)
                 # One millisecond after, so that the deadline instant itself still belongs to rows.
                 self.handle.registerTimer(state[0] // 1000 + 1)
             elif label == self.terminal and state is not None and not state[1] and us <= state[0]:
-                out.append((key[0], "TERMINAL", int(us)))
+                out.append((key, "TERMINAL", us))
                 state = (state[0], True)
-        if state is not None:
-            self.state.update(state)
-        if out:
-            yield pd.DataFrame(out, columns=["application_id", "outcome", "at_us"])
+        if state is not None and state[0] // 1000 + 1 <= now:
+            if not state[1]:
+                out.append((key, "EXPIRED", state[0]))
+            state = None
+        self.state.update(state) if state is not None else self.state.clear()
+        return out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state = self.read()
-        if state is not None and not state[1]:
-            yield pd.DataFrame([(key[0], "EXPIRED", state[0])], columns=["application_id", "outcome", "at_us"])
-        self.state.clear()
 
-
-class CompetingSend(_Rule):
+class CompetingSend(_InEventOrder):
     """First response of a send before the next send and within the horizon."""
     state_ddl = "send_row bigint, send_us bigint"
     out_ddl = "application_id string, send_row bigint, status string, response string, delay_us bigint"
+    out_types = {"delay_us": "Int64"}
 
     def __init__(self, horizon_us: int):
         self.horizon_us = horizon_us
 
-    def handleInputRows(self, key, rows, timerValues):
+    def apply(self, key, due, now):
         pending, out = self.read(), []
-        for label, us, row in ordered(rows)[["journey_substage", "event_us", "source_row"]].itertuples(index=False):
-            inside = pending is not None and us - pending[1] <= self.horizon_us
+        for us, row, label in due:
+            inside = pending is not None and 0 <= us - pending[1] <= self.horizon_us
             if label == "campaign_sent":
                 if pending is not None:
-                    out.append((key[0], pending[0], "CENSORED_BY_COMPETING_SEND" if inside else "NO_RESPONSE", None, None))
-                pending = (int(row), int(us))
-                self.handle.registerTimer((int(us) + self.horizon_us) // 1000 + 1)
+                    out.append((key, pending[0], "CENSORED_BY_COMPETING_SEND" if inside else "NO_RESPONSE", None, None))
+                pending = (row, us)
+                self.handle.registerTimer((us + self.horizon_us) // 1000 + 1)
             elif inside:
-                out.append((key[0], pending[0], "RESPONDED", label, int(us - pending[1])))
+                out.append((key, pending[0], "RESPONDED", label, us - pending[1]))
                 pending = None
+        if pending is not None and (pending[1] + self.horizon_us) // 1000 + 1 <= now:
+            out.append((key, pending[0], "NO_RESPONSE", None, None))
+            pending = None
         self.state.update(pending) if pending is not None else self.state.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["application_id", "send_row", "status", "response", "delay_us"]).astype({"delay_us": "Int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        pending = self.read()
-        if pending is not None and (pending[1] + self.horizon_us) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
-            yield pd.DataFrame([(key[0], pending[0], "NO_RESPONSE", None, None)],
-                               columns=["application_id", "send_row", "status", "response", "delay_us"]).astype({"delay_us": "Int64"})
+        return out
 
 
-class RunningFeatures(_Rule):
-    """Regime, depth and eligibility of packets as they arrive."""
+class RunningFeatures(_InEventOrder):
+    """Regime, depth and eligibility of packets in event order."""
+    label_ddl = "labels array<string>"
     state_ddl = "down boolean, depth bigint, details boolean, approved boolean"
     out_ddl = "application_id string, event_us bigint, regime string, prior_depth bigint, ptp_eligible boolean"
 
     def __init__(self, focus, downstream, prerequisites, approval):
         self.focus, self.downstream, self.prerequisites, self.approval = set(focus), set(downstream), set(prerequisites), approval
 
-    def handleInputRows(self, key, rows, timerValues):
+    def apply(self, key, due, now):
         down, depth, details, approved = self.read() or (False, 0, False, False)
         out = []
-        for us, labels in ordered(rows)[["event_us", "labels"]].itertuples(index=False):
-            labels = list(labels)
+        for us, _, labels in due:
             kind = "UNCONDITIONED" if labels[-1] not in self.focus else "REVISIT" if down else "FIRST_PASS"
             down = down or bool(self.downstream & set(labels))
             depth += len(labels)
             details = details or bool(self.prerequisites & set(labels))
             approved = approved or self.approval in labels
-            out.append((key[0], int(us), kind, depth, details and approved))
+            out.append((key, us, kind, depth, details and approved))
         self.state.update((down, depth, details, approved))
-        yield pd.DataFrame(out, columns=["application_id", "event_us", "regime", "prior_depth", "ptp_eligible"])
+        return out
 
 
 def keyed_rule(stream: DataFrame, rule: _Rule, timers: bool = False) -> DataFrame:
@@ -141,4 +169,4 @@ def lifecycle_monitor(stream: DataFrame, spec: LifecycleSpec) -> DataFrame:
 
 
 def running_features(stream: DataFrame, spec: LifecycleSpec) -> DataFrame:
-    return keyed_rule(stream, RunningFeatures(spec.focus, spec.downstream, spec.prerequisites, spec.approval))
+    return keyed_rule(stream, RunningFeatures(spec.focus, spec.downstream, spec.prerequisites, spec.approval), timers=True)
