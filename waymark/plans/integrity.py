@@ -164,14 +164,14 @@ def _(t: Tables):
 
 @query("b20_decision_log", f"""with {Q.CV}, d as (select 'D' || cast(source_row as varchar) as decision_id,
     case journey_substage when 'error' then 'UNKNOWN' when 'login' then 'INELIGIBLE' else 'ELIGIBLE' end as eligibility, case when journey_substage = 'campaign_sent' then 'SEND' when journey_substage <> 'login' or event_name = 'k1' then 'NO_ACTION' end as action,
-    case when journey_substage = 'campaign_sent' and event_name <> 'k0' then channel when journey_substage = 'error' then channel end as channel, event_datetime as at,
+    case when journey_substage = 'campaign_sent' and event_name <> 'k0' then channel when journey_substage = 'error' then channel end as channel, event_datetime as opp,
     case when journey_substage = 'campaign_sent' and event_name <> 'k2' then event_datetime + (case when event_name = 'k3' then -1 else 1 end) * interval 1 hour end as due,
     case when journey_substage = 'campaign_sent' and event_name <> 'k4' then event_datetime + (case when event_name = 'k5' then 0 else 2 end) * interval 1 hour end as realized,
     case when journey_substage = 'campaign_sent' then (case when event_name = 'k6' then 'CANCELED' else 'REALIZED' end) when journey_substage = 'purchase' then 'LOST' else 'NO_ACTION' end as status from cv),
   stated as (select decision_id, unnest([
     case when eligibility = 'UNKNOWN' then 'ELIGIBILITY_UNKNOWN' end, case when eligibility = 'ELIGIBLE' and action is null then 'ACTION_UNKNOWN' end, case when eligibility = 'INELIGIBLE' and action is not null then 'ACTION_FORBIDDEN' end,
     case when status = 'LOST' then 'STATUS_UNKNOWN' end, case when action = 'SEND' and channel is null then 'CHANNEL_REQUIRED' end, case when action = 'SEND' then 'BUCKET_REQUIRED' end,
-    case when coalesce(action, '') <> 'SEND' and channel is not null then 'FIELDS_FORBIDDEN' end, case when status = 'REALIZED' and due is null then 'SCHEDULE_REQUIRED' end, case when due < at then 'SEND_BEFORE_DECISION' end,
+    case when coalesce(action, '') <> 'SEND' and channel is not null then 'FIELDS_FORBIDDEN' end, case when status = 'REALIZED' and due is null then 'SCHEDULE_REQUIRED' end, case when due < opp then 'SEND_BEFORE_DECISION' end,
     case when status = 'REALIZED' and realized is null then 'REALIZED_REQUIRED' end, case when status <> 'REALIZED' and realized is not null then 'REALIZED_FORBIDDEN' end, case when realized < due then 'REALIZED_BEFORE_SCHEDULE' end,
     case when status = 'CANCELED' then 'REASON_REQUIRED' end, case when (coalesce(action, '') = 'SEND') = (status = 'NO_ACTION') then 'STATUS_MISMATCH' end]) as rule from d)
   select rule, decision_id as key from stated where rule is not null""")
