@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import entries
 
-MODULES = ("scans", "journeys", "integrity", "reporting", "views_laws", "scoring")
+MODULES = ("scans", "journeys", "integrity", "reporting", "views_laws", "scoring", "streams")
 
 
 def load_all():
