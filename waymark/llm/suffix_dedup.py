@@ -18,8 +18,8 @@ from .suffix_order import anchors, equal_to_previous, window_order
 CHUNK_BYTES = 4 << 20
 #: Contexts of one anchor above which its windows are compared by rows instead.
 GROUP_CONTEXTS = 200_000
-#: Rows of a side that may be sent to every task.
-SMALL = 500_000
+#: Most copies (12 bytes each) whose list is sent to every task; beyond that the texts are joined by shuffle.
+SMALL = 200_000
 #: Stands for a NULL doc_id: after all others.
 LAST = (1 << 63) - 1
 
@@ -188,8 +188,8 @@ def dedup_passages(docs: DataFrame, length: int = 100) -> DataFrame:
     copies = materialize(texts.join(first, "name").filter(F.struct("key", "tag") != F.col("first")).select("key", "tag", F.lit(0).alias("start"), "end").distinct())
     base = base.join(sized(copies.select("key", "tag")), ["key", "tag"], "left_anti")
 
-    # one exchange serves the counts and the anchors that get them
-    spots = anchors_of(base, length).repartition("gram")
+    # counts combine before their shuffle, and the join may split a gram of very many anchors
+    spots = anchors_of(base, length)
     twice = spots.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     places = materialize(spots.join(twice, "gram").groupBy("key", "tag").agg(F.collect_set("place").alias("places")))
     found = materialize(contexts_of(base.join(places, ["key", "tag"]), length))
@@ -205,7 +205,7 @@ def dedup_passages(docs: DataFrame, length: int = 100) -> DataFrame:
 
     # names of their own, so that no column of docs clashes
     removed = removed.select(F.col("key").alias("__key"), F.col("tag").alias("__tag"), F.col("ranges").alias("__ranges"))
-    joined = named.join(sized(removed), ["__key", "__tag"], "left").select(*docs.columns, "__ranges")
+    joined = named.join(removed, ["__key", "__tag"], "left").select(*docs.columns, "__ranges")
     span = "array<struct<start:int,end:int>>"
     # ranges in order of start: they extend the last one or begin another
     last = lambda a: F.element_at(a, -1)
