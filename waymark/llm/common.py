@@ -14,7 +14,7 @@ __all__ = ["BytesHasher", "configure_text", "documents", "materialize", "mix", "
            "shingles", "token_bounds", "BLANK_CLASS", "WORD_OR_SIGN_CLASS", "LOWER"]
 
 #: Rows and bytes that one Arrow batch hands to Python; with long texts the default of 10,000 rows is too much memory.
-BATCH_ROWS, BATCH_BYTES = "1000", str(16 << 20)
+BATCH_ROWS, BATCH_BYTES = "1000", str(8 << 20)
 #: Bytes of text that one numpy step works on.
 PIECE_BYTES = 1 << 20
 
