@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import among, flag, micros, ntz, seconds_between, weekday
-from ..spec import THRESHOLDS, LifecycleSpec
+from ..spec import GAP_THRESHOLDS, QUANTILES, LifecycleSpec
 from .lifecycle import is_label
 from .ordered import quantiles, scan, Running
 from .sequence import gaps
@@ -141,22 +141,28 @@ def daily_counts(df: DataFrame, at: str, first: str, last: str) -> DataFrame:
 
 
 def calendar_profile(daily: DataFrame) -> DataFrame:
-    """Counts per weekday and capped week of month with shares. `daily`: day, count."""
+    """Counts per weekday and capped week of month with shares, and the ratio of working-day to weekend
+    counts of the whole period on every row. `daily`: day, count."""
     rows = daily.select("count", F.explode(F.array(
         F.concat(F.lit("weekday "), weekday("day").cast("string")),
         F.concat(F.lit("week "), F.least(F.floor((F.dayofmonth("day") - 1) / 7) + 1, F.lit(4)).cast("string")),
         F.when(F.weekday("day") >= 5, "weekend").otherwise("working"))).alias("slice"))
     g = rows.groupBy("slice").agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("days"))
-    return g.withColumns({"mean_per_day": F.round(F.col("count") / F.col("days"), 9),
+    late = daily.agg(F.sum(F.when(F.weekday("day") >= 5, F.col("count"))).alias("weekend"), F.sum("count").alias("all"))
+    return g.withColumns({"weekday_to_weekend_ratio": F.round(late.select((F.col("all") - F.col("weekend")) / F.col("weekend")).scalar(), 9),
+                          "mean_per_day": F.round(F.col("count") / F.col("days"), 9),
                           "share": F.round(F.col("count") / daily.agg(F.sum("count")).scalar(), 9)})
 
 
 def gap_stats(rows: DataFrame, by: Sequence[str], support: int, value: str = "gap_seconds") -> DataFrame:
-    """Size, threshold shares and quantiles of gaps per group with a minimum size."""
-    rows, by = rows.filter(F.col(value).isNotNull()), list(by)
+    """Size, threshold shares, share beyond the last threshold and quantiles of gaps per group with a
+    minimum size; without groups, one row of all."""
+    rows = rows.filter(F.col(value).isNotNull()).withColumn("__all", F.lit(1))
+    by = list(by) or ["__all"]
     shares = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
-        F.round(F.avg(flag(F.col(value) <= s)), 9).alias(f"within_{s}") for s in THRESHOLDS]).filter(F.col("n") >= support)
-    return shares.join(quantiles(rows, value, {"p10": .1, "median": .5, "p90": .9, "p99": .99}, by), by)
+        F.round(F.avg(flag(F.col(value) <= s)), 9).alias(f"within_{s}") for s in GAP_THRESHOLDS],
+        F.round(F.avg(flag(F.col(value) > GAP_THRESHOLDS[-1])), 9).alias(f"over_{GAP_THRESHOLDS[-1]}")).filter(F.col("n") >= support)
+    return shares.join(quantiles(rows, value, QUANTILES, by), by).drop("__all")
 
 
 def terminal_table(outcomes: DataFrame, events: DataFrame, spec: LifecycleSpec) -> DataFrame:
@@ -177,6 +183,13 @@ def terminal_table(outcomes: DataFrame, events: DataFrame, spec: LifecycleSpec)
                     n_if((F.col("outcome") == "TERMINAL") & F.col("any").isNull()).alias("without_approval"))
 
 
+def ending_times(outcomes: DataFrame, spec: LifecycleSpec) -> DataFrame:
+    """Quantiles of the seconds from creation to the terminal, and to expiry."""
+    ended = outcomes.filter("outcome in ('TERMINAL', 'EXPIRED')").withColumn(
+        "seconds", seconds_between("application_created_at", F.coalesce("terminal_datetime", "deadline")))
+    return quantiles(ended, "seconds", QUANTILES, ["outcome"])
+
+
 def funnel(events: DataFrame, spec: LifecycleSpec) -> DataFrame:
     """Rows, applications and repeats per step, with the conversion from the step before."""
     steps = {"created": (spec.creation,), "prerequisite": spec.prerequisites, "approval": (spec.approval,), "terminal": (spec.terminal,)}

@@ -160,16 +160,24 @@ def cycle_counts(events: DataFrame, cohort: DataFrame, spec: LifecycleSpec) -> D
 
 def equal_age(events: DataFrame, lifecycles: DataFrame, days: int, start: str, end: str,
               spec: LifecycleSpec) -> DataFrame:
-    """Activity in the first `days` of life, only for applications whose horizon fits the window."""
+    """Activity in the first `days` of life, only for applications whose horizon fits the window.
+    `observable_prerequisite_ptp`: an approval after the first prerequisite and up to the terminal is seen."""
     created = F.col("application_created_at")
     cohort = lifecycles.filter((created >= ntz(start)) & (micros(created) <= micros(ntz(end)) - days * 86400 * 10**6))
     age = seconds_between("application_created_at", "event_datetime")
-    daily = (events.filter(age < days * 86400).withColumn("__d", F.floor(age / 86400))
-             .groupBy("application_id", "__d").agg(
+    early = events.filter(age < days * 86400).withColumn("__d", F.floor(age / 86400))
+    steps = early.groupBy("application_id").agg(
+        F.min(F.when(among("journey_substage", spec.prerequisites), F.col("event_datetime"))).alias("__pd"),
+        F.min(F.when(is_label(spec.terminal), F.col("event_datetime"))).alias("__pt"))
+    shown = (early.filter(is_label(spec.approval)).select("application_id", "event_datetime").join(steps, "application_id")
+             .filter((F.col("__pd") < F.col("event_datetime")) & (F.col("event_datetime") <= F.col("__pt")))
+             .select("application_id", F.lit(1).alias("observable_prerequisite_ptp")).distinct())
+    daily = (early.groupBy("application_id", "__d").agg(
                  F.count(F.lit(1)).alias("n"), F.max(flag(is_label(spec.terminal))).alias("t")))
     per = daily.groupBy("application_id").agg(F.sum("n").alias("events"), F.count(F.lit(1)).alias("eventful_days"),
                                               F.max("t").alias("ptp"))
-    rows = cohort.join(per, "application_id", "left").na.fill(0, ["events", "eventful_days", "ptp"])
+    rows = (cohort.join(per, "application_id", "left").join(shown, "application_id", "left")
+            .na.fill(0, ["events", "eventful_days", "ptp", "observable_prerequisite_ptp"]))
     return rows.withColumns({"transitions": F.greatest(F.col("events") - 1, F.lit(0)),
                              "weekday": F.weekday("application_created_at").cast("int")})
 

@@ -9,6 +9,7 @@ from ..operators import lifecycle as L
 from ..operators import ordered as O
 from ..operators import sequence as E
 from ..sources.adapters import ORDER_SPEC, STREAM_SPEC as SPEC
+from ..spec import QUANTILES
 from . import sql as Q
 from .registry import Tables, query
 
@@ -418,22 +419,38 @@ def _(t: Tables):
 
 
 def equal_age_sql(days: int) -> str:
-    return f"""ea{days} as (select l.application_id, l.context_id, l.application_created_at, cast(isodow(l.application_created_at) - 1 as int) as weekday, count(c.source_row) as events,
+    return f"""es{days} as (select c.application_id, min(event_datetime) filter (where journey_substage = 'view') as pd, min(event_datetime) filter (where journey_substage = 'purchase') as pt
+    from clean c where event_datetime < application_created_at + interval {days} day group by 1),
+  eo{days} as (select distinct application_id from clean c join es{days} using (application_id) where journey_substage = 'click' and pd < event_datetime and event_datetime <= pt and event_datetime < application_created_at + interval {days} day),
+  ea{days} as (select l.application_id, l.context_id, l.application_created_at, cast(isodow(l.application_created_at) - 1 as int) as weekday, count(c.source_row) as events,
     count(distinct cast(floor({Q.secs('c.application_created_at', 'c.event_datetime')} / 86400) as int)) filter (where c.source_row is not null) as eventful_days,
-    greatest(count(c.source_row) - 1, 0) as transitions, max(coalesce((c.journey_substage = 'purchase')::int, 0)) as ptp
+    greatest(count(c.source_row) - 1, 0) as transitions, max(coalesce((c.journey_substage = 'purchase')::int, 0)) as ptp, case when l.application_id in (select application_id from eo{days}) then 1 else 0 end as observable_prerequisite_ptp
     from life l left join clean c on c.application_id = l.application_id and c.event_datetime < l.application_created_at + interval {days} day
     where l.application_created_at >= timestamp '{Q.START}' and l.application_created_at <= timestamp '{Q.END}' - interval {days} day group by 1, 2, 3)"""
 
 
 @query("e8_equal_age_activity", f"with {Q.CLEANLIFE}, {equal_age_sql(1)}, {equal_age_sql(3)} " + " union all ".join(
-    f"select {d} as horizon_days, application_id, weekday, events, eventful_days, transitions, ptp from ea{d}" for d in (1, 3)))
+    f"select {d} as horizon_days, application_id, weekday, events, eventful_days, transitions, ptp, observable_prerequisite_ptp from ea{d}" for d in (1, 3)))
 def _(t: Tables):
     ev, life = t.windowed(), t.lifecycles()
     one = lambda d: E.equal_age(ev, life, d, Q.START, Q.END, SPEC).select(
-        F.lit(d).alias("horizon_days"), "application_id", "weekday", "events", "eventful_days", "transitions", "ptp")
+        F.lit(d).alias("horizon_days"), "application_id", "weekday", "events", "eventful_days", "transitions", "ptp", "observable_prerequisite_ptp")
     return one(1).unionByName(one(3))
 
 
+@query("e8_equal_age_quantiles", f"with {Q.CLEANLIFE}, {equal_age_sql(1)}, {equal_age_sql(3)} " + " union all ".join(
+    f"select {d} as horizon_days, '{m}' as measure, round(avg({m}), 9) as mean, " + ", ".join(f"round(quantile_cont({m}, {p}), 6) as {n}" for n, p in QUANTILES.items()) + f" from ea{d}"
+    for d in (1, 3) for m in ("events", "eventful_days", "transitions")))
+def _(t: Tables):
+    """Mean and quantiles per application of equal-age activity, zeros included."""
+    ev, life = t.windowed(), t.lifecycles()
+    each = lambda d: E.equal_age(ev, life, d, Q.START, Q.END, SPEC).select(F.lit(d).alias("horizon_days"), F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in ("events", "eventful_days", "transitions")])))
+    rows, by = each(1).unionByName(each(3)), ["horizon_days", "measure"]
+    q = O.quantiles(rows, "value", QUANTILES, by).withColumns({n: F.round(n, 6) for n in QUANTILES})
+    return rows.groupBy(*by).agg(F.round(F.avg("value"), 9).alias("mean")).join(q, by)
+
+
 @query("e9_burst_audit", f"""with {Q.PACK} select g.pattern, count(*) as groups, cast(sum(len(seen) - 1) as bigint) as extra_rows, any_value(p.pattern) is not null as supported
   from grp g left join pat p using (pattern) where len(seen) > 1 group by 1""")
 def _(t: Tables):

@@ -13,7 +13,7 @@ from ..operators import sequence as E
 from ..operators import stats as H
 from ..sources import readers, sinks
 from ..sources.adapters import ORDER_SPEC, STREAM_SPEC as SPEC
-from ..spec import CHANNELS, QUANTILES, SEND_LEVELS, THRESHOLDS, TIME_BUCKETS
+from ..spec import CHANNELS, GAP_THRESHOLDS, QUANTILES, SEND_LEVELS, TIME_BUCKETS
 from . import sql as Q
 from .journeys import _GAP, _GUARD, _KIND, _RESP, CYC, carried, equal_age_sql, keyed, lifes
 from .registry import Tables, query
@@ -105,7 +105,7 @@ def _daily(t: Tables):
 
 @query("r7_calendar_profile", f"""with {Q.LIFE}, {_DAILY}, s as (select *, unnest(['weekday ' || cast(isodow(day) - 1 as varchar), 'week ' || cast(least((day(day) - 1) // 7 + 1, 4) as varchar),
     case when isodow(day) >= 6 then 'weekend' else 'working' end]) as slice from daily)
-  select slice, cast(sum(count) as bigint) as count, count(*) as days, round(sum(count) / count(*), 9) as mean_per_day, round(sum(count) / (select sum(count) from daily), 9) as share from s group by 1""")
+  select slice, cast(sum(count) as bigint) as count, count(*) as days, round(sum(count) / count(*), 9) as mean_per_day, round(sum(count) / (select sum(count) from daily), 9) as share, (select round(sum(count) filter (where isodow(day) < 6) / sum(count) filter (where isodow(day) >= 6), 9) from daily) as weekday_to_weekend_ratio from s group by 1""")
 def _(t: Tables):
     return R.calendar_profile(_daily(t))
 
@@ -129,13 +129,13 @@ def _(t: Tables):
 
 
 _AGEBAND = "case when age_seconds > -86400 and age_seconds <= 86400 then '(-1, 1]' when age_seconds <= 259200 then '(1, 3]' when age_seconds <= 604800 then '(3, 7]' when age_seconds <= 1209600 then '(7, 14]' when age_seconds <= 2592000 then '(14, 30]' end"
-_P4 = {"p10": .1, "median": .5, "p90": .9, "p99": .99}
 
 
 def _gapsql(by: str, support: int) -> str:
-    return (f"{_GAP}, z as (select *, {_AGEBAND} as age_bucket from gp where gap_seconds is not null) select {by}, count(*) as n, "
-            + ", ".join(f"round(avg(case when gap_seconds <= {s} then 1.0 else 0.0 end), 9) as within_{s}" for s in THRESHOLDS)
-            + f", {qcols('gap_seconds', _P4)} from z group by {by} having count(*) >= {support}")
+    return (f"{_GAP}, z as (select *, {_AGEBAND} as age_bucket from gp where gap_seconds is not null) select {by + ', ' if by else ''}count(*) as n, "
+            + ", ".join(f"round(avg(case when gap_seconds <= {s} then 1.0 else 0.0 end), 9) as within_{s}" for s in GAP_THRESHOLDS)
+            + f", round(avg(case when gap_seconds > {GAP_THRESHOLDS[-1]} then 1.0 else 0.0 end), 9) as over_{GAP_THRESHOLDS[-1]}, {qcols('gap_seconds')} from z "
+            + (f"group by {by} having count(*) >= {support}" if by else ""))
 
 
 def _gaps(t: Tables):
@@ -145,17 +145,22 @@ def _gaps(t: Tables):
 
 @query("r11_gaps_by_transition", _gapsql("prev_label, journey_substage", 200))
 def _(t: Tables):
-    return rounded(R.gap_stats(_gaps(t), ["prev_label", "journey_substage"], 200), _P4)
+    return rounded(R.gap_stats(_gaps(t), ["prev_label", "journey_substage"], 200), QUANTILES)
 
 
 @query("r11_gaps_by_destination", _gapsql("journey_substage", 200))
 def _(t: Tables):
-    return rounded(R.gap_stats(_gaps(t), ["journey_substage"], 200), _P4)
+    return rounded(R.gap_stats(_gaps(t), ["journey_substage"], 200), QUANTILES)
 
 
 @query("r11_gaps_by_age", _gapsql("age_bucket", 30))
 def _(t: Tables):
-    return rounded(R.gap_stats(_gaps(t), ["age_bucket"], 30), _P4)
+    return rounded(R.gap_stats(_gaps(t), ["age_bucket"], 30), QUANTILES)
+
+
+@query("r11_gaps_overall", _gapsql("", 1))
+def _(t: Tables):
+    return rounded(R.gap_stats(_gaps(t), [], 1), QUANTILES)
 
 
 @query("r12_terminal_table", f"""with {Q.CLEANLIFE}, p as (select application_id, min(event_datetime) as pt from clean where journey_substage = 'purchase' group by 1),
@@ -171,6 +176,22 @@ def _(t: Tables):
     return R.terminal_table(L.outcomes(t.lifecycles(), ev, SPEC, Q.END), ev, SPEC)
 
 
+_ENDED = f"""with {Q.CLEANLIFE}, p as (select application_id, min(event_datetime) as pt from clean where journey_substage = 'purchase' group by 1),
+  o as (select *, case when pt is not null then 'TERMINAL' when deadline <= timestamp '{Q.END}' then 'EXPIRED' end as outcome, (epoch_us(coalesce(pt, deadline)) - epoch_us(application_created_at)) / 1000000.0 as seconds from life left join p using (application_id))"""
+
+
+@query("r12_ending_times", f"{_ENDED} select outcome, {qcols('seconds')} from o where outcome is not null group by 1")
+def _(t: Tables):
+    return rounded(R.ending_times(L.outcomes(t.lifecycles(), t.windowed(), SPEC, Q.END), SPEC), QUANTILES)
+
+
+@query("r12_terminal_ages", f"{_ENDED}, a as (select *, seconds as age_seconds from o where outcome = 'TERMINAL') select {_AGEBAND} as age_bucket, count(*) as terminals from a group by 1")
+def _(t: Tables):
+    o = L.outcomes(t.lifecycles(), t.windowed(), SPEC, Q.END).filter("outcome = 'TERMINAL'")
+    age = C.interval_label(C.seconds_between("application_created_at", "terminal_datetime") / 86400, (-1, 1, 3, 7, 14, 30))
+    return o.groupBy(age.alias("age_bucket")).agg(F.count(F.lit(1)).alias("terminals"))
+
+
 @query("r12_previous_of_terminal", f"{_GAP} select prev_label, count(*) as n from gp where journey_substage = 'purchase' group by 1")
 def _(t: Tables):
     return E.gaps(keyed(t)).filter(L.is_label(SPEC.terminal)).groupBy("prev_label").agg(F.count(F.lit(1)).alias("n"))
@@ -250,7 +271,7 @@ def _(t: Tables):
     return n.withColumn("per_application", F.round(F.col("events") / t.lifecycles().agg(F.count(F.lit(1))).scalar(), 9))
 
 
-_M3 = ("events", "eventful_days", "transitions", "ptp")
+_M3 = ("events", "eventful_days", "transitions", "ptp", "observable_prerequisite_ptp")
 
 
 @query("r20_weekday_means", f"with {Q.CLEANLIFE}, {equal_age_sql(1)} select weekday, count(*) as apps, " + ", ".join(f"round(avg({m}), 9) as {m}" for m in _M3) + " from ea1 group by 1")

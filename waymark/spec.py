@@ -36,6 +36,7 @@ HAZARD_EDGES = (0, 60, 300, 900, 1800, 3600, 7200, 21600, 86400, 259200, 604800,
 QUANTILES = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75,
              "p90": 0.90, "p95": 0.95, "p99": 0.99}
 THRESHOLDS = (0, 60, 300, 900, 3600, 86400)
+GAP_THRESHOLDS = (0, 60, 300, 900, 3600, 10800, 21600, 43200, 86400)
 # Campaign action vocabulary.
 CHANNELS = ("SMS", "WA", "GRCS")
 TIME_BUCKETS = ("MORNING", "AFTERNOON", "EVENING", "NIGHT")
