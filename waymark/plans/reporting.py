@@ -233,6 +233,63 @@ def _(t: Tables):
         F.count(F.lit(1)).alias("n"), F.round(F.avg("silence_hours"), 6).alias("mean_silence_hours"), F.round(F.avg("depth"), 9).alias("mean_depth"))
 
 
+def _stacked(rows, measures):
+    """One row per measure: (measure, value)."""
+    return F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
+
+
+_PRIOR = ("since_last_days", "since_terminal_days", "prior_depth")
+
+
+@query("r13_prior_history", f"""with {Q.CLEANLIFE}, k as (select application_id, application_created_at as made, lag(application_id) over w as prior, lag(application_created_at) over w as prior_made from life window w as (partition by context_id order by application_created_at)),
+  d as (select application_id, count(*) as prior_depth, max(event_datetime) as last_at, min(event_datetime) filter (where journey_substage = 'purchase') as pt from clean group by 1),
+  r as (select prior_depth, {Q.secs('last_at', 'made')} / 86400 as since_last_days, {Q.secs('coalesce(pt, prior_made + interval 3 day)', 'made')} / 86400 as since_terminal_days, pt is null as expired
+    from k join d on d.application_id = prior where {Q.secs('prior_made', 'made')} >= 259200) """ + " union all ".join(
+    f"select '{m}' as measure, count(*) as returners, count(*) filter (where expired) as inferred_expiries, {qcols(m)} from r" for m in _PRIOR))
+def _(t: Tables):
+    """What returning customers left behind: gaps since the prior lifecycle's last event and end, and its depth."""
+    life, ev = t.lifecycles(), t.windowed()
+    kind = L.customer_kind(life.withColumn("source_row", F.lit(0)), SPEC).filter("customer_kind = 'RETURNING_CUSTOMER'")
+    prior = ev.groupBy(F.col("application_id").alias("prior_application_id")).agg(
+        F.count(F.lit(1)).alias("prior_depth"), F.max("event_datetime").alias("last_at"), F.min(F.when(L.is_label(SPEC.terminal), F.col("event_datetime"))).alias("pt"))
+    ends = life.select(F.col("application_id").alias("prior_application_id"), F.col("deadline").alias("prior_deadline"))
+    r = kind.select("prior_application_id", F.col("application_created_at").alias("made")).join(prior, "prior_application_id").join(ends, "prior_application_id")
+    r = r.withColumns({"since_last_days": C.seconds_between("last_at", "made") / 86400, "since_terminal_days": C.seconds_between(F.coalesce("pt", "prior_deadline"), "made") / 86400})
+    rows = r.select(F.col("pt").isNull().alias("expired"), _stacked(r, _PRIOR))
+    n = rows.groupBy("measure").agg(F.count(F.lit(1)).alias("returners"), F.sum(C.flag(F.col("expired"))).cast("long").alias("inferred_expiries"))
+    return n.join(rounded(O.quantiles(rows, "value", QUANTILES, ["measure"]), QUANTILES), "measure")
+
+
+_AFTER = f"""{_CARRY}, f as (select application_id, count(*) as later, min(event_datetime) as first_at from clean where event_datetime >= timestamp '2024-01-15' group by 1),
+  x as (select c.*, coalesce(later, 0) as later, {Q.secs("timestamp '2024-01-15'", 'first_at')} / 3600 as first_event_hours, {Q.secs("timestamp '2024-01-15'", 'deadline')} / 3600 as remaining_hours from c left join f using (application_id))"""
+_CARRIED = ("age_hours", "silence_hours", "remaining_hours", "depth", "later", "first_event_hours")
+
+
+def _after(t: Tables):
+    """The carried cohort with what it did from the boundary on."""
+    at = C.ntz("2024-01-15 00:00:00")
+    later = t.windowed().filter(F.col("event_datetime") >= at).groupBy("application_id").agg(F.count(F.lit(1)).alias("later"), F.min("event_datetime").alias("first_at"))
+    return _carry(t).join(later, "application_id", "left").na.fill(0, ["later"]).withColumns({
+        "first_event_hours": C.seconds_between(at, "first_at") / 3600, "remaining_hours": C.seconds_between(at, "deadline") / 3600})
+
+
+@query("r14_carried_bands", f"""{_AFTER} select case when silence_hours <= 6 then '(-1, 6]' when silence_hours <= 12 then '(6, 12]' when silence_hours <= 24 then '(12, 24]' when silence_hours <= 48 then '(24, 48]' else '(48, 72]' end as silence,
+  case when depth <= 1 then '(0, 1]' when depth <= 2 then '(1, 2]' when depth <= 4 then '(2, 4]' else '(4, 1000000000]' end as depth_band, count(*) as n, count(*) filter (where later > 0) as active_apps, round(count(*) filter (where later > 0) / count(*), 9) as active_share,
+  cast(sum(later) as bigint) as events, round(sum(later) / nullif(count(*) filter (where later > 0), 0), 9) as events_per_reactivated_app from x group by 1, 2""")
+def _(t: Tables):
+    active = F.sum(C.flag(F.col("later") > 0)).cast("long")
+    return _after(t).groupBy(C.interval_label("silence_hours", (-1, 6, 12, 24, 48, 72)).alias("silence"), C.interval_label("depth", (0, 1, 2, 4, 10**9)).alias("depth_band")).agg(
+        F.count(F.lit(1)).alias("n"), active.alias("active_apps"), F.round(active / F.count(F.lit(1)), 9).alias("active_share"), F.sum("later").cast("long").alias("events"),
+        F.round(F.sum("later") / F.nullif(active, F.lit(0)), 9).alias("events_per_reactivated_app"))
+
+
+@query("r14_carried_quantiles", _AFTER + " " + " union all ".join(f"select '{m}' as measure, count({m}) as n, {qcols(m)} from x" for m in _CARRIED))
+def _(t: Tables):
+    x = _after(t)
+    rows = x.select(_stacked(x, _CARRIED)).filter("value is not null")
+    return rows.groupBy("measure").agg(F.count(F.lit(1)).alias("n")).join(rounded(O.quantiles(rows, "value", QUANTILES, ["measure"]), QUANTILES), "measure")
+
+
 @query("r15_reason_counts", f"""{_CARRY}, e as (select * from ev where application_id is not null) select coalesce(nullif(journey_substage, 'error'), 'UNKNOWN') as reason, count(*) as "all",
   count(*) filter (where application_id in (select application_id from c)) as carried from e group by 1""")
 def _(t: Tables):

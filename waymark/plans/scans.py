@@ -34,7 +34,7 @@ def _(t: Tables):
 @query("a3_source_order", "select event_id, event_id as source_row, row_number() over (partition by user_id order by ts, event_id) as position from events")
 def _(t: Tables):
     rows = readers.scan_parquet(t.spark, t.path("events"), ["event_id", "user_id", "ts"], EVENT_FIELDS, with_source=True)
-    rows = L.scan(_parts(rows), ["user_id"], ["ts", "source_row"], position=L.Running("sum", F.lit(1)))
+    rows = L.scan(_parts(rows), ["user_id"], ["ts", "source_file", "source_row"], position=L.Running("sum", F.lit(1)))
     return rows.select("event_id", "source_row", "position")
 
 
@@ -68,12 +68,19 @@ def _(t: Tables):
 
 @query("a7_checkpoint_registry", f"with {Q.ORD} select application_id, context_id, application_created_at as creation_datetime, deadline from reg")
 def _(t: Tables):
-    """Registry documents (one JSON per status and month, a map of context to lifecycles) flattened."""
+    """Registry documents written as gzip and read back: one JSON per month and bucket of contexts, a map of
+    context to the lifecycles it opened in that month."""
     r = t.orders().select("application_id", "context_id", F.col("application_created_at").cast("string").alias("creation_datetime"),
                           F.col("deadline").cast("string").alias("deadline"))
-    one = F.map_from_entries(F.array(F.struct("context_id", F.array(F.struct(*r.columns)))))
-    docs = r.select(F.to_json(F.struct(one.alias("lifecycle_registry"))).alias("value"))
-    return readers.registry_rows(docs)
+    month = F.substring("creation_datetime", 1, 7)
+    lives = r.groupBy("context_id", month.alias("month")).agg(F.collect_list(F.struct(*r.columns)).alias("lives"))
+    buckets = F.greatest(F.lit(1), (r.agg(F.count(F.lit(1))).scalar() / 10000).cast("long"))  # so a document keeps its size
+    docs = (lives.groupBy("month", F.pmod(F.xxhash64("context_id"), buckets).alias("bucket"))
+            .agg(F.map_from_entries(F.collect_list(F.struct("context_id", "lives"))).alias("lifecycle_registry"))
+            .select(F.to_json(F.struct("lifecycle_registry")).alias("value")))
+    root = f"{shared_folder(t.spark)}/registry-{uuid.uuid4().hex}"
+    docs.write.option("compression", "gzip").text(root)
+    return readers.registry_rows(t.spark.read.text(root))
 
 
 @query("a8_json_props", f"select event_id, {Q.K} as k from events")

@@ -14,7 +14,7 @@ def scan_parquet(spark: SparkSession, paths: Sequence[str] | str, columns: Seque
                  schema: str | None = EVENT_DDL, recursive: bool = False, glob: str | None = None,
                  with_source: bool = False) -> DataFrame:
     """Files, directories, globs or object-store URLs, in any number. `with_source` adds the file
-    and row position, the stable tie-break of equal times."""
+    and the row position in it: together the stable tie-break of equal times."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if recursive:
