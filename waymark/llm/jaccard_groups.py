@@ -143,7 +143,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rest = rest.filter(~((F.col("x") == F.col("a")) & (F.col("y") == F.col("b")) & (F.col("a") != F.col("b"))))  # first ones are done
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = verified(rest)
-    whole = components(first.unionAll(second)) if second.limit(1).count() else part
+    # what the second links join are components of the first
+    of = lambda name, c: placed.select(F.col("uid").alias(name), F.col("c").alias(c))
+    bridges = second.join(of("a", "ca"), "a").join(of("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    merged = components(bridges).select(F.col("node").alias("c"), "component")
+    whole = placed.join(merged, "c", "left").select(F.col("uid").alias("node"), F.coalesce("component", "c").alias("component"))
 
     named = some.select("uid", "doc_id", "__row", "n", "s1", "s2").join(nodes, ["n", "s1", "s2"])
     labelled = named.join(whole, "node", "left").select("uid", "doc_id", "__row", "n", F.coalesce("component", "node").alias("label"))
