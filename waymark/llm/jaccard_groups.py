@@ -62,19 +62,36 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """uid, shingles of the rows of docs that wanted (uid, doc_id, __row) names."""
+    """uid, gid, members, shingles of the rows of docs that wanted (uid, doc_id, __row, gid, members) names."""
     keyed = docs.select("doc_id", row_hash().alias("__row"), "text")
     if wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
-    rows = keyed.join(wanted, same_row(keyed, wanted)).select("uid", "text")
+    rows = keyed.join(wanted, same_row(keyed, wanted)).select("uid", "gid", "members", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = BytesHasher()
         for b in batches:
             sets = [s.view(np.int64) for s in each_set(b.column("text"), size, hasher)]
-            yield pa.record_batch([b.column("uid"), pa.array(sets, pa.list_(pa.int64()))], ["uid", "shingles"])
+            yield pa.record_batch([*(b.column(c) for c in ("uid", "gid", "members")), pa.array(sets, pa.list_(pa.int64()))], ["uid", "gid", "members", "shingles"])
 
-    return materialize(rows.mapInArrow(run, "uid long, shingles array<long>").dropDuplicates(["uid"]))
+    return materialize(rows.mapInArrow(run, "uid long, gid long, members long, shingles array<long>"))
+
+
+def heads_of(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(uid, gid, n, shared) of the members that can link at all, and (gid, head, alive) of their groups. `shared`
+    counts a member's tokens that another member has too: with fewer than percent of its set it links with nothing. The
+    head of a group is the member nearest to what most of the group holds, such as the text that the others were made
+    from, so that links are found around it instead of among all."""
+    spread = sets.select("uid", "gid", "members", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    twice = spread.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token")
+    alive = (spread.join(twice, "token").groupBy("uid", "gid", "n").agg(F.count("*").alias("shared"))
+             .filter(F.col("shared") * 100 >= F.col("n") * percent))
+    crowd = spread.filter("members > 2")
+    common = crowd.groupBy("gid", "token", "members").agg(F.count("*").alias("held")).filter(F.col("held") * 2 > F.col("members")).select("gid", "token")
+    hits = crowd.join(common, ["gid", "token"]).groupBy("uid").agg(F.count("*").alias("hits"))
+    alive = materialize(alive.join(hits, "uid", "left"))
+    nearest = F.struct(F.coalesce(2 * F.col("hits") - F.col("n"), F.lit(-1 << 40)), -F.col("uid"))
+    return alive, materialize(alive.groupBy("gid").agg(F.max_by("uid", nearest).alias("head"), F.count("*").alias("alive")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -118,10 +135,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                      & (F.col("n") * 100 >= F.col("n2") * percent) & (room * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)))
     pairs = materialize(pairs.select(F.col("gid").alias("a"), F.col("gid2").alias("b")).distinct())
 
-    member = able.join(groups, ["n", "u", "prefix"]).select("uid", "doc_id", "__row", "n", "gid", "members")
+    member = able.join(groups, ["n", "u", "prefix"]).select("uid", "doc_id", "__row", "gid", "members")
     paired = pairs.select(F.col("a").alias("gid")).unionAll(pairs.select(F.col("b").alias("gid"))).distinct().withColumn("paired", F.lit(True))
-    member = materialize(member.join(paired, "gid", "left").filter("members > 1 or paired").select("uid", "doc_id", "__row", "n", "gid"))
-    sets = full_sets(docs, member.select("uid", "doc_id", "__row"), size)
+    member = member.join(paired, "gid", "left").filter("members > 1 or paired").select("uid", "doc_id", "__row", "gid", "members")
+    sets = full_sets(docs, materialize(member), size)
+    alive, heads = heads_of(sets, percent)
 
     def verified(ab: DataFrame) -> DataFrame:
         with_b = ab.join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -129,19 +147,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         common = F.size(F.array_intersect("sa", "sb"))
         return materialize(both.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b"))
 
-    first = verified(pairs.unionAll(member.filter("uid <> gid").select(F.col("gid").alias("a"), F.col("uid").alias("b"))))
+    # the head of each group against its members, the heads of paired groups against each other, and the members of a
+    # group against the head of the largest group it is paired with
+    head = lambda g, name: heads.select(F.col("gid").alias(g), F.col("head").alias(name), F.col("alive").alias(f"{name}_alive"))
+    own = alive.join(head("gid", "x"), "gid").select("x", F.col("uid").alias("y"))
+    two = pairs.join(head("a", "x"), "a").join(head("b", "y"), "b")
+    around = two.select(F.col("a").alias("gid"), F.col("b").alias("o"), F.col("y").alias("x"), F.col("y_alive").alias("k")).unionAll(
+        two.select(F.col("b").alias("gid"), F.col("a").alias("o"), "x", F.col("x_alive").alias("k")))
+    largest = around.groupBy("gid").agg(F.max_by("x", F.struct("k", -F.col("o"))).alias("x"))
+    far = alive.join(largest, "gid").select("x", F.col("uid").alias("y"))
+    tried = own.unionAll(two.select("x", "y")).unionAll(far).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
+    tried = materialize(tried)
+    first = verified(tried)
     part = components(first)
-    placed = member.join(part.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "gid", F.coalesce("component", "uid").alias("c"))
+    placed = alive.join(part.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "gid", "n", "shared", F.coalesce("component", "uid").alias("c"))
     placed = materialize(placed)
     kinds = placed.select("gid", "c").distinct()
     split = kinds.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     left = (pairs.unionAll(split).join(kinds.select(F.col("gid").alias("a"), F.col("c").alias("ca")), "a")
             .join(kinds.select(F.col("gid").alias("b"), F.col("c").alias("cb")), "b")
             .filter((F.col("ca") != F.col("cb")) & ((F.col("a") != F.col("b")) | (F.col("ca") < F.col("cb")))))
-    side = lambda g, c, name: placed.select(F.col("gid").alias(g), F.col("c").alias(c), F.col("uid").alias(name))
-    rest = left.join(side("a", "ca", "x"), ["a", "ca"]).join(side("b", "cb", "y"), ["b", "cb"])
-    rest = rest.filter(~((F.col("x") == F.col("a")) & (F.col("y") == F.col("b")) & (F.col("a") != F.col("b"))))  # first ones are done
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda g, c, i: placed.select(F.col("gid").alias(g), F.col("c").alias(c), F.col("uid").alias(f"u{i}"), F.col("n").alias(f"n{i}"), F.col("shared").alias(f"s{i}"))
+    rest = left.join(side("a", "ca", 1), ["a", "ca"]).join(side("b", "cb", 2), ["b", "cb"])
+    rest = rest.filter((F.least("s1", "s2") * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent))
+    rest = rest.select(F.least("u1", "u2").alias("a"), F.greatest("u1", "u2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     second = verified(rest)
     # what the second links join are components of the first
     of = lambda name, c: placed.select(F.col("uid").alias(name), F.col("c").alias(c))
