@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import among, flag, micros, ntz, regime, seconds_between, truncated
+from ..session import materialize
 from ..spec import LifecycleSpec
 from .lifecycle import APP, TIMELINE, is_label
 from .ordered import Running, Shift, scan
@@ -61,10 +62,13 @@ def packets(events: DataFrame, spec: LifecycleSpec, patterns: DataFrame | None =
 
     `regime` looks at earlier packets only; `prior_depth` and `ptp_eligible` include the current one.
     The pattern side has at most one row per subset of the core labels, hence the broadcast.
-    Pass fitted `patterns` to skip fitting them.
+    Pass fitted `patterns` to skip fitting them; else the groups are written once, as patterns and
+    packets both read them.
     """
     groups = label_groups(events, spec)
-    patterns = supported_patterns(groups, spec) if patterns is None else patterns
+    if patterns is None:
+        groups = materialize(groups)
+        patterns = supported_patterns(groups, spec)
     rows = (groups.withColumn("pattern", pattern_key("seen"))
             .join(F.broadcast(patterns.select("pattern", F.lit(True).alias("__ok"))), "pattern", "left"))
     rank = F.create_map(*[x for i, l in enumerate(spec.order) for x in (F.lit(l), F.lit(i))])

@@ -11,7 +11,7 @@ from ..operators.lifecycle import customer_kind, in_window, truncate_at_terminal
 from ..operators.ordered import arrange
 from ..operators.sequence import packets
 from ..operators.survival import episodes
-from ..session import configure
+from ..session import configure, materialize
 from ..sources.adapters import STREAM_SPEC, order_lifecycles, stream_events, stream_lifecycles
 
 _ENTRIES: dict[str, tuple[Callable[["Tables"], DataFrame], str | None]] = {}
@@ -71,9 +71,13 @@ class Tables:
         return packets(self.windowed(), STREAM_SPEC)
 
     def kinded_packets(self) -> DataFrame:
-        """Packets with the customer kind of their application."""
+        """Packets with the customer kind of their application, written once for all that read them."""
+        if "kinded" in self._seen:
+            return self._seen["kinded"]
         kind = customer_kind(self.lifecycles().withColumn("source_row", F.lit(0)), STREAM_SPEC)
-        return arrange(self.packets().join(kind.select("application_id", "customer_kind"), "application_id"), ["application_id"])
+        rows = self.packets().join(kind.select("application_id", "customer_kind"), "application_id")
+        self._seen["kinded"] = arrange(materialize(rows), ["application_id"])
+        return self._seen["kinded"]
 
     def episodes(self, start: str = "2024-01-01 00:00:00", end: str = "2024-01-31 00:00:00") -> DataFrame:
         return episodes(self.kinded_packets(), STREAM_SPEC, start, end)
