@@ -3,6 +3,7 @@ are expanded and verified."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,7 +79,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def heads_of(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(uid, gid, n, shared) of the members that can link at all, and (gid, head, alive) of their groups. `shared`
+    """(uid, gid, n, shared) of the members that can link at all, and (gid, head, alive, most) of their groups. `shared`
     counts a member's tokens that another member has too: with fewer than percent of its set it links with nothing. The
     head of a group is the member nearest to what most of the group holds, such as the text that the others were made
     from, so that links are found around it instead of among all."""
@@ -91,7 +92,7 @@ def heads_of(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     hits = crowd.join(common, ["gid", "token"]).groupBy("uid").agg(F.count("*").alias("hits"))
     alive = materialize(alive.join(hits, "uid", "left"))
     nearest = F.struct(F.coalesce(2 * F.col("hits") - F.col("n"), F.lit(-1 << 40)), -F.col("uid"))
-    return alive, materialize(alive.groupBy("gid").agg(F.max_by("uid", nearest).alias("head"), F.count("*").alias("alive")))
+    return alive, materialize(alive.groupBy("gid").agg(F.max_by("uid", nearest).alias("head"), F.count("*").alias("alive"), F.max("shared").alias("most")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -127,17 +128,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     able = materialize(ranked.withColumn("take", take).filter("take > 0").select("uid", "doc_id", "__row", "n", "u", prefix.alias("prefix")))
 
     groups = materialize(able.groupBy("n", "u", "prefix").agg(F.min("uid").alias("gid"), F.count("*").alias("members")))
-    spots = groups.select("gid", "n", "u", F.posexplode("prefix").alias("at", "token")).select("gid", "n", (F.col("u") + F.col("at")).alias("at"), "token")
-    other = spots.select(*[F.col(c).alias(f"{c}2") for c in spots.columns])
-    room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    pairs = (spots.join(other, F.col("token") == F.col("token2"))
-             .filter(((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("gid") < F.col("gid2"))))
-                     & (F.col("n") * 100 >= F.col("n2") * percent) & (room * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)))
-    pairs = materialize(pairs.select(F.col("gid").alias("a"), F.col("gid2").alias("b")).distinct())
-
+    # lists of groups by prefix token and band of sizes; sets that link are in one band or in two next to each other, so
+    # each group is listed in its own band and as a guest in the next
+    step = math.log(100 / percent) * 1.0001 if percent < 100 else 1e-9
+    spots = groups.select("gid", "n", F.posexplode("prefix").alias("at", "token"), "u").select("token", "gid", "n", (F.col("u") + F.col("at")).alias("at"), F.floor(F.ln("n") / step).alias("band"))
+    lists = spots.select("token", "gid", "n", "at", F.inline(F.array(*[F.struct((F.col("band") + k).alias("band"), F.lit(k).alias("guest")) for k in (0, 1)])))
+    met = lists.groupBy("token", "band").agg(F.count("*").alias("k")).filter("k > 1").select("token", "band")
+    met = lists.join(met, ["token", "band"], "left_semi").select("gid").distinct().withColumn("met", F.lit(True))
     member = able.join(groups, ["n", "u", "prefix"]).select("uid", "doc_id", "__row", "gid", "members")
-    paired = pairs.select(F.col("a").alias("gid")).unionAll(pairs.select(F.col("b").alias("gid"))).distinct().withColumn("paired", F.lit(True))
-    member = member.join(paired, "gid", "left").filter("members > 1 or paired").select("uid", "doc_id", "__row", "gid", "members")
+    member = member.join(met, "gid", "left").filter("members > 1 or met").select("uid", "doc_id", "__row", "gid", "members")
     sets = full_sets(docs, materialize(member), size)
     alive, heads = heads_of(sets, percent)
 
@@ -147,26 +146,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         common = F.size(F.array_intersect("sa", "sb"))
         return materialize(both.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b"))
 
-    # the head of each group against its members, the heads of paired groups against each other, and the members of a
-    # group against the head of the largest group it is paired with
-    head = lambda g, name: heads.select(F.col("gid").alias(g), F.col("head").alias(name), F.col("alive").alias(f"{name}_alive"))
-    own = alive.join(head("gid", "x"), "gid").select("x", F.col("uid").alias("y"))
-    two = pairs.join(head("a", "x"), "a").join(head("b", "y"), "b")
-    around = two.select(F.col("a").alias("gid"), F.col("b").alias("o"), F.col("y").alias("x"), F.col("y_alive").alias("k")).unionAll(
-        two.select(F.col("b").alias("gid"), F.col("a").alias("o"), "x", F.col("x_alive").alias("k")))
-    largest = around.groupBy("gid").agg(F.max_by("x", F.struct("k", -F.col("o"))).alias("x"))
-    far = alive.join(largest, "gid").select("x", F.col("uid").alias("y"))
-    tried = own.unionAll(two.select("x", "y")).unionAll(far).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
-    tried = materialize(tried)
+    listed = materialize(lists.join(heads, "gid"))
+    other = lambda df: df.select("token", "band", *[F.col(c).alias(f"{c}2") for c in df.columns if c not in ("token", "band")])
+    room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"), F.col("most"), F.col("most2"))
+    may = ((F.col("gid") != F.col("gid2")) & (F.col("guest") + F.col("guest2") < 2) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+           & (room * (100 + percent) >= (F.col("n") + F.col("n2")) * percent))
+
+    # links are looked for around heads first: of each group for its members, of the largest group of a list for the
+    # other heads, and of the largest of these for all members
+    hub = listed.groupBy("token", "band").agg(F.max_by(F.struct(*[c for c in listed.columns if c not in ("token", "band")]), F.struct("alive", -F.col("gid"))).alias("hub")).select("token", "band", "hub.*")
+    around = listed.join(other(hub), ["token", "band"]).filter(may).select("gid", "head", "gid2", "head2", "alive2").distinct()
+    largest = around.groupBy("gid").agg(F.max_by("head2", F.struct("alive2", -F.col("gid2"))).alias("x"))
+    own = alive.join(heads, "gid").select(F.col("head").alias("x"), F.col("uid").alias("y"))
+    tried = own.unionAll(around.select("head", "head2")).unionAll(alive.join(largest, "gid").select("x", F.col("uid").alias("y")))
+    tried = materialize(tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct())
     first = verified(tried)
     part = components(first)
     placed = alive.join(part.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "gid", "n", "shared", F.coalesce("component", "uid").alias("c"))
     placed = materialize(placed)
     kinds = placed.select("gid", "c").distinct()
-    split = kinds.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    left = (pairs.unionAll(split).join(kinds.select(F.col("gid").alias("a"), F.col("c").alias("ca")), "a")
-            .join(kinds.select(F.col("gid").alias("b"), F.col("c").alias("cb")), "b")
-            .filter((F.col("ca") != F.col("cb")) & ((F.col("a") != F.col("b")) | (F.col("ca") < F.col("cb")))))
+
+    # what is left can only link across components: in a list, those outside its commonest component with all others
+    seen_in = listed.join(kinds, "gid")
+    counts = seen_in.groupBy("token", "band", "c").agg(F.count("*").alias("k"))
+    mixed = counts.groupBy("token", "band").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "band", "main")
+    seen_in = materialize(seen_in.join(mixed, ["token", "band"]).drop("head", "alive"))
+    across = seen_in.filter("c <> main").join(other(seen_in), ["token", "band"]).filter(may & (F.col("c") != F.col("c2")))
+    across = across.select(F.col("gid").alias("a"), F.col("c").alias("ca"), F.col("gid2").alias("b"), F.col("c2").alias("cb"))
+    inside = kinds.select(F.col("gid").alias("a"), F.col("c").alias("ca")).join(kinds.select(F.col("gid").alias("a"), F.col("c").alias("cb")), "a").filter("ca < cb")
+    left = across.unionByName(inside.withColumn("b", F.col("a"))).distinct()
     side = lambda g, c, i: placed.select(F.col("gid").alias(g), F.col("c").alias(c), F.col("uid").alias(f"u{i}"), F.col("n").alias(f"n{i}"), F.col("shared").alias(f"s{i}"))
     rest = left.join(side("a", "ca", 1), ["a", "ca"]).join(side("b", "cb", 2), ["b", "cb"])
     rest = rest.filter((F.least("s1", "s2") * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent))
