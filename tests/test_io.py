@@ -33,6 +33,29 @@ def test_commit_is_idempotent_ordered_and_chained(spark, folder):
     assert K.commit_chain_violations(sinks.read_log(spark, folder + "/log")).count() == 0
 
 
+def test_commit_refuses_rows_of_another_day(spark, folder):
+    day = lambda d, n: rows(spark, [("a", "c", f"{d} 01:00:00", n)])
+    sinks.commit_day(day("2026-05-01", 1), "2026-05-01", folder + "/d", folder + "/log")
+    with pytest.raises(ValueError):
+        sinks.commit_day(day("2026-05-01", 9).unionByName(day("2026-05-02", 2)), "2026-05-02", folder + "/d", folder + "/log")
+    assert [r["source_row"] for r in spark.read.parquet(folder + "/d").collect()] == [1]
+    assert sinks.read_log(spark, folder + "/log").count() == 1
+
+
+def test_damaged_marker_is_an_error(spark, folder):
+    assert sinks.read_log(spark, folder + "/none").count() == 0
+    spark.createDataFrame([("{broken",)], "value string").coalesce(1).write.text(folder + "/log")
+    with pytest.raises(Exception):
+        sinks.read_log(spark, folder + "/log").collect()
+
+
+def test_time_regressions_of_a_hot_application(spark):
+    data = [("a", "c", f"2026-05-{1 + (i * 7) % 28:02d} 01:00:00", i) for i in range(80)] + [("b", "c", "2026-05-01 00:00:00", 100)]
+    df = rows(spark, data)
+    plain = {r["key"] for r in K.time_regressions(df, hot_rows=10**6).collect()}
+    assert plain and plain == {r["key"] for r in K.time_regressions(df, hot_rows=20).collect()}
+
+
 def test_append_rejects_duplicates_and_earlier_times(spark):
     hist = rows(spark, [("a", "c", "2026-04-01 00:00:00", 1), ("a", "c", "2026-04-05 00:00:00", 2)])
     inc = rows(spark, [("a", "c", "2026-04-05 00:00:00", 2), ("b", "d", "2026-04-01 00:00:00", 3)])
