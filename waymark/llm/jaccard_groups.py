@@ -164,16 +164,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     part = components(first)
     placed = alive.join(part.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "gid", "n", "shared", F.coalesce("component", "uid").alias("c"))
     placed = materialize(placed)
-    kinds = placed.select("gid", "c").distinct()
+    kinds = placed.groupBy("gid", "c", "n").agg(F.max("shared").alias("most"))
 
     # what is left can only link across components: in a list, those outside its commonest component with all others
-    seen_in = listed.join(kinds, "gid")
+    seen_in = listed.drop("most").join(kinds.drop("n"), "gid")
     counts = seen_in.groupBy("token", "band", "c").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("token", "band").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "band", "main")
     seen_in = materialize(seen_in.join(mixed, ["token", "band"]).drop("head", "alive"))
     across = seen_in.filter("c <> main").join(other(seen_in), ["token", "band"]).filter(may & (F.col("c") != F.col("c2")))
     across = across.select(F.col("gid").alias("a"), F.col("c").alias("ca"), F.col("gid2").alias("b"), F.col("c2").alias("cb"))
-    inside = kinds.select(F.col("gid").alias("a"), F.col("c").alias("ca")).join(kinds.select(F.col("gid").alias("a"), F.col("c").alias("cb")), "a").filter("ca < cb")
+    inside = kinds.select(F.col("gid").alias("a"), "n", "most", F.col("c").alias("ca")).join(kinds.select(F.col("gid").alias("a"), F.col("most").alias("most2"), F.col("c").alias("cb")), "a")
+    inside = inside.filter((F.col("ca") < F.col("cb")) & (F.least("most", "most2") * (100 + percent) >= F.col("n") * 2 * percent)).select("a", "ca", "cb")
     left = across.unionByName(inside.withColumn("b", F.col("a"))).distinct()
     side = lambda g, c, i: placed.select(F.col("gid").alias(g), F.col("c").alias(c), F.col("uid").alias(f"u{i}"), F.col("n").alias(f"n{i}"), F.col("shared").alias(f"s{i}"))
     rest = left.join(side("a", "ca", 1), ["a", "ca"]).join(side("b", "cb", 2), ["b", "cb"])
