@@ -124,6 +124,32 @@ def unigram(docs, learn):
              sum(math.log10((c[t] + 1) / (total + kinds + 1)) for t in tokens(text))) for doc, text in docs]
 
 
+def ppm_of_order(text, trained, order):
+    """log10 P of the bytes and the end under escape C with exclusion, contexts of `order` bytes and fewer."""
+    count = {}
+    for t in trained:
+        s = [254] * order + [*(t or "").encode(), 255]
+        for i in range(order, len(s)):
+            for j in range(order + 1):
+                count.setdefault(tuple(s[i - j:i]), Counter())[s[i]] += 1
+    s, total = [254] * order + [*(text or "").encode(), 255], 0.0
+    for i in range(order, len(s)):
+        p, out = 1.0, set()
+        for j in range(order, -1, -1):
+            left = {k: n for k, n in count.get(tuple(s[i - j:i]), {}).items() if k not in out}
+            if left:
+                whole = sum(left.values()) + len(left)
+                if s[i] in left:
+                    p *= left[s[i]] / whole
+                    break
+                p *= len(left) / whole
+                out |= set(left)
+        else:
+            p /= 255 - len(out)
+        total += math.log10(p)
+    return total
+
+
 def ppm(text, trained):
     """log10 P of the bytes and the end under escape C with exclusion, contexts of two bytes and fewer."""
     count = {0: Counter(), 1: {}, 2: {}}

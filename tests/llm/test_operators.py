@@ -1,6 +1,7 @@
 """Each operator against a plain restatement, on rows that hold the awkward cases."""
 
 import hashlib
+import math
 import random
 import sys
 
@@ -299,6 +300,34 @@ def test_language_model(llm, monkeypatch, frequent):
         assert g[4:] == pytest.approx(w[4:], rel=1e-6)
 
 
+@pytest.mark.parametrize("order", [3, 5])
+def test_language_model_of_longer_contexts(llm, monkeypatch, order):
+    from waymark.llm import ppm
+    monkeypatch.setattr(ppm, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(ppm, "SORTED", 500)
+    docs = [x for x in made(13, 40) if x[0] < 40] + [(41, "zz unseen ∂ words"), (42, None), (42, None), (43, "abcdef" * 30), (45, "abcdef xbcdef abcdeg")]
+    got = sorted(((r.doc_id, r.score) for r in ppm.score_texts(extra(llm, docs), F.col("doc_id") % 3 != 0, order).collect()), key=str)
+    trained = [t for d, t in docs if d % 3]
+    want = sorted([(d, brute.ppm_of_order(t, trained, order)) for d, t in docs], key=str)
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert sorted(x[1] for x in got) == pytest.approx(sorted(x[1] for x in want), rel=1e-5)
+    assert dict(got)[45] == pytest.approx(dict(want)[45], rel=1e-5)
+    none = ppm.score_texts(llm.createDataFrame([(1, "a b"), (None, None)], DOCS), F.lit(False), order).collect()
+    assert sorted(r.score for r in none) == pytest.approx([-4 * math.log10(255), -math.log10(255)])
+    assert ppm.score_texts(llm.createDataFrame([], DOCS), F.lit(True), order).count() == 0
+
+
+def test_language_model_query_sees_longer_contexts(llm, folder):
+    from waymark.llm.ppm import op9_ppm
+    asked = [i for i in range(60) if __import__("zlib").crc32(str(i).encode()) % 7 == 2]
+    docs = [(i, t) for i in range(60) for t in (("abcdeX", "abcdeY") if i in asked else ("abcdeX qbcdeY ",))]
+    llm.createDataFrame(docs, DOCS).write.parquet(f"{folder}/documents.parquet")
+    held = {}
+    for r in op9_ppm(llm, folder).filter("held_out").collect():
+        held.setdefault(r.doc_id, []).append(r.score)
+    assert sorted(held) == asked and all(abs(a - b) > 0.3 for a, b in held.values())  # two bytes before X and Y are the same
+
+
 def test_language_model_edges(llm):
     from waymark.llm.ppm import probabilities, score_texts
     p = 10.0 ** probabilities(np.array([(97 << 16) | (98 << 8) | 99, (97 << 16) | (98 << 8) | 255]), np.array([3.0, 1.0])).reshape(256, 256, 256)
