@@ -111,6 +111,34 @@ def test_manifest_and_drift(spark, tables):
     assert readers.source_drift(inv, inv).count() == 0
 
 
+def test_manifest_of_rows_and_columns(spark, folder):
+    rows = spark.range(100).selectExpr("id", "if(id % 2 = 0, null, cast(id as string)) as a", "cast(null as string) as b")
+    rows.coalesce(1).write.parquet(folder + "/x y+.parquet")
+    rows.filter("id < 50").coalesce(1).write.parquet(folder + "/z.parquet")
+    inv = readers.file_inventory(spark, folder, whole_bytes=0).filter("file like '%.parquet'")  # no file is read whole
+    got = {r["file"].split("/")[0]: r for r in inv.collect()}
+    assert {f: (r["rows"], r["columns"], r["sha256"]) for f, r in got.items()} == {f: (n, "id bigint, a string, b string", None) for f, n in (("x y+.parquet", 100), ("z.parquet", 50))}
+    good = spark.createDataFrame(inv.collect(), inv.schema).select("file", "digest", "rows", "columns")
+    assert readers.verify_manifest(inv, good).count() == 0
+    x = F.col("file").startswith("x")
+    bad = good.withColumns({"rows": F.when(x, F.lit(7)).otherwise(F.col("rows")), "columns": F.when(~x, F.lit("id bigint")).otherwise(F.col("columns"))})
+    assert {(r["file"][0], r["violation"]) for r in readers.verify_manifest(inv, bad).collect()} == {("x", "ROWS_MISMATCH"), ("z", "COLUMNS_MISMATCH")}
+    only = good.select("file", F.lit("00").alias("sha256"))
+    assert {r["violation"] for r in readers.verify_manifest(inv, only).collect()} == {"UNVERIFIED"}
+    rows.filter("id < 50").selectExpr("id", "b as a", "a as b").coalesce(1).write.mode("overwrite").parquet(folder + "/z.parquet")
+    now = readers.file_inventory(spark, folder, whole_bytes=0).filter("file like 'z.parquet/%.parquet'")
+    assert now.first()["digest"] != got["z.parquet"]["digest"] and now.first()["rows"] == 50
+
+
+def test_registered_checks_look_at_content(spark, tables):
+    from waymark.plans import load_all
+    found = load_all()
+    assert {tuple(r) for r in found["a15_manifest_check"][0](tables).collect()} == {
+        ("region.parquet", "UNDECLARED"), ("nation.parquet", "HASH_MISMATCH"), ("nation.parquet", "DIGEST_MISMATCH"),
+        ("customer.parquet", "ROWS_MISMATCH"), ("supplier.parquet", "COLUMNS_MISMATCH")}
+    assert {r["key"] for r in found["b25_source_drift"][0](tables).collect()} == {"region.parquet", "nation.parquet"}
+
+
 def test_jsonl_and_registry(spark, folder):
     df = spark.createDataFrame([("a", "ORGANIC_CONTINUATION", ("EMPIRICAL",))], "application_id string, category string, explanation struct<reason:string>")
     sinks.write_jsonl(df, folder + "/audit")

@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import checks as K
 from ..operators import lifecycle as L
 from ..operators import survival as S
+from ..session import materialize
 from ..sources import readers
 from ..sources.adapters import ORDER_SPEC, STREAM_SPEC as SPEC
 from ..spec import CHANNELS
@@ -241,9 +242,11 @@ def _(t: Tables):
 
 @query("b25_source_drift", None)
 def _(t: Tables):
-    """Registered inputs against the files as they are, with one registered size made wrong."""
-    now = readers.file_inventory(t.spark, t.root, with_hash=False)
-    before = now.withColumn("length", F.when(F.col("path").endswith("region.parquet"), F.col("length") + 1).otherwise(F.col("length")))
+    """Registered inputs against the files as they are, with one registered size and one content digest made wrong."""
+    now = materialize(readers.file_inventory(t.spark, t.root))
+    before = now.withColumns({
+        "length": F.when(F.col("file") == "region.parquet", F.col("length") + 1).otherwise(F.col("length")),
+        "digest": F.when(F.col("file") == "nation.parquet", F.lit("0")).otherwise(F.col("digest"))})
     return K.as_rule(readers.source_drift(before, now), "DRIFT", F.element_at(F.split("path", "/"), -1)).select("rule", "key")
 
 

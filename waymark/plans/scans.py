@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import lifecycle as L
 from ..operators.ordered import mark_parts
-from ..session import shared_folder
+from ..session import materialize, shared_folder
 from ..sources import readers, sinks
 from ..sources.adapters import STREAM_SPEC as SPEC
 from ..spec import EVENT_COLUMNS
@@ -111,11 +111,13 @@ def _(t: Tables):
 
 @query("a15_manifest_check", None)
 def _(t: Tables):
-    """Inventory of the table directory against a manifest that lacks one file and misstates another."""
-    inv = readers.file_inventory(t.spark, t.root)
-    listed = inv.select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256")
-    manifest = listed.filter("file <> 'region.parquet'").withColumn(
-        "sha256", F.when(F.col("file") == "nation.parquet", F.lit("0")).otherwise(F.col("sha256")))
+    """Inventory of the table directory against a manifest that lacks one file and misstates hash and digest of a second,
+    the row count of a third and the columns of a fourth."""
+    inv = materialize(readers.file_inventory(t.spark, t.root))
+    wrong = lambda c, file, value: F.when(F.col("file") == file, value).otherwise(F.col(c)).alias(c)
+    manifest = inv.filter("file <> 'region.parquet'").select(
+        "file", wrong("sha256", "nation.parquet", F.lit("0")), wrong("digest", "nation.parquet", F.lit("0")),
+        wrong("rows", "customer.parquet", F.col("rows") + 1), wrong("columns", "supplier.parquet", F.lit("none")))
     return readers.verify_manifest(inv, manifest)
 
 
