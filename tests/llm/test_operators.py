@@ -88,6 +88,16 @@ def test_decontamination_edges(llm):
     assert [r.n_hit for r in find_overlaps(docs, items.limit(0)).collect()] == [0] * 4
 
 
+def test_items_without_id_contaminate(llm, folder):
+    from waymark.llm.decontamination import drop_contaminated, op1_decontamination
+    docs = llm.createDataFrame([(1, "one two three"), (2, "four five"), (3, "six")], DOCS)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    llm.createDataFrame([(None, "two three"), (None, "one"), (5, "five"), (6, "one")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in op1_decontamination(llm, folder).collect()}
+    assert got == {1: (3, 2, brute.sha("6"), True), 2: (1, 1, brute.sha("5"), True), 3: (0, 0, brute.sha(""), False)}
+    assert [r.doc_id for r in drop_contaminated(llm, docs, folder).collect()] == [3]
+
+
 def test_decontamination_plan_is_native(llm, capsys):
     from waymark.llm.decontamination import op1_decontamination
     op1_decontamination(llm, SF).explain()

@@ -46,7 +46,7 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def find_overlaps(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+def find_overlaps(docs: DataFrame, items: DataFrame, size: int = 10, unnamed: bool = False) -> DataFrame:
     """doc_id, __row, n_words, n_hit, n_items, items (ids as strings, sorted, comma-joined) for each row of docs.
 
     A word of a document is hit if it lies in an occurrence of any window of any item. Shingles of documents meet the
@@ -55,10 +55,12 @@ def find_overlaps(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     where the text has room for it before and after, and is verified by its other shingles at their places.
 
     NULL texts have no words; an item without words has no window and an empty benchmark hits nothing. Items of equal
-    words count each. Rows that repeat doc_id and text have equal results; a NULL doc_id is an id, a NULL item_id none.
+    words count each. Rows that repeat doc_id and text have equal results; a NULL doc_id is an id. Items of NULL item_id
+    are left out, or with `unnamed` hit like others and count as one item that the list does not name.
     """
     keyed = docs.select("doc_id", row_hash().alias("__row"), words_of(F.col("text")).alias("words"))
-    items = items.filter(F.col("item_id").isNotNull())
+    if not unnamed:
+        items = items.filter(F.col("item_id").isNotNull())
     of_item, of_window = item_windows(items, size)
     wanted = of_window.select("shingle").distinct()
     sizes = [r["length"] for r in of_window.select("length").distinct().collect()]  # at most SHINGLE numbers
@@ -110,7 +112,7 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_overlaps(documents(spark, sf_dir).select("doc_id", "text"), _benchmark(spark, sf_dir))
+    found = find_overlaps(documents(spark, sf_dir).select("doc_id", "text"), _benchmark(spark, sf_dir), unnamed=True)
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", "n_hit", "n_items",
                         F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -142,5 +144,5 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The rows of docs in which no word of a benchmark passage is hit."""
     configure_text(spark)
     keyed = docs.withColumn("__row", row_hash())
-    bad = find_overlaps(docs.select("doc_id", "text"), _benchmark(spark, sf_dir)).filter("n_hit > 0").select("doc_id", "__row").distinct()
+    bad = find_overlaps(docs.select("doc_id", "text"), _benchmark(spark, sf_dir), unnamed=True).filter("n_hit > 0").select("doc_id", "__row").distinct()
     return keyed.join(bad, same_row(keyed, bad), "left_anti").select(docs.columns)
