@@ -88,6 +88,13 @@ def test_decontamination_edges(llm):
     assert [r.n_hit for r in find_overlaps(docs, items.limit(0)).collect()] == [0] * 4
 
 
+def test_copies_without_words_stay_beside_repeated_rows(llm):
+    from waymark.llm.jaccard_groups import keep_one_of_group
+    docs = [(1, None), (1, None), (2, ""), (2, ""), (3, "a b c d e f"), (3, "a b c d e f")]
+    got = sorted(r.doc_id for r in keep_one_of_group(llm, llm.createDataFrame(docs, DOCS), "").collect())
+    assert got == [1, 1, 2, 2, 3]
+
+
 def test_items_without_id_contaminate(llm, folder):
     from waymark.llm.decontamination import drop_contaminated, op1_decontamination
     docs = llm.createDataFrame([(1, "one two three"), (2, "four five"), (3, "six")], DOCS)

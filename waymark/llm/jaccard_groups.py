@@ -226,8 +226,11 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     configure_text(spark)
     found = materialize(near_duplicates(docs.select("doc_id", "text")))
     best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("uid"))
-    keep = found.join(best.select("uid"), "uid").select("doc_id", "__row")
+    keep = found.join(best.select("uid"), "uid").select("doc_id", "__row", "n_shingles")
     keyed = docs.withColumn("__row", row_hash())
     repeated = found.filter("n_shingles > 0").groupBy("doc_id", "__row").count().filter("count > 1").limit(1).count()
-    kept = keyed.join(keep, same_row(keyed, keep), "left_semi")
-    return (kept.dropDuplicates(["doc_id", "__row"]) if repeated else kept).select(docs.columns)
+    if not repeated:
+        return keyed.join(keep, same_row(keyed, keep), "left_semi").select(docs.columns)
+    worded, empty = keep.filter("n_shingles > 0"), keep.filter("n_shingles = 0")
+    kept = keyed.join(worded, same_row(keyed, worded), "left_semi").dropDuplicates(["doc_id", "__row"])
+    return kept.unionByName(keyed.join(empty, same_row(keyed, empty), "left_semi")).select(docs.columns)
