@@ -16,6 +16,9 @@ MODULES = {
     "line_dedup": "op8_line_dedup",
     "ppm": "op9_ppm",
     "sharding": "op10_sharding",
+    "html_content": "op11_html_content",
+    "whitening": "op12_whitening",
+    "importance": "op13_importance",
 }
 
 
