@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from .common import configure_text, materialize
 
 #: Rows of a block, of a part (what a task holds at a time), and queries of a group.
 BLOCK_ROWS, PART_ROWS, GROUP_ROWS = 256, 4096, 128
+#: Whole numbers of 38 digits order the results.
+EXACT, WIDEST = pa.decimal128(38, 0), 10 ** 38 - 1
 
 
 def _packed(ids: np.ndarray, matrix: np.ndarray) -> bytes:
@@ -43,7 +46,7 @@ def best_of_part(ids: np.ndarray, matrix: np.ndarray, high: np.ndarray, low: np.
     bounds = _product(plus, high) + _product(minus, low)
     order = np.argsort(-bounds, axis=1, kind="stable")
     n, blocks = bounds.shape
-    least = (-1 << 63)
+    least = -1 << (200 if bounds.dtype == object else 63)
     scores = [np.zeros(0, bounds.dtype)] * n
     found = [np.zeros(0, np.int64)] * n
     kth = np.full(n, least, bounds.dtype)
@@ -78,7 +81,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK_
 
     Rows repeat only once (equal id and terms); one vec_id with several vectors is that many candidates, and as a query
     the best scores of all of them count. Vectors of another length are no candidates. NULL, empty or NULL-holding rows
-    take no part, nor do rows without id. No queries or no candidates: no rows.
+    take no part, nor do rows without id. No queries or no candidates: no rows. A product beyond 64 bits is returned as the
+    largest (or least) number of 64 bits, but ranked by its exact value, up to 38 digits.
 
     Every query meets every part of the rows (that is the stated search), but part and group rows are packed, a part is
     dealt once and then streams the groups that were dealt to it, so a task holds one part and one group at a time.
@@ -130,10 +134,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block: int = BLOCK_
                     high, low = np.maximum.reduceat(matrix, cuts, axis=0), np.minimum.reduceat(matrix, cuts, axis=0)
                     continue
                 q, i, s, _ = best_of_part(*held, high, low, ids, matrix, k, block)
-                yield pa.record_batch([pa.array(ids[q], pa.int64()), pa.array(i, pa.int64()), pa.array(s.tolist(), pa.int64())], ["query_id", "vec_id", "score"])
+                whole = pa.array([Decimal(max(-WIDEST, min(WIDEST, int(x)))) for x in s], EXACT) if s.dtype == object else pa.array(s).cast(EXACT)
+                yield pa.record_batch([pa.array(ids[q], pa.int64()), pa.array(i, pa.int64()), whole], ["query_id", "vec_id", "exact"])
 
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("exact"), "vec_id")
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, exact decimal(38,0)")
+    found = found.withColumn("score", F.greatest(F.lit(-1 << 63), F.least(F.lit((1 << 63) - 1), F.col("exact"))).cast("long"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import configure_text, documents
+from .common import configure_text, documents, plain_names
 
 #: Pieces of text whose ids one worker remembers.
 REMEMBERED = 400_000
@@ -187,7 +187,8 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, ids: bool = Fa
     added = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
     added += [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))] * ids + [("decoded", T.StringType(), pa.string())] * decoded
     docs = docs.drop(*(name for name, _, _ in added))
-    schema = T.StructType(list(docs.schema.fields))
+    plain, at = plain_names(docs), docs.columns.index("text")
+    schema = T.StructType(list(plain.schema.fields))
     for name, kind, _ in added:
         schema = schema.add(name, kind)
 
@@ -195,7 +196,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, ids: bool = Fa
         c = codec(shared.value)
         for b in batches:
             out: list[list] = [[] for _ in added]
-            for text in b.column("text"):
+            for text in b.column(at):
                 packed = c.encode(text.as_py() or "")
                 plain = c.decode(packed).decode("utf-8", "replace")
                 row = [len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()]
@@ -207,7 +208,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, ids: bool = Fa
                 full = full.append(pa.field(name, kind))
             yield pa.record_batch([*b.columns, *(pa.array(x, kind) for x, (_, _, kind) in zip(out, added, strict=True))], schema=full)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, *(name for name, _, _ in added))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

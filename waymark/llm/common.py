@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import configure, materialize
 
-__all__ = ["BytesHasher", "configure_text", "documents", "materialize", "mix", "pieces", "row_hash", "same_row",
+__all__ = ["BytesHasher", "columns_of", "configure_text", "documents", "free_name", "materialize", "mix", "pieces", "plain_names", "row_hash", "same_row",
            "shingles", "token_bounds", "BLANK_CLASS", "WORD_OR_SIGN_CLASS", "LOWER"]
 
 #: Rows and bytes that one Arrow batch hands to Python; with long texts the default of 10,000 rows is too much memory.
@@ -35,9 +35,27 @@ def row_hash(text: Column = None) -> Column:
     return F.xxhash64(F.coalesce(F.col("text") if text is None else text, F.lit("")))
 
 
-def same_row(a: DataFrame, b: DataFrame) -> Column:
-    """Join condition on (doc_id, __row); a NULL doc_id is an id like any other."""
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["__row"] == b["__row"])
+def same_row(a: DataFrame, b: DataFrame, own: str = "__row") -> Column:
+    """Join condition on (doc_id, __row); a NULL doc_id is an id like any other. own: what a calls its hash."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a[own] == b["__row"])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with as many underscores in front that no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1...: mapInArrow resolves columns by name and takes a dot for a field."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by name, such as hold dots too."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 # --- bytes -------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import configure_text, documents, materialize, row_hash, same_row
+from .common import columns_of, configure_text, documents, free_name, materialize, row_hash, same_row
 
 #: Words of a shingle; shorter windows are one shingle.
 SHINGLE = 3
@@ -141,8 +141,10 @@ where d.kind = 'd'
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs in which no word of a benchmark passage is hit."""
+    """The rows of docs in which no word of a benchmark passage is hit, with their columns; other columns than doc_id and text may have
+    any name. NULL and empty texts stay, rows that repeat share their fate, empty docs give no rows."""
     configure_text(spark)
-    keyed = docs.withColumn("__row", row_hash())
+    row = free_name(docs, "__row")
+    keyed = docs.withColumn(row, row_hash())
     bad = find_overlaps(docs.select("doc_id", "text"), _benchmark(spark, sf_dir), unnamed=True).filter("n_hit > 0").select("doc_id", "__row").distinct()
-    return keyed.join(bad, same_row(keyed, bad), "left_anti").select(docs.columns)
+    return keyed.join(bad, same_row(keyed, bad, row), "left_anti").select(columns_of(docs))

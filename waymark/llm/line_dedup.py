@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import configure_text, documents, materialize, mix, row_hash, same_row
+from .common import columns_of, configure_text, documents, free_name, materialize, mix, plain_names, row_hash, same_row
 
 #: Distinct lines in a shard, about.
 SHARD_LINES = 200_000
@@ -139,8 +139,8 @@ def common_lines(docs: DataFrame, least: int) -> DataFrame:
     return found.groupBy("doc_id", "__row").agg(F.collect_set("line").alias("__lines"))
 
 
-def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text: lines whose key at least `least` rows have go from every text, the
+def dedup_lines(docs: DataFrame, least: int = 10, names: tuple[str, str, str] = ("n_lines", "n_dropped", "kept_text")) -> DataFrame:
+    """docs with n_lines, n_dropped and kept_text, or what `names` calls them: lines whose key at least `least` rows have go from every text, the
     first included; other lines stay as they are, joined by newline.
 
     A NULL or empty text is one empty line; empty keys always stay. Each row counts as a document of its own, repeated
@@ -149,31 +149,32 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     """
     if least > 65535:
         raise ValueError("counts saturate at 65535")
-    docs = docs.drop("n_lines", "n_dropped", "kept_text")
-    keyed = docs.withColumn("__row", row_hash())
-    common = common_lines(keyed, least)
-    joined = keyed.join(common, same_row(keyed, common), "left").select(docs["*"], common["__lines"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),
-                           T.StructField("kept_text", T.StringType())])
+    docs = docs.drop(*names)
+    row, held = free_name(docs, "__row"), free_name(docs, "__lines")
+    keyed = docs.withColumn(row, row_hash())
+    common = common_lines(docs.select("doc_id", row_hash().alias("__row"), "text"), least)
+    joined = keyed.join(common, same_row(keyed, common, row), "left").select(*[keyed["`" + c + "`"] for c in docs.columns], common["__lines"].alias(held))
+    plain, at = plain_names(joined), docs.columns.index("text")
+    schema = T.StructType([*plain.schema.fields[:-1], *(T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.LongType(), T.StringType()), strict=True))])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, gone, kept = [], [], []
-            for text, lines in zip(b.column("text").to_pylist(), b.column("__lines").to_pylist(), strict=True):
+            for text, lines in zip(b.column(at).to_pylist(), b.column(-1).to_pylist(), strict=True):
                 text = text or ""
                 drop = set(lines or ())
                 total.append(text.count("\n") + 1)
                 stay = [x for x, k in zip(text.split("\n"), line_keys(text), strict=True) if k not in drop] if drop else None
                 gone.append(0 if stay is None else total[-1] - len(stay))
                 kept.append(text if stay is None else "\n".join(stay))
-            own = b.drop_columns(["__lines"])
-            added = (("n_lines", total, pa.int64()), ("n_dropped", gone, pa.int64()), ("kept_text", kept, pa.string()))
+            own = b.select(list(range(b.num_columns - 1)))
+            added = tuple(zip(names, (total, gone, kept), (pa.int64(), pa.int64(), pa.string()), strict=True))
             full = own.schema
             for name, _, kind in added:
                 full = full.append(pa.field(name, kind))
             yield pa.record_batch([*own.columns, *(pa.array(x, kind) for _, x, kind in added)], schema=full)
 
-    return joined.mapInArrow(rebuild, schema)
+    return plain.mapInArrow(rebuild, schema).toDF(*docs.columns, *names)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,26 +184,28 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 with lines as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+  select doc, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
-  from documents),
+  from (select doc_id, text, row_number() over () as doc from documents)),
 keyed as (
   select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
   from lines),
-common as (select key from keyed where key <> '' group by key having count(distinct doc_id) >= 10)
+common as (select key from keyed where key <> '' group by key having count(distinct doc) >= 10)
 select k.doc_id, count(*) as n_lines, count(c.key) as n_dropped,
        sha256(coalesce(string_agg(k.line, chr(10) order by k.pos) filter (c.key is null), '')) as kept_sha256
 from keyed k left join common c on k.key = c.key
-group by k.doc_id
+group by k.doc, k.doc_id
 """
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without its common lines; n_chars follows the text. A text that loses nothing stays as it is, NULL too."""
+    """docs without its common lines; n_chars follows the text. A text that loses nothing stays as it is, NULL too. Columns
+    beside doc_id, text and n_chars may have any name."""
     configure_text(spark)
-    text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    done = dedup_lines(docs).withColumn("text", text)
+    names = tuple(free_name(docs, n) for n in ("n_lines", "n_dropped", "kept_text"))
+    text = F.when(F.col(names[1]) == 0, F.col("text")).otherwise(F.col(names[2]))
+    done = dedup_lines(docs, names=names).withColumn("text", text)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(docs.columns)
+    return done.select(columns_of(docs))

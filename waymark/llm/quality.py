@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WORD_OR_SIGN_CLASS, BytesHasher, configure_text, documents, mix, pieces, token_bounds
+from .common import LOWER, WORD_OR_SIGN_CLASS, BytesHasher, columns_of, configure_text, documents, free_name, mix, pieces, plain_names, token_bounds
 
 #: log2 of the number of weights; their size, not the corpus, is what reaches the driver (1 MB).
 BITS = 18
@@ -68,7 +68,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int =
     """Weights from labelled rows of `docs`. labels: doc_id, quality (0 or 1; other values and NULL are left out, the
     smallest of several counts). usable: on doc_id, which rows training may see. No usable label gives zero weights."""
     known = (labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & usable)
-             .groupBy("doc_id").agg(F.min("quality").alias("label")))
+             .groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")))
     n = known.count()
     share = min(1.0, train_rows / max(n, 1))
     # about train_rows rows of two numbers
@@ -92,30 +92,32 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, train_rows: int =
             (x.values.to_numpy() for x in b.column("slots")), (x.values.to_numpy() for x in b.column("vals")), b.column("label").to_pylist(), strict=True)]
         yield pa.record_batch([pa.array([ftrl(seen * epochs).tobytes()], pa.binary())], ["weights"])
 
-    ready = rows.mapInArrow(featured, "doc_id long, label int, slots array<int>, vals array<float>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ready = rows.mapInArrow(featured, f"doc_id {kind}, label int, slots array<int>, vals array<float>")
     found = (ready.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")  # the bounded sample only
              .mapInArrow(fitted, "weights binary").collect())
     return np.frombuffer(found[0]["weights"], np.float32) if found else np.zeros(1 << BITS, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with a column quality_score (probability of label 1). NULL counts as the empty text, which gets the score of
-    the bias alone. Every row is scored by itself; other columns stay. An input column quality_score is replaced."""
-    docs = docs.drop("quality_score")
+def score(docs: DataFrame, weights: np.ndarray, name: str = "quality_score") -> DataFrame:
+    """docs with a column `name` (probability of label 1). NULL counts as the empty text, which gets the score of the
+    bias alone. Every row is scored by itself, whole; other columns stay. An input column of that name is replaced."""
+    docs = docs.drop(name)
+    plain, at = plain_names(docs), docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS floats
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, w = BytesHasher(), shared.value
         for b in batches:
             out = []
-            for _, data, offsets in pieces(b.column("text")):
+            for _, data, offsets in pieces(b.column(at)):
                 slots, values, first = features(data, offsets, hasher)
                 total = np.concatenate([[0.0], np.cumsum(w[slots] * values)])
                 out.append(1.0 / (1.0 + np.exp(-(w[0] + total[first[1:]] - total[first[:-1]]))))
             yield pa.record_batch([*b.columns, pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())],
-                                  schema=b.schema.append(pa.field("quality_score", pa.float64())))
+                                  schema=b.schema.append(pa.field(name, pa.float64())))
 
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return plain.mapInArrow(scored, T.StructType([*plain.schema.fields, T.StructField(name, T.DoubleType())])).toDF(*docs.columns, name)
 
 
 def _trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> np.ndarray:
@@ -136,6 +138,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """The rows of docs that the classifier does not reject, with their columns."""
+    """The rows of docs that the classifier does not reject, with their columns, whatever the names of those beside doc_id
+    and text. doc_id may be of any type that joins with that of labels; rows without id or label are scored too."""
     configure_text(spark)
-    return score(docs, _trained(spark, docs, sf_dir)).filter(F.col("quality_score") >= least).select(docs.columns)
+    name = free_name(docs, "quality_score")
+    return score(docs, _trained(spark, docs, sf_dir), name).filter(F.col(name) >= least).select(columns_of(docs))
