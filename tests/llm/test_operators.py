@@ -168,9 +168,12 @@ def test_blocks_are_pruned():
 
 # --- 4 Jaccard --------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
-def test_jaccard(llm, size, percent):
+@pytest.mark.parametrize("size,percent,long,small", [(3, 90, 32, 500_000), (3, 90, 1, 1), (5, 80, 1, 500_000), (5, 80, 8, 1), (2, 70, 2, 500_000)])
+def test_jaccard(llm, monkeypatch, size, percent, long, small):
+    from waymark.llm import jaccard_groups
     from waymark.llm.jaccard_groups import near_duplicates
+    monkeypatch.setattr(jaccard_groups, "LONG", long)
+    monkeypatch.setattr(jaccard_groups, "SMALL", small)
     docs = made(5, 120)
     rng = random.Random(2)
     long_ = [f"w{i}" for i in range(150)]
@@ -179,6 +182,14 @@ def test_jaccard(llm, size, percent):
         for _ in range(i % 4):
             w[rng.randrange(len(w))] = f"z{rng.randrange(9)}"
         docs.append((i, " ".join(w)))
+    family = [list(long_)]
+    for i in range(400, 520):  # of the first, and of one another: words replaced, left out and put in at few places
+        w = list(rng.choice(family[-30:]) if i % 3 else long_)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.choice([rng.randrange(len(w)), 10, len(w) - 1])
+            w[at:at + rng.randint(0, 2)] = [f"y{rng.randrange(4)}"] * rng.randint(0, 1)
+        family.append(w)
+        docs.append((i, " ".join(w)))
     docs += [(300, "b a"), (5, "B A"), (301, " ".join(f"k{i}" for i in range(11))), (302, " ".join(f"k{i}" for i in range(12)))]
     got = near_duplicates(extra(llm, docs), size, percent).select("doc_id", "n_shingles", "component_id")
     same(got, brute.jaccard(docs, size, percent))
@@ -427,3 +438,50 @@ def test_pipeline(llm, folder):
     assert {"n_tokens", "ids_sha256", "decoded_sha256"} <= set(docs.columns)
     assert len(after) > len(ids) / 2
     assert sys.modules["corpus_pipeline"].run(llm, SF).count() == len(after)
+
+
+# --- callers' columns and ids through the stages ------------------------------------------------------
+
+def test_stages_keep_columns(llm):
+    """Columns that are called as inner ones stay as they are, ids of other types too; repeated, NULL and empty rows."""
+    import corpus_pipeline
+    docs = [(i, t) for i, t in made(4, 60) if i < 60] + [(3, None), (3, None), (None, "a b c d e f g"), (7, "")]
+    df = llm.createDataFrame(docs, "doc_id int, text string").withColumn("n_chars", F.length("text").cast("long"))
+    names = ("__row", "__lines", "quality_score", "n_lines", "n_dropped", "kept_text", "hit", "label", "uid", "n_shingles", "a.b", "text_hash")
+    for n in names:
+        df = df.withColumn(n, F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(llm, df, SF)
+        assert out.schema.simpleString() == df.schema.simpleString(), name
+        for r in out.collect():
+            assert all(r[n] == n + ("none" if r["doc_id"] is None else str(r["doc_id"])) for n in names), name
+        assert stage(llm, df.limit(0), SF).count() == 0
+
+
+def test_products_beyond_64_bits(llm):
+    from waymark.llm.block_topk import top_k
+    big = 1 << 61
+    df = llm.createDataFrame([(0, [big, big]), (1, [big, 1]), (2, [big, big - 5]), (3, [-big, -big]), (4, [1, 1])], "vec_id long, terms array<long>")
+    got = [tuple(r) for r in top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, (1 << 63) - 1), (0, 2, 1, (1 << 63) - 1), (0, 3, 4, 1 << 62), (0, 4, 3, -(1 << 63))]
+
+
+def test_huge_components(llm, tmp_path):
+    from waymark.llm.block_topk import op3_block_topk
+    rows = [(0, [1e10, 1.0]), (1, [1e10, 0.0]), (2, [float("nan"), 1.0]), (3, None), (4, [None, 1.0]), (20, [-3e38, 2.0])]
+    llm.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r)[:3] for r in op3_block_topk(llm, str(tmp_path)).collect())
+    assert got == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)] or got == [(0, 1, 1), (0, 2, 20), (20, 1, 0), (20, 2, 1)]
+
+
+def test_line_dedup_counts_rows(llm, tmp_path):
+    """Rows that repeat a doc_id are documents of their own, in the query as in its SQL."""
+    import duckdb
+
+    from waymark.llm import line_dedup
+    docs = [(i % 3, f"own {i}\nshared line") for i in range(10)] + [(5, "other\nNine"), (6, None)] + [(7, "nine\n nine ")] * 8
+    llm.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = rows_of(line_dedup.op8_line_dedup(llm, str(tmp_path)))
+    assert got == sorted(con.execute(line_dedup.ORACLE).fetchall(), key=str) and sum(r[2] for r in got) == 10

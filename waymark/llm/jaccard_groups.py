@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, LOWER, BytesHasher, configure_text, documents, materialize, mix, pieces, row_hash, same_row, shingles, token_bounds
+from .common import BLANK_CLASS, LOWER, BytesHasher, columns_of, configure_text, documents, free_name, materialize, mix, pieces, row_hash, same_row, shingles, token_bounds
 from .graph import components
 
 #: Most candidate ids that are sent to every task; beyond that the second scan joins by shuffle.
 SMALL = 500_000
+#: Members of a list up to which all of its components are paired; in longer ones by their differences from one of them.
+LONG = 32
 
 
 def least_common(n: int, percent: int) -> int:
@@ -95,6 +97,50 @@ def heads_of(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return alive, materialize(alive.groupBy("gid").agg(F.max_by("uid", nearest).alias("head"), F.count("*").alias("alive"), F.max("shared").alias("most")))
 
 
+def by_difference(crowd: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of crowd (h, x, n, shared, c: members x of size n around one member h, their component): the links (a, b) of x with h,
+    and the pairs (a, b) of members of different components around one h that may link.
+
+    D(x), the difference of x from h, is what x lost and added. |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, which a link
+    bounds by (n + m) (100 - percent) / (100 + percent). By the triangle inequality two that link are both linked with h, so
+    of one component, or have a difference in common; one that is not linked with h shares at least k = |D(x)| - n (100 -
+    percent) / percent, so one of the |D(x)| - k + 1 first of its differences in an order that all share. Added tokens come
+    first and rare ones among them. Two with only lost tokens in common share no more with each other than with h, which
+    bounds the size of the second. Near copies of one text differ from it at places of their own, so few meet, however many
+    there are."""
+    xs, hs = sets.select(F.col("uid").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("uid").alias("h"), F.col("shingles").alias("sh"))
+    both = crowd.join(xs, "x").join(hs, "h")
+    diff = both.select("h", "x", "n", "shared", "c", F.size("sh").alias("nh"), F.array_except("sx", "sh").alias("added"), F.array_except("sh", "sx").alias("lost"))
+    held = F.col("n") - F.size("added")
+    diff = materialize(diff.withColumn("held", held).withColumn("star", held * 100 >= (F.col("n") + F.col("nh") - held) * percent))
+    stars = diff.filter("star").select(F.least("h", "x").alias("a"), F.greatest("h", "x").alias("b")).distinct()
+
+    scalars = ["h", "x", "n", "shared", "c", "held", "star", (F.size("added") + F.size("lost")).alias("d")]
+    each = diff.select(*scalars, F.explode("added").alias("token"), F.lit(0).alias("gone")).unionAll(diff.select(*scalars, F.explode("lost").alias("token"), F.lit(1).alias("gone")))
+    times = each.groupBy("h", "token").agg(F.count("*").alias("times")).filter("times > 1")
+    own = each.join(times, ["h", "token"]).groupBy("h", "x", "n", "shared", "c", "held", "star", "d").agg(
+        F.sum("gone").alias("lost"), F.count("*").alias("able"), F.array_sort(F.collect_list(F.struct("gone", "times", "token"))).alias("tokens"))
+    own = own.withColumn("added", F.col("able") - F.col("lost"))
+    k = F.when(F.col("star"), 1).otherwise(F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / F.lit(percent))))
+    own = own.withColumn("keep", (F.col("able") - k + 1).cast("int")).filter("keep > 0")
+    prefix = own.select("h", "x", "n", "shared", "c", "held", "star", "d", "lost", "added", F.explode(F.slice("tokens", 1, F.col("keep"))).alias("t"))
+    prefix = prefix.select("*", F.col("t.gone").alias("gone"), F.col("t.token").alias("token")).drop("t")
+    # sizes by buckets of a sixteenth of the range that links allow; -1 for added tokens, whatever the size
+    step = math.log(100 / percent) / 16 if percent < 100 else 1e-9
+    bucket = lambda n: F.floor(F.ln(n) / step)
+    low, high = F.ceil(F.col("n") * percent / F.lit(100)), F.floor(F.col("held") * (100 + percent) / F.lit(percent)) - F.col("n")
+    spans = F.when(F.col("gone") == 0, F.array(F.lit(-1).cast("long"))).when(high >= low, F.sequence(bucket(low), bucket(high)))
+    first = prefix.filter(~F.col("star")).select("*", F.explode(spans).alias("size")).drop("star", "held")
+    then = prefix.withColumn("size", F.when(F.col("gone") == 0, -1).otherwise(bucket(F.col("n"))).cast("long")).drop("star", "held", "gone")
+    then = then.select("h", "token", "size", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "shared", "c", "d", "lost", "added")])
+    most = F.least("lost", "lost2") + F.when(F.col("gone") == 0, F.least("added", "added2")).otherwise(0)
+    able = ((F.col("x") != F.col("x2")) & (F.col("c") != F.col("c2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
+            & (F.least("shared", "shared2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
+            & ((F.col("d") + F.col("d2") - 2 * most) * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)))
+    near = first.join(then, ["h", "token", "size"]).filter(able).select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b")).distinct()
+    return stars, near
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """uid, doc_id, __row, n_shingles, label, component_id of every row of docs.
 
@@ -106,14 +152,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     document come first and can meet nothing, so a node with only such is alone. 3. Nodes of equal size and prefix are a
     group. 4. Groups that share a prefix token pass bounds on size and on the position of that token. 5. Members are
     verified against the first of their group, and first ones of paired groups against each other; whatever is not yet
-    in one component after that is expanded to member pairs and verified. All links are thereby known as far as
-    components go, without all pairs within a group of copies.
+    in one component after that is expanded to member pairs and verified, in a list of more than LONG members only where
+    differences from one of them allow it. All links are thereby known as far as components go, without all pairs within
+    a group of copies.
 
     Rows that repeat are nodes of equal sets. Sets are compared by 64-bit hashes of their shingles. Empty table: no rows.
     """
     rows = materialize(sketches(docs, size, percent).withColumn("uid", F.monotonically_increasing_id()))
     some = rows.filter("n > 0")
-    nodes = materialize(some.groupBy("n", "s1", "s2").agg(F.min("uid").alias("node")))
+    nodes = materialize(some.groupBy("n", "s1", "s2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")))
 
     # rarity over all documents; one exchange serves the counts and the rows that get them
     tokens = some.select("uid", F.explode("ranked").alias("token")).repartition("token")
@@ -166,31 +213,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     placed = materialize(placed)
     kinds = placed.groupBy("gid", "c", "n").agg(F.max("shared").alias("most"))
 
-    # what is left can only link across components: in a list, those outside its commonest component with all others
+    # what is left can only link across components: in a short list, those outside its commonest component with all others
     seen_in = listed.drop("most").join(kinds.drop("n"), "gid")
     counts = seen_in.groupBy("token", "band", "c").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("token", "band").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("token", "band", "main")
-    seen_in = materialize(seen_in.join(mixed, ["token", "band"]).drop("head", "alive"))
-    across = seen_in.filter("c <> main").join(other(seen_in), ["token", "band"]).filter(may & (F.col("c") != F.col("c2")))
+    mixed = mixed.join(listed.groupBy("token", "band").agg(F.sum("alive").alias("held")), ["token", "band"])
+    mixed = materialize(mixed)
+    short = materialize(seen_in.join(mixed.filter(F.col("held") <= LONG).drop("held"), ["token", "band"]).drop("head", "alive"))
+    across = short.filter("c <> main").join(other(short), ["token", "band"]).filter(may & (F.col("c") != F.col("c2")))
     across = across.select(F.col("gid").alias("a"), F.col("c").alias("ca"), F.col("gid2").alias("b"), F.col("c2").alias("cb"))
-    inside = kinds.select(F.col("gid").alias("a"), "n", "most", F.col("c").alias("ca")).join(kinds.select(F.col("gid").alias("a"), F.col("most").alias("most2"), F.col("c").alias("cb")), "a")
+    few = kinds.join(heads.filter(F.col("alive") <= LONG).select("gid"), "gid")  # members of a larger group meet in their long list
+    inside = few.select(F.col("gid").alias("a"), "n", "most", F.col("c").alias("ca")).join(few.select(F.col("gid").alias("a"), F.col("most").alias("most2"), F.col("c").alias("cb")), "a")
     inside = inside.filter((F.col("ca") < F.col("cb")) & (F.least("most", "most2") * (100 + percent) >= F.col("n") * 2 * percent)).select("a", "ca", "cb")
     left = across.unionByName(inside.withColumn("b", F.col("a"))).distinct()
     side = lambda g, c, i: placed.select(F.col("gid").alias(g), F.col("c").alias(c), F.col("uid").alias(f"u{i}"), F.col("n").alias(f"n{i}"), F.col("shared").alias(f"s{i}"))
     rest = left.join(side("a", "ca", 1), ["a", "ca"]).join(side("b", "cb", 2), ["b", "cb"])
     rest = rest.filter((F.least("s1", "s2") * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent))
-    rest = rest.select(F.least("u1", "u2").alias("a"), F.greatest("u1", "u2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    second = verified(rest)
+    rest = rest.select(F.least("u1", "u2").alias("a"), F.greatest("u1", "u2").alias("b"))
+    # in a long list, by differences from its hub
+    hubs = listed.join(mixed.filter(F.col("held") > LONG), ["token", "band"]).select("token", "band", "gid").join(hub.select("token", "band", F.col("head").alias("h")), ["token", "band"])
+    crowd = hubs.select("h", "gid").distinct().join(placed.withColumnRenamed("uid", "x"), "gid").filter("h <> x").select("h", "x", "n", "shared", "c")
+    stars, near = by_difference(crowd, sets, percent)
+    rest = rest.unionByName(near).distinct().join(tried, ["a", "b"], "left_anti")
+    second = verified(rest).unionByName(stars)
     # what the second links join are components of the first
     of = lambda name, c: placed.select(F.col("uid").alias(name), F.col("c").alias(c))
     bridges = second.join(of("a", "ca"), "a").join(of("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     merged = components(bridges).select(F.col("node").alias("c"), "component")
     whole = placed.join(merged, "c", "left").select(F.col("uid").alias("node"), F.coalesce("component", "c").alias("component"))
 
-    named = some.select("uid", "doc_id", "__row", "n", "s1", "s2").join(nodes, ["n", "s1", "s2"])
-    labelled = named.join(whole, "node", "left").select("uid", "doc_id", "__row", "n", F.coalesce("component", "node").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = labelled.join(smallest, "label").select("uid", "doc_id", "__row", F.col("n").alias("n_shingles"), "label", "component_id")
+    # a component's smallest doc_id by its nodes; rows then join their node, of which one may hold very many
+    named = nodes.join(whole, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = named.join(smallest, "label").select("n", "s1", "s2", "label", "component_id")
+    linked = some.select("uid", "doc_id", "__row", "n", "s1", "s2").join(named, ["n", "s1", "s2"]).select(
+        "uid", "doc_id", "__row", F.col("n").alias("n_shingles"), "label", "component_id")
     alone = rows.filter("n = 0").select("uid", "doc_id", "__row", F.col("n").alias("n_shingles"), F.col("uid").alias("label"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
@@ -222,15 +279,17 @@ group by all
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one row of each component of near duplicates (five words, similarity 0.8 or more): the one of smallest
-    doc_id. Rows without words all stay."""
+    doc_id (NULL last), with its columns, whatever the names of those beside doc_id and text. Rows without words all stay,
+    repeated ones too; of repeated rows with words one stays."""
     configure_text(spark)
     found = materialize(near_duplicates(docs.select("doc_id", "text")))
     best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("uid"))
     keep = found.join(best.select("uid"), "uid").select("doc_id", "__row", "n_shingles")
-    keyed = docs.withColumn("__row", row_hash())
+    row = free_name(docs, "__row")
+    keyed = docs.withColumn(row, row_hash())
     repeated = found.filter("n_shingles > 0").groupBy("doc_id", "__row").count().filter("count > 1").limit(1).count()
     if not repeated:
-        return keyed.join(keep, same_row(keyed, keep), "left_semi").select(docs.columns)
+        return keyed.join(keep, same_row(keyed, keep, row), "left_semi").select(columns_of(docs))
     worded, empty = keep.filter("n_shingles > 0"), keep.filter("n_shingles = 0")
-    kept = keyed.join(worded, same_row(keyed, worded), "left_semi").dropDuplicates(["doc_id", "__row"])
-    return kept.unionByName(keyed.join(empty, same_row(keyed, empty), "left_semi")).select(docs.columns)
+    kept = keyed.join(worded, same_row(keyed, worded, row), "left_semi").dropDuplicates(["doc_id", row])
+    return kept.unionByName(keyed.join(empty, same_row(keyed, empty, row), "left_semi")).select(columns_of(docs))
