@@ -22,6 +22,7 @@ from .scoring import _BACK, LEVELS, pooled_law
 
 #: Files of one delivery, which one micro-batch reads.
 FILES = 4
+DAY_US = 86400 * 10**6
 STREAM = "application_id string, context_id string, event_datetime timestamp_ntz, source_row bigint, journey_substage string"
 COLS = [c.split()[0] for c in STREAM.split(", ")]
 
@@ -35,25 +36,40 @@ def shuffled(df: DataFrame, parts: int = 3) -> list[DataFrame]:
     return [df.filter(F.pmod(F.xxhash64("application_id", "source_row", "event_datetime"), F.lit(parts)) == k) for k in range(parts)]
 
 
-def ends(t: Tables, like: DataFrame) -> list[DataFrame]:
-    """Two far later deliveries of an application `end`, so that the watermark passes all other rows."""
-    def value(c: str, day: str):
+#: The application of the rows that end a delivery.
+END = "end"
+
+
+def time_range(parts: list[DataFrame]) -> tuple[int, int]:
+    """Least and greatest event time of all parts, in microseconds."""
+    found = [p.agg(F.min(C.micros("event_datetime")), F.max(C.micros("event_datetime"))).first() for p in parts]
+    found = [r for r in found if r[0] is not None] or [(0, 0)]
+    return min(r[0] for r in found), max(r[1] for r in found)
+
+
+def ends(t: Tables, like: DataFrame, at_us: int) -> list[DataFrame]:
+    """Two far later deliveries of an application `end`, a day apart, so that the watermark passes all other rows."""
+    def value(c: str, us: int):
         kind = like.schema[c].dataType
-        given = {"application_id": F.lit("end"), "event_datetime": C.ntz(f"{day} 00:00:00"), "source_row": -F.col("id") - 1}
+        given = {"application_id": F.lit(END), "event_datetime": F.timestamp_micros(F.lit(us)).cast("timestamp_ntz"), "source_row": -F.col("id") - 1}
         if isinstance(kind, T.ArrayType):
-            return F.array(F.lit("view")).cast(kind).alias(c)
-        return given.get(c, F.lit("view") if c == "journey_substage" else F.lit(None)).cast(kind).alias(c)
-    return [t.spark.range(0, FILES, 1, FILES).select(*[value(c, day) for c in like.columns]) for day in ("2024-06-01", "2024-06-02")]
+            return F.array(F.lit(END)).cast(kind).alias(c)
+        return given.get(c, F.lit(END) if c == "journey_substage" else F.lit(None)).cast(kind).alias(c)
+    return [t.spark.range(0, FILES, 1, FILES).select(*[value(c, us) for c in like.columns]) for us in (at_us, at_us + DAY_US)]
 
 
-def delivered(t: Tables, parts: list[DataFrame], delay: str = "60 days", close: bool = True) -> DataFrame:
-    """The parts as a stream, one micro-batch each."""
+def delivered(t: Tables, parts: list[DataFrame], close: bool = True) -> DataFrame:
+    """The parts as a stream, one micro-batch each. The watermark's delay is the time that all parts span and a day, so that
+    no order of delivery makes a row late; what ends it lies beyond that and every deadline, horizon and session gap."""
     root = folder(t, "delivery")
     for part in parts:
         part.repartition(FILES).write.mode("append").parquet(root)
-    for end in ends(t, parts[0]) if close else []:
+    stored = t.spark.read.schema(parts[0].schema).parquet(root)
+    low, high = time_range([stored])
+    delay = (high - low) // 10**6 + 86400
+    for end in ends(t, parts[0], high + (delay + SPEC.validity_seconds + 2 * 86400) * 10**6) if close else []:
         end.write.mode("append").parquet(root)
-    return jobs.read_events(t.spark, root, parts[0].schema, delay=delay, files_per_batch=FILES)
+    return jobs.read_events(t.spark, root, parts[0].schema, delay=f"{delay} seconds", files_per_batch=FILES)
 
 
 def drained(t: Tables, stream: DataFrame) -> DataFrame:
@@ -71,8 +87,7 @@ def owned(t: Tables, campaign: bool = False) -> DataFrame:
 @query("t1_activity_counts", f"with {Q.EV} select cast(date_trunc('day', event_datetime) as timestamp) as window_start, journey_substage, count(*) as events from ev where application_id is not null group by 1, 2")
 def _(t: Tables):
     counts = drained(t, jobs.activity_counts(delivered(t, shuffled(owned(t))), by=["journey_substage"]))
-    counts = counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-    return counts.filter(F.col("window_start") < C.ntz("2024-05-01 00:00:00"))
+    return counts.filter(F.col("journey_substage") != END).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("t2_append_once", f"with {Q.EV} select source_row from ev where application_id is not null")
@@ -80,7 +95,7 @@ def _(t: Tables):
     """Every error row is delivered twice."""
     ev = owned(t)
     twice = [*shuffled(ev), ev.filter("journey_substage = 'error'")]
-    return drained(t, jobs.append_once(delivered(t, twice)).select("source_row")).filter("source_row >= 0")
+    return drained(t, jobs.append_once(delivered(t, twice)).select("application_id", "source_row")).filter(F.col("application_id") != END).select("source_row")
 
 
 @query("t3_reject_late", f"""with {Q.EV}, o as (select * from ev where application_id is not null), m as (select application_id, max(event_datetime) as top from o where source_row % 2 = 0 group by 1)
@@ -108,7 +123,7 @@ def _(t: Tables):
 @query("t6_running_features", f"with {Q.PACK} select application_id, event_datetime, regime, cast(prior_depth as bigint) as prior_depth, ptp_eligible from pk")
 def _(t: Tables):
     p = t.packets().select("application_id", "event_datetime", F.lit(0).cast("long").alias("source_row"), "labels")
-    got = drained(t, rules.running_features(delivered(t, shuffled(p)), SPEC)).filter("application_id <> 'end'")
+    got = drained(t, rules.running_features(delivered(t, shuffled(p)), SPEC)).filter(F.col("application_id") != END)
     return got.select("application_id", F.timestamp_micros("event_us").cast("timestamp_ntz").alias("event_datetime"), "regime", "prior_depth", "ptp_eligible")
 
 
@@ -116,7 +131,7 @@ def _(t: Tables):
   s as (select *, sum(fresh) over (partition by application_id order by event_datetime, source_row) as n from g)
   select application_id, min(event_datetime) as session_start, max(event_datetime) + interval 6 hour as session_end, count(*) as events from s group by application_id, n""")
 def _(t: Tables):
-    got = drained(t, jobs.sessions(delivered(t, shuffled(owned(t))), "6 hours")).filter("application_id <> 'end'")
+    got = drained(t, jobs.sessions(delivered(t, shuffled(owned(t))), "6 hours")).filter(F.col("application_id") != END)
     return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 

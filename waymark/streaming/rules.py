@@ -1,5 +1,5 @@
 """Keyed stateful rules. State per key is a few scalars, and for rules that depend on event order the rows that the
-watermark has not passed yet."""
+watermark has not passed yet, in slots of time, of which one is in memory at a time."""
 
 from __future__ import annotations
 
@@ -13,10 +13,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..spec import LifecycleSpec
 
 
-def ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["event_us", "source_row"], kind="stable")
-
-
 class _Rule(StatefulProcessor):
     state_ddl = "x bigint"
 
@@ -36,44 +32,55 @@ class RejectLate(_Rule):
     out_ddl = "application_id string, source_row bigint, event_us bigint, accepted boolean"
 
     def handleInputRows(self, key, rows, timerValues):
-        df = ordered(rows)
-        last = self.read()
-        ok = df["event_us"] >= last[0] if last else pd.Series(True, index=df.index)
-        top = df.loc[ok, "event_us"].max()
-        if pd.notna(top):
-            self.state.update((int(max(top, last[0] if last else top)),))
-        yield pd.DataFrame({"application_id": key[0], "source_row": df["source_row"], "event_us": df["event_us"], "accepted": ok})
+        last, top = self.read(), None
+        for df in rows:  # a batch's rows of one key come in several frames
+            ok = df["event_us"] >= last[0] if last else pd.Series(True, index=df.index)
+            found = df.loc[ok, "event_us"].max()
+            if pd.notna(found):
+                top = int(found) if top is None else max(top, int(found))
+            yield pd.DataFrame({"application_id": key[0], "source_row": df["source_row"], "event_us": df["event_us"], "accepted": ok})
+        if top is not None:
+            self.state.update((max(top, last[0]) if last else top,))
 
 
 class _InEventOrder(_Rule):
     """Rows are held until the watermark passes them and then applied in event order, so a row that arrives in a later
-    batch than its successor still takes its place. Rows later than the watermark are dropped by the stream."""
+    batch than its successor still takes its place. Rows later than the watermark are dropped by the stream.
+
+    They are held by slots of time: a slot is read, sorted and applied once the watermark is past its end, and then
+    forgotten, so that however many rows an application has, only those of one slot meet."""
     label_ddl = "journey_substage string"
+    slot_us = 3600 * 10**6
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.held = handle.getListState("held", f"event_us bigint, source_row bigint, {self.label_ddl}")
+        self.held = handle.getMapState("held", "slot bigint", f"us array<bigint>, row array<bigint>, label array<{self.label_ddl.split(maxsplit=1)[1]}>")
+
+    def end_ms(self, slot: int) -> int:
+        return -(-(slot + 1) * self.slot_us // 1000)
 
     def handleInputRows(self, key, rows, timerValues):
         name = self.label_ddl.split()[0]
         for part in rows:
-            new = list(zip(part["event_us"].astype(int).tolist(), part["source_row"].astype(int).tolist(),
-                           [list(x) if name == "labels" else x for x in part[name]], strict=True))
-            if new:
-                self.held.appendList(new)
-                self.handle.registerTimer(min(r[0] for r in new) // 1000 + 1)
+            for slot, own in part.groupby(part["event_us"].astype("int64") // self.slot_us):
+                old = self.held.getValue((int(slot),)) if self.held.containsKey((int(slot),)) else ((), (), ())
+                labels = [list(x) for x in own[name]] if name == "labels" else own[name].tolist()
+                self.held.updateValue((int(slot),), (list(old[0]) + own["event_us"].astype(int).tolist(), list(old[1]) + own["source_row"].astype(int).tolist(), list(old[2]) + labels))
+                self.handle.registerTimer(self.end_ms(int(slot)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(r) for r in self.held.get())
-        due = [r for r in held if r[0] // 1000 + 1 <= now]
-        rest = held[len(due):]
-        if due:
-            self.held.put(rest) if rest else self.held.clear()
-        if rest:
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        out = self.apply(key[0], due, now)
+        for slot in sorted(k[0] for k in self.held.keys()):
+            if self.end_ms(slot) > now:
+                break
+            us, row, label = self.held.getValue((slot,))
+            self.held.removeKey((slot,))
+            yield from self.frames(self.apply(key[0], sorted(zip(us, row, label, strict=True), key=lambda r: r[:2]), self.end_ms(slot)))
+        # what is still held lies after this moment
+        yield from self.frames(self.apply(key[0], [], now * 1000 // self.slot_us * self.slot_us // 1000))
+
+    def frames(self, out: list) -> Iterator[pd.DataFrame]:
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in self.out_ddl.split(", ")]).astype(self.out_types)
 
@@ -95,7 +102,7 @@ class LifecycleMonitor(_InEventOrder):
             if label == self.creation and state is None:
                 state = (us + self.validity_us, False)
                 # One millisecond after, so that the deadline instant itself still belongs to rows.
-                self.handle.registerTimer(state[0] // 1000 + 1)
+                self.handle.registerTimer(self.end_ms((state[0] + 1000) // self.slot_us))
             elif label == self.terminal and state is not None and not state[1] and us <= state[0]:
                 out.append((key, "TERMINAL", us))
                 state = (state[0], True)
@@ -124,7 +131,7 @@ class CompetingSend(_InEventOrder):
                 if pending is not None:
                     out.append((key, pending[0], "CENSORED_BY_COMPETING_SEND" if inside else "NO_RESPONSE", None, None))
                 pending = (row, us)
-                self.handle.registerTimer((us + self.horizon_us) // 1000 + 1)
+                self.handle.registerTimer(self.end_ms((us + self.horizon_us + 1000) // self.slot_us))
             elif inside:
                 out.append((key, pending[0], "RESPONDED", label, us - pending[1]))
                 pending = None
