@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import configure_text, documents, materialize, row_hash
+from .common import documents, materialize, row_hash
 
 #: What stands between words once A-Z are lower case: all of ASCII but digits and a-z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"

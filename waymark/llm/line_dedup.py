@@ -3,7 +3,6 @@ probe instead of joining lines."""
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
