@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -311,41 +310,3 @@ def gap_neighbourhood(targets: DataFrame, donors: DataFrame, minimum: int = 30)
     lo = F.when(reason == "EXACT_DAY", F.floor(t).cast("double")).when(reason == "WITHIN_3_DAYS", t - 3).otherwise(t - F.col("radius"))
     hi = F.when(reason == "EXACT_DAY", (F.floor(t) + 1).cast("double")).when(reason == "WITHIN_3_DAYS", t + 3).otherwise(t + F.col("radius"))
     return out.select("target_id", "stratum", "target", reason.alias("reason"), lo.alias("gap_lo"), hi.alias("gap_hi"))
-
-
-def match_donors(targets: DataFrame, donors: DataFrame, minimum: int = 30, seed: int = 7) -> DataFrame:
-    """Assign each target a donor of its stratum inside its supported gap range, no donor twice.
-
-    Sequential picking cannot be spread, so it runs in rounds: every open target asks for one free
-    donor by hash position inside its range; a donor accepts the earliest asker; the rest try again
-    among donors still free. Each round with an asker has a winner, so it ends, and a target is left
-    without a donor only if none is free in its range. `targets`: target_id, stratum, target,
-    asked_at. `donors`: donor_id, stratum, gap.
-    """
-    ranged = materialize(gap_neighbourhood(targets.select("target_id", "stratum", "target"), donors, minimum)
-                         .join(targets.select("target_id", "asked_at"), "target_id"))
-    taken, open_, free, ranged_columns = None, ranged, donors, ranged.columns
-    scale = lambda x: F.round(x * 1e6).cast("long")
-    for i in count():
-        order = materialize(ranked(free.select("donor_id", "stratum", "gap"), ["stratum"], "gap", "donor_id"))
-        steps = order.groupBy("stratum", "gap").agg(F.max("rank").alias("rank")).withColumn("part", value_part("gap"))
-        ends = F.array(F.struct(F.lit("r_lo").alias("mark"), (scale(F.col("gap_lo")) - 1).alias("p")), F.struct(F.lit("r_hi").alias("mark"), scale(F.col("gap_hi")).alias("p")))
-        span = ["stratum", "gap_lo", "gap_hi"]  # asked once per distinct range
-        points = open_.select(*span).distinct().select(*span, F.inline(ends)).withColumn("part", value_part(F.col("p") / 1e6))
-        read = asof(points, steps, ["stratum"], F.col("p"), scale(F.col("gap")), {"rank": F.col("rank")})
-        spans = read.groupBy(*span).agg(*[F.coalesce(F.max(F.when(F.col("mark") == n, F.col("rank"))), F.lit(0)).alias(n) for n in ("r_lo", "r_hi")])
-        asks = open_.select(*ranged_columns).join(spans, span)
-        asks = asks.filter("r_hi > r_lo").withColumn("rank", F.col("r_lo") + 1 + F.floor(
-            draw(seed, i, F.col("target_id")) * (F.col("r_hi") - F.col("r_lo"))).cast("long"))
-        won = (asks.join(order.select("stratum", "rank", "donor_id", "gap"), ["stratum", "rank"]).groupBy("donor_id")
-               .agg(F.min(F.struct("asked_at", "target_id", "target", "stratum", "reason", "gap", "gap_lo", "gap_hi")).alias("w"))
-               .select("w.*", "donor_id"))
-        won = materialize(won)
-        if won.isEmpty():
-            break
-        taken = won if taken is None else taken.unionByName(won)
-        open_ = materialize(open_.join(won.select("target_id"), "target_id", "left_anti"))
-        free = free.join(taken.select("donor_id"), "donor_id", "left_anti")
-    if taken is None:
-        return ranged.withColumns({"donor_id": F.lit(None).cast("string"), "gap": F.lit(None).cast("double")})
-    return ranged.join(taken.select("target_id", "donor_id", "gap"), "target_id", "left")

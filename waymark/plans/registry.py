@@ -44,6 +44,12 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def once(self, name: str, build: Callable):
+        """What `build` gives, built on first use."""
+        if name not in self._seen:
+            self._seen[name] = build()
+        return self._seen[name]
+
     # --- derived views ---------------------------------------------------------------------------
     def stream(self, campaign: bool = False) -> DataFrame:
         if campaign not in self._seen:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import models as M
+from ..operators import returners as R
 from ..operators import survival as S
 from ..operators.lifecycle import customer_kind
 from ..operators.reports import daily_counts
+from ..session import materialize
 from ..sources.adapters import ORDER_SPEC, STREAM_SPEC as SPEC
 from ..spec import HAZARD_EDGES, MOTIF_LEVELS, NAME_LEVELS, SEND_LEVELS
 from . import sql as Q
@@ -309,10 +311,115 @@ def _(t: Tables):
     return rounded(M.gap_neighbourhood(targets.drop("asked_at"), donors, 30), ["target", "gap_lo", "gap_hi"])
 
 
+# --- returning customers: orders before the last 60 days are the history, those after it the arrivals ------------
+
+#: Entrants of a weekday that make a donor set, and the gap between orders of one customer that counts as an overlap.
+SET_MINIMUM, OVERLAP_DAYS = 50, 3
+
+
+def _cut(t: Tables):
+    return t.table("orders").agg(F.max("o_orderdate").cast("timestamp_ntz") - F.expr("interval 60 day")).scalar()
+
+
+def order_outcomes(t: Tables):
+    """application_id, outcome (fulfilled), depth (lines) of every order."""
+    lines = t.table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("depth"))
+    orders = t.table("orders").select(F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") == "F").alias("outcome"))
+    return orders.join(lines, "k", "left").select(F.col("k").cast("string").alias("application_id"), "outcome", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def drawn_targets(t: Tables):
+    """What each arrival asks, and its own customer kind."""
+    def build():
+        kind = customer_kind(t.orders(), ORDER_SPEC)
+        gap = C.micros("application_created_at") - C.micros("prior_created_at")
+        kind = materialize(kind.select("application_id", "context_id", "application_created_at", "prior_application_id", "prior_created_at", gap.alias("gap_us"), F.coalesce(gap >= 30 * R.DAY_US, F.lit(False)).alias("returning")))
+        cut = _cut(t)
+        past = kind.filter((F.col("application_created_at") >= cut - F.expr("interval 60 day")) & (F.col("application_created_at") < cut))
+        past = past.join(order_outcomes(t).withColumnRenamed("application_id", "prior_application_id"), "prior_application_id", "left")
+        arrivals = kind.filter(F.col("application_created_at") >= cut)
+        return materialize(R.draw_targets(arrivals.select("application_id", F.col("application_created_at").alias("activation_datetime")), past, 7, SET_MINIMUM)), arrivals
+    return t.once("drawn_targets", build)
+
+
+def asked(t: Tables):
+    """Targets of returning arrivals, and the free histories before them."""
+    targets = drawn_targets(t)[0].filter("returning").select("target_id", C.micros("asked_at").alias("asked_us"), "gap_us", "outcome", "depth")
+    old = t.orders().filter(F.col("application_created_at") < _cut(t))
+    return targets, t.once("histories", lambda: materialize(R.free_histories(old, order_outcomes(t), OVERLAP_DAYS * R.DAY_US)))
+
+
+_U = "('0x' || substr(sha256('7|{}|' || application_id), 1, 16))::ubigint::double / 18446744073709551616.0"
+_DRAWN = f"""with {Q.ORD}, {_KIND}, cutoff as (select max(o_orderdate) - interval 60 day as cut from orders),
+  oc as (select cast(o_orderkey as varchar) as application_id, o_orderstatus = 'F' as outcome, (select count(*) from lineitem where l_orderkey = o_orderkey) as depth from orders),
+  en as (select ck.application_id, cast(isodow(application_created_at) - 1 as int) as weekday, coalesce(gap_days >= 30, false) as ret, epoch_us(application_created_at) - epoch_us(prior_created_at) as gap_us, oc.outcome, oc.depth
+    from ck left join oc on oc.application_id = prior_application_id, cutoff where application_created_at >= cut - interval 60 day and application_created_at < cut),
+  dw as (select w.weekday, count(en.application_id) as entrants, count(*) filter (where ret) as returners from (select cast(range as int) as weekday from range(7)) w left join en using (weekday) group by 1),
+  rt as (select weekday, case when entrants >= {SET_MINIMUM} then weekday else -1 end as donor_set, case when entrants >= {SET_MINIMUM} then returners / entrants else (select sum(returners) / sum(entrants) from dw) end as rate from dw),
+  ps as (select *, row_number() over (partition by donor_set order by sha256(application_id)) - 1 as i, count(*) over (partition by donor_set) as n from (select *, unnest([weekday, -1]) as donor_set from en where ret)),
+  ar as (select application_id, context_id, application_created_at as asked_at, prior_application_id, prior_created_at, cast(isodow(application_created_at) - 1 as int) as weekday from ck, cutoff where application_created_at >= cut),
+  tg as (select ar.*, {_U.format("kind").replace("application_id", "ar.application_id")} < rate and exists (select 1 from ps where ps.donor_set = rt.donor_set) as ret, rt.donor_set, {_U.format("prior").replace("application_id", "ar.application_id")} as u from ar join rt using (weekday)),
+  dr as (select tg.application_id as target_id, tg.context_id, tg.prior_application_id, tg.prior_created_at, asked_at, tg.weekday, tg.ret, ps.gap_us, ps.outcome, ps.depth from tg left join ps on tg.ret and ps.donor_set = tg.donor_set and ps.i = floor(u * n))"""
+_HIST = """, hs as (select *, coalesce(epoch_us(application_created_at) - epoch_us(lag(application_created_at) over w) < 259200000000, false) as close from reg, cutoff where application_created_at < cut window w as (partition by context_id order by application_created_at, source_row)),
+  hl as (select context_id as donor_id, arg_max(application_id, row(application_created_at, source_row)) as prior_application_id, epoch_us(max(application_created_at)) as birth_us from hs group by 1 having not bool_or(close)),
+  dn as (select donor_id, birth_us, outcome, depth from hl join oc on oc.application_id = hl.prior_application_id),
+  el as (select target_id, epoch_us(asked_at) as a, gap_us as g, dr.outcome, birth_us as b, dn.outcome = dr.outcome as same from dr join dn on epoch_us(asked_at) - birth_us >= 2592000000000 where ret),
+  pl as (select * from el qualify same or not bool_or(same) over (partition by target_id)),
+  nb as (select target_id, any_value(a) as a, any_value(g) as g, bool_or(same) as own, count(*) filter (where (a - b) // 86400000000 = g // 86400000000) as exact, count(*) filter (where abs(a - b - g) <= 259200000000) as near,
+    list_sort(list(abs(a - b - g)))[least(30, count(*))] as radius from pl group by 1)"""
+
+
+@query("m18_donor_draws", f"{_DRAWN} select target_id, weekday, ret as is_returning, gap_us, outcome, depth from dr")
+def _(t: Tables):
+    """What every arrival asks of its history: returning or not, and a past returner's gap, outcome and depth."""
+    return drawn_targets(t)[0].select("target_id", "weekday", F.col("returning").alias("is_returning"), "gap_us", "outcome", "depth")
+
+
+@query("j14_moving_gaps", f"""{_DRAWN}{_HIST} select target_id, case when own then 'O' when own is not null then 'A' end as pool,
+  case when own is null then 'NO_ELIGIBLE_CONTEXT' when exact >= 30 then 'EXACT_DAY' when near >= 30 then 'WITHIN_3_DAYS' else 'NEAREST_SUPPORTED_RANGE' end as reason,
+  cast(case when own is null then null when exact >= 30 then a - (g // 86400000000 + 1) * 86400000000 + 1 when near >= 30 then a - g - 259200000000 else a - g - radius end as bigint) as born_lo,
+  cast(least(case when own is null then null when exact >= 30 then a - g // 86400000000 * 86400000000 when near >= 30 then a - g + 259200000000 else a - g + radius end, a - 2592000000000) as bigint) as born_hi
+  from dr left join nb using (target_id) where ret""")
+def _(t: Tables):
+    """Around each asked gap, the creation times of histories that fit at the arrival's own time."""
+    targets, donors = asked(t)
+    return R.neighbourhood(targets, R.by_birth(donors)).select("target_id", "pool", "reason", "born_lo", "born_hi")
+
+
+def matched(t: Tables):
+    targets, donors = asked(t)
+    return t.once("matched", lambda: materialize(R.match_histories(targets, donors)))
+
+
 @query("m19_donor_matching", None)
 def _(t: Tables):
-    targets, donors = order_targets(t)
-    return M.match_donors(targets, donors, 30).select("target_id", "stratum", "target", "reason", "donor_id", "gap")
+    """One free history per returning arrival, none twice."""
+    targets, donors = asked(t)
+    return targets.join(matched(t), "target_id").join(donors.select("donor_id", "prior_application_id"), "donor_id", "left").select(
+        "target_id", "round", "reason", "level", "donor_id", "prior_application_id", "gap_days", "gap_us", F.col("outcome").alias("asked_outcome"), F.col("depth").alias("asked_depth"))
+
+
+@query("b23_returning_identity", f"""{_DRAWN}{_HIST}, asg as (select dr.*, epoch_us(asked_at) as a, epoch_us(prior_created_at) as b, p.outcome as own_outcome, nb.own, nb.radius, dn.donor_id is not null as known
+    from dr left join nb using (target_id) left join dn on dn.donor_id = context_id left join oc p on p.application_id = dr.prior_application_id where ret and dr.prior_application_id is not null)
+  select 'UNKNOWN_CONTEXT' as rule, target_id as key from asg where not known union all select 'GAP_TOO_SHORT', target_id from asg where a - b < 2592000000000
+  union all select 'OUTSIDE_SUPPORTED_RANGE', target_id from asg where abs(a - b - gap_us) > greatest(259200000000, coalesce(radius, 0))
+  union all select 'OUTCOME_MISMATCH', target_id from asg where own and own_outcome <> outcome
+  union all select 'CONTEXT_REUSED', context_id from asg group by context_id having count(*) > 1""")
+def _(t: Tables):
+    """The histories that arrivals really had, against what was drawn for them: which the risk set does not support."""
+    targets, donors = asked(t)
+    own = drawn_targets(t)[1].filter("prior_application_id is not null").join(order_outcomes(t).select(F.col("application_id").alias("prior_application_id"), F.col("outcome").alias("donor_outcome")), "prior_application_id")
+    own = own.select(F.col("application_id").alias("target_id"), F.col("context_id").alias("donor_id"), C.micros("prior_created_at").alias("birth_us"), "donor_outcome", F.lit(0).alias("round"))
+    return R.identity_audit(targets.join(own, "target_id"), donors)
+
+
+@query("b23_matched_identity", None)
+def _(t: Tables):
+    """The histories that were matched, against the risk set of their round: no row if the matching keeps its rules."""
+    targets, donors = asked(t)
+    got = matched(t).filter("donor_id is not null").select("target_id", "donor_id", "round")
+    got = got.join(donors.select("donor_id", "birth_us", F.col("outcome").alias("donor_outcome")), "donor_id")
+    return R.identity_audit(targets.join(got, "target_id"), donors)
 
 
 @query("m20_table_manifest", f"""{_NAMES} select count(*) as rows, count(distinct event_name) as names, min(support_count) as min_support, max(support_count) as max_support,
