@@ -73,3 +73,34 @@ def test_encoder_merges_parts(spark):
 def test_every_statement_has_a_query():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 150
+
+
+def test_thin_strata_are_refused(spark):
+    import pytest
+    make = lambda n: spark.range(n).select(F.col("id").alias("app"), (F.col("id") % 7).cast("int").alias("weekday"), (F.col("id") % 5).alias("events"), F.lit(1).alias("eventful_days"))
+    assert H.bootstrap_difference(make(210), make(217), "app", "weekday", 5).count() == 2
+    with pytest.raises(ValueError, match="stratum 2, 3, 4, 5, 6"):
+        H.bootstrap_difference(make(212), make(205), "app", "weekday", 5)
+    with pytest.raises(ValueError, match="stratum 6"):
+        H.bootstrap_difference(make(209), make(217), "app", "weekday", 5)
+
+
+def test_visible_rows_are_the_newest(spark):
+    from waymark.operators import lookup, ordered
+    events = spark.createDataFrame([("c", f"2024-01-0{1 + i % 3} 00:00:0{i % 10}", i, f"l{i}") for i in range(9)] + [("e", "2024-01-01 00:00:00", 99, "x")],
+                                   "context_id string, t string, source_row long, journey_substage string").withColumn("event_datetime", F.col("t").cast("timestamp_ntz"))
+    seen = spark.createDataFrame([("a", "c", "2024-01-02 12:00:00"), ("b", "c", "2023-01-01 00:00:00"), ("d", "none", "2024-01-09 00:00:00")], "application_id string, context_id string, t string").withColumn("now", F.col("t").cast("timestamp_ntz"))
+    cold = lambda df: ordered.no_parts(df).withColumns({x: F.lit(None).cast("long") for x in ordered.GEOMETRY})
+    got = lookup.visible_rows(cold(seen), cold(events), ["source_row", "journey_substage"], 4)
+    assert [(r["application_id"], r["place"], r["source_row"]) for r in got.orderBy("application_id", "place").collect()] == [("a", 1, 7), ("a", 2, 4), ("a", 3, 1), ("a", 4, 6)]
+
+
+def test_cycle_profile_counts_zeros(spark, tables):
+    from waymark.operators import sequence as E
+    from waymark.sources.adapters import STREAM_SPEC
+    got = {r["kind"]: r for r in E.cycle_profile(tables.windowed(), tables.lifecycles(), STREAM_SPEC, {"median": .5, "p90": .9}).collect()}
+    per = E.cycle_counts(tables.windowed(), tables.lifecycles(), STREAM_SPEC).toPandas()
+    for kind in E.CYCLES:
+        n = per[kind]
+        assert (got[kind]["events"], got[kind]["applications"]) == (n.sum(), (n > 0).sum()) and abs(got[kind]["mean_per_app"] - n.mean()) < 1e-9
+        assert abs(got[kind]["per_app_p90"] - n.quantile(.9)) < 1e-9 and abs(got[kind]["per_app_median"] - n.median()) < 1e-9

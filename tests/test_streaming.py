@@ -210,3 +210,22 @@ def test_hot_application_is_applied_slot_by_slot(spark, folder):
     if pending:
         want.append(("hot", pending[0], "NO_RESPONSE", None, None))
     assert rows(got) == sorted(want, key=str)
+
+
+def test_stream_scores_are_those_of_the_batch(spark, tables, folder):
+    """Two deliveries against one curve; a row of no pool keeps its place without a score."""
+    from waymark.operators import lookup, survival
+    law = survival.fit_law(tables.episodes(), SPEC).persist()
+    levels = {k: keys for k, (keys, _) in SPEC.law_levels.items()}
+    p = tables.kinded_packets().select("application_id", "event_datetime", "state", "regime", "journey_stage", *SPEC.law_strata,
+                                       F.pmod(F.xxhash64("application_id"), F.lit(90000)).cast("double").alias("elapsed"), F.lit(200000.0).alias("stop"))
+    odd = p.limit(3).withColumn("customer_kind", F.lit("NOBODY"))
+    write_files(p.unionByName(odd), f"{folder}/in", 2)
+    st = jobs.read_events(spark, f"{folder}/in", p.schema, files_per_batch=1).select(*p.columns)
+    jobs.score_stream(st, law, levels, SPEC.law_strata, "elapsed", "stop", lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/scored/batch={i}"), f"{folder}/cp").awaitTermination()
+    pool = ["model_level", "pool_state", "pool_regime", "pool_journey_stage", *SPEC.law_strata]
+    want = survival.conditional_score(lookup.backoff(p, law, levels, SPEC.law_strata), law.withColumnsRenamed({k: f"pool_{k}" for k in ("state", "regime", "journey_stage")}), pool, "elapsed", "stop")
+    got = spark.read.parquet(f"{folder}/scored/batch=*")
+    short = lambda df: rows(df.select("application_id", "event_datetime", "model_level", F.round("survival", 9), F.round("remaining_event_mass", 9)))
+    assert short(got.filter("customer_kind <> 'NOBODY'")) == short(want)
+    assert rows(got.filter("customer_kind = 'NOBODY'").select("model_level", "survival")) == [(None, None)] * 3

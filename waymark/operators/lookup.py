@@ -70,11 +70,16 @@ def donor_pick(rows: DataFrame, donors: DataFrame, fine: Sequence[str], coarse:
     return out
 
 
-def visible_history(decisions: DataFrame, events: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows of the same customer visible at each decision time."""
-    e = events.select("context_id", *[c for c in columns if c != "context_id"])
-    return decisions.select("application_id", "context_id", "now").withColumnRenamed("application_id", "decision_application_id").join(
-        e, "context_id").filter(F.col("event_datetime") <= F.col("now"))
+def visible_rows(decisions: DataFrame, events: DataFrame, columns: Sequence[str], latest: int = 20) -> DataFrame:
+    """The `latest` rows of the same customer that are visible at each decision, newest first (`place` 1, 2...).
+
+    Events of a customer are numbered once, a decision knows from one scan how many it sees, and asks for the last of these
+    numbers: `latest` rows a decision, whatever the customer's history, and no pair of decision and event is formed."""
+    numbered = scan(events, ["context_id"], ["event_datetime", "source_row"], number=Running("sum", F.lit(1)))
+    seen = visible_summary(decisions, events).filter("visible_rows > 0")
+    asks = seen.select("application_id", "context_id", "now", "visible_rows", F.explode(F.sequence(F.greatest(F.lit(1), F.col("visible_rows") - latest + 1), F.col("visible_rows"))).alias("number"))
+    rows = numbered.select(F.col("context_id"), "number", *[F.col(c).alias(f"event_{c}" if c in ("application_id", "context_id") else c) for c in columns])
+    return asks.join(rows, ["context_id", "number"]).withColumn("place", F.col("visible_rows") - F.col("number") + 1).drop("visible_rows", "number")
 
 
 def visible_summary(decisions: DataFrame, events: DataFrame) -> DataFrame:

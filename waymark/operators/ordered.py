@@ -247,8 +247,9 @@ def ranked(df: DataFrame, keys: Sequence[str], value: str, tie: str, name: str =
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
-              weight: str | None = None) -> DataFrame:
-    """Exact quantiles per group, one row each, without holding a group's values in one task.
+              weight: str | None = None, count: str | None = None) -> DataFrame:
+    """Exact quantiles per group, one row each, without holding a group's values in one task. `count`: how often a row's
+    value occurs, where rows are counted already.
 
     Values are counted once, located by slot totals, and only the slots that hold a wanted rank
     are ordered. Without `weight`: linear interpolation. With `weight`: first value whose
@@ -256,8 +257,8 @@ def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[s
     """
     by = list(by)
     data = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"),
-                                                      *( [F.col(weight).alias("__w")] if weight else []))
-    amount = F.sum("__w") if weight else F.count(F.lit(1))
+                                                      *([F.col(weight or count).alias("__w")] if weight or count else []))
+    amount = F.sum("__w") if weight or count else F.count(F.lit(1))
     counted = data.groupBy(*by, "__v").agg(amount.alias("__n")).withColumn("__slot", value_part("__v"))
     w = Window.partitionBy(*by).orderBy("__slot")
     slots = (counted.groupBy(*by, "__slot").agg(F.sum("__n").alias("__sn"))

@@ -11,7 +11,7 @@ from ..functions.columns import among, flag, micros, ntz, regime, seconds_betwee
 from ..session import materialize
 from ..spec import LifecycleSpec
 from .lifecycle import APP, TIMELINE, is_label
-from .ordered import Running, Shift, scan
+from .ordered import Running, Shift, quantiles, scan
 
 
 def drop_repeat_creations(events: DataFrame, spec: LifecycleSpec) -> DataFrame:
@@ -148,7 +148,8 @@ def cycles(events: DataFrame, spec: LifecycleSpec) -> DataFrame:
         "return_to_earlier_stage": yes((ts > F.col("__first_stage")) & (stage != F.col("p1.journey_stage")) & e1),
         "focus_revisit": yes(focus & (F.col("__down") < ts)),
         "focus_tie": yes(focus & (F.col("__down") == ts)),
-        "focus": focus}).drop("p1", "p2", "p3", "__f", "__first_label", "__first_stage", "__down")
+        "focus": focus,
+        **{f"back_{k}_seconds": seconds_between(T(k), ts) for k in (1, 2, 3)}}).drop("p1", "p2", "p3", "__f", "__first_label", "__first_stage", "__down")
 
 
 CYCLES = ("self_transition", "two_state_cycle", "three_state_cycle", "repeated_substage",
@@ -162,6 +163,34 @@ def cycle_counts(events: DataFrame, cohort: DataFrame, spec: LifecycleSpec) -> D
     return cohort.select("application_id").join(per, "application_id", "left").na.fill(0, list(CYCLES))
 
 
+#: Over how many events back a cycle of each kind is timed.
+CYCLE_LAGS = {"self_transition": 1, "two_state_cycle": 2, "three_state_cycle": 3, "repeated_substage": 1, "return_to_earlier_stage": 1, "focus_revisit": 1}
+
+
+def cycle_profile(events: DataFrame, cohort: DataFrame, spec: LifecycleSpec, probs: dict[str, float]) -> DataFrame:
+    """One row per kind of cycle: events, applications, mean and quantiles of the count per application of the cohort, zeros
+    included (`per_app_*`), and quantiles of the seconds it took (`seconds_*`). Quantiles come from counts of distinct
+    values, so zeros are one row however many applications have them."""
+    rows = materialize(cycles(events, spec).select("application_id", *CYCLES, *[f"back_{k}_seconds" for k in (1, 2, 3)]))
+    per = cohort.select("application_id").join(rows.groupBy("application_id").agg(*[F.sum(flag(F.col(x))).cast("long").alias(x) for x in CYCLES]), "application_id", "left").na.fill(0, list(CYCLES))
+    kinds = lambda value: F.inline(F.array(*[F.struct(F.lit(x).alias("kind"), value(x).alias("value")) for x in CYCLES]))
+    counts = materialize(per.select(kinds(lambda x: F.col(x))).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")))
+    sums = counts.groupBy("kind").agg(F.sum(F.col("value") * F.col("n")).alias("events"), F.sum(F.when(F.col("value") > 0, F.col("n")).otherwise(0)).alias("applications"),
+                                      (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean_per_app"))
+    took = rows.select(kinds(lambda x: F.when(F.col(x), F.col(f"back_{CYCLE_LAGS[x]}_seconds")))).filter("value is not null")
+    named = lambda df, prefix: df.withColumnsRenamed({p: f"{prefix}_{p}" for p in probs})
+    apps = named(quantiles(counts, "value", probs, ["kind"], count="n"), "per_app")
+    return sums.join(apps, "kind").join(named(quantiles(took, "value", probs, ["kind"]), "seconds"), "kind", "left")
+
+
+def focus_shares(events: DataFrame, spec: LifecycleSpec) -> DataFrame:
+    """First passes, revisits and undecided ties of the focus labels, and the share of revisits among the decided."""
+    rows = cycles(events, spec).filter("focus")
+    s = rows.agg(F.sum(flag(~F.col("focus_revisit") & ~F.col("focus_tie"))).cast("long").alias("first_pass"), F.sum(flag(F.col("focus_revisit"))).cast("long").alias("revisit"),
+                 F.sum(flag(F.col("focus_tie"))).cast("long").alias("ambiguous_ties")).na.fill(0)
+    return s.withColumn("revisit_share", F.col("revisit") / F.greatest(F.lit(1), F.col("first_pass") + F.col("revisit")))
+
+
 def equal_age(events: DataFrame, lifecycles: DataFrame, days: int, start: str, end: str,
               spec: LifecycleSpec) -> DataFrame:
     """Activity in the first `days` of life, only for applications whose horizon fits the window.

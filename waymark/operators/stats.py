@@ -87,10 +87,17 @@ def bootstrap_survival(rows: DataFrame, cluster: str, thresholds: Sequence[int],
 
 
 def bootstrap_difference(hist: DataFrame, sim: DataFrame, cluster: str, stratum: str, replicates: int = 400, seed: int = 20260502,
-                         total: str = "events", days: str = "eventful_days") -> DataFrame:
+                         total: str = "events", days: str = "eventful_days", support: int = 30) -> DataFrame:
     """Difference of the stratum-weighted mean and of the ratio (mean events per mean eventful day),
     whole clusters resampled within strata, weights fixed by the second population; with verdict."""
     weights = stratum_weights(sim, stratum)
+    # a stratum that is weighed must have enough clusters in both populations; a few rows, one per stratum
+    held = weights.select(stratum)
+    for df in (hist, sim):
+        held = held.join(df.groupBy(stratum).agg(F.countDistinct(cluster).alias("n")), stratum, "left").filter(F.coalesce("n", F.lit(0)) >= support).drop("n")
+    thin = [str(r[0]) for r in weights.select(stratum).join(held, stratum, "left_anti").collect()]
+    if thin:
+        raise ValueError(f"fewer than {support} clusters in stratum {', '.join(sorted(thin))}")
 
     def curve(df, name, s):
         sums = replicate_sums(df.select(cluster, stratum, total, days), cluster, [total, days], replicates, s, [stratum])

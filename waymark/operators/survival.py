@@ -278,10 +278,18 @@ def conditional_score(cohort: DataFrame, law: DataFrame, pool: Sequence[str], el
     Both are as-of reads of the cumulative mass, done by one ordered merge per pool and slot. Pool
     columns must not be NULL.
     """
+    return score_on(cohort, mass_curve(law, pool), pool, elapsed, stop)
+
+
+def mass_curve(law: DataFrame, pool: Sequence[str]) -> DataFrame:
+    """Cumulative mass per pool and duration, written once for all that read it."""
+    steps = law.groupBy(*pool, "duration_seconds").agg(F.sum("mass").alias("m")).withColumn("part", value_part("duration_seconds"))
+    return materialize(scan(steps, list(pool), ["duration_seconds"], cum=Running("sum", F.col("m"))))
+
+
+def score_on(cohort: DataFrame, curve: DataFrame, pool: Sequence[str], elapsed: str, stop: str) -> DataFrame:
+    """`conditional_score` against a curve that `mass_curve` has summed."""
     pool = list(pool)
-    steps = law.groupBy(*pool, "duration_seconds").agg(F.sum("mass").alias("m")).withColumn(
-        "part", value_part("duration_seconds"))
-    curve = materialize(scan(steps, pool, ["duration_seconds"], cum=Running("sum", F.col("m"))))
     us = lambda x: F.round(F.col(x) * 1e6).cast("long")
     # Read the curve once per distinct (pool, time): many rows may share one, and a crowd at one time
     # must not meet in one slot. The answers are joined back.

@@ -171,6 +171,16 @@ def _(t: Tables):
     return L.cleaning_counts(t.with_copies(), SPEC)
 
 
+@query("d6_builder_events", f"""with {Q.DUP}, g as (select application_id, event_datetime, deadline, application_created_at, journey_substage, min(source_row) as source_row from dup where application_id is not null group by all),
+  w as (select * from g where event_datetime >= application_created_at and event_datetime < deadline),
+  s as (select *, coalesce(sum((journey_substage = 'purchase')::int) over (partition by application_id order by event_datetime, source_row rows between unbounded preceding and 1 preceding), 0) as done from w)
+  select source_row, application_id, journey_substage from s where done = 0""")
+def _(t: Tables):
+    """The builder's events: linked to the registry, duplicates dropped, inside the half-open window, up to the first terminal."""
+    linked = L.link(t.with_copies().drop("application_created_at", "deadline"), t.lifecycles())
+    return L.clean(linked, SPEC, "builder").select("source_row", "application_id", "journey_substage")
+
+
 @query("d7_creation_donor", f"""with {Q.LIFE} select application_id, context_id, event_datetime, source_row from ev
   where journey_substage = 'signup' and application_id is not null and event_datetime = application_created_at""")
 def _(t: Tables):
@@ -412,6 +422,25 @@ def _(t: Tables):
     return wide.selectExpr(f"stack({len(E.CYCLES)}, " + ", ".join(f"'{x}', {x}, {x}_apps" for x in E.CYCLES) + ") as (kind, events, applications)")
 
 
+_CYCLE_SQL = lambda x: f"""select '{x}' as kind, cast(sum(n) as bigint) as events, count(*) filter (where n > 0) as applications, round(avg(n), 9) as mean_per_app, {', '.join(f"round(quantile_cont(n::double, {q}), 6) as per_app_{p}" for p, q in QUANTILES.items())},
+  {', '.join(f"(select round(quantile_cont(s, {q}), 6) from ct where {x}) as seconds_{p}" for p, q in QUANTILES.items())} from (select life.application_id, count(*) filter (where {x}) as n from life left join y using (application_id) group by 1)"""
+_TIMED = {x: f"(epoch_us(event_datetime) - epoch_us(t{k})) / 1e6" for x, k in E.CYCLE_LAGS.items()}
+
+
+@query("e6_cycle_profile", CYC + " " + " union all ".join(_CYCLE_SQL(x).replace("select round(quantile_cont(s,", f"select round(quantile_cont({_TIMED[x]},").replace("from ct where", "from y where") for x in E.CYCLES))
+def _(t: Tables):
+    """Counts per application with zeros and seconds of each kind of cycle, mean and quantiles."""
+    got = E.cycle_profile(t.windowed(), t.lifecycles(), SPEC, QUANTILES)
+    got = got.withColumns({c: F.round(c, 6) for c in got.columns if c.startswith(("per_app_", "seconds_"))})
+    return got.withColumn("mean_per_app", F.round("mean_per_app", 9)).withColumn("events", F.col("events").cast("long"))
+
+
+@query("e6_focus_shares", f"""{CYC} select count(*) filter (where not focus_revisit and not focus_tie) as first_pass, count(*) filter (where focus_revisit) as revisit, count(*) filter (where focus_tie) as ambiguous_ties,
+  count(*) filter (where focus_revisit) / greatest(1, count(*) filter (where not focus_tie)) as revisit_share from y where focus""")
+def _(t: Tables):
+    return E.focus_shares(t.windowed(), SPEC)
+
+
 @query("e7_focus_revisits", f"""{CYC} select source_row, case when focus_revisit then 'REVISIT' when focus_tie then 'AMBIGUOUS' else 'FIRST_PASS' end as focus_kind from y where focus""")
 def _(t: Tables):
     return E.cycles(t.windowed(), SPEC).filter("focus").select("source_row", F.when(F.col("focus_revisit"), "REVISIT")

@@ -341,6 +341,16 @@ def _(t: Tables):
     return visible_summary(d, t.stream()).select("application_id", "now", "visible_rows", "last_visible")
 
 
+@query("p15_visible_rows", f"""with {Q.LIFE}, d as (select context_id, application_id, application_created_at + interval 1 day as now from life),
+  v as (select d.application_id, d.now, e.application_id as event_application_id, e.source_row, e.event_datetime, e.journey_substage, row_number() over (partition by d.application_id, d.now order by e.event_datetime desc, e.source_row desc) as place
+    from d join ev e on e.context_id = d.context_id and e.event_datetime <= d.now) select * from v where place <= 5""")
+def _(t: Tables):
+    """The five newest rows of the customer, of any application, that each decision sees."""
+    from ..operators.lookup import visible_rows
+    d = t.lifecycles().withColumn("now", C.plus_seconds("application_created_at", 86400))
+    return visible_rows(d, t.stream(), ["application_id", "source_row", "event_datetime", "journey_substage"], 5).drop("context_id").withColumn("place", F.col("place").cast("long"))
+
+
 @query("p16_audit_lines", f"""with {Q.EV} select source_row, '[' || strftime(event_datetime, '%Y-%m-%d %H:%M:%S.%f') || '] ' || upper(journey_substage)
   || chr(10) || 'APPLICATION: ' || application_id || ' / CONTEXT: ' || context_id || chr(10) || 'EVIDENCE: ' ||
   '{{"channel":"' || channel || '","stage":"' || journey_stage || '"}}' as line from ev where application_id is not null""")

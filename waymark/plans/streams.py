@@ -18,7 +18,8 @@ from ..streaming import jobs, rules
 from . import sql as Q
 from .journeys import _RESP
 from .registry import Tables, query
-from .scoring import _BACK, LEVELS, pooled_law
+from .reporting import rounded
+from .scoring import _SCORE, LEVELS, pooled_law
 
 #: Files of one delivery, which one micro-batch reads.
 FILES = 4
@@ -146,15 +147,17 @@ def _(t: Tables):
     return sinks.read_log(t.spark, f"{out}/log").select("day", "rows", (F.col("previous_hash") != "").alias("linked"))
 
 
-@query("t9_stream_scoring", f"{_BACK} select application_id, event_datetime, model_level, ps as pool_state, pr as pool_regime, pj as pool_journey_stage from res")
+@query("t9_stream_scoring", f"""{_SCORE} select r.application_id, r.event_datetime, r.model_level, r.ps as pool_state, r.pr as pool_regime, r.pj as pool_journey_stage, round(greatest(0, 1 - before_), 9) as survival,
+  round(case when 1 - before_ > 1e-12 then (upto - before_) / (1 - before_) when before_ is not null then 0 end, 9) as remaining_event_mass from res r left join sc using (application_id, event_datetime)""")
 def _(t: Tables):
     law, out = pooled_law(t), folder(t, "scored")
-    rows = t.episodes(Q.MID, Q.END).select("application_id", "event_datetime", "state", "regime", "journey_stage", *LAW_STRATA)
+    rows = t.episodes(Q.MID, Q.END).select("application_id", "event_datetime", "state", "regime", "journey_stage", *LAW_STRATA, F.lit(40000.0).alias("elapsed"), C.seconds_between("event_datetime", "deadline").alias("stop"))
     root = folder(t, "delivery")
     rows.repartition(2 * FILES).write.parquet(root)
     stream = jobs.read_events(t.spark, root, rows.schema, files_per_batch=FILES).select(*rows.columns)
-    jobs.score_batches(stream, law, LEVELS, LAW_STRATA, lambda df, i: df.write.mode("append").parquet(f"{out}/data"), f"{out}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{out}/data").select("application_id", "event_datetime", "model_level", "pool_state", "pool_regime", "pool_journey_stage")
+    jobs.score_stream(stream, law, LEVELS, LAW_STRATA, "elapsed", "stop", lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}"), f"{out}/checkpoint").awaitTermination()
+    got = t.spark.read.parquet(out + "/batch=*").select("application_id", "event_datetime", "model_level", "pool_state", "pool_regime", "pool_journey_stage", "survival", "remaining_event_mass")
+    return rounded(got, ["survival", "remaining_event_mass"], 9)
 
 
 # --- files ------------------------------------------------------------------------------------------

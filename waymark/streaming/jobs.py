@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lookup import backoff
+from ..operators.survival import mass_curve, score_on
+from ..session import materialize
 from ..sources.sinks import LOG_DDL, read_log, table_digest
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -66,4 +68,22 @@ def score_batches(stream: DataFrame, pools: DataFrame, levels: dict[str, Sequenc
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-__all__ = ["LOG_DDL", "activity_counts", "append_once", "commit_batches", "read_events", "score_batches", "sessions"]
+def score_stream(stream: DataFrame, law: DataFrame, levels: dict[str, Sequence[str]], strata: Sequence[str], elapsed: str, stop: str,
+                 sink: Callable[[DataFrame, int], None], checkpoint: str):
+    """Arriving rows with their pool and, where they have one, survival to `elapsed` and the remaining event mass before
+    `stop`. The law's cumulative masses are summed once before the stream starts; each batch resolves its rows and reads
+    them as of its own times. A batch that is run again gives the same rows."""
+    fields = list(dict.fromkeys(k for keys in levels.values() for k in keys))
+    pool = ["model_level", *(f"pool_{f}" for f in fields), *strata]
+    curve = mass_curve(law.withColumnsRenamed({f: f"pool_{f}" for f in fields}), pool)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(backoff(batch, law, levels, strata))  # read by the score and by what has no pool
+        scored = score_on(rows.filter("model_level IS NOT NULL"), curve, pool, elapsed, stop)
+        none = rows.filter("model_level IS NULL")
+        sink(scored.unionByName(none, allowMissingColumns=True), batch_id)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+__all__ = ["LOG_DDL", "activity_counts", "append_once", "commit_batches", "read_events", "score_batches", "score_stream", "sessions"]
