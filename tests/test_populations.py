@@ -104,3 +104,62 @@ def test_cycle_profile_counts_zeros(spark, tables):
         n = per[kind]
         assert (got[kind]["events"], got[kind]["applications"]) == (n.sum(), (n > 0).sum()) and abs(got[kind]["mean_per_app"] - n.mean()) < 1e-9
         assert abs(got[kind]["per_app_p90"] - n.quantile(.9)) < 1e-9 and abs(got[kind]["per_app_median"] - n.median()) < 1e-9
+
+
+def test_draw_from_a_large_vocabulary(spark):
+    """Against the plain cumulative list: many labels, a dominant one, labels of equal first bytes, unknown and NULL keys."""
+    import random
+    from waymark.operators import lookup
+    rng = random.Random(3)
+    model = [("big", f"name{i:05d}", 1 + (i % 7)) for i in range(900)] + [("big", "zz", 5000), ("one", "x", 3), ("two", "é", 1), ("two", "a", 1), ("none", "n", 0)]
+    asks = [(i, rng.choice(["big", "one", "two", "gone", None, "none"]), rng.random()) for i in range(3000)] + [(5000 + i, "two", u) for i, u in enumerate((0.0, 0.5, 0.49999999, 0.999999999999))]
+    got = lookup.categorical_draw(spark.createDataFrame(asks, "id int, k string, u double"), spark.createDataFrame(model, "k string, label string, support_count int"), ["k"], "label", "u")
+    lists = collections.defaultdict(list)
+    for k, label, n in sorted(model, key=lambda r: (r[0], r[1].encode())):
+        lists[k].append((label, n))
+
+    def pick(k, u):
+        total, upto = sum(n for _, n in lists.get(k, ())), 0
+        for label, n in lists.get(k, ()):
+            upto += n
+            if u * total < upto:
+                return label
+    assert sorted((r["id"], r["label"]) for r in got.collect()) == sorted((i, pick(k, u)) for i, k, u in asks)
+
+
+def test_survival_bootstrap_is_that_of_its_replicates(spark, monkeypatch):
+    """Every replicate against a plain product limit of its weighted rows; durations of many rows summed ahead too."""
+    import random
+
+    import numpy as np
+    rng = random.Random(4)
+    rows = [(f"c{rng.randrange(25)}", rng.choice("ab"), float(rng.choice([1, 2, 3, 5, 5, 5, 8, 9])), rng.random() < .6) for _ in range(400)]
+    df = spark.createDataFrame(rows, "app string, kind string, duration_seconds double, observed boolean")
+    hashes = {r["app"]: r["h"] for r in df.select("app", F.xxhash64("app").alias("h")).distinct().collect()}
+    reps = 40
+    weight = {a: H.replicate_weights(np.array([h]).view(np.uint64), reps, 20260502)[0] for a, h in hashes.items()}
+    want = {}
+    for kind in "ab":
+        curves = []
+        for r in range(reps):
+            s, cut = 1.0, {}
+            for t in sorted({x[2] for x in rows}):
+                own = [(weight[a][r], d, o) for a, k, d, o in rows if k == kind]
+                risk, hit = sum(w for w, d, _ in own if d >= t), sum(w for w, d, o in own if d == t and o)
+                s *= 1 - hit / risk if risk else 1
+                cut[t] = 1 - s
+            curves.append([max((v for t, v in cut.items() if t <= x), default=0.0) for x in (0, 2, 5, 100)])
+        for i, x in enumerate((0, 2, 5, 100)):
+            want[kind, x] = tuple(np.quantile([c[i] for c in curves], [.025, .975]))
+    for crowd in (100_000, 5):
+        monkeypatch.setattr(H, "CROWD", crowd)
+        got = {(r["kind"], r["threshold_seconds"]): (r["low"], r["high"]) for r in H.bootstrap_survival(df, "app", (0, 2, 5, 100), reps, by=["kind"]).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_pair_timing(spark):
+    seen = spark.createDataFrame([("a", "x", float(d)) for d in (1, 2, 3, 4)] + [("a", "y", 1.0)] + [("b", "x", 5.0)] * 4, "source string, destination string, duration_seconds double")
+    law = spark.createDataFrame([("a", "x", 1.0, .2, 10), ("a", "x", 3.0, .1, 20), ("b", "x", 9.0, 1.0, 1)], "source string, destination string, duration_seconds double, mass double, denominator int")
+    base = spark.createDataFrame([("a", 2.0, .5), ("a", 4.0, .5), ("", 5.0, 1.0)], "source string, duration_seconds double, mass double")
+    got = {(r["source"], r["threshold_seconds"]): tuple(r)[2:3] + tuple(round(x, 9) for x in (r["observed_cdf"], r["law_cdf"], r["baseline_cdf"], r["law_error"], r["baseline_error"])) for r in S.pair_timing(seen, law, base, (2, 4), 3).collect()}
+    assert got == {("a", 2): (4, .5, .5, .5, 0, 0), ("a", 4): (4, 1, 1, 1, 0, 0), ("b", 2): (4, 0, 0, 0, 0, 0), ("b", 4): (4, 0, 0, 0, 0, 0)}

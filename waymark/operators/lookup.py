@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import micros
+from ..session import materialize
 from .lifecycle import one_line
 from .ordered import Running, repart, scan
 from .survival import explode_levels
@@ -33,16 +34,35 @@ def backoff(rows: DataFrame, pools: DataFrame, levels: dict[str, Sequence[str]],
     return rows.join(answer, [*fields, *strata], "left").withColumnRenamed("__level", "model_level")
 
 
+#: Categories of a key that share one cell of its grid, about.
+CELL_CATEGORIES = 8
+
+
 def categorical_draw(rows: DataFrame, model: DataFrame, key: Sequence[str], label: str, u: str, weight: str = "support_count") -> DataFrame:
-    """Inverse-CDF pick of a category. Each key's categories form one short sorted list."""
+    """Inverse-CDF pick of a category by u in [0, 1); NULL where the model lacks the key.
+
+    Each category covers a range of its key's cumulative weight. The range of u is cut into cells, one for every few
+    categories, and a category is listed in the cells it covers, so a row meets the categories of one cell and not the
+    vocabulary of its key: linear in rows and categories, with no list a key.
+    """
     key = list(key)
-    lists = model.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("l"), F.col(weight).alias("w")))).alias("__opts"),
-                                    F.sum(weight).alias("__total"))
-    opts = F.transform("__opts", lambda x, i: F.struct(x["l"].alias("l"), F.aggregate(
-        F.slice(F.col("__opts"), F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, y: a + y["w"]).alias("c")))
-    lists = lists.select(*key, opts.alias("__opts"), "__total")
-    picked = F.filter("__opts", lambda x: F.col(u) * F.col("__total") < x["c"])
-    return rows.join(lists, key, "left").withColumn(label, F.try_element_at(picked, F.lit(1))["l"]).drop("__opts", "__total")
+    named = model.select(*key, F.col(label).alias("__l"), F.col(weight).cast("long").alias("__w")).filter("__w > 0")
+    # labels in order; their first bytes cut a large vocabulary into parts that follow the order
+    head = F.rpad(F.hex(F.substring(F.col("__l").cast("string").cast("binary"), 1, 3)), 6, "0")
+    named = named.withColumn("part", F.conv(head, 16, 10).cast("long"))
+    upto = scan(named, key, ["__l"], __hi=Running("sum", F.col("__w"))).drop("part")
+    sizes = named.groupBy(*key).agg(F.sum("__w").alias("__total"), F.ceil(F.count(F.lit(1)) / CELL_CATEGORIES).cast("long").alias("__cells"))
+    sizes = materialize(sizes)
+    cell = lambda p: F.least(F.col("__cells") - 1, F.floor(p * F.col("__cells") / F.col("__total"))).cast("long")
+    spread = upto.join(sizes, key).withColumn("__lo", F.col("__hi") - F.col("__w"))
+    # one cell more on either side, as u * total is rounded
+    spread = spread.select(*key, "__l", "__lo", "__hi", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), cell(F.col("__lo")) - 1), F.least(F.col("__cells") - 1, cell(F.col("__hi")) + 1))).alias("__cell"))
+    asked = rows.join(sizes, key, "left").withColumn("__p", F.col(u) * F.col("__total"))
+    asked = asked.withColumn("__cell", cell(F.col("__p"))).drop("__cells", "__total")
+    # a side of its own name for each column of the range, so that the join is on key and cell and the range only filters
+    hit = asked.join(spread, [*key, "__cell"], "left").withColumn("__in", F.coalesce((F.col("__lo") <= F.col("__p")) & (F.col("__p") < F.col("__hi")), F.lit(False)))
+    found = hit.filter(F.col("__in") | F.col("__p").isNull())
+    return found.withColumn(label, F.col("__l")).drop("__cell", "__p", "__l", "__lo", "__hi", "__in")
 
 
 def number_donors(donors: DataFrame, key: Sequence[str], tie: str) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import SCALE_64, equivalence, flag, intensity_margin
+from ..session import materialize
 from .ordered import quantiles
-from .survival import cdf_at, product_limit
 
 
 def total_variation(left: DataFrame, right: DataFrame, keys: Sequence[str], share: str = "share") -> DataFrame:
@@ -74,16 +76,103 @@ def bootstrap_ratio(rows: DataFrame, cluster: str, top: str, bottom: str, replic
     return point.join(ci, by) if by else point.withColumn("__j", F.lit(1)).join(ci.withColumn("__j", F.lit(1)), "__j").drop("__j")
 
 
+#: Rows of one duration from which on they are summed where they lie before they are shuffled, and rows worked on at a time.
+CROWD, CHUNK = 100_000, 4096
+
+
+def replicate_weights(clusters: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """Poisson(1) multiplicities of clusters (64-bit hashes), a row each: one array per cluster, whatever the row."""
+    with np.errstate(over="ignore"):
+        x = clusters[:, None] + (np.arange(replicates, dtype=np.uint64)[None, :] + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(np.array(POISSON_STEPS), (x >> np.uint64(11)) * 2.0 ** -53, side="right")
+
+
 def bootstrap_survival(rows: DataFrame, cluster: str, thresholds: Sequence[int], replicates: int = 400, seed: int = 20260502,
                        by: Sequence[str] = ()) -> DataFrame:
-    """Interval of cumulative incidence at thresholds: every replicate is a weighted pool of its own
-    in one product-limit fit."""
-    by = list(by)
+    """Interval of cumulative incidence at thresholds: in every replicate the rows weigh as often as their cluster is drawn.
+
+    Rows are dealt by ranges of their duration. Each range gives the total weight of its rows per replicate; the totals of
+    later ranges are what is at risk behind it; then a range goes through its durations from the last to the first with one
+    array of replicates and leaves the logarithm of what survives up to each threshold. Rows are never copied per
+    replicate. Durations of very many rows are summed before they are dealt, so that they are one row a task.
+    """
+    by, cuts, steps = list(by), np.array(sorted(thresholds), float), replicates
     counted = rows.groupBy(*by, cluster, "duration_seconds", "observed").agg(F.count(F.lit(1)).alias("n"))
-    reps = counted.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    reps = reps.withColumn("k", poisson_weight(cluster, F.col("replicate"), seed) * F.col("n")).filter("k > 0").withColumn("labels", F.lit("any"))
-    law = product_limit(reps, [*by, "replicate"], n="k")
-    return interval(cdf_at(law, [*by, "replicate"], thresholds, "raw_mass"), "cdf", [*by, "threshold_seconds"])
+    none = F.lit(None).cast("binary")
+    plain = counted.select(*by, F.col("duration_seconds").cast("double").alias("t"), F.coalesce("observed", F.lit(False)).alias("seen"), "n", F.xxhash64(cluster).alias("c"), none.alias("sums"))
+    crowds = plain.groupBy("t").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= CROWD).select("t")
+    fields, names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema), plain.columns
+
+    def weigh(n, c):
+        return replicate_weights(np.asarray(c, np.int64).view(np.uint64), steps, seed) * np.asarray(n)[:, None]
+
+    def combine(frames):
+        held: dict[tuple, np.ndarray] = {}
+
+        def out():
+            rows = [(*key, 0, 0, total.tobytes()) for key, total in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=names)
+
+        for frame in frames:
+            for at in range(0, len(frame), CHUNK):
+                part = frame.iloc[at:at + CHUNK]
+                for key, own in part.groupby([*by, "t", "seen"], dropna=False):
+                    held[key] = held.get(key, 0) + weigh(own["n"], own["c"]).sum(axis=0)
+            if len(held) > CHUNK:
+                yield out()
+        yield out()
+
+    if not crowds.isEmpty():
+        crowds = materialize(crowds)
+        plain = plain.join(crowds, "t", "left_anti").select(plain.columns).unionByName(plain.join(crowds, "t", "left_semi").select(plain.columns).mapInPandas(combine, fields))
+    dealt = materialize(plain.repartitionByRange(*by, "t").withColumn("slot", F.spark_partition_id()))
+
+    def weighed(frame: pd.DataFrame) -> np.ndarray:
+        out = np.empty((len(frame), steps))
+        summed = frame["sums"].notna().to_numpy()
+        out[~summed] = weigh(frame["n"][~summed], frame["c"][~summed])
+        for i in np.flatnonzero(summed):
+            out[i] = np.frombuffer(frame["sums"].iloc[i], np.int64)
+        return out
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        sums = sum((weighed(frame.iloc[at:at + CHUNK]).sum(axis=0) for at in range(0, len(frame), CHUNK)), np.zeros(steps))
+        key = frame[[*by, "slot"]].iloc[:1]
+        return key.loc[key.index.repeat(steps)].assign(replicate=np.arange(steps), total=sums)
+
+    kinds = "".join(f"{f} {dealt.schema[f].dataType.simpleString()}, " for f in by)
+    totals = dealt.groupBy(*by, "slot").applyInPandas(total, f"{kinds}slot int, replicate int, total double")
+    later = Window.partitionBy(*by, "replicate").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = materialize(totals.select(*by, "slot", "replicate", F.coalesce(F.sum("total").over(later), F.lit(0.0)).alias("behind")))
+
+    def survive(frame: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        risk = carry.sort_values("replicate")["behind"].to_numpy()
+        frame, logs = frame.sort_values("t", ascending=False, kind="stable"), np.zeros((len(cuts) + 1, steps))
+        t, at = frame["t"].to_numpy(), 0
+        while at < len(t):
+            end = min(at + CHUNK, len(t))
+            end = int(np.searchsorted(-t, -t[end - 1], side="right"))  # all rows of a time at once
+            w, seen = weighed(frame.iloc[at:end]), frame["seen"].to_numpy()[at:end]
+            first = np.flatnonzero(np.r_[True, np.diff(t[at:end]) != 0])
+            size, hits = np.add.reduceat(w, first), np.add.reduceat(w * seen[:, None], first)
+            upto = risk + np.cumsum(size, axis=0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                np.add.at(logs, np.searchsorted(cuts, t[at:end][first]), np.where(hits > 0, np.log1p(-hits / upto), 0.0))
+            risk, at = upto[-1], end
+        key = frame[by].iloc[:1]
+        cells = pd.DataFrame({"k": np.repeat(np.arange(len(cuts)), steps), "replicate": np.tile(np.arange(steps), len(cuts)), "x": logs[:-1].ravel()})
+        return cells.assign(**{f: key[f].iloc[0] for f in by})[[*by, "k", "replicate", "x"]]
+
+    parts = dealt.groupBy(*by, "slot").cogroup(behind.groupBy(*by, "slot")).applyInPandas(survive, f"{kinds}k int, replicate int, x double")
+    sums = parts.groupBy(*by, "k", "replicate").agg(F.sum("x").alias("x"))
+    run = Window.partitionBy(*by, "replicate").orderBy("k")  # as many rows as thresholds
+    draws = sums.withColumn("cdf", 1 - F.exp(F.sum("x").over(run)))
+    named = F.element_at(F.array(*[F.lit(x) for x in sorted(thresholds)]), F.col("k") + 1)
+    return interval(draws.withColumn("threshold_seconds", named), "cdf", [*by, "threshold_seconds"])
 
 
 def bootstrap_difference(hist: DataFrame, sim: DataFrame, cluster: str, stratum: str, replicates: int = 400, seed: int = 20260502,

@@ -270,6 +270,31 @@ def cdf_at(law: DataFrame, by: Sequence[str], thresholds: Sequence[int], mass: s
     return wide.select(*by, F.expr(f"stack({len(thresholds)}, {pairs}) as (threshold_seconds, cdf)"))
 
 
+def pair_timing(observed: DataFrame, law: DataFrame, baseline: DataFrame, thresholds: Sequence[int], minimum: int = 100) -> DataFrame:
+    """How well two models time each transition: source, destination, threshold_seconds, rows, observed_cdf, law_cdf,
+    baseline_cdf and the largest error of each over the thresholds (law_error, baseline_error), for pairs of `minimum`
+    observed rows and more that the law knows.
+
+    observed: source, destination, duration_seconds. law: source, destination, duration_seconds, mass, denominator: masses
+    of one competing destination, strata mixed by their denominators and scaled to 1. baseline: source ('' for sources it
+    has no rows of), duration_seconds, mass: timing of any continuation, scaled to 1.
+    """
+    pair = ["source", "destination"]
+    def at(df, keys, weight):
+        sums = [F.sum(F.when(F.col("duration_seconds") <= t, weight).otherwise(0.0)).alias(f"t{i}") for i, t in enumerate(thresholds)]
+        return df.groupBy(*keys).agg(F.sum(weight).alias("all"), F.count(F.lit(1)).alias("rows"), *sums).filter(F.col("all") > 0).select(
+            *keys, "rows", F.array(*[F.col(f"t{i}") / F.col("all") for i in range(len(thresholds))]).alias("cdf"))
+    truth = materialize(at(observed, pair, F.lit(1.0)).filter(F.col("rows") >= minimum))
+    new = at(law, pair, F.col("mass") * F.col("denominator")).select(*pair, F.col("cdf").alias("law"))
+    old = at(baseline, ["source"], F.col("mass")).select(F.col("source").alias("pool"), F.col("cdf").alias("baseline"))
+    known = old.select(F.col("pool").alias("source"), F.col("pool").alias("own")).filter("own <> ''")
+    rows = truth.join(new, pair).join(known, "source", "left").withColumn("pool", F.coalesce("own", F.lit(""))).drop("own").join(old, "pool")
+    worst = lambda model: F.array_max(F.zip_with("cdf", model, lambda a, b: F.abs(a - b)))
+    rows = rows.withColumns({"law_error": worst("law"), "baseline_error": worst("baseline")})
+    each = F.arrays_zip(F.array(*[F.lit(t) for t in thresholds]).alias("threshold_seconds"), F.col("cdf").alias("observed_cdf"), F.col("law").alias("law_cdf"), F.col("baseline").alias("baseline_cdf"))
+    return rows.select(*pair, "rows", "law_error", "baseline_error", F.inline(each).alias("threshold_seconds", "observed_cdf", "law_cdf", "baseline_cdf"))
+
+
 # --- scoring -----------------------------------------------------------------------------------------
 
 def conditional_score(cohort: DataFrame, law: DataFrame, pool: Sequence[str], elapsed: str, stop: str) -> DataFrame:

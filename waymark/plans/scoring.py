@@ -459,6 +459,36 @@ def _(t: Tables):
     return obs.join(model, ["state", "threshold_seconds"]).groupBy("state").agg(F.round(F.max(F.abs(F.col("observed_cdf") - F.col("model_cdf"))), 9).alias("max_error"))
 
 
+_DEST = "coalesce(json_extract_string({0}, '$[0]'), 'BLOCKED_TERMINAL')"
+_PAIR = f"""with {Q.TRAIN},{Q.law('tr', 'law')}, ob as (select state as source, {_DEST.format("next_labels")} as destination, duration_seconds from te where observed and event_datetime < timestamp '{END}' - interval 1 day),
+  lw as (select state as source, {_DEST.format("labels")} as destination, duration_seconds, mass * denominator as m from law where model_level = 'STATE' and labels <> '[]'),
+  hx as (select model_level, case when model_level = 'GLOBAL' then '' else state end as source, duration_seconds, observed and next_state <> 'purchase' as observed from tr, (select unnest(['STATE', 'GLOBAL']) as model_level)),{Q.piecewise('hx', 'hz', 'source')},
+  dk as (select source, {Q.hazard_interval('duration_seconds')} as k, duration_seconds, count(*) as n from hx where observed group by all),
+  dp as (select *, sum(n) over (partition by source, k) as pool from dk where k is not null),
+  bl as (select d.source, duration_seconds, survival_before * hazard * n / pool as m from dp d join hz h on h.source = d.source and h.k = d.k), th as (select unnest([86400, 172800, 259200]) as threshold_seconds),
+  o as (select source, destination, threshold_seconds, count(*) as n, count(*) filter (where duration_seconds <= threshold_seconds) / count(*) as observed_cdf from ob, th group by 1, 2, 3 having count(*) >= 30),
+  l as (select source, destination, threshold_seconds, coalesce(sum(m) filter (where duration_seconds <= threshold_seconds), 0) / sum(m) as law_cdf from lw, th group by 1, 2, 3 having sum(m) > 0),
+  b as (select source, threshold_seconds, coalesce(sum(m) filter (where duration_seconds <= threshold_seconds), 0) / sum(m) as baseline_cdf from bl, th group by 1, 2 having sum(m) > 0),
+  j as (select o.*, law_cdf, baseline_cdf from o join l using (source, destination, threshold_seconds) join b on b.threshold_seconds = o.threshold_seconds and b.source = case when o.source in (select source from b) then o.source else '' end)"""
+
+
+@query("h15_pair_timing", f"""{_PAIR} select source, destination, n as rows, cast(threshold_seconds as bigint) as threshold_seconds, round(observed_cdf, 9) as observed_cdf, round(law_cdf, 9) as law_cdf, round(baseline_cdf, 9) as baseline_cdf,
+  round(max(abs(observed_cdf - law_cdf)) over w, 9) as law_error, round(max(abs(observed_cdf - baseline_cdf)) over w, 9) as baseline_error from j window w as (partition by source, destination)""")
+def _(t: Tables):
+    """Timing of each transition of the second half: the competing-event law and the continuation hazard of the first."""
+    first = lambda labels: F.coalesce(F.get(F.from_json(labels, "array<string>"), 0), F.lit("BLOCKED_TERMINAL"))
+    train = materialize(t.episodes(START, MID).select("application_id", "state", "regime", "journey_stage", *LAW_STRATA, "duration_seconds", "observed", "next_labels", "next_state"))
+    law = S.fit_law(train, SPEC).filter((F.col("model_level") == "STATE") & (F.col("labels") != S.BLANK)).select(
+        F.col("state").alias("source"), first(F.col("labels")).alias("destination"), "duration_seconds", "mass", "denominator")
+    go = F.coalesce(F.col("observed") & (F.col("next_state") != SPEC.terminal), F.lit(False))
+    rows = materialize(train.select(F.explode(F.array(F.col("state"), F.lit(""))).alias("source"), "duration_seconds", go.alias("observed")))
+    baseline = S.piecewise_mass(S.piecewise_hazard(rows, ["source"], HAZARD_EDGES), rows.filter("observed"), ["source"], HAZARD_EDGES)
+    seen = t.episodes(MID, END).filter(F.col("observed") & (F.col("event_datetime") < C.ntz(END) - F.expr("interval 1 day"))).select(
+        F.col("state").alias("source"), first(F.col("next_labels")).alias("destination"), "duration_seconds")
+    got = S.pair_timing(seen, law, baseline, (86400, 172800, 259200), 30)
+    return rounded(got, ["observed_cdf", "law_cdf", "baseline_cdf", "law_error", "baseline_error"], 9).withColumn("threshold_seconds", F.col("threshold_seconds").cast("long"))
+
+
 _P17 = {"median": .5, "p90": .9, "p95": .95, "p99": .99}
 
 
