@@ -68,8 +68,11 @@ def extra(spark, rows):
 
 # --- 1 decontamination ------------------------------------------------------------------------------
 
-def test_decontamination(llm):
+@pytest.mark.parametrize("small", [1_000_000, 1])
+def test_decontamination(llm, monkeypatch, small):
+    from waymark.llm import decontamination
     from waymark.llm.decontamination import find_overlaps
+    monkeypatch.setattr(decontamination, "SMALL", small)
     docs = made()
     w = brute.bench_words(docs[3][1])
     items = [(1, " ".join(w[5:30])), (2, " ".join(w[20:26]).upper() + "!"), (10, w[3]), (11, None), (12, "..."), (13, "No Such Words here at all in any of the given texts"),
@@ -205,10 +208,11 @@ def test_jaccard_edges(llm):
 
 # --- 5 passages -------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("crowd", [200_000, 1])
-def test_passages(llm, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,small", [(200_000, 1), (1, 500_000)])
+def test_passages(llm, monkeypatch, crowd, small):
     from waymark.llm import suffix_dedup
     monkeypatch.setattr(suffix_dedup, "GROUP_CONTEXTS", crowd)
+    monkeypatch.setattr(suffix_dedup, "SMALL", small)
     docs = [x for x in made(7, 50) if x[0] < 50] + [(90, "ab" * 400), (91, "=" * 350), (92, "x" * 99), (93, "q" * 100), (94, "q" * 100)]
     got = suffix_dedup.dedup_passages(extra(llm, docs)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
     same(got, brute.passages(docs, 100))

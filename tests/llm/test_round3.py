@@ -214,3 +214,66 @@ def test_importance_of_the_table(llm):  # noqa: F811
     items = [r["text"] for r in llm.read.parquet(f"{SF}/benchmark.parquet").collect()]
     same(op13_importance(llm, SF), plain_draw(docs, items))
     assert rows_of(op13_importance(llm, SF))
+
+
+# --- restatements of operators 7 and 10 ----------------------------------------------------------------
+
+def test_quality_features_and_updates_are_those_of_plain_python():
+    """Features by their texts instead of hashes, and the updates one weight at a time, for ten rows."""
+    import re
+
+    import pyarrow as pa
+
+    from waymark.llm import quality
+    from waymark.llm.common import BytesHasher, pieces
+    texts = ["", "a", "a a a b", "The cat. The CAT!", "x y x y x y", "ü ü é", "1 2 3 4 5 6 7 8 9 1", "--- ... ---", "one two\nthree", "b " * 40]
+    (_, data, offsets), = pieces(pa.array(texts))
+    slots, values, first = quality.features(data, offsets, BytesHasher())
+    rows, seen = [], {}
+    for i, text in enumerate(texts):
+        tokens = re.findall(r"[0-9a-z\x80-\U0010ffff]+|[!-/:-@\[-`{-\x7f]+", text.translate(brute.UPPER))
+        named = [next((f"repeat {lag}" for lag in range(1, 9) if at >= lag and tokens[at - lag] == t), t) for at, t in enumerate(tokens)]
+        count = Counter(("one", t) for t in named) + Counter(("two", a, b) for a, b in zip(named, named[1:]))
+        length = math.sqrt(sum(math.log1p(n) ** 2 for n in count.values()))
+        own = dict(zip(slots[first[i]:first[i + 1]].tolist(), values[first[i]:first[i + 1]].tolist()))
+        assert sorted(round(v, 9) for v in own.values()) == sorted(round(math.log1p(n) / length, 9) for n in count.values()) and 0 not in own
+        rows.append((slots[first[i]:first[i + 1]], values[first[i]:first[i + 1]], i % 2))
+        for f in count:
+            seen.setdefault(f, set()).add(i)
+    got = quality.ftrl(rows * 3)
+    z, n = Counter(), Counter()
+    weigh = lambda k: 0.0 if abs(z[k]) <= 0.05 else (math.copysign(0.05, z[k]) - z[k]) / ((1 + math.sqrt(n[k])) + 0.1)
+    for s, v, y in rows * 3:
+        x = dict(zip(s.tolist(), v.tolist())) | {0: 1.0}
+        w = {k: weigh(k) for k in x}
+        p = 1 / (1 + math.exp(-sum(w[k] * x[k] for k in x)))
+        for k in x:
+            g = (p - y) * x[k]
+            sigma = math.sqrt(n[k] + g * g) - math.sqrt(n[k])
+            z[k] += g - sigma * w[k]
+            n[k] += g * g
+    assert all(abs(got[k] - weigh(k)) < 1e-6 for k in z) and np.count_nonzero(got) == sum(weigh(k) != 0 for k in z)
+
+
+def test_shard_loads_are_those_of_the_plain_schedule(llm):  # noqa: F811
+    import heapq
+
+    from waymark.llm.sharding import assign_shards
+    docs = made(11, 80) + [(200 + i, "same text " * 9) for i in range(7)] + [(300, None), (301, "")]
+    got = assign_shards(llm.createDataFrame(docs, "doc_id long, text string"), 8).collect()
+    groups = Counter()
+    for _, text in docs:
+        groups[text or ""] += len((text or "").encode()) + 1
+    heap = [0] * 8
+    for size in sorted(groups.values(), reverse=True):
+        heapq.heapreplace(heap, heap[0] + size)
+    loads, of = Counter(), {}
+    for r in got:
+        loads[r["shard"]] += r["size"]
+        assert of.setdefault(r["text_crc32"], r["shard"]) == r["shard"]
+    assert len(got) == len(docs)
+    total, largest = sum(groups.values()), max(groups.values())
+    small = sum(s for s in groups.values() if s * 4096 <= total)  # the rest goes one by one
+    assert max(loads.values()) <= max(heap) + small and max(loads.values()) >= max(largest, -(-total // 8))
+    for shard in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))

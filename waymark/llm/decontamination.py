@@ -56,7 +56,9 @@ def find_overlaps(docs: DataFrame, items: DataFrame, size: int = 10, unnamed: bo
 
     NULL texts have no words; an item without words has no window and an empty benchmark hits nothing. Items of equal
     words count each. Rows that repeat doc_id and text have equal results; a NULL doc_id is an id. Items of NULL item_id
-    are left out, or with `unnamed` hit like others and count as one item that the list does not name.
+    are left out, or with `unnamed` hit like others and count as one item that the list does not name. Only doc_id and text
+    are read, so other columns may have any name. A very long text is one row whose shingles that some window holds are
+    kept; its words are held while it is cut. Empty docs give no rows.
     """
     keyed = docs.select("doc_id", row_hash().alias("__row"), words_of(F.col("text")).alias("words"))
     if not unnamed:

@@ -334,7 +334,8 @@ def score_texts(docs: DataFrame, learn: Column, order: int = 2) -> DataFrame:
 
     Base: words between ASCII white space, A-Z lower-cased, then one end; sum of log10((c + 1) / (N + V + 1)). Score:
     log10 probability of the bytes and the end under the byte model. NULL is the empty text. Repeated rows count each and
-    each have a result. With nothing to learn, N = V = 0 and the byte model is uniform. An empty table gives no rows.
+    each have a result. Only doc_id and text are read, so other columns may have any name; very long texts are scored
+    whole, piece by piece. With nothing to learn, N = V = 0 and the byte model is uniform. An empty table gives no rows.
     Contexts of the byte model have `order` bytes (2 to 5) and fewer. What goes to every task is bounded: at most
     FREQUENT word counts, and counts of three bytes (at most 2**24). Counts of longer contexts grow with the texts; they
     stay in shards, and each chunk of texts asks them for its distinct ones.

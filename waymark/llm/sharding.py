@@ -31,7 +31,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, bundles: int = 4096, cell_ro
     driver however large the input is, and shards differ by about one bundle unless a single group outweighs a shard.
 
     Slots come from counts of rows in hashed cells, never from one sorted shard. Repeated rows are rows of their own.
-    An empty table gives no rows. Extra columns are dropped. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard.
+    An empty table gives no rows. Extra columns are dropped,
+    whatever their names; of a very long text only its length and checksum travel. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
