@@ -30,6 +30,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of documents that all stages keep, with token count and digests.
+
+    Documents that the classifier rejects go; lines that ten or more rows have go from every text; of near copies (five
+    words, 0.8) the row of smallest doc_id stays; rows with a benchmark passage go. NULL and empty texts are judged by the
+    classifier's bias alone and then pass all stages, repeated ones too. Rows that repeat with words are near copies of each
+    other. A NULL doc_id is an id like any other and stands last among near copies. Very long texts are worked whole. Columns
+    beside doc_id, text and n_chars pass unchanged, whatever their names, but for those the last stage adds (n_tokens,
+    ids_sha256, decoded_sha256), which it replaces. An empty table gives no rows.
+    """
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))

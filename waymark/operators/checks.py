@@ -25,6 +25,20 @@ def schema_violations(df: DataFrame, expected: T.StructType, exact: bool = False
     return out
 
 
+def column_conformity(df: DataFrame, expected: T.StructType) -> DataFrame:
+    """column_name, found (type, or missing), rows, nulls, unfit per expected column: how many values are NULL and how many
+    the expected type cannot hold. One pass over the columns that are there, a counter each."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    sums = [F.count(F.lit(1)).alias("rows")]
+    for i, f in enumerate(expected.fields):
+        x = F.col(f"`{f.name}`") if f.name in have else F.lit(None)
+        unfit = x.isNotNull() & x.try_cast(f.dataType).isNull() if f.name in have else F.lit(False)
+        sums += [F.count(F.when(x.isNull(), 1)).alias(f"n{i}"), F.count(F.when(unfit, 1)).alias(f"u{i}")]
+    lines = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(have[f.name].simpleString() if f.name in have else "missing").alias("found"), F.col("rows"),
+                               F.col(f"n{i}").alias("nulls"), F.col(f"u{i}").alias("unfit")) for i, f in enumerate(expected.fields)])
+    return df.agg(*sums).select(F.inline(lines))
+
+
 def as_rule(df: DataFrame, rule: str, key: Column, detail: Column | None = None) -> DataFrame:
     detail = F.lit(None).cast("string") if detail is None else detail.cast("string")
     return df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), detail.alias("detail"))

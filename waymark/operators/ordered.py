@@ -35,8 +35,8 @@ def mark_parts(df: DataFrame, keys: Sequence[str], at: Column, hot_rows: int, gr
     """Add `part`: NULL for ordinary keys, a time slot number for hot ones; `part_lo` and
     `part_width` keep the slot geometry so that derived times can be slotted too (`repart`).
 
-    Counting reads the key and time columns only and combines before its shuffle. The broadcast side
-    holds only keys above `hot_rows`, so it has at most rows/hot_rows entries. Slots are equal in
+    Counting reads the key and time columns only and combines before its shuffle. The joined side
+    holds only keys above `hot_rows`; Spark sends it to every task while it is small. Slots are equal in
     time and start on multiples of the grain; `oversplit` absorbs uneven density.
     """
     hot = (df.select(*keys, at.alias("__at")).groupBy(*keys)
@@ -47,7 +47,7 @@ def mark_parts(df: DataFrame, keys: Sequence[str], at: Column, hot_rows: int, gr
     raw = (F.col("__hi") - F.col("__lo") + 1) / (F.ceil(F.col("__n") / hot_rows) * oversplit)
     hot = hot.select(*keys, (F.floor(F.col("__lo") / grain_us) * grain_us).alias("part_lo"),
                      (F.greatest(F.lit(1), F.ceil(raw / grain_us)) * grain_us).alias("part_width"))
-    return repart(df.join(F.broadcast(hot), list(keys), "left").withColumn(PART, F.lit(None).cast("long")), at)
+    return repart(df.join(hot, list(keys), "left").withColumn(PART, F.lit(None).cast("long")), at)
 
 
 def repart(df: DataFrame, at: Column) -> DataFrame:
