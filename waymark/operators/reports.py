@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import among, flag, micros, ntz, seconds_between, weekday
+from ..functions.columns import among, flag, ntz, seconds_between, weekday
+from ..session import materialize
 from ..spec import GAP_THRESHOLDS, QUANTILES, LifecycleSpec
 from .lifecycle import is_label
 from .ordered import quantiles, scan, Running
@@ -47,19 +48,23 @@ def daily_summary(df: DataFrame, spec: LifecycleSpec, start: str, end: str) -> D
 
 
 def overview(df: DataFrame) -> DataFrame:
-    """Whole-table figures. Distinct pairs are formed first, so the last step only adds counts."""
-    sim = F.col("is_simulated")
-    plain = df.agg(F.count(F.lit(1)).alias("combined_event_count"), n_if(~sim).alias("historical_event_count"),
-                   n_if(sim).alias("simulated_event_count"), F.min("event_datetime").alias("first_event_datetime"),
-                   F.max("event_datetime").alias("last_event_datetime"),
-                   F.min(F.when(sim, F.col("event_datetime"))).alias("first_simulated_event_datetime"),
-                   F.max(F.when(sim, F.col("event_datetime"))).alias("last_simulated_event_datetime"),
-                   F.countDistinct("context_id").alias("combined_context_count"),
-                   F.countDistinct(F.when(sim, F.col("context_id"))).alias("simulated_context_count"),
-                   F.countDistinct("application_id").alias("combined_application_count"),
-                   F.countDistinct(F.when(sim, F.col("application_id"))).alias("simulated_application_count"),
-                   F.countDistinct(F.when(sim, F.to_date("event_datetime"))).alias("simulated_active_day_count"))
-    return plain
+    """Whole-table figures. Events are first reduced to one row per (context, application, flag, day), which combines before
+    its shuffle; what distinct counts need is then one row per context, application and day, not an expansion of all."""
+    at = F.col("event_datetime")
+    cells = materialize(df.groupBy("context_id", "application_id", F.col("is_simulated").alias("sim"), F.to_date(at).alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last")))
+    sim = F.col("sim")
+    total = lambda keep: F.coalesce(F.sum(F.when(keep, F.col("n"))), F.lit(0))
+    plain = cells.agg(total(F.lit(True)).alias("combined_event_count"), total(~sim).alias("historical_event_count"), total(sim).alias("simulated_event_count"),
+                      F.min("first").alias("first_event_datetime"), F.max("last").alias("last_event_datetime"),
+                      F.min(F.when(sim, F.col("first"))).alias("first_simulated_event_datetime"), F.max(F.when(sim, F.col("last"))).alias("last_simulated_event_datetime"))
+    counts = {}
+    for key, name in (("context_id", "context"), ("application_id", "application"), ("day", "active_day")):
+        each = cells.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(flag(sim)).alias("sim"))
+        if name != "active_day":
+            counts[f"combined_{name}_count"] = each.agg(F.count(F.lit(1))).scalar()
+        counts[f"simulated_{name}_count"] = each.agg(F.coalesce(F.sum("sim"), F.lit(0)).cast("long")).scalar()
+    return plain.withColumns(counts)
 
 
 def journey_summary(df: DataFrame, spec: LifecycleSpec, start: str, end: str) -> DataFrame:
