@@ -97,23 +97,43 @@ def heads_of(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return alive, materialize(alive.groupBy("gid").agg(F.max_by("uid", nearest).alias("head"), F.count("*").alias("alive"), F.max("shared").alias("most")))
 
 
-def by_difference(crowd: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of crowd (h, x, n, shared, c: members x of size n around one member h, their component): the links (a, b) of x with h,
-    and the pairs (a, b) of members of different components around one h that may link.
-
-    D(x), the difference of x from h, is what x lost and added. |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, which a link
-    bounds by (n + m) (100 - percent) / (100 + percent). By the triangle inequality two that link are both linked with h, so
-    of one component, or have a difference in common; one that is not linked with h shares at least k = |D(x)| - n (100 -
-    percent) / percent, so one of the |D(x)| - k + 1 first of its differences in an order that all share. Added tokens come
-    first and rare ones among them. Two with only lost tokens in common share no more with each other than with h, which
-    bounds the size of the second. Near copies of one text differ from it at places of their own, so few meet, however many
-    there are."""
+def differences(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """crowd with added (tokens of x that h lacks) and lost (tokens of h that x lacks)."""
     xs, hs = sets.select(F.col("uid").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("uid").alias("h"), F.col("shingles").alias("sh"))
-    both = crowd.join(xs, "x").join(hs, "h")
-    diff = both.select("h", "x", "n", "shared", "c", F.size("sh").alias("nh"), F.array_except("sx", "sh").alias("added"), F.array_except("sh", "sx").alias("lost"))
-    held = F.col("n") - F.size("added")
-    diff = materialize(diff.withColumn("held", held).withColumn("star", held * 100 >= (F.col("n") + F.col("nh") - held) * percent))
-    stars = diff.filter("star").select(F.least("h", "x").alias("a"), F.greatest("h", "x").alias("b")).distinct()
+    return materialize(crowd.join(xs, "x").join(hs, "h").select(*crowd.columns, F.array_except("sx", "sh").alias("added"), F.array_except("sh", "sx").alias("lost")))
+
+
+def by_difference(crowd: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of crowd (h, x, n, shared, c: members x of size n that meet around one member h, itself among them; their component):
+    links (a, b) with the member nearest to the centre, and the pairs (a, b) of members of different components that may
+    link.
+
+    The centre M of a crowd are the tokens that more than half of it has: for near copies about the text they were made
+    from, whether that is still there or not. D(x), what x has beyond M (added) and lacks of it (lost), is small for near
+    copies. A link means |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)| <= (n + m) r, r = (100 - percent) / (100 + percent). Let
+    z have the least |D| - n r of all: whoever could link without a difference in common links with z then. So two that
+    link are both linked with z, thus of one component, or have a difference in common; and x shares at least k = |D(x)| -
+    n (100 - percent) / percent with whom it links, so one of the |D(x)| - k + 1 first of its differences in an order that
+    all share. Added tokens come first and rare ones among them. Two with only lost tokens in common share no more than
+    either shares with M, which bounds the size of the second. Near copies of one text differ from it at places of their
+    own, so few meet, however many there are."""
+    diff = differences(crowd, sets)
+    signed = diff.select("h", "x", F.explode("added").alias("token"), F.lit(False).alias("inside")).unionAll(diff.select("h", "x", F.explode("lost").alias("token"), F.lit(True).alias("inside")))
+    size = crowd.groupBy("h").agg(F.count("*").alias("members"))
+    most = signed.groupBy("h", "token", "inside").agg(F.count("*").alias("times")).join(size, "h").filter(F.col("times") * 2 > F.col("members"))
+    # how the centre differs from h: what most have beyond it, and what most lack of it
+    turned = most.groupBy("h").agg(F.collect_list(F.when(~F.col("inside"), F.col("token"))).alias("more"), F.collect_list(F.when(F.col("inside"), F.col("token"))).alias("less"))
+    none = F.array().cast("array<bigint>")
+    diff = diff.join(turned, "h", "left").withColumns({"more": F.coalesce("more", none), "less": F.coalesce("less", none)})
+    diff = diff.select("h", "x", "n", "shared", "c", F.concat(F.array_except("added", "more"), F.array_except("less", "lost")).alias("added"),
+                       F.concat(F.array_except("lost", "less"), F.array_except("more", "added")).alias("lost"))
+    d = F.size("added") + F.size("lost")
+    diff = materialize(diff.withColumn("held", F.col("n") - F.size("added")))
+    near = diff.groupBy("h").agg(F.min(F.struct(d * (100 + percent) - F.col("n") * (100 - percent), "x")).alias("z")).select("h", F.col("z.x").alias("z"))
+    near = diff.join(near.withColumnRenamed("z", "x"), ["h", "x"]).select("h", F.col("x").alias("z"), F.col("n").alias("nz"), F.concat("added", "lost").alias("dz"))
+    apart = d + F.size("dz") - 2 * F.size(F.array_intersect(F.concat("added", "lost"), "dz"))
+    diff = materialize(diff.join(near, "h").withColumn("star", (F.col("x") == F.col("z")) | (apart * (100 + percent) <= (F.col("n") + F.col("nz")) * (100 - percent))).drop("nz", "dz"))
+    stars = diff.filter("star AND x <> z").select(F.least("z", "x").alias("a"), F.greatest("z", "x").alias("b")).distinct()
 
     scalars = ["h", "x", "n", "shared", "c", "held", "star", (F.size("added") + F.size("lost")).alias("d")]
     each = diff.select(*scalars, F.explode("added").alias("token"), F.lit(0).alias("gone")).unionAll(diff.select(*scalars, F.explode("lost").alias("token"), F.lit(1).alias("gone")))
@@ -156,7 +176,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     differences from one of them allow it. All links are thereby known as far as components go, without all pairs within
     a group of copies.
 
-    Rows that repeat are nodes of equal sets. Sets are compared by 64-bit hashes of their shingles. Empty table: no rows.
+    Only doc_id and text are read, so other columns may have any name. A very long text is one set, sketched whole. Ties at
+    the border count as links (the comparison is of whole numbers). Rows that repeat are nodes of equal sets. Sets are compared by 64-bit hashes of their shingles. Empty table: no rows.
     """
     rows = materialize(sketches(docs, size, percent).withColumn("uid", F.monotonically_increasing_id()))
     some = rows.filter("n > 0")
@@ -232,7 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rest = rest.select(F.least("u1", "u2").alias("a"), F.greatest("u1", "u2").alias("b"))
     # in a long list, by differences from its hub
     hubs = listed.join(mixed.filter(F.col("held") > LONG), ["token", "band"]).select("token", "band", "gid").join(hub.select("token", "band", F.col("head").alias("h")), ["token", "band"])
-    crowd = hubs.select("h", "gid").distinct().join(placed.withColumnRenamed("uid", "x"), "gid").filter("h <> x").select("h", "x", "n", "shared", "c")
+    crowd = materialize(hubs.select("h", "gid").distinct().join(placed.withColumnRenamed("uid", "x"), "gid").select("h", "x", "n", "shared", "c"))
     stars, near = by_difference(crowd, sets, percent)
     rest = rest.unionByName(near).distinct().join(tried, ["a", "b"], "left_anti")
     second = verified(rest).unionByName(stars)
