@@ -143,7 +143,7 @@ def by_difference(crowd: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     own = own.withColumn("added", F.col("able") - F.col("lost"))
     k = F.when(F.col("star"), 1).otherwise(F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / F.lit(percent))))
     own = own.withColumn("keep", (F.col("able") - k + 1).cast("int")).filter("keep > 0")
-    prefix = own.select("h", "x", "n", "shared", "c", "held", "star", "d", "lost", "added", F.explode(F.slice("tokens", 1, F.col("keep"))).alias("t"))
+    prefix = own.select("h", "x", "n", "shared", "c", "held", "star", "d", "lost", "added", F.transform("tokens", lambda t: t["token"]).alias("own"), F.explode(F.slice("tokens", 1, F.col("keep"))).alias("t"))
     prefix = prefix.select("*", F.col("t.gone").alias("gone"), F.col("t.token").alias("token")).drop("t")
     # sizes by buckets of a sixteenth of the range that links allow; -1 for added tokens, whatever the size
     step = math.log(100 / percent) / 16 if percent < 100 else 1e-9
@@ -152,11 +152,12 @@ def by_difference(crowd: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     spans = F.when(F.col("gone") == 0, F.array(F.lit(-1).cast("long"))).when(high >= low, F.sequence(bucket(low), bucket(high)))
     first = prefix.filter(~F.col("star")).select("*", F.explode(spans).alias("size")).drop("star", "held")
     then = prefix.withColumn("size", F.when(F.col("gone") == 0, -1).otherwise(bucket(F.col("n"))).cast("long")).drop("star", "held", "gone")
-    then = then.select("h", "token", "size", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "shared", "c", "d", "lost", "added")])
+    then = then.select("h", "token", "size", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "shared", "c", "d", "lost", "added", "own")])
     most = F.least("lost", "lost2") + F.when(F.col("gone") == 0, F.least("added", "added2")).otherwise(0)
     able = ((F.col("x") != F.col("x2")) & (F.col("c") != F.col("c2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
             & (F.least("shared", "shared2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
-            & ((F.col("d") + F.col("d2") - 2 * most) * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)))
+            & ((F.col("d") + F.col("d2") - 2 * most) * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent))
+            & ((F.col("d") + F.col("d2") - 2 * F.size(F.array_intersect("own", "own2"))) * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)))
     near = first.join(then, ["h", "token", "size"]).filter(able).select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b")).distinct()
     return stars, near
 
