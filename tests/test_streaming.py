@@ -229,3 +229,31 @@ def test_stream_scores_are_those_of_the_batch(spark, tables, folder):
     short = lambda df: rows(df.select("application_id", "event_datetime", "model_level", F.round("survival", 9), F.round("remaining_event_mass", 9)))
     assert short(got.filter("customer_kind <> 'NOBODY'")) == short(want)
     assert rows(got.filter("customer_kind = 'NOBODY'").select("model_level", "survival")) == [(None, None)] * 3
+
+
+def test_state_does_not_grow_calls_with_applications(spark, folder):
+    """State is written per bucket: thousands of applications of a batch cost no more writes than buckets."""
+    n = 6000
+    df = spark.range(n).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("application_id"), F.lit("c").alias("context_id"),
+                               F.timestamp_micros(F.col("id") * 10**6 + 1704067200 * 10**6).cast("timestamp_ntz").alias("event_datetime"),
+                               F.col("id").alias("source_row"), F.lit("signup").alias("journey_substage"))
+    df.coalesce(1).write.parquet(f"{folder}/in")
+    for end in end_rows(spark, df):
+        end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    for name, make, timers, count in (("late", rules.RejectLate(), False, n + 2), ("lives", rules.LifecycleMonitor("signup", "purchase", 10**9), True, n)):
+        st = jobs.read_events(spark, f"{folder}/in", DDL, files_per_batch=1)
+        q = (rules.keyed_rule(st, make, timers=timers).writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/{name}-cp")
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert spark.read.parquet(f"{folder}/{name}").count() == count
+        written = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["stateOperators"]]
+        assert 0 < max(written) < n, (name, written)
+
+
+def test_application_created_again_after_its_deadline(spark, folder):
+    """Judged by the rows' times, whatever batches they come in."""
+    spark.createDataFrame([("a", "c", "2024-01-01 00:00:00", 1, "signup"), ("a", "c", "2024-01-10 00:00:00", 2, "signup"), ("a", "c", "2024-01-11 00:00:00", 3, "purchase"),
+                           ("z", "z", "2024-05-01 00:00:00", 5, "view")], "application_id string, context_id string, t string, source_row bigint, journey_substage string").select(
+        "application_id", "context_id", F.col("t").cast("timestamp_ntz").alias("event_datetime"), "source_row", "journey_substage").coalesce(1).write.parquet(f"{folder}/in")
+    got = drain(rules.lifecycle_monitor(jobs.read_events(spark, f"{folder}/in", DDL), SPEC), folder, "out")
+    assert rows(got.select("application_id", "outcome")) == [("a", "EXPIRED"), ("a", "TERMINAL")]
