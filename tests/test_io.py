@@ -158,3 +158,24 @@ def test_terminal_classes(spark):
     got = {r["source_row"]: r["classification"] for r in classify_terminals(ev, SPEC).collect()}
     assert got == {1: "VALID_PROGRESSION_PTP", 2: "POST_TERMINAL_PTP", 3: "PTP_WITHOUT_PRIOR_AIP", 5: "VALID_PROGRESSION_PTP", 7: "PTP_AFTER_EXPIRY",
                    8: "PTP_AMBIGUOUS_APPLICATION", 10: "PTP_AMBIGUOUS_APPLICATION"}
+
+
+def test_shuffles_get_partitions_by_size(spark):
+    """Not the session's fixed number: tasks of more rows must not hold more rows each."""
+    from waymark.session import configure, partitions_by_size
+    partitions_by_size(configure(spark))
+    rows = spark.range(1_500_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    assert rows.groupBy("k").count().rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_each_commit_reads_its_own_day(spark, tables, monkeypatch):
+    from waymark.plans import load_all
+    from waymark.sources import sinks
+    plans, commit = [], sinks.commit_day
+
+    def seen(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return commit(df, *rest)
+    monkeypatch.setattr(sinks, "commit_day", seen)
+    assert load_all()["a17_day_commits"][0](tables).count() == len(plans) - 2
+    assert all("PartitionFilters: []" not in p and "day#" in p for p in plans)

@@ -11,7 +11,7 @@ from ..operators.lifecycle import customer_kind, in_window, truncate_at_terminal
 from ..operators.ordered import arrange
 from ..operators.sequence import packets
 from ..operators.survival import episodes
-from ..session import configure, materialize
+from ..session import configure, materialize, partitions_by_size
 from ..sources.adapters import STREAM_SPEC, order_lifecycles, stream_events, stream_lifecycles
 
 _ENTRIES: dict[str, tuple[Callable[["Tables"], DataFrame], str | None]] = {}
@@ -35,7 +35,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        configure(spark)
+        partitions_by_size(configure(spark))
         self._seen: dict = {}
 
     def path(self, name: str) -> str:
