@@ -103,3 +103,12 @@ def test_sparse_weekdays_use_the_pooled_set(spark):
         sets.setdefault(r["donor_set"], []).append((r["donor_index"], r["gap_us"] // DAY))
     assert sorted(sets) == [-1, 0, 1, 2] and all(sorted(i for i, _ in v) == list(range(len(v))) for v in sets.values())
     assert sorted(g for _, g in sets[-1]) == sorted([30 + i for i in range(0, 60, 2)] + [99])
+
+
+def test_rounds_join_by_shuffle(spark):
+    """What grows with the input is not sent through the driver in every round."""
+    donors = spark.range(300).select(F.concat(F.lit("d"), F.col("id")).alias("donor_id"), (F.col("id") * R.DAY_US).alias("birth_us"), (F.col("id") % 2 == 0).alias("outcome"), (F.col("id") % 5).alias("depth"))
+    targets = spark.range(20).select(F.concat(F.lit("t"), F.col("id")).alias("target_id"), ((F.col("id") + 400) * R.DAY_US).alias("asked_us"), (F.col("id") * 11 * R.DAY_US).alias("gap_us"), (F.col("id") % 3 == 0).alias("outcome"))
+    ranged = R.neighbourhood(targets, R.by_birth(donors))
+    assert ranged.count() == 20
+    assert "BroadcastHashJoin" not in ranged._jdf.queryExecution().executedPlan().toString()

@@ -69,6 +69,11 @@ def free_histories(lifecycles: DataFrame, outcome: DataFrame, overlap_us: int) -
 
 # --- gaps at the arrival's own time -------------------------------------------------------------------------
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """A side that grows with the input and is joined in every round: never sent to the driver and from there to all tasks."""
+    return df.hint("merge")
+
+
 def _cell(*parts):
     return F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -119,10 +124,10 @@ def neighbourhood(targets: DataFrame, order: DataFrame, minimum: int = 30, least
     read = born_by(points, order).groupBy("target_id", "cell").agg(*[F.max(F.when(F.col("mark") == k, F.col("n"))).alias(k) for k in marks])
     own = F.substring("cell", 1, 1)
     best = read.filter("cap > 0").groupBy("target_id").agg(F.max_by(F.struct("cell", *marks), own).alias("b")).select("target_id", "b.*")  # O before A
-    rows = materialize(targets.join(best.withColumnsRenamed({k: f"n_{k}" for k in marks}), "target_id", "left"))
+    rows = materialize(targets.join(by_shuffle(best.withColumnsRenamed({k: f"n_{k}" for k in marks})), "target_id", "left"))
     exact, near = F.col("n_day_hi") - F.col("n_day_lo") >= minimum, F.col("n_near_hi") - F.col("n_near_lo") >= minimum
     radius = nearest(rows.filter(F.col("cell").isNotNull() & ~exact & ~near).select("target_id", "cell", "asked_us", "gap_us", F.col("n_cap").alias("cap"), F.col("n_below").alias("below")), order, minimum)
-    rows = rows.join(radius, "target_id", "left")
+    rows = rows.join(by_shuffle(radius), "target_id", "left")
     reason = F.when(F.col("cell").isNull(), "NO_ELIGIBLE_CONTEXT").when(exact, "EXACT_DAY").when(near, "WITHIN_3_DAYS").otherwise("NEAREST_SUPPORTED_RANGE")
     lo = F.when(reason == "EXACT_DAY", at - day - DAY_US + 1).when(reason == "WITHIN_3_DAYS", at - g - 3 * DAY_US).otherwise(at - g - F.col("radius"))
     hi = F.when(reason == "EXACT_DAY", at - day).when(reason == "WITHIN_3_DAYS", at - g + 3 * DAY_US).otherwise(at - g + F.col("radius"))
@@ -134,7 +139,7 @@ def nearest(rows: DataFrame, order: DataFrame, minimum: int) -> DataFrame:
     the asked birth, before which lie `below` of them. It is among the `minimum` numbers to either side."""
     want = rows.select("target_id", "cell", (F.col("asked_us") - F.col("gap_us")).alias("x"), F.least(F.lit(minimum), "cap").alias("k"), F.explode(F.sequence(
         F.greatest(F.lit(1), F.col("below") - minimum + 1), F.least(F.col("cap"), F.col("below") + minimum))).alias("pos"))
-    found = want.join(order.select("cell", "pos", "birth_us"), ["cell", "pos"]).groupBy("target_id", "k").agg(F.sort_array(F.collect_list(F.abs(F.col("birth_us") - F.col("x")))).alias("d"))
+    found = want.join(by_shuffle(order.select("cell", "pos", "birth_us")), ["cell", "pos"]).groupBy("target_id", "k").agg(F.sort_array(F.collect_list(F.abs(F.col("birth_us") - F.col("x")))).alias("d"))
     return found.select("target_id", F.element_at("d", F.col("k").cast("int")).alias("radius"))
 
 
@@ -161,8 +166,8 @@ def match_histories(targets: DataFrame, donors: DataFrame, seed: int = 7, minimu
         read = born_by(ends, order).groupBy("target_id", "fine", "cell").agg(*[F.max(F.when(F.col("mark") == m, F.col("n"))).alias(m) for m in ("lo", "hi")])
         held = F.col("hi") - F.col("lo")
         best = read.filter((held >= QUARTET_MINIMUM) | (F.col("fine") < 2) & (held > 0)).groupBy("target_id").agg(F.max(F.struct("fine", "cell", "lo", "hi")).alias("b")).select("target_id", "b.*")
-        picks = ranged.join(best, "target_id").withColumn("pos", F.col("lo") + 1 + F.floor(draw(seed, turn, F.col("target_id")) * (F.col("hi") - F.col("lo"))).cast("long"))
-        picks = picks.join(order.select("cell", "pos", "donor_id", "birth_us"), ["cell", "pos"])
+        picks = ranged.join(by_shuffle(best), "target_id").withColumn("pos", F.col("lo") + 1 + F.floor(draw(seed, turn, F.col("target_id")) * (F.col("hi") - F.col("lo"))).cast("long"))
+        picks = picks.join(by_shuffle(order.select("cell", "pos", "donor_id", "birth_us")), ["cell", "pos"])
         level = F.element_at(F.array(F.lit("ALL"), F.lit("OUTCOME"), F.lit("QUARTET")), F.col("fine") + 1)
         got = picks.groupBy("donor_id").agg(F.min(F.struct("asked_us", "target_id", "reason", level.alias("level"), "birth_us")).alias("w"))
         got = materialize(got.select("w.target_id", F.lit(turn).alias("round"), "w.reason", "w.level", "donor_id", ((F.col("w.asked_us") - F.col("w.birth_us")) / DAY_US).alias("gap_days")))
@@ -170,13 +175,13 @@ def match_histories(targets: DataFrame, donors: DataFrame, seed: int = 7, minimu
             break
         won = got if won is None else won.unionByName(got)
         # who had no eligible history will not have one later: what is free only shrinks
-        open_ = materialize(ranged.join(got.select("target_id"), "target_id", "left_anti").select(open_.columns))
-        free = materialize(free.join(got.select("donor_id"), "donor_id", "left_anti"))
+        open_ = materialize(ranged.join(by_shuffle(got.select("target_id")), "target_id", "left_anti").select(open_.columns))
+        free = materialize(free.join(by_shuffle(got.select("donor_id")), "donor_id", "left_anti"))
     none = F.lit("NO_ELIGIBLE_CONTEXT")
     if won is None:
         return targets.select("target_id", F.lit(None).cast("int").alias("round"), none.alias("reason"), F.lit(None).cast("string").alias("level"), F.lit(None).cast("string").alias("donor_id"),
                               F.lit(None).cast("double").alias("gap_days"))
-    return targets.select("target_id").join(won, "target_id", "left").withColumn("reason", F.coalesce("reason", none))
+    return targets.select("target_id").join(by_shuffle(won), "target_id", "left").withColumn("reason", F.coalesce("reason", none))
 
 
 # --- audit ----------------------------------------------------------------------------------------------------
@@ -190,7 +195,7 @@ def identity_audit(assigned: DataFrame, donors: DataFrame, minimum: int = 30, le
     UNKNOWN_CONTEXT, GAP_TOO_SHORT, OUTSIDE_SUPPORTED_RANGE, OUTCOME_MISMATCH (a donor of the asked outcome was eligible)
     by target; CONTEXT_REUSED by donor."""
     assigned, donors = materialize(assigned), materialize(donors)
-    rows = assigned.join(donors.select("donor_id", F.lit(True).alias("known")), "donor_id", "left")
+    rows = assigned.join(by_shuffle(donors.select("donor_id", F.lit(True).alias("known"))), "donor_id", "left")
     rounds = [r["round"] for r in assigned.select("round").distinct().orderBy("round").collect()]
     free, wide = donors, None
     for turn in rounds:
@@ -198,11 +203,11 @@ def identity_audit(assigned: DataFrame, donors: DataFrame, minimum: int = 30, le
         order = by_birth(free)
         near = outward(mine.select("target_id", "asked_us", "gap_us", "outcome"), order, minimum, least_us)
         wide = near if wide is None else wide.unionByName(near)
-        free = materialize(free.join(mine.select("donor_id"), "donor_id", "left_anti"))
+        free = materialize(free.join(by_shuffle(mine.select("donor_id")), "donor_id", "left_anti"))
     rule = lambda df, name, key="target_id": df.select(F.lit(name).alias("rule"), F.col(key).cast("string").alias("key"))
     if wide is None:
         return rule(assigned.limit(0), "UNKNOWN_CONTEXT")
-    rows = materialize(rows.join(wide, "target_id", "left"))
+    rows = materialize(rows.join(by_shuffle(wide), "target_id", "left"))
     gap = F.col("asked_us") - F.col("birth_us")
     out = rule(rows.filter("known is null"), "UNKNOWN_CONTEXT").unionByName(rule(rows.filter(gap < least_us), "GAP_TOO_SHORT"))
     out = out.unionByName(rule(rows.filter(F.abs(gap - F.col("gap_us")) > F.greatest(F.lit(3 * DAY_US), F.coalesce("radius", F.lit(0)))), "OUTSIDE_SUPPORTED_RANGE"))
@@ -218,5 +223,5 @@ def outward(targets: DataFrame, order: DataFrame, minimum: int, least_us: int) -
     points = targets.select("target_id", F.array(everyone(), of_outcome()).alias("cells"), F.inline(marks)).select("target_id", "mark", "p", F.explode("cells").alias("cell"))
     read = born_by(points, order).groupBy("target_id", "cell").agg(*[F.max(F.when(F.col("mark") == m, F.col("n"))).alias(m) for m in ("cap", "below")])
     best = read.filter("cap > 0").groupBy("target_id").agg(F.max_by(F.struct("cell", "cap", "below"), F.substring("cell", 1, 1)).alias("b")).select("target_id", "b.*")
-    rows = targets.join(best, "target_id")
-    return rows.select("target_id", F.substring("cell", 1, 1).alias("pool")).join(nearest(rows, order, minimum), "target_id")
+    rows = targets.join(by_shuffle(best), "target_id")
+    return rows.select("target_id", F.substring("cell", 1, 1).alias("pool")).join(by_shuffle(nearest(rows, order, minimum)), "target_id")
