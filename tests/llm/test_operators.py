@@ -206,6 +206,24 @@ def test_jaccard_edges(llm):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_jaccard_lists_that_overlap_share_a_crowd(llm):
+    from waymark.llm.jaccard_groups import gathered
+    rng = random.Random(3)
+    held = {0: {1, 2, 3}, 1: {2, 3}, 2: {500, 501}} | {k: {g + 100 * (k % 2) for g in range(100, 160) if rng.random() < 0.4} for k in range(10, 50)}
+    held |= {k: {600 + k, 601 + k} for k in range(60, 70)}  # a chain: each round names few of it
+    alive = {501: 40, 500: 2}
+    rows = [(k, 7, g, -g, alive.get(g, 1)) for k, gs in held.items() for g in gs]
+    crowds = {}
+    for r in gathered(llm.createDataFrame(rows, "token long, band long, gid long, head long, alive long")).collect():
+        assert r.gid not in crowds.setdefault(r.h, set())
+        crowds[r.h].add(r.gid)
+    assert all(any(gs <= c for c in crowds.values()) for gs in held.values())
+    assert crowds[-501] == {500, 501}  # around the largest
+    families = [len(c) for c in crowds.values() if max(c) < 300 and min(c) >= 100]
+    by_list = {(min(gs), g) for k, gs in held.items() if 10 <= k < 50 for g in gs}  # a hub for each list, as before
+    assert 2 * sum(families) < len(by_list)
+
+
 # --- 5 passages -------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("crowd,small", [(200_000, 1), (1, 500_000)])

@@ -18,6 +18,8 @@ from .graph import components
 SMALL = 500_000
 #: Members of a list up to which all of its components are paired; in longer ones by their differences from one of them.
 LONG = 32
+#: Rounds in which long lists choose the hub they meet around; in the last one each list has its own choice.
+ROUNDS = 4
 
 
 def least_common(n: int, percent: int) -> int:
@@ -97,6 +99,28 @@ def heads_of(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return alive, materialize(alive.groupBy("gid").agg(F.max_by("uid", nearest).alias("head"), F.count("*").alias("alive"), F.max("shared").alias("most")))
 
 
+def gathered(lists: DataFrame) -> DataFrame:
+    """(h, gid): crowds of groups, such that every list (token, band) of lists (token, band, gid, head, alive) is whole in
+    one of them. Lists of near copies overlap much, and a crowd for each would have the same pairs again and again. So in
+    each round a list names its largest group, of equal ones that in most lists; a group named by half of its lists becomes
+    a hub, its head is h, and lists that are whole in a crowd are done, whoever they named."""
+    left, crowds = lists.select("token", "band", "gid", "head", "alive"), None
+    for last in [False] * (ROUNDS - 1) + [True]:
+        found_in = left.groupBy("gid").agg(F.count("*").alias("lists"))
+        choice = F.max(F.struct("alive", "lists", -F.col("gid"), "head")).alias("best")
+        named = materialize(left.join(found_in, "gid").groupBy("token", "band").agg(choice, F.count("*").alias("groups"))
+                            .select("token", "band", "groups", F.col("best.lists").alias("lists"), F.col("best.head").alias("h")))
+        hubs = named.groupBy("h", "lists").agg(F.count("*").alias("wins")).filter(F.lit(last) | (F.col("wins") * 2 >= F.col("lists"))).select("h")
+        new = left.join(named.join(hubs, "h").select("token", "band", "h"), ["token", "band"]).select("h", "gid")
+        crowds = materialize((new if crowds is None else crowds.unionAll(new)).distinct())
+        within = left.join(crowds, "gid").groupBy("token", "band", "h").agg(F.count("*").alias("groups"))
+        done = within.join(named.select("token", "band", "groups"), ["token", "band", "groups"]).select("token", "band").distinct()
+        left = materialize(left.join(done, ["token", "band"], "left_anti"))
+        if not left.limit(1).count():
+            return crowds
+    return crowds
+
+
 def differences(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     """crowd with added (tokens of x that h lacks) and lost (tokens of h that x lacks)."""
     xs, hs = sets.select(F.col("uid").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("uid").alias("h"), F.col("shingles").alias("sh"))
@@ -120,7 +144,8 @@ def by_difference(crowd: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     diff = differences(crowd, sets)
     signed = diff.select("h", "x", F.explode("added").alias("token"), F.lit(False).alias("inside")).unionAll(diff.select("h", "x", F.explode("lost").alias("token"), F.lit(True).alias("inside")))
     size = crowd.groupBy("h").agg(F.count("*").alias("members"))
-    most = signed.groupBy("h", "token", "inside").agg(F.count("*").alias("times")).join(size, "h").filter(F.col("times") * 2 > F.col("members"))
+    counts = materialize(signed.groupBy("h", "token", "inside").agg(F.count("*").alias("times")).join(size, "h").filter("times > 1 OR times * 2 > members"))
+    most = counts.filter("times * 2 > members")
     # how the centre differs from h: what most have beyond it, and what most lack of it
     turned = most.groupBy("h").agg(F.collect_list(F.when(~F.col("inside"), F.col("token"))).alias("more"), F.collect_list(F.when(F.col("inside"), F.col("token"))).alias("less"))
     none = F.array().cast("array<bigint>")
@@ -137,12 +162,13 @@ def by_difference(crowd: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
 
     scalars = ["h", "x", "n", "shared", "c", "held", "star", (F.size("added") + F.size("lost")).alias("d")]
     each = diff.select(*scalars, F.explode("added").alias("token"), F.lit(0).alias("gone")).unionAll(diff.select(*scalars, F.explode("lost").alias("token"), F.lit(1).alias("gone")))
-    times = each.groupBy("h", "token").agg(F.count("*").alias("times")).filter("times > 1")
+    # who differs from the centre at a token that most have beyond h or lack of it are those that do not differ from h there
+    times = counts.select("h", "token", F.expr("IF(times * 2 > members, members - times, times)").alias("times")).filter("times > 1")
     own = each.join(times, ["h", "token"]).groupBy("h", "x", "n", "shared", "c", "held", "star", "d").agg(
         F.sum("gone").alias("lost"), F.count("*").alias("able"), F.array_sort(F.collect_list(F.struct("gone", "times", "token"))).alias("tokens"))
     own = own.withColumn("added", F.col("able") - F.col("lost"))
     k = F.when(F.col("star"), 1).otherwise(F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / F.lit(percent))))
-    own = own.withColumn("keep", (F.col("able") - k + 1).cast("int")).filter("keep > 0")
+    own = materialize(own.withColumn("keep", (F.col("able") - k + 1).cast("int")).filter("keep > 0"))
     prefix = own.select("h", "x", "n", "shared", "c", "held", "star", "d", "lost", "added", F.transform("tokens", lambda t: t["token"]).alias("own"), F.explode(F.slice("tokens", 1, F.col("keep"))).alias("t"))
     prefix = prefix.select("*", F.col("t.gone").alias("gone"), F.col("t.token").alias("token")).drop("t")
     # sizes by buckets of a sixteenth of the range that links allow; -1 for added tokens, whatever the size
@@ -252,9 +278,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rest = left.join(side("a", "ca", 1), ["a", "ca"]).join(side("b", "cb", 2), ["b", "cb"])
     rest = rest.filter((F.least("s1", "s2") * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent))
     rest = rest.select(F.least("u1", "u2").alias("a"), F.greatest("u1", "u2").alias("b"))
-    # in a long list, by differences from its hub
-    hubs = listed.join(mixed.filter(F.col("held") > LONG), ["token", "band"]).select("token", "band", "gid").join(hub.select("token", "band", F.col("head").alias("h")), ["token", "band"])
-    crowd = materialize(hubs.select("h", "gid").distinct().join(placed.withColumnRenamed("uid", "x"), "gid").select("h", "x", "n", "shared", "c"))
+    # in long lists, by differences from the hubs they meet around
+    crowd = gathered(materialize(listed.join(mixed.filter(F.col("held") > LONG), ["token", "band"])))
+    crowd = materialize(crowd.join(placed.withColumnRenamed("uid", "x"), "gid").select("h", "x", "n", "shared", "c"))
     stars, near = by_difference(crowd, sets, percent)
     rest = rest.unionByName(near).distinct().join(tried, ["a", "b"], "left_anti")
     second = verified(rest).unionByName(stars)
