@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, LOWER, BytesHasher, columns_of, configure_text, documents, free_name, materialize, mix, pieces, row_hash, same_row, shingles, token_bounds
+from .common import BLANK_CLASS, LOWER, BytesHasher, columns_of, configure_text, counted_broadcasts, documents, free_name, materialize, mix, pieces, row_hash, same_row, shingles, token_bounds
 from .graph import components
 
-#: Most candidate ids that are sent to every task; beyond that the second scan joins by shuffle.
+#: Most candidates whose keys are sent to every task; beyond that the second scan joins all texts by shuffle.
 SMALL = 500_000
 #: Members of a list up to which all of its components are paired; in longer ones by their differences from one of them.
 LONG = 32
@@ -67,11 +67,13 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """uid, gid, members, shingles of the rows of docs that wanted (uid, doc_id, __row, gid, members) names."""
+    """uid, gid, members, shingles of the rows of docs that wanted (uid, doc_id, __row, gid, members) names. Only a 64-bit
+    key of each is sent, so that the driver holds little; the texts it lets through meet the rest by shuffle."""
     keyed = docs.select("doc_id", row_hash().alias("__row"), "text")
     if wanted.count() <= SMALL:
-        wanted = F.broadcast(wanted)
-    rows = keyed.join(wanted, same_row(keyed, wanted)).select("uid", "gid", "members", "text")
+        key = F.xxhash64("doc_id", "__row")
+        keyed = keyed.withColumn("__key", key).join(F.broadcast(wanted.select(key.alias("__key"))), "__key", "left_semi").drop("__key")
+    rows = keyed.join(wanted.hint("merge"), same_row(keyed, wanted)).select("uid", "gid", "members", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = BytesHasher()
@@ -169,8 +171,8 @@ def by_difference(crowd: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     own = own.withColumn("added", F.col("able") - F.col("lost"))
     k = F.when(F.col("star"), 1).otherwise(F.greatest(F.lit(1), F.col("d") - F.floor(F.col("n") * (100 - percent) / F.lit(percent))))
     own = materialize(own.withColumn("keep", (F.col("able") - k + 1).cast("int")).filter("keep > 0"))
-    prefix = own.select("h", "x", "n", "shared", "c", "held", "star", "d", "lost", "added", F.transform("tokens", lambda t: t["token"]).alias("own"), F.explode(F.slice("tokens", 1, F.col("keep"))).alias("t"))
-    prefix = prefix.select("*", F.col("t.gone").alias("gone"), F.col("t.token").alias("token")).drop("t")
+    scalars = ["h", "x", "n", "shared", "c", "held", "star", "d", "lost", "added"]
+    prefix = own.select(*scalars, F.explode(F.slice("tokens", 1, F.col("keep"))).alias("t")).select(*scalars, F.col("t.gone").alias("gone"), F.col("t.token").alias("token"))
     # sizes by buckets of a sixteenth of the range that links allow; -1 for added tokens, whatever the size
     step = math.log(100 / percent) / 16 if percent < 100 else 1e-9
     bucket = lambda n: F.floor(F.ln(n) / step)
@@ -178,16 +180,21 @@ def by_difference(crowd: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     spans = F.when(F.col("gone") == 0, F.array(F.lit(-1).cast("long"))).when(high >= low, F.sequence(bucket(low), bucket(high)))
     first = prefix.filter(~F.col("star")).select("*", F.explode(spans).alias("size")).drop("star", "held")
     then = prefix.withColumn("size", F.when(F.col("gone") == 0, -1).otherwise(bucket(F.col("n"))).cast("long")).drop("star", "held", "gone")
-    then = then.select("h", "token", "size", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "shared", "c", "d", "lost", "added", "own")])
+    then = then.select("h", "token", "size", *[F.col(c).alias(f"{c}2") for c in ("x", "n", "shared", "c", "d", "lost", "added")])
     most = F.least("lost", "lost2") + F.when(F.col("gone") == 0, F.least("added", "added2")).otherwise(0)
     able = ((F.col("x") != F.col("x2")) & (F.col("c") != F.col("c2")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
             & (F.least("shared", "shared2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
-            & ((F.col("d") + F.col("d2") - 2 * most) * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent))
-            & ((F.col("d") + F.col("d2") - 2 * F.size(F.array_intersect("own", "own2"))) * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)))
-    near = first.join(then, ["h", "token", "size"]).filter(able).select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b")).distinct()
+            & ((F.col("d") + F.col("d2") - 2 * most) * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)))
+    # the differences themselves join once a pair; beside each of their own tokens they would take their square
+    met = first.join(then, ["h", "token", "size"]).filter(able).select("h", F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b")).distinct()
+    side = lambda name, i: own.select("h", F.col("x").alias(name), F.col("n").alias(f"n{i}"), F.col("d").alias(f"d{i}"), F.transform("tokens", lambda t: t["token"]).alias(f"own{i}"))
+    both = met.join(side("a", 1), ["h", "a"]).join(side("b", 2), ["h", "b"])
+    apart = F.col("d1") + F.col("d2") - 2 * F.size(F.array_intersect("own1", "own2"))
+    near = both.filter(apart * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)).select("a", "b").distinct()
     return stars, near
 
 
+@counted_broadcasts
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """uid, doc_id, __row, n_shingles, label, component_id of every row of docs.
 
@@ -293,8 +300,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # a component's smallest doc_id by its nodes; rows then join their node, of which one may hold very many
     named = nodes.join(whole, "node", "left").withColumn("label", F.coalesce("component", "node"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "label").select("n", "s1", "s2", "label", "component_id")
-    linked = some.select("uid", "doc_id", "__row", "n", "s1", "s2").join(named, ["n", "s1", "s2"]).select(
+    named = materialize(named.join(smallest, "label").select("n", "s1", "s2", "label", "component_id"))
+    linked = some.select("uid", "doc_id", "__row", "n", "s1", "s2").join(named.hint("merge"), ["n", "s1", "s2"]).select(
         "uid", "doc_id", "__row", F.col("n").alias("n_shingles"), "label", "component_id")
     alone = rows.filter("n = 0").select("uid", "doc_id", "__row", F.col("n").alias("n_shingles"), F.col("uid").alias("label"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
@@ -325,6 +332,7 @@ group by all
 """
 
 
+@counted_broadcasts
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one row of each component of near duplicates (five words, similarity 0.8 or more): the one of smallest
     doc_id (NULL last), with its columns, whatever the names of those beside doc_id and text. Rows without words all stay,
@@ -332,7 +340,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     configure_text(spark)
     found = materialize(near_duplicates(docs.select("doc_id", "text")))
     best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))["uid"].alias("uid"))
-    keep = found.join(best.select("uid"), "uid").select("doc_id", "__row", "n_shingles")
+    keep = materialize(found.join(best.select("uid"), "uid").select("doc_id", "__row", "n_shingles")).hint("merge")
     row = free_name(docs, "__row")
     keyed = docs.withColumn(row, row_hash())
     repeated = found.filter("n_shingles > 0").groupBy("doc_id", "__row").count().filter("count > 1").limit(1).count()
